@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, mixing, quality, sharding
+from . import bpe, minhash, mixing, quality, sharding, simhash
 from .common import documents
 
 
+def op1_anchor_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_groups(documents(spark, sf_dir)).select("doc_id", "fingerprint", "component_id")
+
+
 def op3_hash_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(documents(spark, sf_dir), sharding.tree(16), sharding.tree(17))
 
@@ -27,8 +31,12 @@ def op8_fair_queueing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.edit_report(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_hash_tree, op4_rule_ledger, op6_pair_index_bpe, op8_fair_queueing)}
+    return {f.__name__: f for f in (op1_anchor_simhash, op3_hash_tree, op4_rule_ledger, op6_pair_index_bpe, op8_fair_queueing, op9_minhash)}
 
 
 def oracle_sql() -> dict[str, str]:
