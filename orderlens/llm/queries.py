@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, minhash, mixing, quality, sharding, simhash
+from . import bpe, langid, minhash, mixing, quality, sharding, simhash, toxicity
 from .common import documents
 
 
@@ -27,6 +27,10 @@ def op6_pair_index_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(documents(spark, sf_dir), with_ids=False)
 
 
+def op7_lexicon_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.detect(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op8_fair_queueing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -35,8 +39,12 @@ def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.edit_report(documents(spark, sf_dir))
 
 
+def op10_piece_unigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_anchor_simhash, op3_hash_tree, op4_rule_ledger, op6_pair_index_bpe, op8_fair_queueing, op9_minhash)}
+    return {f.__name__: f for f in (op1_anchor_simhash, op3_hash_tree, op4_rule_ledger, op6_pair_index_bpe, op7_lexicon_automata, op8_fair_queueing, op9_minhash, op10_piece_unigrams)}
 
 
 def oracle_sql() -> dict[str, str]:
