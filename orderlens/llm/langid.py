@@ -223,6 +223,19 @@ def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), "text").mapInPandas(run, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
-def keep(predicted: DataFrame) -> DataFrame:
-    """The rows of identify() that have a language with a posterior of SURE or more."""
-    return predicted.where((F.col("lang_pred") != "und") & (F.col("score") >= SURE))
+def keep_documents(docs: DataFrame, model: Model | None = None, sure: float = SURE) -> DataFrame:
+    """The rows of docs, all columns, whose text has a language with a posterior of `sure` or more; no row is moved for it."""
+    model = model or fit(docs)
+    bare = (model.langs, model.p, model.path)
+
+    @F.pandas_udf("boolean")
+    def has_language(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        m = Model(*bare)
+        for batch in texts:
+            out = []
+            for at in range(0, len(batch), 256):
+                langs, scores = m.score([t or "" for t in batch.iloc[at : at + 256]])
+                out += [lang != "und" and score >= sure for lang, score in zip(langs, scores)]
+            yield pd.Series(out, dtype=bool)
+
+    return docs.where(has_language(F.col("text")))

@@ -38,15 +38,15 @@ def fill(sources: DataFrame, budget: float, repeats: int = REPEATS) -> DataFrame
     return found.withColumn("target", F.least(F.coalesce(F.col("weight") * first["_level"], cap), cap)).drop("_level", "_fits")
 
 
-def mix(docs: DataFrame, budget_share: float = 1.0, repeats: int = REPEATS) -> DataFrame:
-    """One row per row of docs: doc_id, size, source, source_size, target, times, taken (= times x size).
+def mix(docs: DataFrame, budget_share: float = 1.0, repeats: int = REPEATS, carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row per row of docs: doc_id, size, source, source_size, target, times, taken (= times x size), and the columns `carry`.
 
     size counts words; a null or blank text has 0 and is never taken. The budget is budget_share of all sizes. A null source is a
     source of its own, last in order. The shuffled order is that of md5(doc_id), so reruns agree; repeated rows and null ids are
     rows like others. An empty table gives no rows. Other columns are ignored.
     """
     words = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    rows = cut(docs.select("doc_id", "source", words.alias("size"), F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).alias("_key")))
+    rows = cut(docs.select("doc_id", *carry, "source", words.alias("size"), F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).alias("_key")))
     sums = cut(weights(rows.groupBy("source").agg(F.sum("size").alias("source_size"))))
     budget = (sums.agg(F.sum("source_size").alias("n")).first().n or 0) * budget_share
     sources = small(cut(fill(sums, budget, repeats)))
@@ -80,7 +80,17 @@ def mix(docs: DataFrame, budget_share: float = 1.0, repeats: int = REPEATS) -> D
     for i in range(repeats):
         is_in = F.lit(True) if end is None else F.struct(finish(i), F.col("sid").cast("int"), F.col("_sum").cast("long"), F.lit(i).cast("int")) < F.struct(F.lit(end.time).cast("double"), F.lit(end.sid).cast("int"), F.lit(end._sum).cast("long"), F.lit(end.turn).cast("int"))
         times = times + F.when((F.col("size") > 0) & (F.col("target") > 0) & is_in, 1).otherwise(0)
-    return rows.withColumn("times", times).select("doc_id", "size", "source", "source_size", "target", "times", (F.col("times") * F.col("size")).cast("long").alias("taken"))
+    return rows.withColumn("times", times).select("doc_id", *carry, "size", "source", "source_size", "target", "times", (F.col("times") * F.col("size")).cast("long").alias("taken"))
+
+
+def repeat_documents(docs: DataFrame, budget_share: float = 1.0, repeats: int = REPEATS) -> DataFrame:
+    """The rows of docs, all columns, each as often as mix() takes it. Rows alike in doc_id, source and text share their turns
+    evenly, rounded up."""
+    marked = docs.withColumn("_text", F.xxhash64("text"))
+    turns = mix(marked, budget_share, repeats, ("_text",)).groupBy("doc_id", "source", "_text").agg(F.ceil(F.avg("times")).cast("int").alias("_times")).where("_times > 0")
+    turns = turns.select(F.col("doc_id").alias("_a"), F.col("source").alias("_b"), F.col("_text").alias("_c"), "_times")
+    found = marked.join(turns, marked["doc_id"].eqNullSafe(turns["_a"]) & marked["source"].eqNullSafe(turns["_b"]) & (marked["_text"] == turns["_c"]))
+    return found.withColumn("_turn", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
 
 
 ORACLE = r"""

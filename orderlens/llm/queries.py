@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, langid, minhash, mixing, quality, sharding, simhash, toxicity
+from . import bpe, langid, linededup, minhash, mixing, quality, sharding, simhash, toxicity
 from .common import documents
 
 
@@ -23,6 +23,11 @@ def op4_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return led.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed", "policy")
 
 
+def op5_line_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = linededup.dedup(documents(spark, sf_dir).select("doc_id", "text"))
+    return out.select("doc_id", "n_lines", "n_removed", "n_runs", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def op6_pair_index_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(documents(spark, sf_dir), with_ids=False)
 
@@ -44,8 +49,8 @@ def op10_piece_unigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_anchor_simhash, op3_hash_tree, op4_rule_ledger, op6_pair_index_bpe, op7_lexicon_automata, op8_fair_queueing, op9_minhash, op10_piece_unigrams)}
+    return {f.__name__: f for f in (op1_anchor_simhash, op3_hash_tree, op4_rule_ledger, op5_line_suffixes, op6_pair_index_bpe, op7_lexicon_automata, op8_fair_queueing, op9_minhash, op10_piece_unigrams)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_fair_queueing": mixing.ORACLE}
+    return {"op5_line_suffixes": linededup.ORACLE, "op8_fair_queueing": mixing.ORACLE}

@@ -175,6 +175,26 @@ def links(fps: DataFrame, near: int = NEAR, block: int = BLOCK) -> DataFrame:
     return found.unionByName(compare(cells.repartition(*keys).sortWithinPartitions(*keys), keys, near))
 
 
+def fingerprint_column(text="text"):
+    """The signed fingerprint of a text column."""
+
+    @F.pandas_udf("long")
+    def of(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in texts:
+            yield pd.Series(np.array([fingerprint(t) for t in batch], np.uint64).view(np.int64))
+
+    return of(F.col(text))
+
+
+def grouped(found: DataFrame, near: int = NEAR) -> DataFrame:
+    """(fp, root, component_id) for each distinct fingerprint of found (doc_id, fp)."""
+    classes = cut(found.groupBy("fp").agg(F.min("doc_id").alias("first")))
+    roots = components(links(classes.select("fp"), near))
+    named = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    linked = cut(named.groupBy("root").agg(F.min("first").alias("component_id")))
+    return named.join(linked, "root").select("fp", "root", "component_id")
+
+
 def near_groups(docs: DataFrame, near: int = NEAR) -> DataFrame:
     """One row per row of docs: doc_id, fp, fingerprint (16 hex digits), component_id: the smallest doc_id that links reach.
 
@@ -183,9 +203,22 @@ def near_groups(docs: DataFrame, near: int = NEAR) -> DataFrame:
     An empty table gives no rows; other columns are ignored. Only distinct fingerprints are compared.
     """
     found = cut(fingerprints(docs))
-    classes = cut(found.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    roots = components(links(classes.select("fp"), near))
-    named = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    linked = cut(named.groupBy("root").agg(F.min("first").alias("component_id")))
-    table = named.join(linked, "root").select("fp", "component_id")
+    table = grouped(found, near).select("fp", "component_id")
     return found.join(table, "fp").select("doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_first(docs: DataFrame, near: int = NEAR) -> DataFrame:
+    """One row of docs, all columns, of each group of near_groups(): that of the smallest doc_id, a null one last. If several rows
+    have it, the one with the smallest fingerprint and text stays; rows alike in all of these are told apart by nothing, and one
+    of them stays."""
+    marked = docs.withColumn("_fp", fingerprint_column()).withColumn("_text", F.xxhash64("text"))
+    found = cut(marked.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("_fp").alias("fp"), F.col("_text").alias("text")))
+    table = grouped(found.select("doc_id", "fp"), near)
+    order = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "fp", "text")
+    first = cut(found.join(table.select("fp", "root"), "fp").groupBy("root").agg(F.min(order).alias("m")).select("m.doc_id", "m.fp", "m.text"))
+    first = first.select(F.col("doc_id").alias("_a"), F.col("fp").alias("_b"), F.col("text").alias("_c"))
+    kept = marked.join(first, marked["doc_id"].cast("long").eqNullSafe(first["_a"]) & (marked["_fp"] == first["_b"]) & (marked["_text"] == first["_c"]), "left_semi")
+    again = found.groupBy("doc_id", "fp", "text").count().where("count > 1").limit(1).count()
+    if again:
+        kept = kept.dropDuplicates(["doc_id", "_fp", "_text"])
+    return kept.select(*docs.columns)
