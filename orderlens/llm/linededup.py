@@ -20,8 +20,9 @@ from .common import WORD, cut
 #: Words that a repeated run must have.
 LEAST_WORDS = 20
 
-_own = Window.partitionBy("id", "row").orderBy("seq")
-_here = F.struct("id", "seq", "row")
+
+def _own():
+    return Window.partitionBy("id", "row").orderBy("seq")
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -38,13 +39,13 @@ def line_table(docs: DataFrame) -> DataFrame:
 
 def classes(rows: DataFrame, keys: list[str]) -> DataFrame:
     """rows with c, the first member of the rows that agree in keys; rows that are alone leave."""
-    first = rows.groupBy(*keys).agg(F.min(_here).alias("c"), F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
+    first = rows.groupBy(*keys).agg(F.min(F.struct("id", "seq", "row")).alias("c"), F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
     return rows.join(first, keys)
 
 
 def doubled(level: DataFrame, span: int) -> DataFrame:
     """From the classes of `span` lines to those of 2 x span lines."""
-    ahead = level.withColumn("d", F.lead("c", span).over(_own)).withColumn("_at", F.lead("seq", span).over(_own)).where(F.col("_at") == F.col("seq") + span)
+    ahead = level.withColumn("d", F.lead("c", span).over(_own())).withColumn("_at", F.lead("seq", span).over(_own())).where(F.col("_at") == F.col("seq") + span)
     return classes(ahead.select("id", "row", "seq", F.col("c").alias("a"), F.col("d").alias("b")), ["a", "b"]).select("id", "row", "seq", "c")
 
 
@@ -61,8 +62,8 @@ def shortest_runs(lines: DataFrame, least: int) -> DataFrame:
         return F.when(step["sum"] >= least, step["n"])
 
     pair = F.struct("seq", "words")
-    on = F.collect_list(pair).over(_own.rowsBetween(0, least - 1))
-    back = F.reverse(F.collect_list(pair).over(_own.rowsBetween(1 - least, 0)))
+    on = F.collect_list(pair).over(_own().rowsBetween(0, least - 1))
+    back = F.reverse(F.collect_list(pair).over(_own().rowsBetween(1 - least, 0)))
     found = lines.select("id", "row", "seq", on.alias("_on"), back.alias("_back")).select("id", "row", "seq", reach(F.col("_on"), True).alias("_f"), reach(F.col("_back"), False).alias("_b"))
     ways = F.array(F.struct(F.col("seq").alias("seq"), F.col("_f").alias("n")), F.struct((F.col("seq") - F.col("_b") + 1).alias("seq"), F.col("_b").alias("n")))
     return found.select("id", "row", F.explode(F.array_distinct(ways)).alias("_w")).select("id", "row", "_w.*").where("n is not null").distinct()
@@ -94,7 +95,7 @@ def repeated_lines(docs: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
     copies = named.where((F.col("c.id") < F.col("id")) | ((F.col("c.id") == F.col("id")) & (F.col("c.seq") < F.col("seq"))))
     gone = copies.select("id", "row", F.explode(F.sequence("seq", F.col("seq") + F.col("n") - 1)).alias("seq")).distinct()
     gone = gone.join(lines.select("id", "row", "seq", "pos"), ["id", "row", "seq"])
-    starts = F.when(F.lag("seq").over(_own) == F.col("seq") - 1, 0).otherwise(1)
+    starts = F.when(F.lag("seq").over(_own()) == F.col("seq") - 1, 0).otherwise(1)
     return gone.withColumn("_start", starts).groupBy("id", "row").agg(F.sort_array(F.collect_list("pos")).alias("gone"), F.sum("_start").alias("n_runs"))
 
 
