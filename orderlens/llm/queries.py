@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, langid, linededup, minhash, mixing, quality, sharding, simhash, toxicity
+from . import bpe, langid, linededup, minhash, mixing, quality, runindex, sharding, simhash, toxicity
 from .common import documents
 
 
@@ -14,6 +14,10 @@ def op1_anchor_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_groups(documents(spark, sf_dir)).select("doc_id", "fingerprint", "component_id")
 
 
+def op2_run_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runindex.dedup(documents(spark, sf_dir), with_text=False)
+
+
 def op3_hash_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(documents(spark, sf_dir), sharding.tree(16), sharding.tree(17))
 
@@ -49,7 +53,7 @@ def op10_piece_unigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_anchor_simhash, op3_hash_tree, op4_rule_ledger, op5_line_suffixes, op6_pair_index_bpe, op7_lexicon_automata, op8_fair_queueing, op9_minhash, op10_piece_unigrams)}
+    return {f.__name__: f for f in (op1_anchor_simhash, op2_run_index, op3_hash_tree, op4_rule_ledger, op5_line_suffixes, op6_pair_index_bpe, op7_lexicon_automata, op8_fair_queueing, op9_minhash, op10_piece_unigrams)}
 
 
 def oracle_sql() -> dict[str, str]:
