@@ -58,7 +58,7 @@ def cohort_matrix(orders: DataFrame, months: int = 12) -> DataFrame:
 def revenue(orders: DataFrame, grain: str = "month") -> DataFrame:
     by = orders.groupBy(F.date_trunc(grain, "order_date").cast("date").alias("period")).agg(F.sum("net").alias("_net"), F.count(F.lit(1)).alias("orders"))
     before = F.lag("_net").over(Window.orderBy("period"))  # one row a period
-    return by.select("period", dbl("_net").alias("revenue"), "orders", ratio("_net", "orders", 4).alias("aov"), ratio(F.col("_net") - before, before).alias("growth"))
+    return by.select("period", dbl("_net").alias("revenue"), "orders", ratio("_net", "orders", 8).alias("aov"), ratio(F.col("_net") - before, before).alias("growth"))
 
 
 # -- A04 ------------------------------------------------------------------------------------------------------------------------
@@ -234,7 +234,7 @@ def payment_channel(orders: DataFrame, revenue_orders: DataFrame) -> DataFrame:
     base = revenue_orders.groupBy("payment_method").agg(F.count(F.lit(1)).alias("orders"), F.sum("net").alias("_net"))
     refunds = orders.groupBy("payment_method").agg(F.avg(F.when(F.col("status") == "refunded", 1.0).otherwise(0.0)).alias("refund_rate"))
     share = ratio("_net", F.sum("_net").over(Window.partitionBy()))
-    return base.join(refunds, "payment_method").select("payment_method", "orders", dbl("_net").alias("revenue"), share.alias("share"), ratio("_net", "orders", 4).alias("aov"), F.round("refund_rate", 6).alias("refund_rate"))
+    return base.join(refunds, "payment_method").select("payment_method", "orders", dbl("_net").alias("revenue"), share.alias("share"), ratio("_net", "orders", 8).alias("aov"), F.round("refund_rate", 6).alias("refund_rate"))
 
 
 def attribution(orders: DataFrame, channel: str) -> DataFrame:
@@ -276,7 +276,7 @@ def correlation(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def demographic(orders: DataFrame, customers: DataFrame) -> DataFrame:
     by = orders.join(customers.select("customer_id", "age_group", "gender"), "customer_id").cube("age_group", "gender").agg(F.countDistinct("customer_id").alias("customers"), F.sum("net").alias("_net"), F.count(F.lit(1)).alias("_n"), F.grouping_id().cast("int").alias("level"))
-    return by.select("age_group", "gender", "level", "customers", dbl("_net").alias("revenue"), ratio("_net", "_n", 4).alias("aov"))
+    return by.select("age_group", "gender", "level", "customers", dbl("_net").alias("revenue"), ratio("_net", "_n", 8).alias("aov"))
 
 
 # -- forecasting ----------------------------------------------------------------------------------------------------------------
@@ -303,7 +303,7 @@ def fit_forecast(series: DataFrame, keys: list[str], horizon: int = 30, least_da
     ahead = ahead.join(weekday, [*keys, "_wd"], "left").withColumn("_f", F.col("_t") + F.coalesce("_e", F.lit(0.0))).withColumn("y", F.lit(None).cast("double"))
     both = seen.select(*keys, "ds", "y", "_f", F.lit(True).alias("is_historical")).unionByName(ahead.select(*keys, "ds", "y", "_f", F.lit(False).alias("is_historical"))).join(spread, keys)
     clip = lambda c: F.round(F.greatest(c, F.lit(0.0)), 2)
-    return both.select(*keys, "ds", F.round("y", 2).alias("actual"), clip(F.col("_f")).alias("yhat"), clip(F.col("_f") - width * F.col("_sd")).alias("yhat_lower"), clip(F.col("_f") + width * F.col("_sd")).alias("yhat_upper"), "is_historical")
+    return both.select(*keys, "ds", F.round("y", 4).alias("actual"), clip(F.col("_f")).alias("yhat"), clip(F.col("_f") - width * F.col("_sd")).alias("yhat_lower"), clip(F.col("_f") + width * F.col("_sd")).alias("yhat_upper"), "is_historical")
 
 
 SEASONAL = {"low": 0.5, "medium": 1.0, "high": 1.5}
@@ -327,7 +327,7 @@ def projected_mrr(forecast: DataFrame, days: int = 30) -> DataFrame:
     rows = forecast.join(F.broadcast(last))
     ahead = F.sum(F.when(~F.col("is_historical") & (F.col("ds") <= F.date_add("_last", days)), F.col("yhat")))
     past = F.sum(F.when(F.col("is_historical") & (F.col("ds") > F.date_sub("_last", days)), F.col("actual")))
-    return rows.agg(F.round(ahead, 2).alias("projected"), F.round(past, 2).alias("last_period"), F.round(F.try_divide(ahead - past, past) * 100, 4).alias("change_pct"))
+    return rows.agg(F.round(ahead, 4).alias("projected"), F.round(past, 4).alias("last_period"), F.round(F.try_divide(ahead - past, past) * 100, 4).alias("change_pct"))
 
 
 def latest_run(forecasts: DataFrame, keys: list[str]) -> DataFrame:

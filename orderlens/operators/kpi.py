@@ -14,7 +14,7 @@ def daily_kpi(orders: DataFrame) -> DataFrame:
     new = orders.groupBy("customer_id").agg(F.min("order_date").alias("day")).groupBy("day").agg(F.count(F.lit(1)).alias("_new"))
     days = calendar(orders.select(F.col("order_date").alias("day")), "day")
     rows = days.join(by, "day", "left").join(new, "day", "left")
-    return rows.select("day", dbl(F.coalesce("_net", F.lit(0))).alias("revenue"), F.coalesce("_n", F.lit(0)).alias("orders"), ratio("_net", "_n", 4).alias("aov"), F.coalesce("_new", F.lit(0)).alias("new_customers"))
+    return rows.select("day", dbl(F.coalesce("_net", F.lit(0))).alias("revenue"), F.coalesce("_n", F.lit(0)).alias("orders"), ratio("_net", "_n", 8).alias("aov"), F.coalesce("_new", F.lit(0)).alias("new_customers"))
 
 
 def active_and_churn(orders: DataFrame, days: int = 90) -> DataFrame:
@@ -49,14 +49,14 @@ def period_delta(daily: DataFrame, days: int = 30, value: str = "revenue") -> Da
     w = Window.orderBy("day")  # one row a day
     now, past = F.sum(value).over(w.rowsBetween(1 - days, 0)), F.sum(value).over(w.rowsBetween(1 - 2 * days, -days))
     rows = daily.select("day", now.alias("_a"), past.alias("_b"), F.row_number().over(w).alias("_k")).where(F.col("_k") >= 2 * days)
-    return rows.select("day", F.round("_a", 2).alias("value"), F.round("_b", 2).alias("previous"), F.round(F.try_divide(F.col("_a") - F.col("_b"), F.col("_b")) * 100, 4).alias("change_pct"))
+    return rows.select("day", F.round("_a", 4).alias("value"), F.round("_b", 4).alias("previous"), F.round(F.try_divide(F.col("_a") - F.col("_b"), F.col("_b")) * 100, 4).alias("change_pct"))
 
 
 def sales_trend(daily: DataFrame, days: int = 30) -> DataFrame:
     """The last `days` days beside the days as many before."""
     w = Window.orderBy("day")
     last = F.max("day").over(Window.partitionBy())
-    rows = daily.select("day", F.round("revenue", 2).alias("revenue"), F.round(F.lag("revenue", days).over(w), 2).alias("previous"), last.alias("_last"))
+    rows = daily.select("day", F.round("revenue", 4).alias("revenue"), F.round(F.lag("revenue", days).over(w), 4).alias("previous"), last.alias("_last"))
     return rows.where(F.col("day") > F.date_sub("_last", days)).drop("_last")
 
 

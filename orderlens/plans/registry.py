@@ -1,0 +1,266 @@
+"""The registered queries: each applies an operator to whole given tables."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+from functools import lru_cache
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from orderlens.functions import derive
+from orderlens.operators import analytics as an, ingest, kpi, views
+from orderlens.plans import scale
+from orderlens.plans.canon import AS_OF, Canon
+from orderlens.sources import tables
+
+REGIONS = ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"]
+STEPS = ["view", "click", "signup", "purchase"]
+#: The target schema's columns with their aliases.
+ALIASES = [
+    ("orders", "external_id", "order id"), ("orders", "total_amount", "total amount"), ("orders", "total_amount", "sale amount"), ("orders", "order_date", "date"), ("orders", "order_date", "order date"),
+    ("orders", "discount_amount", "discount"), ("order_items", "quantity", "quantity"), ("products", "sku", "sku"), ("customers", "email", "customer email"), ("customers", "country", "country"),
+]
+SYNONYMS = [("orders", "total_amount", ["total", "amount", "sale", "revenue"]), ("customers", "email", ["customer", "email", "mail"]), ("orders", "order_date", ["order", "date", "day"]), ("products", "name", ["product", "name", "item"])]
+HEADERS = ["Order ID", "Cust_Email", "Sale Amt", "Dte", "Qty", "SKU", "Disc", "Mail of Customer", "Totl Amount", "Colour"]
+#: Words of the sample texts' languages that stand for approval and for blame.
+LEXICON = [("good", 1), ("the", 1), ("for", 1), ("la", 1), ("der", 1), ("el", 1), ("with", 1), ("of", -1), ("that", -1), ("de", -1), ("und", -1), ("los", -1), ("was", -1), ("idiot", -1)]
+
+
+@lru_cache(4)
+def _canon(spark: SparkSession, sf_dir: str) -> Canon:
+    return Canon(spark, sf_dir)
+
+
+def headers(c: Canon) -> DataFrame:
+    """The header table of pending uploads: one upload for each customer, all with the same list of headers."""
+    return c.customers.select(F.col("customer_id").alias("upload_job_id"), F.explode(F.array(*[F.lit(h) for h in HEADERS])).alias("csv_header"))
+
+
+def dictionary(c: Canon) -> DataFrame:
+    return c.spark.createDataFrame(ALIASES, "mapped_table string, mapped_column string, alias string")
+
+
+def synonyms(c: Canon) -> DataFrame:
+    return c.spark.createDataFrame(SYNONYMS, "mapped_table string, mapped_column string, tokens array<string>")
+
+
+def past_mappings(c: Canon) -> DataFrame:
+    """Mappings confirmed in earlier uploads: of two, one a day later."""
+    rows = c.orders.select(F.lit("Colour").alias("csv_header"), F.lit("products").alias("mapped_table"), F.when(F.col("status") == "pending", "category").otherwise("name").alias("mapped_column"), F.col("order_date").alias("created_at"))
+    return rows.unionByName(c.orders.select(F.lit("Qty").alias("csv_header"), F.lit("order_items").alias("mapped_table"), F.lit("quantity").alias("mapped_column"), F.col("order_date").alias("created_at")))
+
+
+def dirty(c: Canon) -> DataFrame:
+    """Order uploads as strings, in the ways that real ones are dirty."""
+    k = F.col("order_id")
+    date = F.when(k % 3 == 0, F.date_format("order_date", "dd/MM/yyyy")).when(k % 3 == 1, F.date_format("order_date", "yyyy-MM-dd")).otherwise(F.date_format("order_date", "yyyy/MM/dd"))
+    total = F.col("total").cast("decimal(14,2)").cast("string")
+    amount = F.when(k % 7 == 0, F.lit("N/A")).when(k % 7 == 1, F.concat(F.lit("$"), total)).when(k % 7 == 2, F.concat(F.lit(" "), total, F.lit(" "))).otherwise(total)
+    return c.orders.select((k % 97).alias("upload_job_id"), k.cast("string").alias("external_id"), date.alias("order_date"), amount.alias("total_amount"), F.when(k % 5 == 0, F.lit("")).otherwise(F.lit("usd ")).alias("currency"), F.when(k % 11 == 0, F.lit("lost")).otherwise(F.col("status")).alias("status"))
+
+
+def cleaned(c: Canon) -> DataFrame:
+    rows = ingest.clean_missing(dirty(c), {"currency": "USD", "status": "completed"})
+    rows = ingest.coerce_numeric(ingest.standardise_dates(rows, ["order_date"], ["yyyy-MM-dd", "yyyy/MM/dd", "dd/MM/yyyy"]), ["total_amount"], "decimal(14,2)")
+    return rows.withColumn("currency", ingest.normalise_currency(F.col("currency")))
+
+
+def rules() -> dict:
+    return {"amount": F.col("total_amount") >= 0, "status": F.col("status").isin("completed", "pending", "refunded", "cancelled"), "date": F.col("order_date").isNotNull()}
+
+
+def marked(c: Canon) -> DataFrame:
+    return ingest.with_reasons(cleaned(c), rules())
+
+
+def profile(c: Canon) -> DataFrame:
+    return an.customer_profile(c.sold, AS_OF)
+
+
+def daily_values(c: Canon) -> DataFrame:
+    return kpi.daily_kpi(c.sold).select("day", F.col("revenue").cast("double").alias("value"))
+
+
+def forecast(c: Canon, keys=()) -> DataFrame:
+    return an.fit_forecast(an.daily_series(c.sold, list(keys)).withColumn("_one", F.lit(1)), [*keys, "_one"]).drop("_one")
+
+
+def scored(c: Canon) -> DataFrame:
+    comments = c.t["conversations"].select(F.struct("conv_id", "turn").alias("id"), "text")
+    lexicon = c.spark.createDataFrame(LEXICON, "word string, weight int")
+    return an.sentiment(comments, lexicon).select("id.*", "sentiment_label", "sentiment_score")
+
+
+def upserted(c: Canon) -> DataFrame:
+    """Products with the prices of a batch: every second one 10 % up, and as many new ones."""
+    target = c.products.select("product_id", "name", "unit_price")
+    batch = target.where("product_id % 2 = 0").withColumn("unit_price", (F.col("unit_price") * F.lit("1.10").cast("decimal(3,2)")).cast("decimal(10,2)"))
+    new = target.where("product_id % 2 = 0").withColumn("product_id", F.col("product_id") + 100_000_000)
+    out = ingest.upsert(target, batch.unionByName(new), "product_id")
+    return out.select("product_id", "name", an.dbl("unit_price", 2).alias("unit_price"))
+
+
+def inserted(c: Canon) -> DataFrame:
+    heads = c.orders.select(F.col("order_id").alias("external_id"), "order_date", F.col("total").alias("total_amount"), F.col("discount").alias("discount_amount"), F.when(F.col("return_flag"), F.lit(None)).otherwise(F.col("cost")).alias("cost_amount"))
+    known = heads.where("order_date < date '1998-01-01'")
+    return ingest.insert_orders(heads.unionByName(heads), known).select("external_id", an.dbl("net_amount").alias("net_amount"), an.dbl("gross_margin").alias("gross_margin"))
+
+
+def rolled_back(c: Canon) -> DataFrame:
+    heads = c.orders.withColumn("upload_job_id", F.concat(F.lit("job"), F.year("order_date").cast("string")))
+    kept, items = ingest.rollback_upload(heads, c.items, "job1999")
+    return items.join(kept.select("order_id", "upload_job_id"), "order_id").groupBy("upload_job_id").agg(F.count(F.lit(1)).alias("items"), an.dbl(F.sum("line_total")).alias("total"))
+
+
+def insights(c: Canon) -> DataFrame:
+    by = c.sold.withColumn("year", F.year("order_date")).groupBy("region", "year").agg(F.sum("net").cast("double").alias("revenue"), F.count(F.lit(1)).cast("double").alias("orders"), F.countDistinct("customer_id").cast("double").alias("customers"), F.sum("cost").cast("double").alias("cost"))
+    both = by.where("year = 2000").alias("a").join(by.where("year = 1999").alias("b"), "region")
+    kpis = both.select("region", F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.col(f"a.{n}").alias("value"), F.col(f"b.{n}").alias("previous")) for n in ("revenue", "orders", "customers", "cost")])).alias("x")).select("region", "x.*")
+    return views.insight_top3(kpis, "region")
+
+
+def grid(c: Canon) -> DataFrame:
+    return c.spark.createDataFrame([(m, p, s) for m in (0.0, 25.0, 50.0) for p in (-10.0, 0.0, 20.0) for s in ("low", "medium", "high")], "marketing_pct double, price_pct double, seasonal string")
+
+
+def clv_counts(c: Canon) -> DataFrame:
+    from orderlens.operators import models
+
+    return models.rft_counts(models.rft(c.sold, AS_OF))
+
+
+def _models(name: str) -> Callable[[Canon], DataFrame]:
+    def run(c: Canon) -> DataFrame:
+        from orderlens.operators import models
+
+        if name == "clv":
+            return models.clv(c.sold, AS_OF)
+        return models.isolation_forest(daily_values(c).withColumn("weekday", F.dayofweek("day").cast("double")), ["value", "weekday"], "day")
+
+    return run
+
+
+QUERIES: dict[str, Callable[[Canon], DataFrame]] = {
+    "a01_rfm": lambda c: an.rfm(c.sold, AS_OF),
+    "a01_rfm_segments": lambda c: an.rfm_segments(an.rfm(c.sold, AS_OF)),
+    "a02_cohort": lambda c: an.cohort(c.sold),
+    "a02_cohort_matrix": lambda c: an.cohort_matrix(c.sold),
+    "a03_revenue_month": lambda c: an.revenue(c.sold, "month"),
+    "a03_revenue_week": lambda c: an.revenue(c.sold, "week"),
+    "a04_basket_pairs": lambda c: an.basket_pairs(c.items, 2),
+    "a04_itemsets": lambda c: an.basket_itemsets(c.items, 0.002),
+    "a05_forecast": lambda c: forecast(c),
+    "a06_anomaly_z": lambda c: an.anomaly_z(daily_values(c)),
+    "a06_anomaly_iqr": lambda c: an.anomaly_iqr(daily_values(c)),
+    "a06_isolation_forest": _models("forest"),
+    "a07_clv_counts": clv_counts,
+    "a07_clv": _models("clv"),
+    "a08_sentiment": scored,
+    "a09_segmentation": lambda c: an.segmentation(profile(c)),
+    "a10_abc_tier": lambda c: an.abc_tier(c.sold_items, AS_OF),
+    "a11_margin_category": lambda c: an.margin(c.sold_items, ["category"]),
+    "a11_margin_product": lambda c: an.margin(c.sold_items, ["product_id"]),
+    "a11_margin_region": lambda c: an.margin(c.sold_items, ["region"]),
+    "a12_churn_features": lambda c: an.churn_features(c.sold, AS_OF),
+    "a12_churn_risk": lambda c: an.churn_risk(an.churn_features(c.sold, AS_OF)),
+    "a13_geo": lambda c: an.geo(c.sold),
+    "a13_geo_features": lambda c: an.geo_features(c.sold),
+    "a14_seasonality": lambda c: an.seasonality(c.sold),
+    "a15_funnel": lambda c: an.funnel(c.events, STEPS),
+    "a16_payment_channel": lambda c: an.payment_channel(c.orders, c.sold),
+    "a17_attribution": lambda c: an.attribution(c.sold, "payment_method"),
+    "a18_returns_product": lambda c: an.returns(c.items),
+    "a18_returns_category": lambda c: an.returns(c.items, "category"),
+    "a19_fulfillment": lambda c: an.fulfillment(c.orders),
+    "a20_supplier": lambda c: an.supplier(c.sold_items, c.t["supplier"]),
+    "a21_correlation": lambda c: an.correlation(c.items, ["quantity", "line_total", "line_discount", "line_cost"]),
+    "a22_demographic": lambda c: an.demographic(c.sold, c.customers),
+    "fc1_forecast_by_region": lambda c: forecast(c, ["region"]),
+    "fc2_bands": lambda c: forecast(c).groupBy("is_historical").agg(F.count(F.lit(1)).alias("days"), F.count_if((F.col("yhat_lower") <= F.col("yhat")) & (F.col("yhat") <= F.col("yhat_upper"))).alias("ordered")),
+    "fc3_with_history": lambda c: forecast(c).where("actual is not null or not is_historical").groupBy(F.trunc("ds", "MM").alias("month"), "is_historical").agg(F.round(F.sum(F.coalesce("actual", "yhat")), 4).alias("value")),
+    "fc4_scenario": lambda c: an.scenario(forecast(c), grid(c)),
+    "fc5_projected_mrr": lambda c: an.projected_mrr(forecast(c)),
+    "fc6_latest_run": lambda c: an.latest_run(forecast(c).select("ds", "yhat").withColumn("series", F.lit("all")).withColumn("run_date", F.explode(F.array(F.lit("2001-08-01"), F.lit("2001-08-02")))), ["series"]),
+    "kp1_daily_kpi": lambda c: kpi.daily_kpi(c.sold),
+    "kp2_active_and_churn": lambda c: kpi.active_and_churn(c.orders),
+    "kp3_revenue_by_region": lambda c: kpi.revenue_by_region(c.sold, REGIONS),
+    "kp4_period_delta": lambda c: kpi.period_delta(kpi.daily_kpi(c.sold)),
+    "kp5_sales_trend": lambda c: kpi.sales_trend(kpi.daily_kpi(c.sold)),
+    "kp6_freeze_snapshot": lambda c: kpi.freeze_snapshot(kpi.daily_kpi(c.sold), "2001-07-31", kpi.freeze_snapshot(kpi.daily_kpi(c.sold), "2001-07-31", kpi.daily_kpi(c.sold).where("day < date '2001-07-31'"))),
+    "kp7_mrr_growth": lambda c: an.revenue(c.sold, "month").select("period", "revenue", "growth"),
+    "kp8_win_rate": lambda c: kpi.win_rate(c.orders),
+    "kp9_quarterly_margin": lambda c: kpi.quarterly_margin(c.sold),
+    "kp10_daily_active_users": lambda c: kpi.daily_active_users(c.events),
+    "kp11_net_sentiment": lambda c: kpi.net_sentiment(scored(c)),
+    "kp12_top_regions": lambda c: kpi.top_regions(c.sold),
+    "kp13_sales_heatmap": lambda c: kpi.sales_heatmap(c.sold),
+    "cv1_customer_search": lambda c: views.search(c.customers, "#00000012", ["full_name", "email", "customer_id"]).select("customer_id", "full_name", "email"),
+    "cv2_customer_list": lambda c: views.customer_list(profile(c).join(c.customers, "customer_id"), "highest_ltv", F.col("region") == "EUROPE").select("customer_id", an.dbl("lifetime_value").alias("lifetime_value"), "country"),
+    "cv3_page": lambda c: views.page(profile(c), "total_orders", "customer_id", 20, True, (9, 100)).select("customer_id", "total_orders"),
+    "cv4_customer_cards": lambda c: views.customer_cards(profile(c), c.sold, AS_OF),
+    "cv5_segment_summary": lambda c: views.segment_summary(profile(c).join(c.customers, "customer_id")),
+    "cv6_engagement": lambda c: views.engagement_score(profile(c)),
+    "cv7_arr": lambda c: profile(c).select("customer_id", an.dbl(F.coalesce("arr", F.lit(0))).alias("arr")),
+    "pv1_product_search": lambda c: views.search(c.products.where("category is not null"), "steel", ["name", "category", "sku"]).select("product_id", "name", "category"),
+    "pv2_inventory_cards": lambda c: views.inventory_cards(c.products),
+    "pv3_tier_summary": lambda c: views.tier_summary(an.abc_tier(c.sold_items, AS_OF)),
+    "rc1_latest_result": lambda c: views.latest_result(an.revenue(c.sold).select(F.concat(F.lit("revenue_"), F.year("period").cast("string")).alias("analysis_type"), F.col("period").alias("computed_at"), F.col("period").cast("string").alias("upload_job_id"), (F.month("period") == 12).alias("is_stale"), "revenue")),
+    "rc2_insights": insights,
+    "io2_table_counts": lambda c: c.t["orders"].groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("rows")),
+    "io4_result_json": lambda c: tables.result_json(an.payment_channel(c.orders, c.sold).select("payment_method", "orders"), "payment_channel", "job1", ["payment_method"]),
+    "in1_map_exact": lambda c: ingest.map_exact(headers(c), dictionary(c)),
+    "in2_map_fuzzy": lambda c: ingest.map_fuzzy(headers(c), dictionary(c)),
+    "in3_map_semantic": lambda c: ingest.map_semantic(headers(c), synonyms(c)),
+    "in4_map_historical": lambda c: ingest.map_historical(headers(c), past_mappings(c)),
+    "in5_resolve": lambda c: ingest.resolve_mappings(headers(c), ingest.map_historical(headers(c), past_mappings(c)), ingest.map_exact(headers(c), dictionary(c)), ingest.map_fuzzy(headers(c), dictionary(c)), ingest.map_semantic(headers(c), synonyms(c))),
+    "in6_apply_mapping": lambda c: ingest.apply_mapping(dirty(c).withColumnRenamed("total_amount", "Sale Amt"), {"external_id": "order_ref", "Sale Amt": "total_amount"}),
+    "in7_clean_missing": lambda c: ingest.clean_missing(dirty(c), {"currency": "USD"}).select("external_id", "total_amount", "currency"),
+    "in8_dates": lambda c: ingest.standardise_dates(dirty(c), ["order_date"], ["yyyy-MM-dd", "yyyy/MM/dd", "dd/MM/yyyy"]).select("external_id", "order_date"),
+    "in9_numbers": lambda c: ingest.coerce_numeric(dirty(c), ["total_amount"], "decimal(14,2)").select("external_id", F.col("total_amount").cast("double").alias("total_amount")),
+    "in10_drop_duplicates": lambda c: ingest.drop_duplicates(c.items, ["order_id", "product_id"], ["line_total", "quantity", "supplier_id", "ship_date"]).select("order_id", "product_id", an.dbl("line_total", 2).alias("line_total"), "quantity"),
+    "in11_validate": lambda c: marked(c).select("external_id", F.concat_ws(",", "reasons").alias("reasons")),
+    "in12_constraints": lambda c: ingest.check_constraints(c.orders, {n: r() for n, r in ingest.ORDER_RULES.items()}),
+    "in13_references": lambda c: ingest.check_references(c.t["orders"].select(F.col("o_orderkey").alias("order_id")), c.items, "order_id", "order_id"),
+    "in14_unique": lambda c: ingest.check_unique(c.t["lineitem"], ["l_orderkey", "l_linenumber"]),
+    "in15_upsert": upserted,
+    "in16_insert_orders": inserted,
+    "in17_refresh_customers": lambda c: ingest.refresh_customers(c.customers.select("customer_id"), c.sold).select("customer_id", "total_orders", an.dbl("lifetime_value").alias("lifetime_value"), "first_purchase_date", "last_active_at"),
+    "in18_refresh_products": lambda c: ingest.refresh_products(c.products.select("product_id", "stock_qty"), c.items).select("product_id", an.dbl("total_revenue").alias("total_revenue"), "total_units_sold", "stock_qty", "oversold"),
+    "in19_rollback": rolled_back,
+    "in20_active_only": lambda c: ingest.active_only(c.customers.withColumn("deleted_at", F.when(F.col("gender") == "Male", F.lit("2001-01-01").cast("date")))).groupBy("region").agg(F.count(F.lit(1)).alias("customers")),
+    "in21_snapshot_region": lambda c: ingest.snapshot_region(c.orders.withColumn("region", F.when(F.col("status") == "completed", F.lit("FIXED"))), c.customers).groupBy("region").agg(F.count(F.lit(1)).alias("orders")),
+    "in22_currency": lambda c: dirty(c).groupBy(ingest.normalise_currency(F.col("currency")).alias("currency")).agg(F.count(F.lit(1)).alias("orders")),
+    "in23_upload_report": lambda c: ingest.upload_report(marked(c)),
+    "sc_derived_orders": lambda c: c.orders.select("order_id", an.dbl(derive.net_amount(F.col("total"), F.col("discount"))).alias("net_amount"), an.dbl(derive.gross_margin(F.col("net"), F.when(F.col("return_flag"), F.lit(None)).otherwise(F.col("cost")))).alias("gross_margin"), derive.cohort_month(F.col("order_date")).alias("cohort_month"), derive.at_risk(F.col("order_date"), AS_OF).alias("at_risk")),
+    "sc_derived_products": lambda c: c.products.select("product_id", F.round(derive.gross_margin_pct(F.col("unit_price"), F.col("cost_price")), 4).alias("gross_margin_pct"), derive.is_low_stock(F.col("stock_qty"), F.col("low_stock_threshold")).alias("is_low_stock"), derive.stock_band(F.col("stock_qty"), F.col("low_stock_threshold")).alias("stock_band"), an.dbl(derive.line_total(F.col("stock_qty"), F.col("unit_price")), 2).alias("stock_value")),
+    "scale_global_rank": lambda c: scale.running(c.orders.select("order_id", "net"), "net", "order_id", "net", descending=True).select("order_id", "rank_", an.dbl("before_").alias("before_")),
+}
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    def bound(build: Callable[[Canon], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+        return lambda spark, sf_dir: build(_canon(spark, sf_dir))
+
+    return {name: bound(build) for name, build in QUERIES.items()} | {"st1_stream_kpi": stream_kpi, "st2_stream_dedup": stream_dedup}
+
+
+def _finite(stream: DataFrame, mode: str, name: str) -> DataFrame:
+    """What a stream over the files that are there comes to."""
+    spark = stream.sparkSession
+    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.table(name)
+
+
+def stream_kpi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from orderlens.streaming import stream
+
+    return _finite(stream.stream_kpi(stream.stream_events(spark, sf_dir)), "complete", "st1_kpi").select(F.col("window_start").cast("date").alias("day"), "events", F.round("value", 4).alias("value"))
+
+
+def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from orderlens.streaming import stream
+
+    events = stream.stream_events(spark, sf_dir)
+    twice = events.unionByName(stream.stream_events(spark, sf_dir))
+    return _finite(stream.stream_dedup(twice, ["event_id"]).select("event_id", "user_id"), "append", "st2_dedup")
