@@ -45,3 +45,17 @@ def test_given_table(spark):
             a, b = shingles(t), shingles(other)
             off.append(abs(len(a & b) / len(a | b) - got))
     assert max(off) < 0.2 and sum(off) / len(off) < 0.03
+
+
+def test_links_against_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    more = [(10_000 + r.doc_id, r.text + " and one more word here", ) for r in docs.limit(60).collect()]
+    docs = docs.select("doc_id", "text").unionByName(spark.createDataFrame(more, "doc_id long, text string"))
+    texts = {}
+    for r in sorted(docs.collect()):
+        texts.setdefault(r.text, r.doc_id)
+    sets = [(i, shingles(t)) for t, i in texts.items()]
+    want = {(i, j) for i, a in sets for j, b in sets if i < j and len(a & b) >= 0.8 * len(a | b)}
+    got = {(r.u, r.v) for r in minhash.near_links(docs).collect()}
+    assert len(want) > 30 and got <= want and len(got) >= 0.97 * len(want)
+    assert minhash.near_links(edge.empty(spark)).count() == 0 and minhash.near_links(edge.frame(spark)).count() >= 0
