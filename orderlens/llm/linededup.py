@@ -38,8 +38,9 @@ def line_table(docs: DataFrame) -> DataFrame:
 
 
 def classes(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """rows with c, the first member of the rows that agree in keys; rows that are alone leave."""
-    first = rows.groupBy(*keys).agg(F.min(F.struct("id", "seq", "row")).alias("c"), F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
+    """rows with c, the first member of the rows that agree in keys; rows that are alone leave. The first members are written out,
+    so that the join has plain shuffles on both sides, of which Spark can split a hot key's."""
+    first = cut(rows.groupBy(*keys).agg(F.min(F.struct("id", "seq", "row")).alias("c"), F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n"))
     return rows.join(first, keys)
 
 
