@@ -20,14 +20,18 @@ import pandas as pd
 import regex
 from pyspark.sql import DataFrame, functions as F
 
+from .common import text_batches
+
 #: Fixed value: the pattern that splits text before merges, as the vocabulary's publisher gives it.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 #: Pre-tokens whose ids a task keeps; beyond it the memory starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 250_000
 
 #: Characters of text laid out at once.
-BATCH_CHARS = 4_000_000
+BATCH_CHARS = 1_000_000
+#: Rows encoded and returned at once.
+ROWS = 512
 
 #: Texts of these characters alone (ASCII but for the separators 1C to 1F, Latin letters) are split by the faster of two engines.
 _plain = re.compile("[^\x00-\x1b\x20-\x7eÀ-ÖØ-öø-ɏ]")
@@ -179,18 +183,21 @@ def encode(docs: DataFrame, path: str | None = None, with_ids: bool = True) -> D
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         c = codec(path or public_path())
-        for batch in batches:
-            ids = c.encode([t or "" for t in batch.text])
-            out = {
-                "doc_id": batch.doc_id.astype("Int64"),
-                "n_tokens": [len(x) // 4 for x in ids],
-                "ids_sha256": [hashlib.sha256(x).hexdigest() for x in ids],
-                "decoded_sha256": [hashlib.sha256(c.decode(x).encode()).hexdigest() for x in ids],
-            }
-            if with_ids:
-                out["ids"] = [np.frombuffer(x, "<i4") for x in ids]
-            yield pd.DataFrame(out)
-
+        for whole in batches:
+            for at in range(0, len(whole), ROWS):
+                batch = whole.iloc[at : at + ROWS]
+                ids = c.encode([t or "" for t in batch.text])
+                out = {
+                    "doc_id": batch.doc_id.astype("Int64"),
+                    "n_tokens": [len(x) // 4 for x in ids],
+                    "ids_sha256": [hashlib.sha256(x).hexdigest() for x in ids],
+                    "decoded_sha256": [hashlib.sha256(c.decode(x).encode()).hexdigest() for x in ids],
+                }
+                if with_ids:
+                    out["ids"] = [np.frombuffer(x, "<i4") for x in ids]
+                yield pd.DataFrame(out)
+
+    text_batches(docs.sparkSession)
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if with_ids else "")
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, schema)
 
