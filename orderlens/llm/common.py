@@ -26,7 +26,7 @@ def shared_dir(spark: SparkSession) -> str:
 def cut(df: DataFrame) -> DataFrame:
     """Write df as a table in the shared folder and read it back: a lost executor costs no more than the stages after it."""
     path = f"{shared_dir(df.sparkSession)}/orderlens-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

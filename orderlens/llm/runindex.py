@@ -13,7 +13,8 @@ later ones go whole). Contents that share a minimizer but differ, and those that
   position its place in the index and the length that matches from there on. Where LENGTH bytes or more match, the class tells
   the earliest position; if that is another one, the window is marked.
 
-A minimizer shared by more than CROWD different contents is not indexed in one task: its windows are dealt out by content instead.
+Texts that are equal throughout are told apart by their digests first: only those of the smallest doc_id are looked at, the others go
+whole. A minimizer shared by more than CROWD different contents is not indexed in one task: its windows are dealt out by content instead.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import cut
+from .common import cut, small
 
 LENGTH, GRAM = 100, 32
 #: Windows of a segment, at most: as many as can share one place of a minimizer.
@@ -221,8 +222,19 @@ class RunIndex:
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """(id, row, doc_id, text): id orders documents, a missing one first; row orders rows of one id."""
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("id"), F.xxhash64("text").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    """(id, row, doc_id, text): id orders documents, a missing one first; row orders rows of one id, and is 0 if ids are unique."""
+    ids = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("id"))
+    unique = ids.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty()
+    row = F.lit(0).cast("long") if unique else F.xxhash64("text")
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("id"), row.alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+
+
+def whole_copies(rows: DataFrame) -> DataFrame:
+    """(id, row, doc_id, n_bytes) of the rows whose whole text, of LENGTH bytes or more, also stands in a smaller doc_id."""
+    digest = F.unhex(F.sha2("text", 256))
+    names = cut(rows.select("id", "row", "doc_id", F.octet_length("text").cast("long").alias("n_bytes"), digest.alias("h")).where(F.col("n_bytes") >= LENGTH))
+    first = cut(names.groupBy("h").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"))
+    return cut(names.join(first, "h").where(F.col("id") > F.col("first")).select("id", "row", "doc_id", "n_bytes"))
 
 
 def _blocks(batch: pd.DataFrame) -> Iterator[tuple[pd.DataFrame, list[bytes]]]:
@@ -284,7 +296,7 @@ def occurrences(spark: SparkSession, rows: DataFrame) -> DataFrame:
                 ids, own = part.id.to_numpy(np.int64), part.row.to_numpy(np.int64)
                 yield pd.DataFrame({"id": ids[text], "row": own[text], "start": start, "n": n, "m": m, "c": c, "inner": inner, "body": pd.Series(body, dtype=object)})
 
-    return rows.select("id", "row", "text").mapInPandas(found, "id long, row long, start long, n long, m long, c long, inner boolean, body binary")
+    return rows.select("id", "row", "text").mapInPandas(found, "id long, row long, start int, n int, m long, c long, inner boolean, body binary")
 
 
 def indexed_marks(contents: DataFrame) -> DataFrame:
@@ -342,10 +354,9 @@ def window_marks(contents: DataFrame) -> DataFrame:
     return rows.join(first, "w").where(F.struct("id", "row", "a") != F.col("f")).select("id", "row", "a", (F.col("a") + 1).alias("b"))
 
 
-def copied(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
-    """(id, row, spans): for each document with copies, starts of marked windows as sorted (a, b) pairs."""
-    spark = docs.sparkSession
-    found = cut(occurrences(spark, _keyed(docs)))
+def copied(rows: DataFrame, crowd: int = CROWD) -> DataFrame:
+    """(id, row, spans) of rows (id, row, text): for each with copies, starts of marked windows as sorted (a, b) pairs."""
+    found = cut(occurrences(rows.sparkSession, rows))
     origin = F.struct("id", "row", "start")
     contents = cut(found.groupBy("m", "c").agg(F.min(origin).alias("f"), F.count(F.lit(1)).alias("copies"), F.max("inner").alias("inner"), F.max("body").alias("body")).select("m", "c", "copies", "f", "inner", "body"))
     differ = cut(contents.groupBy("m").agg(F.count(F.lit(1)).alias("k"), F.max("inner").alias("_inner")).where("k > 1 or _inner").select("m", "k"))
@@ -383,8 +394,23 @@ def dedup(docs: DataFrame, with_text: bool = True) -> DataFrame:
     texts are ordered by a hash of them, rows alike in both stand at the same place and fare alike. An empty table gives no rows; other
     columns are ignored.
     """
-    spans = copied(docs)
-    rows = _keyed(docs).join(spans, ["id", "row"], "left").select("doc_id", "text", F.col("spans.a").alias("a"), F.col("spans.b").alias("b"))
+    spark = docs.sparkSession
+    every = _keyed(docs)
+    whole = whole_copies(every)
+    rows = every.join(small(whole.select("id", "row").distinct()), ["id", "row"], "left_anti")
+    spans = cut(copied(rows))
+    # only texts that may have spans are shuffled to them
+    sent = spark.sparkContext.broadcast(bit_filter(spans.select(F.xxhash64("id", "row").alias("m"))))
+
+    @F.pandas_udf("boolean")
+    def may(keys: pd.Series) -> pd.Series:
+        return pd.Series(has_bit(sent.value, keys.to_numpy(np.int64)))
+
+    marked = rows.withColumn("_may", may(F.xxhash64("id", "row")))
+    with_spans = marked.where("_may").join(spans, ["id", "row"], "left").select("doc_id", "text", F.col("spans.a").alias("a"), F.col("spans.b").alias("b"))
+    zero = F.lit(0).cast("long")
+    plain = marked.where("not _may").select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), zero.alias("n_removed"), zero.alias("n_spans"), F.sha2("text", 256).alias("kept_sha256"), F.encode("text", "utf-8").alias("kept"))
+    gone = whole.select("doc_id", "n_bytes", F.col("n_bytes").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.lit(hashlib.sha256().hexdigest()).alias("kept_sha256"), F.encode(F.lit(""), "utf-8").alias("kept"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -398,4 +424,6 @@ def dedup(docs: DataFrame, with_text: bool = True) -> DataFrame:
             yield frame if with_text else frame.drop(columns="kept")
 
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-    return rows.mapInPandas(run, schema + (", kept binary" if with_text else ""))
+    cut_out = with_spans.mapInPandas(run, schema + (", kept binary" if with_text else ""))
+    others = plain.unionByName(gone)
+    return cut_out.unionByName(others if with_text else others.drop("kept"))
