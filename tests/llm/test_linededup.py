@@ -22,7 +22,7 @@ def brute(docs, least):
 LINES = st.lists(st.sampled_from(["a", "b c", "d e f", "", "  ", "a a a a a a"]), max_size=12).map("\n".join)
 
 
-@settings(max_examples=12, deadline=None, suppress_health_check=list(HealthCheck))
+@settings(max_examples=5, deadline=None, suppress_health_check=list(HealthCheck))
 @given(st.lists(st.lists(LINES, max_size=6), min_size=2, max_size=2))
 def test_any_lines(spark, groups):
     for least, texts in zip((5, 9), groups):

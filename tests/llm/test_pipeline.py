@@ -52,4 +52,4 @@ def test_edge_rows_pass_every_stage(spark):
         for name, stage in p.STAGES:
             out = stage(spark, docs, None)
             assert out.count() >= 0 and (name == "BPE encoding" or out.columns == docs.columns)
-            stage(spark, frame, None).count()
+            docs = out if name != "BPE encoding" else docs
