@@ -61,6 +61,11 @@ def signature(shingles: np.ndarray, chunk: int = 2048) -> np.ndarray:
     return (least >> np.uint64(32)).astype(np.uint32)
 
 
+def bands(sig: np.ndarray, rows: int = 5) -> list[int]:
+    """One signed number for each run of `rows` minima."""
+    return [xxhash.xxh64_intdigest(sig[at : at + rows].tobytes(), i) - (1 << 63) for i, at in enumerate(range(0, PERMUTATIONS - rows + 1, rows))]
+
+
 def written(sig: np.ndarray) -> str:
     return (sig & np.uint32(0xFFFF)).astype(">u2").tobytes().hex()
 

@@ -15,14 +15,17 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
+from . import minhash
 from .common import components, cut, small
 
 #: Fingerprints of one anchor that are compared in one block; larger anchors are split.
 BLOCK = 2048
 
 NEAR = 3
+#: Jaccard likeness of 5-word shingle sets from which two texts are copies in the pipeline.
+LIKE = 0.8
 
 
 def fingerprint(text: str | None, width: int = 3, chunk: int = 1 << 15) -> int:
@@ -222,3 +225,84 @@ def keep_first(docs: DataFrame, near: int = NEAR) -> DataFrame:
     if again:
         kept = kept.dropDuplicates(["doc_id", "_fp", "_text"])
     return kept.select(*docs.columns)
+
+
+def marks(docs: DataFrame) -> DataFrame:
+    """(id, fp, bands) for each row of docs (id, text): the fingerprint over shingles of minhash.WIDTH words, and MinHash bands."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        h = minhash.Hasher()
+        for batch in batches:
+            fps = np.array([fingerprint(t, minhash.WIDTH) for t in batch.text], np.uint64).view(np.int64)
+            yield pd.DataFrame({"id": batch.id, "fp": fps, "bands": [minhash.bands(minhash.signature(h.shingles(t))) for t in batch.text]})
+
+    return docs.mapInPandas(run, "id long, fp long, bands array<long>")
+
+
+def gram_sets(docs: DataFrame) -> DataFrame:
+    """(id, grams) for each row of docs (id, text): its different shingles of minhash.WIDTH words."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        h = minhash.Hasher()
+        for batch in batches:
+            yield pd.DataFrame({"id": batch.id, "grams": [np.unique(h.shingles(t)).view(np.int64) for t in batch.text]})
+
+    return docs.mapInPandas(run, "id long, grams array<long>")
+
+
+def ordered(pairs: DataFrame) -> DataFrame:
+    """Pairs (u, v), each once with u < v."""
+    return pairs.where("u != v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+
+
+def verified(pairs: DataFrame, grams: DataFrame, least: float) -> DataFrame:
+    """Those of pairs (u, v) whose sets have a Jaccard likeness of `least` or more."""
+    a, b = grams.select(F.col("id").alias("u"), F.col("grams").alias("_a")), grams.select(F.col("id").alias("v"), F.col("grams").alias("_b"))
+    both, m, n = F.size(F.array_intersect("_a", "_b")), F.size("_a"), F.size("_b")
+    sized = pairs.join(b, "v").join(a, "u").where(F.least(m, n) >= F.floor(least * F.greatest(m, n)))
+    return sized.where(both / (m + n - both) >= least).select("u", "v")
+
+
+def copy_links(texts: DataFrame, least: float = LIKE) -> DataFrame:
+    """Links (u, v) that connect what pairs of texts (id, text; equal texts have equal ids) with a Jaccard likeness of `least` or
+    more connect. Every link is verified from the sets of 5-word shingles.
+
+    Candidates are links of fingerprints (see links) and pairs that share a MinHash band. First each text meets the smallest id of
+    its bands; then, in bands whose texts are not yet one group, texts outside the band's largest group meet all that are not in
+    theirs. So no pair of a band is left out, and a band of one group, however large, costs one pair a text.
+    """
+    found = cut(marks(texts).dropDuplicates(["id"]))
+    band = Window.partitionBy("band")
+    shared = found.select("id", F.explode("bands").alias("band")).withColumn("head", F.min("id").over(band)).withColumn("_last", F.max("id").over(band))
+    shared = cut(shared.where(F.col("head") < F.col("_last")).select("id", "band", "head"))
+    heads = cut(found.groupBy("fp").agg(F.min("id").alias("head")))
+    near = links(heads.select("fp")).join(heads.select(F.col("fp").alias("u"), F.col("head").alias("_u")), "u").join(heads.select(F.col("fp").alias("v"), F.col("head").alias("_v")), "v")
+    same = found.join(heads, "fp").select(F.col("head").alias("u"), F.col("id").alias("v"))
+    star = shared.select(F.col("head").alias("u"), F.col("id").alias("v")).unionByName(same).unionByName(near.select(F.col("_u").alias("u"), F.col("_v").alias("v")))
+    star = cut(ordered(star))
+    asked = star.select(F.col("u").alias("id")).unionByName(star.select(F.col("v").alias("id"))).distinct()
+    grams = cut(gram_sets(texts.join(asked, "id", "left_semi").dropDuplicates(["id"])))
+    first = cut(verified(star, grams, least))
+
+    placed = shared.join(components(first).withColumnRenamed("node", "id"), "id", "left").select("band", "id", F.coalesce("root", "id").alias("root"))
+    placed = cut(placed)
+    split = placed.groupBy("band").agg(F.mode("root").alias("main"), F.min("root").alias("_a"), F.max("root").alias("_b")).where("_a != _b")
+    rows = cut(placed.join(split.select("band", "main"), "band"))
+    rest = rows.where("root != main").select("band", F.col("id").alias("u"), F.col("root").alias("_u"))
+    pairs = rest.join(rows.select("band", F.col("id").alias("v"), F.col("root").alias("_v")), "band").where("_u != _v")
+    return first.unionByName(verified(ordered(pairs.select("u", "v")).join(star, ["u", "v"], "left_anti"), grams, least))
+
+
+def keep_first_copy(docs: DataFrame, least: float = LIKE) -> DataFrame:
+    """One row of docs, all columns, of each group that copy_links() connects: that of the smallest doc_id, a null one last. If
+    several rows have it, the one with the smallest text digest stays; rows alike in both are told apart by nothing, and one of
+    them stays. A null text counts as empty; texts without words are copies of each other."""
+    marked = docs.withColumn("_id", F.xxhash64(F.coalesce("text", F.lit(""))))
+    roots = components(copy_links(marked.select(F.col("_id").alias("id"), F.coalesce("text", F.lit("")).alias("text")), least))
+    found = cut(marked.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("_id").alias("id")))
+    named = found.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    first = cut(named.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "id")).alias("m")).select(F.col("m.doc_id").alias("_a"), F.col("m.id").alias("_b")))
+    kept = marked.join(first, marked["doc_id"].cast("long").eqNullSafe(first["_a"]) & (marked["_id"] == first["_b"]), "left_semi")
+    if found.groupBy("doc_id", "id").count().where("count > 1").limit(1).count():
+        kept = kept.dropDuplicates(["doc_id", "_id"])
+    return kept.select(*docs.columns)
