@@ -17,8 +17,10 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .common import WORD, cut
 
-#: Words that a repeated run must have.
-LEAST_WORDS = 20
+#: Words that a repeated run must have: one, so every later copy of a line with words goes.
+LEAST_WORDS = 1
+#: The same in op5_line_suffixes, as its SQL has it.
+SQL_WORDS = 20
 
 
 def _own():

@@ -28,7 +28,7 @@ def op4_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_line_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = linededup.dedup(documents(spark, sf_dir).select("doc_id", "text"))
+    out = linededup.dedup(documents(spark, sf_dir).select("doc_id", "text"), linededup.SQL_WORDS)
     return out.select("doc_id", "n_lines", "n_removed", "n_runs", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 

@@ -40,3 +40,12 @@ def test_edge_rows(spark):
     assert [r.n_removed for r in rows if r.doc_id == 5] == [0, 0]
     assert all(r.n_chars == len(r.text) for r in rows if r.doc_id == 11)
     assert linededup.dedup(edge.empty(spark)).count() == 0
+
+
+def test_short_hot_lines_go_in_the_pipeline(spark):
+    import corpus_pipeline
+
+    docs = [(i, f"All rights reserved.\nown line {i}\nok") for i in range(6)]
+    rows = corpus_pipeline.line_dedup(spark, spark.createDataFrame(docs, "doc_id long, text string"), None).collect()
+    assert {r.doc_id: r.text for r in rows} == brute(docs, 1)[0]
+    assert sorted(r.text for r in rows)[1:] == [f"own line {i}" for i in range(1, 6)]
