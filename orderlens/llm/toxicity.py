@@ -143,8 +143,8 @@ def held_out():
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
 
 
-def term_counts(rows: DataFrame, only: set[str] | None = None) -> DataFrame:
-    """(term, n): texts of rows that have each term, words and stems alike; only: count no others."""
+def term_counts(rows: DataFrame) -> DataFrame:
+    """(term, n): texts of rows that have each term, words and stems alike."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -152,38 +152,37 @@ def term_counts(rows: DataFrame, only: set[str] | None = None) -> DataFrame:
             for text in batch.text:
                 own = set(t for t in tokens(text) if len(t) > 2)
                 own |= {t[:k] + "*" for t in own for k in STEMS if len(t) >= k}
-                n.update(own if only is None else own & only)
+                n.update(own)
             yield pd.DataFrame({"term": list(n), "n": list(n.values())})
 
     return rows.select("text").mapInPandas(run, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
 
 
 def lexicon(toxic: DataFrame, clean: DataFrame) -> list[str]:
-    """Terms that toxic texts have far oftener than clean ones, at most TERMS, without those that a stem among them covers."""
+    """Terms that toxic texts have far oftener than clean ones, the TERMS of the highest odds at most, without those that a stem among them covers."""
     n1, n0 = toxic.count(), clean.count()
     if not n1:
         return []
-    asked = term_counts(toxic).where(F.col("n") >= max(LEAST, 0.002 * n1)).orderBy(F.desc("n"), "term").limit(20 * TERMS).toPandas()
-    count1 = dict(zip(asked.term, asked.n))
-    found0 = term_counts(clean, set(count1)).toPandas()
-    count0 = dict(zip(found0.term, found0.n))
-
-    def good(term: str) -> bool:
-        a, b = count1[term], count0.get(term, 0)
-        return b <= CLEAN * n0 and np.log((a + 0.5) / (n1 + 1)) - np.log((b + 0.5) / (n0 + 1)) >= ODDS
-
-    good_terms = {t for t in count1 if good(t)}
-    kept: list[str] = []
-    for term in sorted(good_terms, key=lambda t: (not t.endswith("*"), len(t), t)):
+    asked = term_counts(toxic).where(F.col("n") >= max(LEAST, 0.002 * n1))
+    both = asked.join(term_counts(clean).withColumnRenamed("n", "n0"), "term", "left").fillna(0, ["n0"])
+    odds = F.log((F.col("n") + 0.5) / (n1 + 1)) - F.log((F.col("n0") + 0.5) / (n0 + 1))
+    passed = both.withColumn("odds", odds).where((F.col("n0") <= CLEAN * n0) & (F.col("odds") >= ODDS)).toPandas()
+    count1, gain = dict(zip(passed.term, passed.n)), dict(zip(passed.term, passed.odds))
+    most: dict[str, int] = {}  # texts of the commonest passed word that starts so
+    for term, n in count1.items():
+        if not term.endswith("*"):
+            for k in STEMS:
+                most[term[:k]] = max(n, most.get(term[:k], 0))
+    kept: set[str] = set()
+    for term in sorted(count1, key=lambda t: (not t.endswith("*"), len(t), t)):
         bare = term.rstrip("*")
         if any(bare[:k] + "*" in kept for k in STEMS if k <= len(bare)):
             continue
         if term.endswith("*"):  # a stem of one word's endings only is better had as the word
-            most = max((count1[t] for t in good_terms if not t.endswith("*") and t.startswith(bare)), default=0)
-            if most >= 0.8 * count1[term]:
+            if most.get(bare, 0) >= 0.8 * count1[term]:
                 continue
-        kept.append(term)
-    return sorted(sorted(kept, key=lambda t: (-count1[t], t))[:TERMS])
+        kept.add(term)
+    return sorted(sorted(kept, key=lambda t: (-gain[t], t))[:TERMS])
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.5, rounds: int = 30) -> np.ndarray:

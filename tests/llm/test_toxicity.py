@@ -50,3 +50,11 @@ def test_held_out_rows(spark):
     got = toxicity.detect(spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")).join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id").where("held_out").groupBy("toxic", "predicted").count().collect()
     n = {(r.toxic, r.predicted): r["count"] for r in got}
     assert n[1, 1] >= 0.85 * (n[1, 1] + n.get((1, 0), 0)) and n.get((0, 1), 0) <= 0.01 * n[0, 0]
+
+
+def test_rare_terms_reach_the_odds_test(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "TERMS", 1)  # 20 terms at most came to the odds test before
+    common = " ".join(f"c{chr(97 + i)}ommon" for i in range(20))
+    toxic = spark.createDataFrame([(f"{common} {'xyq' if i < 10 else ''}",) for i in range(40)], "text string")
+    clean = spark.createDataFrame([(common,)] * 40, "text string")
+    assert toxicity.lexicon(toxic, clean) == ["xyq"]
