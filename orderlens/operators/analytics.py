@@ -62,27 +62,40 @@ def revenue(orders: DataFrame, grain: str = "month") -> DataFrame:
 
 
 # -- A04 ------------------------------------------------------------------------------------------------------------------------
-def baskets(items: DataFrame, min_support: int, most_items: int = 200) -> tuple[DataFrame, DataFrame]:
-    """(order, product) without repeats, of orders with at most most_items products, rare products dropped; and product counts."""
+#: Products of an order that meet each other in one group; those of wider orders are dealt into blocks.
+BLOCK = 200
+
+
+def baskets(items: DataFrame, min_support: int, most_items: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(order, product) without repeats, rare products dropped; and product counts. most_items: leave wider orders out."""
     distinct = items.select("order_id", "product_id").distinct()
-    fitting = distinct.groupBy("order_id").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") <= most_items).select("order_id")
-    distinct = distinct.join(fitting, "order_id")
+    if most_items is not None:
+        fitting = distinct.groupBy("order_id").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") <= most_items).select("order_id")
+        distinct = distinct.join(fitting, "order_id")
     counts = distinct.groupBy("product_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_support)
     return distinct.join(counts.select("product_id"), "product_id"), counts
 
 
-def basket_pairs(items: DataFrame, min_support: int = 2, most_items: int = 200, min_confidence: float = 0.0) -> DataFrame:
-    """Pairs of products bought together: support (orders), confidence of b given a, lift. Baskets are at most most_items wide."""
+def basket_pairs(items: DataFrame, min_support: int = 2, most_items: int | None = None, min_confidence: float = 0.0, block: int = BLOCK) -> DataFrame:
+    """Pairs of products bought together: support (orders), confidence of b given a, lift. The products of an order with over
+    `block` of them are dealt into blocks, and every pair of blocks is a group of its own."""
     rows, counts = baskets(items, min_support, most_items)
-    left, right = rows.select("order_id", F.col("product_id").alias("a")), rows.select("order_id", F.col("product_id").alias("b"))
-    pairs = left.join(right, "order_id").where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("support")).where(F.col("support") >= min_support)
+    width = F.count(F.lit(1)).over(Window.partitionBy("order_id"))
+    parts = F.ceil(width / F.lit(block)).cast("long")
+    rows = rows.withColumn("_parts", parts).withColumn("_mine", F.pmod(F.xxhash64("product_id"), F.col("_parts")))
+    rows = rows.withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_parts") - 1)))
+    rows = rows.select("order_id", F.least("_mine", "_other").alias("_a"), F.greatest("_mine", "_other").alias("_b"), "product_id", "_mine")
+    keys = ["order_id", "_a", "_b"]
+    left, right = rows.select(*keys, F.col("product_id").alias("a"), F.col("_mine").alias("_m")), rows.select(*keys, F.col("product_id").alias("b"), F.col("_mine").alias("_n"))
+    across = (F.col("_a") == F.col("_b")) | (F.col("_m") != F.col("_n"))
+    pairs = left.join(right, keys).where((F.col("a") < F.col("b")) & across).groupBy("a", "b").agg(F.count(F.lit(1)).alias("support")).where(F.col("support") >= min_support)
     n = items.select("order_id").distinct().agg(F.count(F.lit(1)).alias("_orders"))
     out = pairs.join(counts.select(F.col("product_id").alias("a"), F.col("n").alias("_na")), "a").join(counts.select(F.col("product_id").alias("b"), F.col("n").alias("_nb")), "b").join(F.broadcast(n))
     out = out.select("a", "b", "support", ratio("support", "_na").alias("confidence"), F.round(F.col("support") * F.col("_orders") / (F.col("_na") * F.col("_nb")), 6).alias("lift"))
     return out.where(F.col("confidence") >= min_confidence)
 
 
-def basket_itemsets(items: DataFrame, min_support: float, most_items: int = 200) -> DataFrame:
+def basket_itemsets(items: DataFrame, min_support: float, most_items: int | None = None) -> DataFrame:
     """Frequent itemsets of any size by FP-growth."""
     from pyspark.ml.fpm import FPGrowth
 
