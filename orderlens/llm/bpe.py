@@ -18,9 +18,9 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import regex
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame
 
-from .common import text_batches
+from .common import carried
 
 #: Fixed value: the pattern that splits text before merges, as the vocabulary's publisher gives it.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -188,7 +188,7 @@ def encode(docs: DataFrame, path: str | None = None, with_ids: bool = True) -> D
                 batch = whole.iloc[at : at + ROWS]
                 ids = c.encode([t or "" for t in batch.text])
                 out = {
-                    "doc_id": batch.doc_id.astype("Int64"),
+                    "doc_id": batch.doc_id,
                     "n_tokens": [len(x) // 4 for x in ids],
                     "ids_sha256": [hashlib.sha256(x).hexdigest() for x in ids],
                     "decoded_sha256": [hashlib.sha256(c.decode(x).encode()).hexdigest() for x in ids],
@@ -197,9 +197,8 @@ def encode(docs: DataFrame, path: str | None = None, with_ids: bool = True) -> D
                     out["ids"] = [np.frombuffer(x, "<i4") for x in ids]
                 yield pd.DataFrame(out)
 
-    text_batches(docs.sparkSession)
-    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if with_ids else "")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, schema)
+    schema = "n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if with_ids else "")
+    return carried(docs, run, schema, "text")
 
 
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
@@ -208,6 +207,7 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         c = codec(path or public_path())
         for batch in batches:
-            yield pd.DataFrame({"doc_id": batch.doc_id.astype("Int64"), "text": [c.decode(b"" if x is None else np.asarray(x, "<i4").tobytes()) for x in batch.ids]})
+            texts = [c.decode(b"" if x is None else np.asarray(x, "<i4").tobytes()) for x in batch.ids]
+            yield pd.DataFrame({"doc_id": batch.doc_id, "text": texts})
 
-    return encoded.select(F.col("doc_id").cast("long").alias("doc_id"), "ids").mapInPandas(run, "doc_id long, text string")
+    return carried(encoded, run, "text string", "ids")

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -15,11 +15,10 @@ BROADCAST_ROWS = 100_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares, from spark.checkpoint.dir; a temporary one if that is unset (tests only)."""
+    """The folder that the cluster shares, from spark.checkpoint.dir."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
-        folder = tempfile.mkdtemp(prefix="orderlens-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     return folder.rstrip("/")
 
 
@@ -35,11 +34,11 @@ def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
-def text_batches(spark: SparkSession, rows: int = 2000) -> None:
-    """Texts reach Python workers in batches of at most so many rows, as a batch is held whole."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(name, "10000")) <= rows:
-        spark.conf.set(name, rows)
+def carried(docs: DataFrame, run: Callable, schema: str, *columns: str) -> DataFrame:
+    """doc_id and columns of docs through mapInPandas(run), which yields doc_id and the columns of schema. doc_id passes as a string:
+    pandas would round large numbers beside a null."""
+    rows = docs.select(F.col("doc_id").cast("long").cast("string").alias("doc_id"), *columns)
+    return rows.mapInPandas(run, f"doc_id string, {schema}").withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,18 +11,20 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from .common import carried
+
 #: Labelled rows that a model is fitted on, at most; which ones a hash of doc_id decides.
 FIT_ROWS = 40_000
-#: Words longer than this are cut into stretches of this length, all of which count.
-STRETCH = 48
-#: Longest piece; words whose scores a task keeps.
-LONGEST, REMEMBERED = 12, 400_000
+#: Words of more letters are summed in logarithms: their probabilities are too small for floating point.
+SHORT = 40
+#: Words whose scores a task keeps, letters of them in all; letters of words looked at in one block.
+REMEMBERED, REMEMBERED_LETTERS, BLOCK_LETTERS = 400_000, 8_000_000, 60_000
 SMOOTHING = 0.5
 #: Texts whose best language has a posterior under this are rejected by keep().
 SURE = 0.6
@@ -30,15 +32,23 @@ SURE = 0.6
 _word = re.compile(r"[^\W\d_]+")
 
 
+class Pieces(dict):
+    """Numbers of pieces."""
+
+    @cached_property
+    def longest(self) -> int:
+        return max(map(len, self), default=1)
+
+
 @lru_cache(2)
-def vocabulary(path: str) -> dict[str, int]:
+def vocabulary(path: str) -> Pieces:
     """Pieces made of letters alone (a leading mark for the word's start apart), numbered from 1; 0 is any other letter."""
     import sentencepiece
 
     sp = sentencepiece.SentencePieceProcessor(model_file=path)
     pieces = (sp.id_to_piece(i) for i in range(sp.get_piece_size()))
     kept = dict.fromkeys(p.lower() for p in pieces if p.replace("▁", "", 1).isalpha() or p == "▁")
-    return {p: i + 1 for i, p in enumerate(p for p in kept if len(p) <= LONGEST)}
+    return Pieces((p, i + 1) for i, p in enumerate(kept))
 
 
 def public_path() -> str:
@@ -48,22 +58,19 @@ def public_path() -> str:
 
 
 def words(text: str) -> list[str]:
-    """The runs of letters of a text, lower-cased, with the mark of a word's start; long ones in stretches."""
+    """The runs of letters of a text, lower-cased, with the mark of a word's start."""
     out = []
     for w in _word.findall(text.lower()):
         if not w.isalpha():
             w = "".join(c for c in w if c.isalpha())
-        if len(w) <= STRETCH:
-            if w:
-                out.append("▁" + w)
-        else:
-            out += ["▁" + w[i : i + STRETCH] for i in range(0, len(w), STRETCH)]
+        if w:
+            out.append("▁" + w)
     return out
 
 
-def lattice(group: list[str], pieces: dict[str, int]) -> np.ndarray:
+def lattice(group: list[str], pieces: Pieces) -> np.ndarray:
     """For words of one length n: piece ids [word, start, length - 1]; -1 where there is no piece. A letter without a piece is 0."""
-    n, most = len(group[0]), min(LONGEST, len(group[0]))
+    n, most = len(group[0]), min(pieces.longest, len(group[0]))
     ids = np.full((len(group), n, most), -1, np.int32)
     get = pieces.get
     for k in range(1, most + 1):
@@ -95,28 +102,67 @@ def backward(ids: np.ndarray, p: np.ndarray) -> np.ndarray:
     return b
 
 
-def by_length(found, most: int = 4000) -> Iterator[list[str]]:
-    """Groups of words of one length."""
+def log_forward(ids: np.ndarray, logs: np.ndarray) -> np.ndarray:
+    """The logarithms of forward(), from those of p, for words of any length."""
+    m, n, most = ids.shape
+    a = np.full((n + 1, m, logs.shape[1]), -np.inf)
+    a[0] = 0
+    for i in range(n):
+        for k in range(1, min(most, n - i) + 1):
+            a[i + k] = np.logaddexp(a[i + k], a[i] + logs[ids[:, i, k - 1]])
+    return a
+
+
+def log_backward(ids: np.ndarray, logs: np.ndarray) -> np.ndarray:
+    m, n, most = ids.shape
+    b = np.full((n + 1, m, logs.shape[1]), -np.inf)
+    b[n] = 0
+    for i in range(n - 1, -1, -1):
+        for k in range(1, min(most, n - i) + 1):
+            b[i] = np.logaddexp(b[i], b[i + k] + logs[ids[:, i, k - 1]])
+    return b
+
+
+def by_length(found) -> Iterator[list[str]]:
+    """Groups of words of one length, of about BLOCK_LETTERS letters."""
     kinds: dict[int, list[str]] = {}
     for w in found:
         kinds.setdefault(len(w), []).append(w)
-    for group in kinds.values():
+    for n, group in kinds.items():
+        most = max(1, BLOCK_LETTERS // n)
         for i in range(0, len(group), most):
             yield group[i : i + most]
 
 
-def expected(counts: Counter, pieces: dict[str, int], p: np.ndarray) -> np.ndarray:
+def word_logs(group: list[str], pieces: Pieces, p: np.ndarray, logs: np.ndarray) -> np.ndarray:
+    """The logarithm of the sum over all segmentations: [word, language] for words of one length; logs: of p."""
+    ids = lattice(group, pieces)
+    if ids.shape[1] > SHORT:
+        return log_forward(ids, logs)[-1]
+    return np.log(forward(ids, p)[-1])
+
+
+def expected(counts: Counter, pieces: Pieces, p: np.ndarray) -> np.ndarray:
     """Expected counts of pieces over all segmentations of counted words, under p ([piece, 1], last row 0)."""
     out = np.zeros(len(p) - 1)
+    with np.errstate(divide="ignore"):
+        logs = np.log(p)
     for group in by_length(counts):
         ids = lattice(group, pieces)
-        a, b = forward(ids, p)[:, :, 0], backward(ids, p)[:, :, 0]
-        share = np.array([counts[w] for w in group]) / a[-1]
-        for i in range(ids.shape[1]):
-            for k in range(1, min(ids.shape[2], ids.shape[1] - i) + 1):
+        times = np.array([counts[w] for w in group], float)
+        n, most = ids.shape[1:]
+        if n > SHORT:
+            a, b = log_forward(ids, logs)[:, :, 0], log_backward(ids, logs)[:, :, 0]
+            share = lambda i, k, at: times * np.exp(a[i] + logs[at, 0] + b[i + k] - a[-1])
+        else:
+            a, b = forward(ids, p)[:, :, 0], backward(ids, p)[:, :, 0]
+            each = times / a[-1]
+            share = lambda i, k, at: each * a[i] * p[at, 0] * b[i + k]
+        for i in range(n):
+            for k in range(1, min(most, n - i) + 1):
                 at = ids[:, i, k - 1]
                 ok = at >= 0
-                out += np.bincount(at[ok], (share * a[i] * p[at, 0] * b[i + k])[ok], len(out))
+                out += np.bincount(at[ok], share(i, k, at)[ok], len(out))
     return out
 
 
@@ -125,21 +171,27 @@ class Model:
 
     def __init__(self, langs: list[str], p: np.ndarray, path: str):
         self.langs, self.p, self.path = langs, p, path
+        with np.errstate(divide="ignore"):
+            self.log_p = np.log(p)
+        self.forget()
+
+    def forget(self) -> None:
         self.known: dict[str, int] = {}
-        self.logs = np.zeros((0, len(langs)))
+        self.letters, self.logs = 0, np.zeros((0, len(self.langs)))
 
     def score(self, texts: list[str]) -> tuple[list[str], list[float]]:
         """Language and posterior of each text; `und` and 0 for one without letters, or if no language was learned."""
         pieces = vocabulary(self.path)
-        if len(self.known) > REMEMBERED:
-            self.known, self.logs = {}, np.zeros((0, len(self.langs)))
+        if len(self.known) > REMEMBERED or self.letters > REMEMBERED_LETTERS:
+            self.forget()
         found = [words(t) for t in texts]
         new = list(set().union(*found).difference(self.known)) if self.langs else []
         more = [self.logs]
         for group in by_length(new):
             at = len(self.known)
             self.known.update((w, at + i) for i, w in enumerate(group))
-            more.append(np.log(np.maximum(forward(lattice(group, pieces), self.p)[-1], 1e-300)))
+            self.letters += len(group) * len(group[0])
+            more.append(word_logs(group, pieces, self.p, self.log_p))
         if new:
             self.logs = np.concatenate(more)
         get = self.known.__getitem__
@@ -192,7 +244,8 @@ def fit(docs: DataFrame, rows: int = FIT_ROWS, path: str | None = None) -> Model
             at = np.flatnonzero(c)
             yield pd.DataFrame({"lang": lang, "piece": at.astype(np.int32), "n": c[at]})
 
-    counts = usable.select("lang", "text").mapInPandas(run, "lang string, piece int, n double").groupBy("lang", "piece").agg(F.sum("n").alias("n")).toPandas()
+    counts = usable.select("lang", "text").mapInPandas(run, "lang string, piece int, n double")
+    counts = counts.groupBy("lang", "piece").agg(F.sum("n").alias("n")).toPandas()
     langs = sorted(counts.lang.unique())
     p = np.full((size + 1, len(langs)), SMOOTHING)
     for i, lang in enumerate(langs):
@@ -206,7 +259,7 @@ def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """One row per row of docs: doc_id, held_out, lang_pred, score (the posterior of lang_pred among the learned languages).
 
     The model is fitted on docs unless one is given. A text that is null or has no letter is `und` with score 0; so are all if no
-    labelled row was learned from. Repeated rows give repeated rows, an empty table none. A prediction looks at the text alone,
+    labelled row was learned from. Words of any length count whole. Repeated rows give repeated rows, an empty table none. A prediction looks at the text alone,
     the whole of it; other columns are ignored.
     """
     model = model or fit(docs)
@@ -218,9 +271,10 @@ def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
             for at in range(0, len(batch), 256):
                 part = batch.iloc[at : at + 256]
                 langs, scores = m.score([t or "" for t in part.text])
-                yield pd.DataFrame({"doc_id": part.doc_id.astype("Int64"), "held_out": part.held_out, "lang_pred": langs, "score": scores})
+                yield pd.DataFrame({"doc_id": part.doc_id, "held_out": part.held_out, "lang_pred": langs, "score": scores})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), "text").mapInPandas(run, "doc_id long, held_out boolean, lang_pred string, score double")
+    rows = docs.select("doc_id", held_out().alias("held_out"), "text")
+    return carried(rows, run, "held_out boolean, lang_pred string, score double", "held_out", "text")
 
 
 def keep_documents(docs: DataFrame, model: Model | None = None, sure: float = SURE) -> DataFrame:

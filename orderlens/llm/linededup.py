@@ -1,14 +1,14 @@
 """Operator 5: line dedup by a suffix array over line-ID sequences, with distributed prefix doubling, in DataFrame functions only.
 
-A document is the sequence of its lines that have words. Level k of the doubling gives each start of 2^k lines the class of all
-starts with the same 2^k lines, named by its first member; level k + 1 joins the classes at a start and 2^k lines later. Starts
-that are alone in their class leave, as nothing longer from them can repeat. A class at a level is an interval of the suffix array
-whose longest common prefix is at least 2^k lines.
+A document is the sequence of its lines that have words. Level k of the doubling sorts the suffixes by their first 2^k lines: every
+class of equal ones is an interval of the suffix array whose longest common prefix is 2^k lines or more, and its rank is the place
+where the interval starts. Level k + 1 ranks the pairs of ranks at a start and 2^k lines later, inside the interval of the first.
+Starts that are alone in their class leave, as nothing longer from them can repeat, so places count repeating suffixes only.
 
 A run of lines is a copy if the same lines also start earlier (smaller doc_id, or same document, earlier line) and have `least`
 words or more. Every line of a copy lies in a shortest run of `least` words that starts at it or ends at the copy's end, so it is
-enough to look at the shortest runs from each line on and up to each line. Such a run has at most `least` lines; two classes of
-the level below its length, at its start and at its end, name its content exactly.
+enough to look at the shortest runs from each line on and up to each line. Such a run has at most `least` lines; the intervals of
+the level below its length, at its start and at its end, name its content exactly. Maximal runs are unions of these.
 """
 
 from __future__ import annotations
@@ -34,22 +34,41 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 def line_table(docs: DataFrame) -> DataFrame:
     """(id, row, seq, pos, words, line): the lines with words; line is the md5 of the line, pos its place among all lines."""
-    lines = F.transform(F.split("text", "\n", -1), lambda x, i: F.struct(i.alias("pos"), F.unhex(F.md5(x)).alias("line"), F.regexp_count(x, F.lit(WORD)).alias("words")))
-    some = F.filter(lines, lambda x: x["words"] > 0)
-    return _keyed(docs.select("doc_id", "text")).select("id", "row", F.posexplode(some).alias("seq", "x")).select("id", "row", "seq", "x.*")
 
+    def described(x: Column, i: Column) -> Column:
+        return F.struct(i.alias("pos"), F.unhex(F.md5(x)).alias("line"), F.regexp_count(x, F.lit(WORD)).alias("words"))
 
-def classes(rows: DataFrame, keys: list[str]) -> DataFrame:
+    some = F.filter(F.transform(F.split("text", "\n", -1), described), lambda x: x["words"] > 0)
+    rows = _keyed(docs.select("doc_id", "text")).select("id", "row", F.posexplode(some).alias("seq", "x"))
+    return rows.select("id", "row", "seq", "x.*")
+
+
+def first_members(rows: DataFrame, keys: list[str]) -> DataFrame:
     """rows with c, the first member of the rows that agree in keys; rows that are alone leave. The first members are written out,
     so that the join has plain shuffles on both sides, of which Spark can split a hot key's."""
-    first = cut(rows.groupBy(*keys).agg(F.min(F.struct("id", "seq", "row")).alias("c"), F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n"))
-    return rows.join(first, keys)
+    kinds = rows.groupBy(*keys).agg(F.min(F.struct("id", "seq", "row")).alias("c"), F.count(F.lit(1)).alias("_n"))
+    return rows.join(cut(kinds.where("_n > 1").drop("_n")), keys)
+
 
+def ranked(rows: DataFrame, keys: list[str], outer: Column, bucket: Column) -> DataFrame:
+    """rows with c, the place where the interval of the rows that agree in keys starts; rows that are alone leave.
 
-def doubled(level: DataFrame, span: int) -> DataFrame:
-    """From the classes of `span` lines to those of 2 x span lines."""
-    ahead = level.withColumn("d", F.lead("c", span).over(_own())).withColumn("_at", F.lead("seq", span).over(_own())).where(F.col("_at") == F.col("seq") + span)
-    return classes(ahead.select("id", "row", "seq", F.col("c").alias("a"), F.col("d").alias("b")), ["a", "b"]).select("id", "row", "seq", "c")
+    Intervals are sorted by outer, where those of one outer interval start, and by the last of keys. They are counted in buckets of
+    the last key first, so that no task sorts all of a hot outer interval. What a task adds up of buckets is small: 2^16 at the first
+    level, then the square root of all lines at most."""
+    kinds = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").withColumn("_o", outer).withColumn("_b", bucket)
+    kinds = cut(kinds)
+    earlier = lambda *order: F.coalesce(F.sum("_n").over(Window.partitionBy(*order[:-1]).orderBy(order[-1]).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    totals = kinds.groupBy("_o", "_b").agg(F.sum("_n").alias("_n")).select("_o", "_b", earlier("_o", "_b").alias("_before"))
+    inside = kinds.withColumn("_own", earlier("_o", "_b", keys[-1])).join(totals, ["_o", "_b"])
+    return rows.join(cut(inside.select(*keys, (F.col("_o") + F.col("_before") + F.col("_own")).alias("c"))), keys)
+
+
+def doubled(level: DataFrame, span: int, width: int) -> DataFrame:
+    """From the ranks of `span` lines to those of 2 x span lines; width: places in a bucket."""
+    ahead = level.withColumn("b", F.lead("c", span).over(_own())).withColumn("_at", F.lead("seq", span).over(_own()))
+    ahead = ahead.where(F.col("_at") == F.col("seq") + span).select("id", "row", "seq", F.col("c").alias("a"), "b")
+    return ranked(ahead, ["a", "b"], F.col("a"), F.floor(F.col("b") / width)).select("id", "row", "seq", "c")
 
 
 def shortest_runs(lines: DataFrame, least: int) -> DataFrame:
@@ -74,13 +93,17 @@ def shortest_runs(lines: DataFrame, least: int) -> DataFrame:
 
 def repeated_lines(docs: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
     """(id, row, gone, n_runs): for each document with copies, the places of their lines, and the number of maximal runs."""
-    lines = cut(classes(line_table(docs), ["line"]).select("id", "row", "seq", "pos", "words", "c").dropDuplicates(["id", "row", "seq"]))
+    every = cut(line_table(docs))
+    width = max(1, int(every.count() ** 0.5))
+    start = F.conv(F.hex(F.substring("line", 1, 2)), 16, 10).cast("int")  # md5s are even
+    lines = ranked(every, ["line"], F.lit(0).cast("long"), start).select("id", "row", "seq", "pos", "words", "c")
+    lines = cut(lines.dropDuplicates(["id", "row", "seq"]))
     level, span, levels = lines.select("id", "row", "seq", "c"), 1, []
     while span <= least:
         levels.append(level.withColumn("span", F.lit(span)))
         if 2 * span > least:
             break
-        level = cut(doubled(level, span))
+        level = cut(doubled(level, span, width))
         span *= 2
     table = levels[0]
     for x in levels[1:]:
@@ -93,8 +116,9 @@ def repeated_lines(docs: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
     runs = runs.withColumn("span", span_of.cast("int"))
     head = table.select("id", "row", "seq", "span", F.col("c").alias("a"))
     tail = table.select("id", "row", F.col("seq").alias("_end"), "span", F.col("c").alias("b"))
-    named = runs.join(head, ["id", "row", "seq", "span"]).withColumn("_end", F.col("seq") + F.col("n") - F.col("span")).join(tail, ["id", "row", "_end", "span"])
-    named = classes(named.select("id", "row", "seq", "n", "a", "b"), ["n", "a", "b"])
+    named = runs.join(head, ["id", "row", "seq", "span"]).withColumn("_end", F.col("seq") + F.col("n") - F.col("span"))
+    named = named.join(tail, ["id", "row", "_end", "span"])
+    named = first_members(named.select("id", "row", "seq", "n", "a", "b"), ["n", "a", "b"])
     copies = named.where((F.col("c.id") < F.col("id")) | ((F.col("c.id") == F.col("id")) & (F.col("c.seq") < F.col("seq"))))
     gone = copies.select("id", "row", F.explode(F.sequence("seq", F.col("seq") + F.col("n") - 1)).alias("seq")).distinct()
     gone = gone.join(lines.select("id", "row", "seq", "pos"), ["id", "row", "seq"])
@@ -108,23 +132,32 @@ def dedup(docs: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
 
     A null text stays null with no lines; an empty one has one line. Lines without words are no part of runs and stay. Rows of one
     doc_id stand at the same place, so none is earlier than the other; rows without one come before all. A document that is a
-    copy throughout keeps its row with what has no words. An empty table gives no rows; other columns stay as they are.
+    copy throughout keeps its row with what has no words. An empty table gives no rows; other columns stay as they are, whatever
+    their names.
     """
     names = [c for c in docs.columns if c not in ("n_lines", "n_removed", "n_runs")]
-    gone = repeated_lines(docs, least).withColumnRenamed("id", "_id").withColumnRenamed("row", "_row")
-    base = docs.select(*names)
-    at = (F.coalesce(base["doc_id"].cast("long"), F.lit(-(2**63))) == gone["_id"]) & (F.xxhash64(base["text"]) == gone["_row"])
-    found = base.join(gone.select("_id", "_row", F.col("gone").alias("_gone"), F.col("n_runs").alias("_n_runs")), at, "left")
-    parts = F.split("text", "\n", -1)
-    kept = F.array_join(F.filter(parts, lambda x, i: ~F.array_contains("_gone", i)), "\n")
-    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(kept)
+    own = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("id"), F.xxhash64("text").alias("row")
+    base = docs.select(F.struct(*[f"`{c}`" for c in names]).alias("d"), *own)
+    found = base.join(repeated_lines(docs, least), ["id", "row"], "left")
+    parts = F.split(F.col("d")["text"], "\n", -1)
+    left = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), "gone")
+    kept = F.array_join(F.transform(left, lambda i: F.get(parts, i)), "\n")
+    was = lambda now, before: F.when(F.col("gone").isNull(), before).otherwise(now)
+    text = was(kept, F.col("d")["text"])
+
+    def column(c: str) -> Column:
+        if c == "text":
+            return text.alias(c)
+        if c == "n_chars":
+            return was(F.char_length(kept), F.col("d")[c]).cast(docs.schema[c].dataType).alias(c)
+        return F.col("d")[c].alias(c)
+
     counts = [
-        F.when(F.col("text").isNull(), 0).otherwise(F.size(parts)).cast("long").alias("n_lines"),
-        F.when(F.col("_gone").isNull(), 0).otherwise(F.size("_gone")).cast("long").alias("n_removed"),
-        F.coalesce("_n_runs", F.lit(0)).cast("long").alias("n_runs"),
+        F.when(F.col("d")["text"].isNull(), 0).otherwise(F.size(parts)).cast("long").alias("n_lines"),
+        was(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"),
+        F.coalesce("n_runs", F.lit(0)).cast("long").alias("n_runs"),
     ]
-    out = [text.alias("text") if c == "text" else F.when(F.col("_gone").isNull(), F.col(c)).otherwise(F.char_length(kept)).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in names]
-    return found.select(*out, *counts)
+    return found.select(*map(column, names), *counts)
 
 
 ORACLE = r"""

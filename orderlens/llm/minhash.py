@@ -2,7 +2,8 @@
 
 Shingles of five words become 64-bit numbers; PERMUTATIONS universal hash functions (multiply-add-shift) run over all of them in
 numpy, and each keeps its smallest value. A fingerprint is the low 16 bits of each minimum, in hex. Two fingerprints agree in a
-place with a probability that is the Jaccard likeness of their shingle sets.
+place with a probability that is the Jaccard likeness of their shingle sets. Bands of a signature are joined in Spark, and every link
+that comes of them is verified by the exact Jaccard likeness.
 """
 
 from __future__ import annotations
@@ -13,13 +14,17 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import cut
+from .common import carried, components, cut
 
 PERMUTATIONS, WIDTH, SEED = 128, 5, 20240607
 #: Words whose hashes a task keeps; beyond it the memory starts anew.
 REMEMBERED = 300_000
+#: Bytes of texts in one range of doc_id, about; ranges that one pass finds the borders of.
+RANGE_BYTES, COARSE = 64 << 20, 1000
+#: Jaccard likeness of shingle sets from which two texts are near copies.
+LIKE = 0.8
 
 _rng = np.random.default_rng(SEED)
 _A = _rng.integers(1, 2**63, PERMUTATIONS, np.uint64)[:, None] * np.uint64(2) + np.uint64(1)
@@ -86,116 +91,184 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         h = Hasher()
         for batch in batches:
-            yield pd.DataFrame({"doc_id": batch.doc_id.astype("Int64"), "fingerprint": [written(signature(h.shingles(t or ""))) for t in batch.text]})
+            yield pd.DataFrame({"doc_id": batch.doc_id, "fingerprint": [written(signature(h.shingles(t or ""))) for t in batch.text]})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, fingerprint string")
+    return carried(docs, run, "fingerprint string", "text")
 
 
-def in_runs(docs: DataFrame, parts: int) -> DataFrame:
-    """docs as (part, extra, id, doc_id, text): ranges of doc_id, each with the first row of the next range as an extra row.
+def placed(borders: np.ndarray, ids: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """The range of each (id, hash) under sorted borders; an id that is r borders at once fills r + 1 ranges, evenly by its hash."""
+    low, high = np.searchsorted(borders, ids, "left"), np.searchsorted(borders, ids, "right")
+    share = (hashes.view(np.uint64) >> np.uint64(11)) / 2.0**53
+    return low + np.floor(share * (high - low + 1)).astype(np.int64)
 
-    Range borders are approximate quantiles of doc_id, found from that column alone; a border's place in the list is looked up in
-    two steps, so a row costs about 2 x sqrt(parts) comparisons. The borders and the first id of each range are `parts` numbers.
-    """
-    low = -(2**63)
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(low)).alias("id"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    ids = rows.select("id")
-    borders = []
-    if parts > 1:
-        found = ids.agg(F.percentile_approx("id", [i / parts for i in range(1, parts)], 10 * parts).alias("b")).first().b
-        borders = sorted(set(found or []))
-    step = max(1, round(len(borders) ** 0.5))
-    groups = [borders[i : i + step] for i in range(0, len(borders), step)]
-    if groups:
-        longs = lambda xs: F.array(*[F.lit(x).cast("long") for x in xs])
-        before = F.size(F.filter(longs([g[0] for g in groups]), lambda b: b <= F.col("id")))
-        fine = F.array(*[longs(g) for g in groups])
-        part = F.when(before == 0, 0).otherwise((before - 1) * step + F.size(F.filter(F.get(fine, before - 1), lambda b: b <= F.col("id"))))
-    else:
-        part = F.lit(0)
-    rows, ids = rows.withColumn("part", part.cast("int")), ids.withColumn("part", part.cast("int"))
-    firsts = sorted((r.part, r.first) for r in ids.groupBy("part").agg(F.min("id").alias("first")).collect())
-    own = F.struct("part", F.lit(False).alias("extra"))
-    if not firsts:
-        return rows.select(own.alias("_to"), "id", "doc_id", "text").select("_to.*", "id", "doc_id", "text")
-    ahead = {first: firsts[i - 1][0] for i, (_, first) in enumerate(firsts)}  # the range before; of the first one, the last
-    place = F.create_map(*[F.lit(x) for first, p in ahead.items() for x in (first, p)]) if len(ahead) <= 64 else None
-    if place is None:
-        known = docs.sparkSession.createDataFrame(list(ahead.items()), "id long, _before int")
-        rows = rows.join(F.broadcast(known), "id", "left")  # `parts` rows
-    else:
-        rows = rows.withColumn("_before", F.try_element_at(place, F.col("id")).cast("int"))
-    also = F.struct(F.col("_before").alias("part"), F.lit(True).alias("extra"))
-    to = F.when(F.col("_before").isNull(), F.array(own)).otherwise(F.array(own, also))
-    return rows.select(F.explode(to).alias("_to"), "id", "doc_id", "text").select("_to.*", "id", "doc_id", "text")
+
+def borders(rows: DataFrame, parts: int) -> np.ndarray:
+    """The borders of about `parts` even ranges of rows (id, h), by approximate quantiles; over COARSE ranges, by quantiles of each of
+    COARSE ranges, so no sketch grows with their number."""
+    coarse = min(parts, COARSE)
+    cuts = lambda n: F.percentile_approx("id", [i / n for i in range(1, n)], 10 * n).alias("b")
+    found = rows.agg(cuts(coarse)).first().b if coarse > 1 else None
+    out = np.sort(np.array(found or [], np.int64))
+    fine = -(-parts // coarse)
+    if fine > 1 and len(out):
+        known = out
+
+        @F.pandas_udf("long")
+        def part(ids: pd.Series, hashes: pd.Series) -> pd.Series:
+            return pd.Series(placed(known, ids.to_numpy(np.int64), hashes.to_numpy(np.int64)))
+
+        more = rows.groupBy(part("id", "h")).agg(cuts(fine)).select(F.explode("b").alias("b")).toPandas()
+        out = np.sort(np.concatenate((out, more.b.to_numpy(np.int64))))
+    return out
+
+
+def in_runs(docs: DataFrame, parts: int) -> tuple[DataFrame, int]:
+    """(docs as (part, extra, id, h, doc_id, text), the number of parts): ranges of doc_id, each with the first row of the next range as
+    an extra row. Borders and the first row of each range are a few numbers a range."""
+    doc, text = F.col("doc_id").cast("long"), F.coalesce("text", F.lit(""))
+    low = F.lit(-(2**63)).cast("long")
+    rows = docs.select(F.coalesce(doc, low).alias("id"), F.xxhash64(text).alias("h"), doc.cast("string").alias("doc_id"), text.alias("text"))
+    known = borders(rows.select("id", "h"), parts)
+
+    @F.pandas_udf("long")
+    def part(ids: pd.Series, hashes: pd.Series) -> pd.Series:
+        return pd.Series(placed(known, ids.to_numpy(np.int64), hashes.to_numpy(np.int64)))
+
+    firsts = rows.select("id", "h").groupBy(part("id", "h").alias("part")).agg(F.min(F.struct("id", "h")).alias("f"))
+    firsts = firsts.select("part", "f.*").toPandas().sort_values("part")
+    of, first_id, first_h = (firsts[c].to_numpy(np.int64) for c in ("part", "id", "h"))
+
+    @F.pandas_udf("array<long>")
+    def targets(ids: pd.Series, hashes: pd.Series) -> pd.Series:
+        """Twice the part, and for first rows of a part also twice the part before plus 1; the first part follows the last."""
+        i, h = ids.to_numpy(np.int64), hashes.to_numpy(np.int64)
+        at = placed(known, i, h)
+        k = np.searchsorted(of, at)
+        is_first = (first_id[k] == i) & (first_h[k] == h)
+        return pd.Series([[2 * a, 2 * b + 1] if f else [2 * a] for a, b, f in zip(at.tolist(), of[k - 1].tolist(), is_first.tolist())])
+
+    to = rows.select(F.explode(targets("id", "h")).alias("to"), "id", "h", "doc_id", "text")
+    to = to.select((F.col("to") / 2).cast("int").alias("part"), (F.col("to") % 2 == 1).alias("extra"), "id", "h", "doc_id", "text")
+    return to, len(known) + 1
+
+
+def ranges(docs: DataFrame) -> int:
+    """Ranges of RANGE_BYTES for the texts of docs; fewer bytes in a range while executors would be idle, 1 MB at least."""
+    size = docs.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
+    busy = min(-(-size // (1 << 20)), 4 * docs.sparkSession.sparkContext.defaultParallelism)
+    return max(1, busy, -(-size // RANGE_BYTES))
 
 
 def edit_report(docs: DataFrame, parts: int | None = None) -> DataFrame:
     """One row per row of docs: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
     The next document is that of the next larger doc_id, after the last one the first; a single document follows itself. Rows
-    without a doc_id come first, rows of one doc_id stand in the order of their texts. A null text counts as empty. An empty table
-    gives no rows; other columns are ignored. Texts are shuffled once, into ranges of doc_id, and streamed in order.
+    without a doc_id come first, rows of one doc_id stand in the order of a hash of their texts. A null text counts as empty. An
+    empty table gives no rows; other columns are ignored. Texts are shuffled once, into ranges of doc_id, and streamed in order.
     """
-    parts = parts or min(16384, max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    runs = in_runs(docs, parts).repartition(parts, "part").sortWithinPartitions("part", "extra", "id", "text")
+    runs, n = in_runs(docs, parts or ranges(docs))
+    runs = runs.repartitionById(n, "part").sortWithinPartitions("extra", "id", "h", "text")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         h = Hasher()
 
         def row(at, following):
-            _, doc, text, sig = at
-            new = edited(text, following[2])
+            doc, text, sig = at
+            new = edited(text, following[1])
             sig_new = signature(h.shingles(new))
-            return doc, len(text), hashlib.sha256(new.encode()).hexdigest(), written(sig), written(sig_new), likeness(sig, sig_new), likeness(sig, following[3])
+            digest = hashlib.sha256(new.encode()).hexdigest()
+            return doc, len(text), digest, written(sig), written(sig_new), likeness(sig, sig_new), likeness(sig, following[2])
 
         last = None  # waits for the one after it
         for batch in batches:
             out = []
-            for part, extra, doc, text in zip(batch.part, batch.extra, batch.doc_id, batch.text):
+            for extra, doc, text in zip(batch.extra, batch.doc_id, batch.text):
                 if extra and last is None:
-                    continue  # a second row with the id of the first one
-                this = (part, doc, text, signature(h.shingles(text)))
+                    continue  # a row like the first one
+                this = (doc, text, signature(h.shingles(text)))
                 if last is not None:
                     out.append(row(last, this))
                 last = None if extra else this
-            yield pd.DataFrame(out, columns=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]).astype({"doc_id": "Int64", "n_chars": "int64", "near_edited": float, "near_next": float})
+            names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
+            yield pd.DataFrame(out, columns=names).astype({"n_chars": "int64", "near_edited": float, "near_next": float})
 
-    return runs.mapInPandas(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    schema = "n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+    return carried(runs, run, schema, "extra", "text")
 
 
-def near_links(docs: DataFrame, least: float = 0.8, rows: int = 5) -> DataFrame:
-    """Links (u, v, jaccard) between different texts whose sets of WIDTH-word shingles have a Jaccard likeness of `least` or more;
-    u < v are class ids, the smallest doc_id of each text. See text_classes for the class of each document.
+def marks(texts: DataFrame) -> DataFrame:
+    """(id, bands) for each row of texts (id, text): the numbers of its signature's bands."""
 
-    Signatures are cut into bands of `rows` values; texts that share a band are candidates, each pair once, and their likeness is
-    computed from the shingle sets. At 0.8 and 25 bands of 5 rows, a link is missed with a chance of about 5 in 100,000. Texts with
-    equal shingle sets are one class member from the start, linked by a star. Rows without a doc_id are left out.
-    """
-    texts = text_classes(docs).where("doc_id = class_id")
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        h = Hasher()
+        for batch in batches:
+            yield pd.DataFrame({"id": batch.id, "bands": [bands(signature(h.shingles(t))) for t in batch.text]})
+
+    return texts.mapInPandas(run, "id long, bands array<long>")
+
+
+def gram_sets(texts: DataFrame) -> DataFrame:
+    """(id, grams) for each row of texts (id, text): its different shingles of WIDTH words."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         h = Hasher()
         for batch in batches:
-            sets = [np.unique(h.shingles(t or "")) for t in batch.text]
-            bands = [[hashlib.blake2b(bytes([i]) + s[at : at + rows].tobytes(), digest_size=8).digest() for i, at in enumerate(range(0, PERMUTATIONS - rows + 1, rows))] for s in map(signature, sets)]
-            yield pd.DataFrame({"id": batch.doc_id, "grams": [s.view(np.int64) for s in sets], "bands": [[int.from_bytes(b, "little", signed=True) for b in bs] for bs in bands]})
-
-    full = docs.join(texts.select("doc_id"), "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "text")
-    signed = cut(full.mapInPandas(run, "id long, grams array<long>, bands array<long>"))
-    sets = signed.groupBy("grams").agg(F.min("id").alias("head"), F.collect_set("id").alias("_ids"))
-    alike = sets.where(F.size("_ids") > 1).select(F.col("head").alias("u"), F.explode("_ids").alias("v")).where("u < v").withColumn("jaccard", F.lit(1.0))
-    heads = cut(signed.join(sets.select(F.col("head").alias("id")), "id"))
-    banded = heads.select("id", F.explode("bands").alias("band"))
-    pairs = banded.select(F.col("id").alias("u"), "band").join(banded.select(F.col("id").alias("v"), "band"), "band").where("u < v").select("u", "v").distinct()
-    a, b = heads.select(F.col("id").alias("u"), F.col("grams").alias("_a")), heads.select(F.col("id").alias("v"), F.col("grams").alias("_b"))
-    both = F.size(F.array_intersect("_a", "_b"))
-    found = pairs.join(a, "u").join(b, "v").select("u", "v", (both / (F.size("_a") + F.size("_b") - both)).alias("jaccard")).where(F.col("jaccard") >= least)
-    return found.unionByName(alike)
-
-
-def text_classes(docs: DataFrame) -> DataFrame:
-    """(doc_id, class_id) for each row: class_id is the smallest doc_id with an equal text (a null one counts as empty)."""
-    rows = docs.select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("_h"))
-    first = rows.groupBy("_h").agg(F.min("doc_id").alias("class_id"))
-    return rows.join(first, "_h").select("doc_id", "class_id")
+            yield pd.DataFrame({"id": batch.id, "grams": [np.unique(h.shingles(t)).view(np.int64) for t in batch.text]})
+
+    return texts.mapInPandas(run, "id long, grams array<long>")
+
+
+def ordered(pairs: DataFrame) -> DataFrame:
+    """Pairs (u, v), each once with u < v."""
+    return pairs.where("u != v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+
+
+def verified(pairs: DataFrame, grams: DataFrame, least: float) -> DataFrame:
+    """Those of pairs (u, v) whose sets have a Jaccard likeness of `least` or more."""
+    a = grams.select(F.col("id").alias("u"), F.col("grams").alias("_a"))
+    b = grams.select(F.col("id").alias("v"), F.col("grams").alias("_b"))
+    both, m, n = F.size(F.array_intersect("_a", "_b")), F.size("_a"), F.size("_b")
+    sized = pairs.join(b, "v").join(a, "u").where(F.least(m, n) >= F.floor(least * F.greatest(m, n)))
+    return sized.where(both / (m + n - both) >= least).select("u", "v")
+
+
+def near_links(texts: DataFrame, found: DataFrame, more: DataFrame | None = None, least: float = LIKE) -> DataFrame:
+    """Links (u, v) that connect what pairs of texts (id, text; equal texts have equal ids) with a Jaccard likeness of `least` or
+    more connect. Every link is verified from the sets of WIDTH-word shingles.
+
+    Candidates are pairs that share a band (found: id, bands) and the pairs `more` (u, v). First each text meets the smallest id of its
+    bands; then, in bands whose texts are not yet one group, texts outside the band's largest group meet all that are not in theirs.
+    So no pair of a band is left out, and a band of one group, however large, costs one pair a text. At 0.8 and 25 bands of 5 rows, a
+    pair shares no band with a chance of about 5 in 100,000.
+    """
+    band = Window.partitionBy("band")
+    shared = found.select("id", F.explode("bands").alias("band")).withColumn("head", F.min("id").over(band)).withColumn("_last", F.max("id").over(band))
+    shared = cut(shared.where(F.col("head") < F.col("_last")).select("id", "band", "head"))
+    star = shared.select(F.col("head").alias("u"), F.col("id").alias("v"))
+    star = cut(ordered(star if more is None else star.unionByName(more)))
+    asked = star.select(F.col("u").alias("id")).unionByName(star.select(F.col("v").alias("id"))).distinct()
+    grams = cut(gram_sets(texts.join(asked, "id", "left_semi").dropDuplicates(["id"])))
+    first = cut(verified(star, grams, least))
+
+    known = components(first).withColumnRenamed("node", "id")
+    in_bands = cut(shared.join(known, "id", "left").select("band", "id", F.coalesce("root", "id").alias("root")))
+    split = in_bands.groupBy("band").agg(F.mode("root").alias("main"), F.min("root").alias("_a"), F.max("root").alias("_b")).where("_a != _b")
+    rows = cut(in_bands.join(split.select("band", "main"), "band"))
+    rest = rows.where("root != main").select("band", F.col("id").alias("u"), F.col("root").alias("_u"))
+    pairs = rest.join(rows.select("band", F.col("id").alias("v"), F.col("root").alias("_v")), "band").where("_u != _v")
+    return first.unionByName(verified(ordered(pairs.select("u", "v")).join(star, ["u", "v"], "left_anti"), grams, least))
+
+
+def near_copies(docs: DataFrame, least: float = LIKE) -> DataFrame:
+    """One row per row of docs: doc_id, class_id: the smallest doc_id that links of near copies reach (null if none has one).
+
+    A null text counts as empty; texts of under WIDTH words are one shingle, texts without words are copies of each other. Copies
+    are one text from the start and never become pairs. An empty table gives no rows; other columns are ignored.
+    """
+    text = F.coalesce("text", F.lit(""))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("id"), text.alias("text"))
+    found = cut(marks(rows.select("id", "text")).dropDuplicates(["id"]))
+    roots = components(near_links(rows.select("id", "text"), found, None, least))
+    named = cut(rows.select("doc_id", "id").join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id")))
+    return named.join(named.groupBy("root").agg(F.min("doc_id").alias("class_id")), "root").select("doc_id", "class_id")

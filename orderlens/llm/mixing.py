@@ -84,13 +84,23 @@ def mix(docs: DataFrame, budget_share: float = 1.0, repeats: int = REPEATS, carr
 
 
 def repeat_documents(docs: DataFrame, budget_share: float = 1.0, repeats: int = REPEATS) -> DataFrame:
-    """The rows of docs, all columns, each as often as mix() takes it. Rows alike in doc_id, source and text share their turns
-    evenly, rounded up."""
-    marked = docs.withColumn("_text", F.xxhash64("text"))
-    turns = mix(marked, budget_share, repeats, ("_text",)).groupBy("doc_id", "source", "_text").agg(F.ceil(F.avg("times")).cast("int").alias("_times")).where("_times > 0")
-    turns = turns.select(F.col("doc_id").alias("_a"), F.col("source").alias("_b"), F.col("_text").alias("_c"), "_times")
-    found = marked.join(turns, marked["doc_id"].eqNullSafe(turns["_a"]) & marked["source"].eqNullSafe(turns["_b"]) & (marked["_text"] == turns["_c"]))
-    return found.withColumn("_turn", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
+    """The rows of docs, all columns, each as often as mix() takes it. Rows alike in doc_id, source and text share their turns: each
+    gets as many as all can have, and one of them what is left over. An empty table gives no rows."""
+    keys = ["a", "b", "c"]
+    own = F.col("doc_id").alias("a"), F.col("source").alias("b"), F.xxhash64("text").alias("c")
+    marked = docs.select(F.struct("*").alias("row"), *own)
+    slim = docs.select("doc_id", "source", "text", F.xxhash64("text").alias("c"))
+    turns = mix(slim, budget_share, repeats, ("c",)).groupBy(F.col("doc_id").alias("a"), F.col("source").alias("b"), "c")
+    turns = turns.agg(F.sum("times").alias("all"), F.count(F.lit(1)).alias("n")).where("`all` > 0")
+    turns = cut(turns.select(*keys, F.floor(F.col("all") / F.col("n")).cast("int").alias("each"), (F.col("all") % F.col("n")).cast("int").alias("rest")))
+    like = turns.select(*[F.col(k).alias(f"{k}2") for k in keys], "each", "rest")
+    same = F.col("a").eqNullSafe(F.col("a2")) & F.col("b").eqNullSafe(F.col("b2")) & (F.col("c") == F.col("c2"))
+    found = marked.join(like, same)
+    times = lambda df, n: df.where(F.col(n) > 0).select("row", F.explode(F.sequence(F.lit(1), F.col(n)))).select("row.*")
+    out = times(found, "each")
+    if not turns.where("rest > 0").isEmpty():
+        out = out.unionByName(times(found.where("rest > 0").dropDuplicates(keys), "rest"))
+    return out
 
 
 ORACLE = r"""

@@ -13,6 +13,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from .common import carried
+
 #: Symbol characters that the base counts.
 SYMBOLS = "#*$%&|<>"
 
@@ -49,7 +51,11 @@ POLICIES = (
 )
 CURRENT = POLICIES[-1]
 
-LEDGER = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, " + ", ".join(f"{m} double" for m in dict.fromkeys(m for _, m, _, _ in RULES) if m != "n_words") + ", failed long"
+#: Columns of the ledger beside doc_id: base measurements, those of the other rules, and the bits.
+LEDGER = ", ".join([
+    "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long",
+    *(f"{m} double" for m in dict.fromkeys(m for _, m, _, _ in RULES) if m != "n_words"), "failed long",
+])
 
 
 def repeat_words(ids: np.ndarray, width: int = 8) -> int:
@@ -126,15 +132,15 @@ def ledger(docs: DataFrame) -> DataFrame:
             for doc, text in zip(batch.doc_id, batch.text):
                 m = measure(text)
                 rows.append({"doc_id": doc, **m, "failed": failures(m)})
-            out = pd.DataFrame(rows, columns=[c.split()[0] for c in LEDGER.split(", ")])
-            yield out.astype({"doc_id": "Int64"})
+            yield pd.DataFrame(rows, columns=["doc_id", *(c.split()[0] for c in LEDGER.split(", "))])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, LEDGER)
+    return carried(docs, run, LEDGER, "text")
 
 
 def apply(led: DataFrame, policy: Policy = CURRENT) -> DataFrame:
     """The ledger with base_failed, kept and policy."""
-    return led.withColumn("base_failed", F.col("failed").bitwiseAND(BASE) != 0).withColumn("kept", ~F.col("base_failed") & (F.col("failed").bitwiseAND(policy.mask) == 0)).withColumn("policy", F.lit(policy.version))
+    fails = lambda mask: F.col("failed").bitwiseAND(mask) != 0
+    return led.withColumn("base_failed", fails(BASE)).withColumn("kept", ~fails(BASE | policy.mask)).withColumn("policy", F.lit(policy.version))
 
 
 def ablations(led: DataFrame, policies: tuple[Policy, ...] = POLICIES) -> DataFrame:
@@ -143,7 +149,8 @@ def ablations(led: DataFrame, policies: tuple[Policy, ...] = POLICIES) -> DataFr
     masks = led.groupBy("failed").agg(F.count(F.lit(1)).alias("n"))
     asked = [(p.version, name, p.mask, BIT[name]) for p in policies for name in p.rules]
     rules = led.sparkSession.createDataFrame(asked, "policy string, rule string, mask long, bit long")
-    pairs = masks.withColumn("_one", F.lit(1)).join(F.broadcast(rules.withColumn("_one", F.lit(1))), "_one")
+    pairs = masks.crossJoin(F.broadcast(rules))  # at most 2^rules masks, a few rules a policy
     hit = F.col("failed").bitwiseAND(F.col("bit")) != 0
     only = F.col("failed").bitwiseAND(F.col("mask")) == F.col("bit")
-    return pairs.groupBy("policy", "rule").agg(F.sum(F.when(hit, F.col("n")).otherwise(0)).alias("n_failed"), F.sum(F.when(only, F.col("n")).otherwise(0)).alias("n_only"))
+    counted = lambda which: F.sum(F.when(which, F.col("n")).otherwise(0))
+    return pairs.groupBy("policy", "rule").agg(counted(hit).alias("n_failed"), counted(only).alias("n_only"))

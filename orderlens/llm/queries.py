@@ -52,8 +52,24 @@ def op10_piece_unigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(documents(spark, sf_dir))
 
 
+def near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The class of near copies of each document, by bands of MinHash signatures and exact likeness (operator 9)."""
+    return minhash.near_copies(documents(spark, sf_dir))
+
+
+def rule_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of each policy drops, and drops alone (operator 4)."""
+    return quality.ablations(quality.ledger(documents(spark, sf_dir)))
+
+
+QUERIES = (
+    op1_anchor_simhash, op2_run_index, op3_hash_tree, op4_rule_ledger, op5_line_suffixes, op6_pair_index_bpe, op7_lexicon_automata,
+    op8_fair_queueing, op9_minhash, op10_piece_unigrams, near_copies, rule_ablations,
+)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_anchor_simhash, op2_run_index, op3_hash_tree, op4_rule_ledger, op5_line_suffixes, op6_pair_index_bpe, op7_lexicon_automata, op8_fair_queueing, op9_minhash, op10_piece_unigrams)}
+    return {f.__name__: f for f in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:

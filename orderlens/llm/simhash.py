@@ -4,8 +4,11 @@ A 64-bit fingerprint is two halves; if two fingerprints differ in at most three
 covered by the code C x {0, 1}, C the perfect Hamming code of length 31: every half lies within radius 1 of an anchor. With
 threshold 1 on a half, a fingerprint is replicated to all anchors within distance 2 (17 or fewer a half), and one of them is the
 nearest anchor ("home") of its partner. Each anchor then compares homes with all fingerprints it got. Equal fingerprints are one
-row from the start, so copies of a text cost nothing here; anchors with many fingerprints are cut into slices, and every pair of
-slices is compared in a task's stream of its own. An anchor returns a star for each group that its links connect, not all links.
+row from the start, so copies of a text cost nothing here. Where an anchor has many fingerprints, their other halves are two quarters
+of which one differs in at most one bit: the same code, of length 15, spreads them over anchors of quarters. What is still crowded
+is cut into slices, and every pair of slices is compared in a task's stream of its own. An anchor returns a star for each group that
+its links connect, not all links. Replicas are eighteen rows a fingerprint; they are counted first and made again to be compared,
+which costs less than writing them.
 """
 
 from __future__ import annotations
@@ -15,17 +18,15 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from . import minhash
-from .common import components, cut, small
+from .common import carried, components, cut, small
 
 #: Fingerprints of one anchor that are compared in one block; larger anchors are split.
 BLOCK = 2048
 
 NEAR = 3
-#: Jaccard likeness of 5-word shingle sets from which two texts are copies in the pipeline.
-LIKE = 0.8
 
 
 def fingerprint(text: str | None, width: int = 3, chunk: int = 1 << 15) -> int:
@@ -51,36 +52,44 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"doc_id": batch.doc_id.astype("Int64"), "fp": np.array([fingerprint(t) for t in batch.text], np.uint64).view(np.int64)})
+            yield pd.DataFrame({"doc_id": batch.doc_id, "fp": np.array([fingerprint(t) for t in batch.text], np.uint64).view(np.int64)})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, fp long")
+    return carried(docs, run, "fp long", "text")
 
 
-def syndrome(half: np.ndarray) -> np.ndarray:
-    """Of the low 31 bits under the Hamming code whose column for bit i is i + 1; 0 for code words, else the bit to flip + 1."""
-    out = np.zeros(half.shape, np.uint32)
-    for k in range(5):
-        mask = np.uint32(sum(1 << i for i in range(31) if (i + 1) >> k & 1))
-        out |= (np.bitwise_count(half & mask) & 1).astype(np.uint32) << np.uint32(k)
+def syndrome(part: np.ndarray, r: int) -> np.ndarray:
+    """Of the low 2^r - 1 bits under the Hamming code whose column for bit i is i + 1; 0 for code words, else the bit to flip + 1."""
+    out = np.zeros(part.shape, np.uint32)
+    for k in range(r):
+        mask = np.uint32(sum(1 << i for i in range(2**r - 1) if (i + 1) >> k & 1))
+        out |= (np.bitwise_count(part & mask) & 1).astype(np.uint32) << np.uint32(k)
     return out
 
 
-def anchors(half: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The home of each half (uint32), and all anchors within distance 2 of it in rows of 17; columns that repeat an anchor repeat
-    the home. Flipping bits i and j moves the syndrome by (i + 1) xor (j + 1)."""
-    one = np.uint32(1)
-    s = syndrome(half)
+def anchors(part: np.ndarray, r: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """The home of each part of 2^r bits (uint32), and all anchors within distance 2 of it in rows; columns that repeat an anchor
+    repeat the home. Flipping bits i and j moves the syndrome by (i + 1) xor (j + 1)."""
+    one, n = np.uint32(1), 2**r - 1
+    s = syndrome(part, r)
     flip = lambda at: np.where(at > 0, one << (at - (at > 0)), 0).astype(np.uint32)
-    home = half ^ flip(s)
-    top = np.uint32(1 << 31)
-    reach = [home, home ^ top]  # distance 0 or 1; 1 or 2 with the free bit
-    for i in range(1, 32):  # flips of two bits i < j, i xor j = s
+    home = part ^ flip(s)
+    reach = [home, home ^ np.uint32(1 << n)]  # distance 0 or 1; 1 or 2 with the free bit
+    for i in range(1, n + 1):  # flips of two bits i < j, i xor j = s
         j = s ^ np.uint32(i)
-        ok = (s > 0) & (j > i) & (j < 32)
-        reach.append(np.where(ok, half ^ (one << np.uint32(i - 1)) ^ flip(np.where(ok, j, 0)), home))
+        ok = (s > 0) & (j > i) & (j <= n)
+        reach.append(np.where(ok, part ^ (one << np.uint32(i - 1)) ^ flip(np.where(ok, j, 0)), home))
     return home, np.stack(reach, 1)
 
 
+def spread(part: np.ndarray, r: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(number, anchor, whether it is the home) of all different anchors of parts."""
+    home, reach = anchors(part, r)
+    keep = np.ones(reach.shape, bool)
+    keep[:, 1:] = reach[:, 1:] != home[:, None]
+    row, col = np.nonzero(keep)
+    return row, reach[row, col].astype(np.int64), col == 0
+
+
 def replicate(fps: DataFrame) -> DataFrame:
     """fps (fp long) -> (anchor long, fp, home boolean): each fingerprint at all its anchors of both halves, each once."""
 
@@ -89,19 +98,27 @@ def replicate(fps: DataFrame) -> DataFrame:
             fp = batch.fp.to_numpy(np.int64)
             for at in range(0, len(fp), 4096):
                 part = fp[at : at + 4096]
-                out = []
                 for side in (0, 1):
-                    half = (part.view(np.uint64) >> np.uint64(32 * side)).astype(np.uint32)
-                    home, reach = anchors(half)
-                    keep = np.ones(reach.shape, bool)
-                    keep[:, 1:] = reach[:, 1:] != home[:, None]
-                    row, col = np.nonzero(keep)
-                    out.append(pd.DataFrame({"anchor": reach[row, col].astype(np.int64) | side << 32, "fp": part[row], "home": col == 0}))
-                yield pd.concat(out)
+                    row, anchor, home = spread((part.view(np.uint64) >> np.uint64(32 * side)).astype(np.uint32), 5)
+                    yield pd.DataFrame({"anchor": anchor | side << 32, "fp": part[row], "home": home})
 
     return fps.mapInPandas(run, "anchor long, fp long, home boolean")
 
 
+def quartered(rows: DataFrame) -> DataFrame:
+    """rows (anchor, fp, home) -> (anchor, cell, fp, home): each at the anchors of both quarters of the half that anchor is not of."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            anchor, fp, home = batch.anchor.to_numpy(np.int64), batch.fp.to_numpy(np.int64), batch.home.to_numpy(bool)
+            half = (fp.view(np.uint64) >> np.where(anchor >> 32 == 0, 32, 0).astype(np.uint64)).astype(np.uint32)
+            for side in (0, 1):
+                row, cell, near = spread((half >> np.uint32(16 * side)) & np.uint32(0xFFFF), 4)
+                yield pd.DataFrame({"anchor": anchor[row], "cell": cell | side << 16, "fp": fp[row], "home": home[row] & near})
+
+    return rows.mapInPandas(run, "anchor long, cell long, fp long, home boolean")
+
+
 def block_links(fp: np.ndarray, home: np.ndarray, near: int) -> list[tuple[int, int]]:
     """Star links that connect what the links of homes with all rows of one block connect."""
     label = np.arange(len(fp))
@@ -159,23 +176,38 @@ def compare(rows: DataFrame, keys: list[str], near: int = NEAR) -> DataFrame:
     return rows.mapInPandas(run, "u long, v long")
 
 
+def grouped_by(rows: DataFrame, keys: list[str]) -> DataFrame:
+    return rows.repartition(*keys).sortWithinPartitions(*keys)
+
+
 def links(fps: DataFrame, near: int = NEAR, block: int = BLOCK) -> DataFrame:
     """Links (u, v) over distinct fingerprints fps (fp long) that connect exactly what pairs at `near` or fewer bits connect."""
     if not 0 <= near <= 3:
         raise ValueError("two halves with threshold 1 each cover distances up to 3")
+
+    def crowded(rows: DataFrame, keys: list[str]) -> DataFrame:
+        return cut(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > block))
+
     rows = replicate(fps)
-    heavy = cut(rows.groupBy("anchor").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > block))
+    heavy = crowded(rows, ["anchor"])
     if heavy.isEmpty():
-        return compare(rows.repartition("anchor").sortWithinPartitions("anchor"), ["anchor"], near)
+        return compare(grouped_by(rows, ["anchor"]), ["anchor"], near)
     heavy = small(heavy)
-    light = rows.join(heavy, "anchor", "left_anti")
-    found = compare(light.repartition("anchor").sortWithinPartitions("anchor"), ["anchor"], near)
+    found = compare(grouped_by(rows.join(heavy, "anchor", "left_anti"), ["anchor"]), ["anchor"], near)
+
+    keys = ["anchor", "cell"]
+    cells = quartered(rows.join(heavy, "anchor").select("anchor", "fp", "home"))
+    full = crowded(cells, keys)
+    if full.isEmpty():
+        return found.unionByName(compare(grouped_by(cells, keys), keys, near))
+    full = small(full)
+    found = found.unionByName(compare(grouped_by(cells.join(full, keys, "left_anti"), keys), keys, near))
     parts = F.ceil(F.col("_n") / (block // 2))
-    mine = F.pmod(F.xxhash64("fp"), parts)
-    cells = rows.join(heavy, "anchor").withColumn("_mine", mine).withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
-    cells = cells.select("anchor", F.least("_mine", "_other").alias("_a"), F.greatest("_mine", "_other").alias("_b"), "fp", "home")
-    keys = ["anchor", "_a", "_b"]
-    return found.unionByName(compare(cells.repartition(*keys).sortWithinPartitions(*keys), keys, near))
+    slices = cells.join(full, keys).withColumn("_mine", F.pmod(F.xxhash64("fp"), parts))
+    slices = slices.withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
+    slices = slices.select(*keys, F.least("_mine", "_other").alias("_a"), F.greatest("_mine", "_other").alias("_b"), "fp", "home")
+    keys = [*keys, "_a", "_b"]
+    return found.unionByName(compare(grouped_by(slices, keys), keys, near))
 
 
 def fingerprint_column(text="text"):
@@ -210,99 +242,57 @@ def near_groups(docs: DataFrame, near: int = NEAR) -> DataFrame:
     return found.join(table, "fp").select("doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_first(docs: DataFrame, near: int = NEAR) -> DataFrame:
-    """One row of docs, all columns, of each group of near_groups(): that of the smallest doc_id, a null one last. If several rows
-    have it, the one with the smallest fingerprint and text stays; rows alike in all of these are told apart by nothing, and one
-    of them stays."""
-    marked = docs.withColumn("_fp", fingerprint_column()).withColumn("_text", F.xxhash64("text"))
-    found = cut(marked.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("_fp").alias("fp"), F.col("_text").alias("text")))
-    table = grouped(found.select("doc_id", "fp"), near)
-    order = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "fp", "text")
-    first = cut(found.join(table.select("fp", "root"), "fp").groupBy("root").agg(F.min(order).alias("m")).select("m.doc_id", "m.fp", "m.text"))
-    first = first.select(F.col("doc_id").alias("_a"), F.col("fp").alias("_b"), F.col("text").alias("_c"))
-    kept = marked.join(first, marked["doc_id"].cast("long").eqNullSafe(first["_a"]) & (marked["_fp"] == first["_b"]) & (marked["_text"] == first["_c"]), "left_semi")
-    again = found.groupBy("doc_id", "fp", "text").count().where("count > 1").limit(1).count()
-    if again:
-        kept = kept.dropDuplicates(["doc_id", "_fp", "_text"])
-    return kept.select(*docs.columns)
-
-
-def marks(docs: DataFrame) -> DataFrame:
-    """(id, fp, bands) for each row of docs (id, text): the fingerprint over shingles of minhash.WIDTH words, and MinHash bands."""
+def text_id(text="text"):
+    return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+
+
+def one_of_each(docs: DataFrame, roots: DataFrame) -> DataFrame:
+    """One row of docs, all columns, of each group of roots (id: see text_id, root; texts that are not there stand alone): that of
+    the smallest doc_id, a null one last. If several rows have it, the one with the smallest id stays; rows alike in both are told
+    apart by nothing, and one of them stays."""
+    marked = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc"), text_id().alias("id"))
+    found = cut(marked.select("doc", "id"))
+    named = found.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    first = named.groupBy("root").agg(F.min(F.struct(F.col("doc").isNull().alias("late"), "doc", "id")).alias("m"))
+    first = cut(first.select(F.col("m.doc").alias("a"), F.col("m.id").alias("b")))
+    kept = marked.join(first, F.col("doc").eqNullSafe(F.col("a")) & (F.col("id") == F.col("b")), "left_semi")
+    if not found.groupBy("doc", "id").count().where("count > 1").isEmpty():
+        kept = kept.dropDuplicates(["doc", "id"])
+    return kept.select("row.*")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        h = minhash.Hasher()
-        for batch in batches:
-            fps = np.array([fingerprint(t, minhash.WIDTH) for t in batch.text], np.uint64).view(np.int64)
-            yield pd.DataFrame({"id": batch.id, "fp": fps, "bands": [minhash.bands(minhash.signature(h.shingles(t))) for t in batch.text]})
 
-    return docs.mapInPandas(run, "id long, fp long, bands array<long>")
+def keep_first(docs: DataFrame, near: int = NEAR) -> DataFrame:
+    """One row of docs, all columns, of each group of near_groups(); see one_of_each()."""
+    found = cut(docs.select(text_id().alias("id"), fingerprint_column().alias("fp")).dropDuplicates(["id"]))
+    table = grouped(found.select(F.col("id").alias("doc_id"), "fp"), near)
+    return one_of_each(docs, found.join(table.select("fp", "root"), "fp").select("id", "root"))
 
 
-def gram_sets(docs: DataFrame) -> DataFrame:
-    """(id, grams) for each row of docs (id, text): its different shingles of minhash.WIDTH words."""
+def marks(texts: DataFrame) -> DataFrame:
+    """(id, fp, bands) for each row of texts (id, text): the fingerprint over shingles of minhash.WIDTH words, and MinHash bands."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         h = minhash.Hasher()
         for batch in batches:
-            yield pd.DataFrame({"id": batch.id, "grams": [np.unique(h.shingles(t)).view(np.int64) for t in batch.text]})
-
-    return docs.mapInPandas(run, "id long, grams array<long>")
-
-
-def ordered(pairs: DataFrame) -> DataFrame:
-    """Pairs (u, v), each once with u < v."""
-    return pairs.where("u != v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-
+            fps = np.array([fingerprint(t, minhash.WIDTH) for t in batch.text], np.uint64).view(np.int64)
+            yield pd.DataFrame({"id": batch.id, "fp": fps, "bands": [minhash.bands(minhash.signature(h.shingles(t))) for t in batch.text]})
 
-def verified(pairs: DataFrame, grams: DataFrame, least: float) -> DataFrame:
-    """Those of pairs (u, v) whose sets have a Jaccard likeness of `least` or more."""
-    a, b = grams.select(F.col("id").alias("u"), F.col("grams").alias("_a")), grams.select(F.col("id").alias("v"), F.col("grams").alias("_b"))
-    both, m, n = F.size(F.array_intersect("_a", "_b")), F.size("_a"), F.size("_b")
-    sized = pairs.join(b, "v").join(a, "u").where(F.least(m, n) >= F.floor(least * F.greatest(m, n)))
-    return sized.where(both / (m + n - both) >= least).select("u", "v")
+    return texts.mapInPandas(run, "id long, fp long, bands array<long>")
 
 
-def copy_links(texts: DataFrame, least: float = LIKE) -> DataFrame:
+def copy_links(texts: DataFrame, least: float = minhash.LIKE) -> DataFrame:
     """Links (u, v) that connect what pairs of texts (id, text; equal texts have equal ids) with a Jaccard likeness of `least` or
-    more connect. Every link is verified from the sets of 5-word shingles.
-
-    Candidates are links of fingerprints (see links) and pairs that share a MinHash band. First each text meets the smallest id of
-    its bands; then, in bands whose texts are not yet one group, texts outside the band's largest group meet all that are not in
-    theirs. So no pair of a band is left out, and a band of one group, however large, costs one pair a text.
-    """
+    more connect: fingerprints linked by anchors propose pairs, and so do MinHash bands; every link is verified (minhash.near_links)."""
     found = cut(marks(texts).dropDuplicates(["id"]))
-    band = Window.partitionBy("band")
-    shared = found.select("id", F.explode("bands").alias("band")).withColumn("head", F.min("id").over(band)).withColumn("_last", F.max("id").over(band))
-    shared = cut(shared.where(F.col("head") < F.col("_last")).select("id", "band", "head"))
     heads = cut(found.groupBy("fp").agg(F.min("id").alias("head")))
-    near = links(heads.select("fp")).join(heads.select(F.col("fp").alias("u"), F.col("head").alias("_u")), "u").join(heads.select(F.col("fp").alias("v"), F.col("head").alias("_v")), "v")
+    u, v = (heads.select(F.col("fp").alias(x), F.col("head").alias(f"_{x}")) for x in "uv")
+    near = links(heads.select("fp")).join(u, "u").join(v, "v").select(F.col("_u").alias("u"), F.col("_v").alias("v"))
     same = found.join(heads, "fp").select(F.col("head").alias("u"), F.col("id").alias("v"))
-    star = shared.select(F.col("head").alias("u"), F.col("id").alias("v")).unionByName(same).unionByName(near.select(F.col("_u").alias("u"), F.col("_v").alias("v")))
-    star = cut(ordered(star))
-    asked = star.select(F.col("u").alias("id")).unionByName(star.select(F.col("v").alias("id"))).distinct()
-    grams = cut(gram_sets(texts.join(asked, "id", "left_semi").dropDuplicates(["id"])))
-    first = cut(verified(star, grams, least))
-
-    placed = shared.join(components(first).withColumnRenamed("node", "id"), "id", "left").select("band", "id", F.coalesce("root", "id").alias("root"))
-    placed = cut(placed)
-    split = placed.groupBy("band").agg(F.mode("root").alias("main"), F.min("root").alias("_a"), F.max("root").alias("_b")).where("_a != _b")
-    rows = cut(placed.join(split.select("band", "main"), "band"))
-    rest = rows.where("root != main").select("band", F.col("id").alias("u"), F.col("root").alias("_u"))
-    pairs = rest.join(rows.select("band", F.col("id").alias("v"), F.col("root").alias("_v")), "band").where("_u != _v")
-    return first.unionByName(verified(ordered(pairs.select("u", "v")).join(star, ["u", "v"], "left_anti"), grams, least))
-
-
-def keep_first_copy(docs: DataFrame, least: float = LIKE) -> DataFrame:
-    """One row of docs, all columns, of each group that copy_links() connects: that of the smallest doc_id, a null one last. If
-    several rows have it, the one with the smallest text digest stays; rows alike in both are told apart by nothing, and one of
-    them stays. A null text counts as empty; texts without words are copies of each other."""
-    marked = docs.withColumn("_id", F.xxhash64(F.coalesce("text", F.lit(""))))
-    roots = components(copy_links(marked.select(F.col("_id").alias("id"), F.coalesce("text", F.lit("")).alias("text")), least))
-    found = cut(marked.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("_id").alias("id")))
-    named = found.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-    first = cut(named.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "id")).alias("m")).select(F.col("m.doc_id").alias("_a"), F.col("m.id").alias("_b")))
-    kept = marked.join(first, marked["doc_id"].cast("long").eqNullSafe(first["_a"]) & (marked["_id"] == first["_b"]), "left_semi")
-    if found.groupBy("doc_id", "id").count().where("count > 1").limit(1).count():
-        kept = kept.dropDuplicates(["doc_id", "_id"])
-    return kept.select(*docs.columns)
+    return minhash.near_links(texts, found.select("id", "bands"), near.unionByName(same), least)
+
+
+def keep_first_copy(docs: DataFrame, least: float = minhash.LIKE) -> DataFrame:
+    """One row of docs, all columns, of each group that copy_links() connects; see one_of_each(). A null text counts as empty; texts
+    without words are copies of each other."""
+    texts = docs.select(text_id().alias("id"), F.coalesce("text", F.lit("")).alias("text"))
+    return one_of_each(docs, components(copy_links(texts, least)).withColumnRenamed("node", "id"))

@@ -7,7 +7,7 @@ import pytest
 from orderlens.llm import langid
 from tests.llm import edge
 
-PIECES = {"▁": 1, "▁a": 2, "a": 3, "b": 4, "ab": 5, "▁ab": 6, "ba": 7}
+PIECES = langid.Pieces({"▁": 1, "▁a": 2, "a": 3, "b": 4, "ab": 5, "▁ab": 6, "ba": 7})
 
 
 def brute(word, p):
@@ -33,6 +33,9 @@ def test_forward_sums_all_segmentations():
         got = langid.forward(langid.lattice([word], PIECES), p)[-1][0]
         assert got == pytest.approx([brute(word, p[:, 0]), brute(word, p[:, 1])])
         assert langid.backward(langid.lattice([word], PIECES), p)[0][0] == pytest.approx(got)
+        logs = np.log(p, where=p > 0, out=np.full_like(p, -np.inf))
+        assert np.exp(langid.log_forward(langid.lattice([word], PIECES), logs)[-1][0]) == pytest.approx(got)
+        assert np.exp(langid.log_backward(langid.lattice([word], PIECES), logs)[0][0]) == pytest.approx(got)
     from collections import Counter
 
     e = langid.expected(Counter({"▁abab": 3}), PIECES, p[:, :1])
@@ -43,6 +46,23 @@ def test_forward_sums_all_segmentations():
         assert e[i] == pytest.approx(3 * (math.log(brute("▁abab", up)) - math.log(brute("▁abab", p[:, 0]))) / eps, rel=1e-3)
 
 
+def test_long_words_and_whole_vocabulary(monkeypatch):
+    from collections import Counter
+
+    rng = np.random.default_rng(2)
+    p = rng.random((9, 1))
+    p[-1] = 0
+    counts = Counter({"▁" + "ab" * 15: 2, "▁abbaab": 1})
+    want = langid.expected(counts, PIECES, p)
+    monkeypatch.setattr(langid, "SHORT", 3)
+    assert langid.expected(counts, PIECES, p) == pytest.approx(want)
+    pieces = langid.vocabulary(langid.public_path())
+    assert pieces.longest > 12 and len(pieces) > 23_900
+    model = langid.Model(["x", "y"], np.c_[np.full(len(pieces) + 2, 1e-5), np.full(len(pieces) + 2, 2e-5)], langid.public_path())
+    langs, scores = model.score(["q" * 3000 + " " + "a" * 500])
+    assert langs == ["y"] and np.isfinite(scores[0]) and np.isfinite(model.logs).all()
+
+
 def test_edge_rows(spark):
     rows = langid.identify(edge.frame(spark)).collect()
     assert len(rows) == len(edge.rows())

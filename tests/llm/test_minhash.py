@@ -47,15 +47,44 @@ def test_given_table(spark):
     assert max(off) < 0.2 and sum(off) / len(off) < 0.03
 
 
-def test_links_against_brute_force(spark):
-    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
-    more = [(10_000 + r.doc_id, r.text + " and one more word here", ) for r in docs.limit(60).collect()]
-    docs = docs.select("doc_id", "text").unionByName(spark.createDataFrame(more, "doc_id long, text string"))
-    texts = {}
-    for r in sorted(docs.collect()):
-        texts.setdefault(r.text, r.doc_id)
-    sets = [(i, shingles(t)) for t, i in texts.items()]
-    want = {(i, j) for i, a in sets for j, b in sets if i < j and len(a & b) >= 0.8 * len(a | b)}
-    got = {(r.u, r.v) for r in minhash.near_links(docs).collect()}
-    assert len(want) > 30 and got <= want and len(got) >= 0.97 * len(want)
-    assert minhash.near_links(edge.empty(spark)).count() == 0 and minhash.near_links(edge.frame(spark)).count() >= 0
+def test_near_copies_against_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    more = [(10_000 + r.doc_id, r.text + " and one more word here") for r in docs.orderBy("doc_id").limit(60).collect()]
+    docs = docs.unionByName(spark.createDataFrame(more, docs.schema))
+    rows = [(r.doc_id, shingles(r.text)) for r in docs.orderBy("doc_id").collect()]
+    root = list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, (_, a) in enumerate(rows):
+        for j, (_, b) in enumerate(rows[:i]):
+            if len(a & b) >= 0.8 * len(a | b):
+                x, y = find(i), find(j)
+                root[max(x, y)] = min(x, y)
+    want = {d: rows[find(i)][0] for i, (d, _) in enumerate(rows)}
+    assert sum(d != c for d, c in want.items()) > 30
+    assert {r.doc_id: r.class_id for r in minhash.near_copies(docs).collect()} == want
+    got = minhash.near_copies(edge.frame(spark)).collect()
+    assert len(got) == len(edge.rows()) and len({r.class_id for r in got if r.doc_id in (0, 1, 2)}) == 1
+    assert minhash.near_copies(edge.empty(spark)).count() == 0
+
+
+def test_hot_ids_fill_many_ranges(spark):
+    docs = [(None if i % 3 else i, f"text {i} of these") for i in range(3000)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    runs, n = minhash.in_runs(frame, 12)
+    sizes = [r["count"] for r in runs.where("not extra").groupBy("part").count().collect()]
+    assert n == 12 and max(sizes) < 600 and sum(sizes) == 3000
+    assert sorted(r.n_chars for r in minhash.edit_report(frame, 12).collect()) == sorted(len(t) for _, t in docs)
+
+
+def test_borders_in_two_steps(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "COARSE", 4)
+    frame = spark.range(1000).selectExpr("id as doc_id", "cast(id as string) as text")
+    runs, n = minhash.in_runs(frame, 16)
+    sizes = [r["count"] for r in runs.where("not extra").groupBy("part").count().collect()]
+    assert n == 16 and max(sizes) < 100
+    check(minhash.edit_report(frame, 16).collect(), [(i, str(i)) for i in range(1000)])

@@ -30,3 +30,11 @@ def test_weights_caps_and_reruns(spark):
     free = [s for s in size if target[s] < 3 * size[s] - 1e-6]
     w = {s: 1 + i % 3 for i, s in enumerate(sorted(size))}
     assert len({round(target[s] / w[s], 3) for s in free}) == 1
+
+
+def test_repeated_rows_keep_the_budget(spark):
+    rows = [(i % 7 if i % 2 else None, "word " * (1 + i % 3), "ab"[i % 2], i) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, _text int")
+    out = mixing.repeat_documents(docs)
+    want = sum(r.taken for r in mixing.mix(docs).collect())
+    assert out.columns == docs.columns and sum(len(r.text.split()) for r in out.collect()) == want > 0

@@ -1,4 +1,5 @@
 import re
+from collections import Counter
 
 from hypothesis import given, settings, strategies as st
 
@@ -12,7 +13,8 @@ def brute(text):
     text = text or ""
     w = WORD.findall(text)
     windows = [tuple(w[i : i + 8]) for i in range(len(w) - 7)]
-    hit = {i + k for i, x in enumerate(windows) if windows.count(x) > 1 for k in range(8)}
+    times = Counter(windows)
+    hit = {i + k for i, x in enumerate(windows) if times[x] > 1 for k in range(8)}
     seen, dup = set(), 0
     for line in text.split("\n"):
         if WORD.search(line):
@@ -28,6 +30,40 @@ def test_base_measures(text):
     assert (m["n_words"], m["word_chars"], m["n_symbols"], m["n_dup_lines"], m["n_repeat_words"]) == brute(text)
 
 
+def brute_kept(text):
+    """The verdict of the current policy, from plain counts."""
+    text = text or ""
+    w = WORD.findall(text)
+    n, _, symbols, _, repeats = brute(text)
+    letters, upper = sum(c.isalpha() for c in text), sum(c.isupper() for c in text)
+    solid = sum(not WORD.fullmatch(c) is None for c in text)
+    runs = sum(a == b for a, b in zip(w, w[1:]))
+    rules = [n >= 20, 100 * repeats <= 30 * n]
+    if n:
+        rules += [symbols / n <= 0.10, text.count("!") / n <= 0.25, runs / n <= 0.25]
+    rules += [upper / max(letters, 1) <= 0.35, not solid or letters / solid >= 0.40]
+    return all(rules)
+
+
+def test_given_table_against_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    rows = quality.apply(quality.ledger(docs)).collect()
+    kept = [r.kept for r in rows]
+    assert len(rows) == len(texts) and 0 < sum(kept) < len(kept)
+    for r in rows:
+        assert r.kept == brute_kept(texts[r.doc_id]), r.doc_id
+        if r.n_words < 3000:
+            assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == brute(texts[r.doc_id])
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from(["a", "B", "ÄÖ", "#", "!", "12", "ok", "don't"]), min_size=15, max_size=60).map(" ".join))
+def test_verdicts(text):
+    m = quality.measure(text)
+    assert (quality.failures(m) & (quality.BASE | quality.CURRENT.mask) == 0) == brute_kept(text)
+
+
 def test_edge_rows_policies_and_ablations(spark):
     led = quality.ledger(edge.frame(spark)).cache()
     assert led.count() == len(edge.rows()) and quality.ledger(edge.empty(spark)).count() == 0

@@ -42,6 +42,12 @@ def test_covering_code():
     for bit in range(32):  # whatever one bit changes, the other's home is among the anchors
         other, _ = simhash.anchors(half ^ np.uint32(1 << bit))
         assert (reach == other[:, None]).any(axis=1).all()
+    quarter = half & np.uint32(0xFFFF)
+    home, reach = simhash.anchors(quarter, 4)
+    assert (np.bitwise_count(home ^ quarter) <= 1).all() and (reach < 1 << 16).all()
+    for bit in range(16):
+        other, _ = simhash.anchors(quarter ^ np.uint32(1 << bit), 4)
+        assert (reach == other[:, None]).any(axis=1).all()
 
 
 def test_edge_rows_against_brute_force(spark):
