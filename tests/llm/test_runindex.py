@@ -65,16 +65,52 @@ def texts(n=120, seed=5):
 
 @pytest.mark.parametrize("crowd", [runindex.CROWD, 2])
 def test_documents_against_brute_force(spark, crowd, monkeypatch):
+    monkeypatch.setattr(runindex, "CROWD", crowd)
     monkeypatch.setattr(runindex, "HASH_BYTES", 3000)
     monkeypatch.setattr(runindex, "INDEX_BYTES", 2000)
     docs = list(enumerate(texts()))
     random.Random(1).shuffle(docs)
     frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
-    monkeypatch.setattr(runindex.copied, "__defaults__", (crowd,))
     got = {r.doc_id: (bytes(r.kept), r.n_removed, r.n_spans) for r in runindex.dedup(frame).collect()}
     assert got == brute(docs)
 
 
+def test_crowds_and_joined_keys(spark, monkeypatch):
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    passage = " ".join(word() for _ in range(40))
+    docs = list(enumerate(" ".join(word() for _ in range(rng.randint(0, 40))) + passage + word() * rng.randint(0, 9) for _ in range(90)))
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    want = brute(docs)
+    parted = []
+    monkeypatch.setattr(runindex, "refined", lambda x, f=runindex.refined: parted.append(1) or f(x))
+    for crowd, most in ((8, runindex.occurrences.__defaults__[0]), (3, 10), (10**6, 10)):
+        monkeypatch.setattr(runindex, "CROWD", crowd)
+        monkeypatch.setattr(runindex.occurrences, "__defaults__", (most,))
+        got = {r.doc_id: (bytes(r.kept), r.n_removed, r.n_spans) for r in runindex.dedup(frame).collect()}
+        assert got == want
+    assert len(parted) >= 4  # a passage with ever other surroundings is parted again and again
+
+
+def test_index_finds_all_marks_but_whole_contents(spark):
+    a, b = "x" * 10 + "abcdefghij" * 3 + "0123456789" * 9, "y" * 10 + "abcdefghij" * 3 + "0123456789" * 9
+    frame = spark.createDataFrame([(1, a), (2, b)], "doc_id long, text string")
+    rows = runindex._keyed(frame)
+    pieces = runindex.cut(runindex.occurrences(rows))
+    assert pieces.where("body is not null").count() >= 2
+    tables, rest = runindex.settled(pieces, runindex.CROWD)
+    assert rest is None and sum(r.b - r.a for r in tables[1].collect()) > 0
+
+
+def test_long_text_in_pieces(spark, monkeypatch):
+    monkeypatch.setattr(runindex, "HASH_BYTES", 257)
+    rng = random.Random(8)
+    body = "".join(rng.choice("abcdefghijklmnop ") for _ in range(3000))
+    docs = [(1, body), (2, body[700:1400] + "!" + body[100:1900] + "aaaa" * 90)]
+    got = {r.doc_id: (bytes(r.kept), r.n_removed, r.n_spans) for r in runindex.dedup(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == brute(docs)
+
+
 def test_edge_rows(spark):
     rows = runindex.dedup(edge.frame(spark)).collect()
     assert len(rows) == len(edge.rows())
