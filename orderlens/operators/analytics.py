@@ -7,6 +7,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from orderlens.plans import scale
+from orderlens.sources.shared import cut
 
 
 def dbl(column, digits: int = 4) -> Column:
@@ -23,10 +24,10 @@ def rfm(orders: DataFrame, as_of: str, tiles: int = 5) -> DataFrame:
     """Recency, frequency and monetary tiles (the best = tiles; ties by customer id) and the named segment of each customer."""
     base = orders.groupBy("customer_id").agg(F.datediff(F.lit(as_of).cast("date"), F.max("order_date")).alias("recency"), F.count(F.lit(1)).alias("frequency"), F.sum("net").alias("monetary"))
 
-    def tiled(df: DataFrame, value: str, name: str, descending: bool) -> DataFrame:
-        return scale.running(df, value, "customer_id", descending=descending).withColumn(name, scale.ntile(tiles)).drop("rank_", "before_", "rows_")
-
-    out = tiled(tiled(tiled(base, "recency", "r", True), "frequency", "f", False), "monetary", "m", False)
+    axes = {"r": ("recency", True), "f": ("frequency", False), "m": ("monetary", False)}
+    out = scale.ranked(base, axes, "customer_id")
+    for name in axes:
+        out = out.withColumn(name, scale.ntile(tiles, f"{name}_rank"))
     segment = (
         F.when((F.col("r") >= 4) & (F.col("f") >= 4) & (F.col("m") == 5), "Champions").when((F.col("r") >= 3) & (F.col("f") >= 4), "Loyal Customers")
         .when((F.col("r") <= 2) & (F.col("f") >= 3), "At Risk").when((F.col("r") >= 4) & (F.col("f") <= 2), "New Customers")
@@ -164,9 +165,8 @@ def abc_tier(items: DataFrame, as_of: str, a: float = 0.20, b: float = 0.50, bas
     """Tiers by the share of revenue (or of products: basis 'rank') before each product, best sellers first."""
     sums = items.groupBy("product_id").agg(F.sum("line_total").alias("revenue"))
     ranked = scale.running(sums, "revenue", "product_id", "revenue", descending=True)
-    total = F.broadcast(sums.agg(F.sum("revenue").alias("_all")))  # one row
-    share = (F.col("rank_") - 1) / F.col("rows_") if basis == "rank" else F.col("before_").cast("double") / F.col("_all").cast("double")
-    out = ranked.join(total).withColumn("_share", share)
+    share = (F.col("rank_") - 1) / F.col("rows_") if basis == "rank" else F.col("before_").cast("double") / F.col("sum_").cast("double")
+    out = ranked.withColumn("_share", share)
     tier = F.when(F.col("_share") < a, "A").when(F.col("_share") < b, "B").otherwise("C")
     return out.select("product_id", dbl("revenue").alias("revenue"), F.round("_share", 6).alias("share_before"), tier.alias("abc_tier"), F.lit(as_of).cast("date").alias("abc_computed_at"))
 
@@ -214,7 +214,7 @@ def geo(orders: DataFrame) -> DataFrame:
 
 def geo_features(orders: DataFrame) -> DataFrame:
     """GeoJSON-style features (without geometry), one a country."""
-    props = F.struct("region", "country", "revenue", "orders", "customers")
+    props = F.struct("region", "country", F.col("revenue").cast("decimal(20,4)").alias("revenue"), "orders", "customers")
     return geo(orders).where("level = 0").select("country", F.to_json(F.struct(F.lit("Feature").alias("type"), props.alias("properties"))).alias("feature"))
 
 
@@ -275,8 +275,8 @@ def fulfillment(orders: DataFrame, by: str = "region", sla_days: int = 5) -> Dat
 def supplier(items: DataFrame, suppliers: DataFrame) -> DataFrame:
     sums = items.groupBy("supplier_id").agg(F.sum("line_total").alias("_rev"), F.sum("quantity").alias("units"), F.sum(F.col("line_total") - F.col("line_discount") - F.col("line_cost")).alias("_margin"), F.avg(F.when(F.col("returned"), 1.0).otherwise(0.0)).alias("_ret"))
     named = sums.join(suppliers.select(F.col("s_suppkey").alias("supplier_id"), F.col("s_name").alias("supplier")), "supplier_id")
-    rank = F.dense_rank().over(Window.orderBy(F.desc("_rev")))  # one row a supplier, after aggregation
-    return named.select("supplier_id", "supplier", dbl("_rev").alias("revenue"), "units", dbl("_margin").alias("margin"), F.round("_ret", 6).alias("return_rate"), rank.alias("revenue_rank"))
+    named = scale.dense_rank(cut(named), "_rev", "revenue_rank", descending=True)
+    return named.select("supplier_id", "supplier", dbl("_rev").alias("revenue"), "units", dbl("_margin").alias("margin"), F.round("_ret", 6).alias("return_rate"), "revenue_rank")
 
 
 def correlation(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -331,7 +331,7 @@ def scenario(forecast: DataFrame, grid: DataFrame, marketing: float = 0.10, pric
     scale_ = F.coalesce(*[F.when(F.col("seasonal") == k, v) for k, v in SEASONAL.items()])
     m, p = F.col("marketing_pct") / 100, F.col("price_pct") / 100
     changed = (F.col("_mean") + (F.col("yhat") - F.col("_mean")) * scale_) * (1 + marketing * m) * (1 + p) * (1 + price * p)
-    rows = future.withColumn("_k", F.lit(1)).join(F.broadcast(grid.withColumn("_k", F.lit(1))), "_k")
+    rows = future.crossJoin(grid)  # a month of days with a list of settings
     return rows.groupBy("marketing_pct", "price_pct", "seasonal").agg(F.round(F.sum(changed), 2).alias("total"), F.round((F.sum(changed) / F.sum("yhat") - 1) * 100, 4).alias("impact_pct"))
 
 

@@ -37,7 +37,7 @@ def map_exact(headers: DataFrame, dictionary: DataFrame) -> DataFrame:
 def map_fuzzy(headers: DataFrame, dictionary: DataFrame) -> DataFrame:
     """The most similar alias of each header: 1 - levenshtein / longer length. Each distinct normal form is compared once."""
     norms = headers.select(normalise(F.col("csv_header")).alias("norm")).distinct()
-    pairs = norms.withColumn("_k", F.lit(1)).join(F.broadcast(dictionary.withColumn("_k", F.lit(1))), "_k")
+    pairs = norms.crossJoin(dictionary)  # different headers with a fixed list of aliases
     score = 1 - F.levenshtein("norm", "alias") / F.greatest(F.char_length("norm"), F.char_length("alias"), F.lit(1))
     best = pairs.withColumn("_s", score).groupBy("norm").agg(F.max_by(F.struct("mapped_table", "mapped_column", "_s"), F.struct("_s", "alias")).alias("b"))
     rows = headers.withColumn("norm", normalise(F.col("csv_header"))).join(best, "norm").select("upload_job_id", "csv_header", "b.*")
@@ -137,6 +137,17 @@ ORDER_RULES = {
 }
 
 
+#: The other rules of the model: customers' scores, tiers, sentiment labels, forecast bands and insight bullets.
+MODEL_RULES = {
+    "engagement": lambda: F.col("engagement_score").between(0, 100),
+    "churn_risk": lambda: F.col("churn_risk_score").between(0, 1),
+    "tier": lambda: F.col("abc_tier").isin("A", "B", "C"),
+    "sentiment": lambda: F.col("sentiment_label").isin("POSITIVE", "NEGATIVE", "NEUTRAL"),
+    "band": lambda: (F.col("yhat_lower") <= F.col("yhat")) & (F.col("yhat") <= F.col("yhat_upper")),
+    "bullet": lambda: F.col("bullet_index").between(1, 3),
+}
+
+
 def check_references(child: DataFrame, parent: DataFrame, child_key: str, parent_key: str) -> DataFrame:
     """Rows of child without a parent; null keys are no references."""
     return child.where(F.col(child_key).isNotNull()).join(parent.select(F.col(parent_key).alias(child_key)), child_key, "left_anti")
@@ -147,10 +158,11 @@ def check_unique(df: DataFrame, key: list[str]) -> DataFrame:
 
 
 def upsert(target: DataFrame, batch: DataFrame, key: str) -> DataFrame:
-    """Rows of target with the values of batch where it has them, and the new rows of batch (one row a key in each)."""
+    """Rows of target with all values of batch, nulls too, where it has their key, and the new rows of batch (one row a key in each)."""
     rest = [c for c in target.columns if c != key]
-    new = batch.select(key, *[F.col(c).alias(f"_n_{c}") for c in rest])
-    return target.join(new, key, "full_outer").select(key, *[F.coalesce(f"_n_{c}", c).alias(c) for c in rest])
+    new = batch.select(key, F.struct(*rest).alias("_new"))
+    both = target.join(new, key, "full_outer")
+    return both.select(key, *[F.when(F.col("_new").isNull(), F.col(c)).otherwise(F.col("_new")[c]).alias(c) for c in rest])
 
 
 def insert_orders(batch: DataFrame, orders: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from orderlens.operators.analytics import dbl, ratio
 from orderlens.plans import scale
+from orderlens.sources.shared import cut
 
 SORTS = {"highest_ltv": ("lifetime_value", True), "lowest_ltv": ("lifetime_value", False), "newest": ("first_purchase_date", True), "most_orders": ("total_orders", True)}
 
@@ -32,27 +33,59 @@ def customer_list(customers: DataFrame, sort: str = "highest_ltv", where: Column
     return page(customers if where is None else customers.where(where), key, "customer_id", size, descending, after)
 
 
-def customer_cards(profile: DataFrame, orders: DataFrame, as_of: str) -> DataFrame:
-    """Average value, its change against the value a month before, customers at risk, customers new this week."""
+def customer_cards(profile: DataFrame, orders: DataFrame, as_of: str, segments: DataFrame | None = None, vip: str = "vip_champion") -> DataFrame:
+    """Average value, its change against the value a month before, customers at risk, customers new this week; with segments
+    (customer_id, ai_segment) also those of the segment `vip` who are new this week."""
     day = F.lit(as_of).cast("date")
-    before = orders.where(F.col("order_date") < F.add_months(day, -1)).groupBy("customer_id").agg(F.sum("net").alias("v")).agg(F.avg(F.col("v").cast("double")).alias("_past"))
-    now = profile.agg(F.avg(F.col("lifetime_value").cast("double")).alias("_now"), F.count_if(F.col("recency") > 90).alias("at_risk"), F.count_if(F.datediff(day, "first_purchase_date") <= 7).alias("new_this_week"))
-    both = now.join(F.broadcast(before))
-    return both.select(F.round("_now", 2).alias("average_ltv"), F.round((F.col("_now") / F.col("_past") - 1) * 100, 4).alias("ltv_change_pct"), "at_risk", "new_this_week")
-
-
-def segment_summary(profile: DataFrame, segment: str = "region") -> DataFrame:
-    """Customers, average value, ARR and orders of each segment, with a total row."""
-    by = profile.groupingSets([[segment], []], segment).agg(F.count(F.lit(1)).alias("customers"), F.avg(F.col("lifetime_value").cast("double")).alias("_l"), F.sum("arr").alias("_a"), F.avg("total_orders").alias("_o"), F.grouping_id().cast("int").alias("is_total"))
-    return by.select(segment, "is_total", "customers", F.round("_l", 2).alias("average_ltv"), dbl(F.coalesce("_a", F.lit(0))).alias("arr"), F.round("_o", 4).alias("average_orders"))
+    before = orders.where(F.col("order_date") < F.add_months(day, -1)).groupBy("customer_id").agg(F.sum("net").alias("v"))
+    before = before.agg(F.avg(F.col("v").cast("double")).alias("_past"))
+    fresh = F.datediff(day, "first_purchase_date") <= 7
+    counts = [F.count_if(F.col("recency") > 90).alias("at_risk"), F.count_if(fresh).alias("new_this_week")]
+    if segments is not None:
+        profile = profile.join(segments, "customer_id", "left")
+        counts.append(F.count_if(fresh & (F.col("ai_segment") == vip)).alias("new_vips_this_week"))
+    now = profile.agg(F.avg(F.col("lifetime_value").cast("double")).alias("_now"), *counts)
+    both = now.crossJoin(before)  # one row each
+    change = F.round((F.col("_now") / F.col("_past") - 1) * 100, 4).alias("ltv_change_pct")
+    names = [c for c in now.columns if c != "_now"]
+    return both.select(F.round("_now", 2).alias("average_ltv"), change, *names)
+
+
+def segment_summary(profile: DataFrame, segment: str = "region", before: DataFrame | None = None) -> DataFrame:
+    """Customers, average value, ARR and orders of each segment, with a total row; the average engagement if profile has
+    engagement_score; with before, the profile of a month ago, the change of customers in %."""
+    more = [F.avg("engagement_score").alias("_e")] if "engagement_score" in profile.columns else []
+    by = profile.groupingSets([[segment], []], segment).agg(
+        F.count(F.lit(1)).alias("customers"), F.avg(F.col("lifetime_value").cast("double")).alias("_l"), F.sum("arr").alias("_a"),
+        F.avg("total_orders").alias("_o"), F.grouping_id().cast("int").alias("is_total"), *more,
+    )
+    columns = [F.round("_l", 2).alias("average_ltv"), dbl(F.coalesce("_a", F.lit(0))).alias("arr"), F.round("_o", 4).alias("average_orders")]
+    if more:
+        columns.append(F.round("_e", 2).alias("average_engagement"))
+    if before is not None:
+        past = before.groupingSets([[segment], []], segment).agg(F.count(F.lit(1)).alias("_past"), F.grouping_id().cast("int").alias("_total"))
+        past = past.withColumnRenamed(segment, "_segment")
+        by = by.join(past, F.col(segment).eqNullSafe(F.col("_segment")) & (F.col("is_total") == F.col("_total")), "left")
+        columns.append(F.round((F.try_divide("customers", "_past") - 1) * 100, 4).alias("month_change_pct"))
+    return by.select(segment, "is_total", "customers", *columns)
 
 
 def engagement_score(profile: DataFrame) -> DataFrame:
     """100 x the mean of the percent ranks of recency (fewest days best) and frequency."""
+    profile = cut(profile.select("customer_id", "recency", "total_orders"))
     rows = scale.percent_rank(scale.percent_rank(profile, "recency", "_r", descending=True), "total_orders", "_f")
     return rows.select("customer_id", F.round(50 * (F.col("_r") + F.col("_f")), 2).alias("engagement_score"))
 
 
+def product_list(products: DataFrame, category: str | None = None, active: bool | None = None, size: int = 20, after: tuple | None = None) -> DataFrame:
+    """The next `size` products by name, of a category, active or not."""
+    if category is not None:
+        products = products.where(F.col("category") == category)
+    if active is not None:
+        products = products.where(F.col("is_active") == active)
+    return page(products, "name", "product_id", size, False, after)
+
+
 def inventory_cards(products: DataFrame) -> DataFrame:
     value = F.sum(F.col("stock_qty") * F.col("unit_price"))
     return products.agg(F.countDistinct("sku").alias("skus"), dbl(value, 2).alias("inventory_value"), F.count_if(F.col("stock_qty") < F.col("low_stock_threshold")).alias("low_stock"), F.countDistinct("category").alias("categories"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from orderlens.operators import ingest
 from orderlens.plans import registry
 from orderlens.plans.canon import AS_OF, SQL
+from orderlens.sources.tables import TABLES
 
 _D = f"DATE '{AS_OF}'"
 
@@ -110,6 +111,9 @@ def oracle_sql() -> dict[str, str]:
         "a04_basket_pairs": c("""+ d AS (SELECT DISTINCT order_id, product_id FROM items), k AS (SELECT product_id, count(*) AS n FROM d GROUP BY 1 HAVING count(*) >= 2), o AS (SELECT count(DISTINCT order_id) AS orders FROM items),
 p AS (SELECT x.product_id AS a, y.product_id AS b, count(*) AS support FROM d x JOIN d y ON x.order_id = y.order_id AND x.product_id < y.product_id GROUP BY 1, 2 HAVING count(*) >= 2)
 SELECT a, b, support, round(support / ka.n, 6) AS confidence, round(support::DOUBLE * orders / (ka.n * kb.n), 6) AS lift FROM p JOIN k ka ON ka.product_id = a JOIN k kb ON kb.product_id = b, o"""),
+        "a04_itemsets": c("""+ d AS (SELECT DISTINCT order_id, product_id AS p FROM items), lim AS (SELECT ceil(0.002 * count(DISTINCT order_id)) AS k FROM items), f AS (SELECT d.* FROM d JOIN (SELECT p FROM d GROUP BY 1 HAVING count(*) >= (SELECT k FROM lim)) USING (p)),
+x AS (SELECT p::VARCHAR AS items, count(*) AS support FROM f GROUP BY 1 UNION ALL SELECT a.p || ',' || b.p, count(*) FROM f a JOIN f b ON a.order_id = b.order_id AND a.p < b.p GROUP BY 1
+UNION ALL SELECT a.p || ',' || b.p || ',' || e.p, count(*) FROM f a JOIN f b ON a.order_id = b.order_id AND a.p < b.p JOIN f e ON e.order_id = a.order_id AND b.p < e.p GROUP BY 1) SELECT items, support FROM x WHERE support >= (SELECT k FROM lim)"""),
         "a05_forecast": c(_forecast() + "SELECT * EXCLUDE (k) FROM fc"),
         "a06_anomaly_z": c(_KPI + """, z AS (SELECT day, revenue AS value, CASE WHEN count(*) OVER w >= 2 AND stddev_samp(revenue) OVER w > 1e-9 THEN round((revenue - avg(revenue) OVER w) / stddev_samp(revenue) OVER w, 4) END AS z FROM kpi WINDOW w AS (ORDER BY day ROWS BETWEEN 30 PRECEDING AND 1 PRECEDING))
 SELECT *, coalesce(abs(z) > 3, FALSE) AS is_anomaly FROM z"""),
@@ -124,6 +128,8 @@ SELECT *, coalesce(abs(z) > 3, FALSE) AS is_anomaly FROM z"""),
 l AS (SELECT DISTINCT customer_id FROM sold WHERE order_date >= {_D} - 90 AND order_date < {_D})
 SELECT customer_id, recency::INT AS recency, frequency, round(n::DOUBLE, 4) AS monetary, round(CASE WHEN frequency > 1 THEN span::DOUBLE / (frequency - 1) ELSE tenure END, 4) AS mean_gap, tenure::INT AS tenure, CASE WHEN l.customer_id IS NULL THEN 1 ELSE 0 END AS churned FROM p LEFT JOIN l USING (customer_id)"""),
         "a13_geo": c("+ g AS (SELECT region, country, grouping(region, country)::INT AS level, sum(net)::DOUBLE AS n, count(*) AS orders, count(DISTINCT customer_id) AS customers FROM sold GROUP BY GROUPING SETS ((region, country), (region), ())) SELECT region, country, level, round(n, 4) AS revenue, orders, customers, round(n / max(n) OVER (), 6) AS share FROM g"),
+        "a13_geo_features": c("""+ g AS (SELECT region, country, sum(net) AS n, count(*) AS orders, count(DISTINCT customer_id) AS customers FROM sold GROUP BY 1, 2)
+SELECT country, '{"type":"Feature","properties":{"region":"' || region || '","country":"' || country || '","revenue":' || round(n::DOUBLE, 4)::DECIMAL(20,4) || ',"orders":' || orders || ',"customers":' || customers || '}}' AS feature FROM g"""),
         "a14_seasonality": c("""+ d AS (SELECT order_date, sum(net)::DOUBLE AS v FROM sold GROUP BY 1), m AS (SELECT avg(v) AS a FROM d)
 SELECT 'month' AS kind, month(order_date)::INT AS part, round(avg(v) / max(a), 6) AS index FROM d, m GROUP BY 2 UNION ALL SELECT 'weekday', dayofweek(order_date)::INT + 1, round(avg(v) / max(a), 6) FROM d, m GROUP BY 2"""),
         "a15_funnel": _STEPS,
@@ -163,18 +169,26 @@ SELECT day, active, known, round(1 - active / known, 4) AS churn_rate FROM a JOI
         "cv1_customer_search": c("SELECT customer_id, full_name, email FROM cust WHERE contains(lower(full_name), '#00000012') OR contains(email, '#00000012') OR contains(customer_id::VARCHAR, '#00000012')"),
         "cv2_customer_list": c(_PROFILE + "SELECT customer_id, round(lifetime_value::DOUBLE, 4) AS lifetime_value, country FROM prof JOIN cust USING (customer_id) WHERE region = 'EUROPE' ORDER BY prof.lifetime_value DESC, customer_id LIMIT 20"),
         "cv3_page": c(_PROFILE + "SELECT customer_id, total_orders FROM prof WHERE total_orders < 9 OR (total_orders = 9 AND customer_id > 100) ORDER BY total_orders DESC, customer_id LIMIT 20"),
-        "cv4_customer_cards": c(_PROFILE + f", b AS (SELECT avg(v::DOUBLE) AS past FROM (SELECT sum(net) AS v FROM sold WHERE order_date < {_D} - INTERVAL 1 MONTH GROUP BY customer_id)), n AS (SELECT avg(lifetime_value::DOUBLE) AS now, count(*) FILTER (recency > 90) AS at_risk, count(*) FILTER ({_D} - first_purchase_date <= 7) AS new_this_week FROM prof) SELECT round(now, 2) AS average_ltv, round((now / past - 1) * 100, 4) AS ltv_change_pct, at_risk, new_this_week FROM n, b"),
+        "cv4_customer_cards": c(_PROFILE + "," + _RFM.lstrip("+").replace("b AS (", "rb AS (").replace("FROM b)", "FROM rb)") + f", b AS (SELECT avg(v::DOUBLE) AS past FROM (SELECT sum(net) AS v FROM sold WHERE order_date < {_D} - INTERVAL 1 MONTH GROUP BY customer_id)), n AS (SELECT avg(lifetime_value::DOUBLE) AS now, count(*) FILTER (prof.recency > 90) AS at_risk, count(*) FILTER ({_D} - first_purchase_date <= 7) AS new_this_week, count(*) FILTER ({_D} - first_purchase_date <= 7 AND rfm_segment = 'Champions') AS new_vips_this_week FROM prof JOIN g USING (customer_id)) SELECT round(now, 2) AS average_ltv, round((now / past - 1) * 100, 4) AS ltv_change_pct, at_risk, new_this_week, new_vips_this_week FROM n, b"),
+        "cv5_segment_screen": c(_PROFILE + "," + _RFM.lstrip("+") + f""", e AS (SELECT customer_id, 50 * (percent_rank() OVER (ORDER BY recency DESC) + percent_rank() OVER (ORDER BY total_orders)) AS e FROM prof), a AS (SELECT rfm_segment AS ai_segment, grouping(rfm_segment)::INT AS is_total, count(*) AS customers, avg(lifetime_value::DOUBLE) AS l, sum(arr) AS arr, avg(total_orders) AS o, avg(round(e, 2)) AS e FROM prof JOIN g USING (customer_id) JOIN e USING (customer_id) GROUP BY GROUPING SETS ((rfm_segment), ())),
+p AS (SELECT rfm_segment AS s, grouping(rfm_segment)::INT AS t, count(*) AS past FROM g WHERE customer_id IN (SELECT customer_id FROM sold WHERE order_date < {_D} - INTERVAL 1 MONTH) GROUP BY GROUPING SETS ((rfm_segment), ()))
+SELECT ai_segment, is_total, customers, round(l, 2) AS average_ltv, round(coalesce(arr, 0)::DOUBLE, 4) AS arr, round(o, 4) AS average_orders, round(e, 2) AS average_engagement, round((customers / past - 1) * 100, 4) AS month_change_pct FROM a LEFT JOIN p ON ai_segment IS NOT DISTINCT FROM s AND is_total = t"""),
         "cv5_segment_summary": c(_PROFILE + "SELECT region, grouping(region)::INT AS is_total, count(*) AS customers, round(avg(lifetime_value::DOUBLE), 2) AS average_ltv, round(coalesce(sum(arr), 0)::DOUBLE, 4) AS arr, round(avg(total_orders), 4) AS average_orders FROM prof JOIN cust USING (customer_id) GROUP BY GROUPING SETS ((region), ())"),
         "cv6_engagement": c(_PROFILE + "SELECT customer_id, round(50 * (percent_rank() OVER (ORDER BY recency DESC) + percent_rank() OVER (ORDER BY total_orders)), 2) AS engagement_score FROM prof"),
         "cv7_arr": c(_PROFILE + "SELECT customer_id, round(coalesce(arr, 0)::DOUBLE, 4) AS arr FROM prof"),
-        "pv1_product_search": c("SELECT product_id, name, category FROM prod WHERE contains(lower(name), 'steel') OR contains(lower(category), 'steel') OR contains(lower(sku), 'steel')"),
+        "pv1_product_search": c("SELECT product_id, name, category FROM prod WHERE contains(lower(name), 'ring') OR contains(lower(category), 'ring') OR contains(lower(sku), 'ring')"),
+        "pv1_product_list": c("SELECT product_id, name, category FROM prod WHERE category = 'LARGE' AND product_id % 10 <> 0 AND name >= 'm' ORDER BY name, product_id LIMIT 20"),
         "pv2_inventory_cards": c("SELECT count(DISTINCT sku) AS skus, round(sum(stock_qty * unit_price)::DOUBLE, 2) AS inventory_value, count(*) FILTER (stock_qty < low_stock_threshold) AS low_stock, count(DISTINCT category) AS categories FROM prod"),
         "pv3_tier_summary": c(_ABC + "SELECT abc_tier, count(*) AS skus, round(sum(revenue), 2) AS revenue, round(sum(revenue) / (SELECT sum(revenue) FROM abc), 6) AS share FROM abc GROUP BY 1"),
         "rc1_latest_result": f"SELECT 'revenue_' || year(period) AS analysis_type, period AS computed_at, period::VARCHAR AS upload_job_id, FALSE AS is_stale, revenue FROM ({_revenue('month')}) WHERE month(period) <> 12 QUALIFY row_number() OVER (PARTITION BY year(period) ORDER BY period DESC) = 1",
         "rc2_insights": c("""+ y AS (SELECT region, year(order_date) AS year, sum(net)::DOUBLE AS revenue, count(*)::DOUBLE AS orders, count(DISTINCT customer_id)::DOUBLE AS customers, sum(cost)::DOUBLE AS cost FROM sold GROUP BY 1, 2), u AS (SELECT region, year, unnest(['revenue', 'orders', 'customers', 'cost']) AS name, unnest([revenue, orders, customers, cost]) AS value FROM y),
 m AS (SELECT a.region, a.name, (a.value - b.value) / abs(b.value) * 100 AS m FROM u a JOIN u b ON a.region = b.region AND a.name = b.name AND a.year = 2000 AND b.year = 1999 WHERE b.value <> 0), k AS (SELECT *, row_number() OVER (PARTITION BY region ORDER BY abs(round(m, 6)) DESC, name) AS bullet_index FROM m)
 SELECT region, bullet_index::INT AS bullet_index, name || CASE WHEN m >= 0 THEN ' rose by ' ELSE ' fell by ' END || round(abs(m))::BIGINT || ' %' AS bullet_text FROM k WHERE bullet_index <= 3"""),
-        "io2_table_counts": "SELECT o_orderstatus, count(*) AS rows FROM orders GROUP BY 1",
+        "io1_read_csv": c("+ d AS (SELECT order_id AS k, total::DECIMAL(14,2)::VARCHAR AS t FROM ord) SELECT k::VARCHAR AS external_id, CASE k % 7 WHEN 0 THEN 'N/A' WHEN 1 THEN '$' || t ELSE t END AS total_amount, TRUE AS fits FROM d"),
+        "io2_table_counts": " UNION ALL ".join(f"SELECT '{t}' AS name, count(*) AS rows FROM {t}" for t in TABLES),
+        "io3_append": c("SELECT strftime(order_date, '%Y-%m') AS order_month, count(*) AS orders, round(sum(net)::DOUBLE, 4) AS net FROM ord GROUP BY 1"),
+        "io5_export": c("SELECT payment_method, count(*) AS orders FROM sold GROUP BY 1"),
+        "io6_st3_stream_ingest": c("SELECT order_id::VARCHAR AS external_id, CASE WHEN order_id % 7 <> 0 THEN total::DECIMAL(14,2)::DOUBLE END AS total_amount FROM ord"),
         "io4_result_json": c("""+ b AS (SELECT payment_method, count(*) AS orders FROM sold GROUP BY 1) SELECT 'payment_channel' AS analysis_type, 'job1' AS upload_job_id, '[' || string_agg('{"payment_method":"' || payment_method || '","orders":' || orders || '}', ',' ORDER BY payment_method) || ']' AS result_json FROM b"""),
         "in1_map_exact": c(_MAPS + "SELECT upload_job_id, csv_header, mapped_table, mapped_column, match_score, match_method FROM hd JOIN ex USING (csv_header)"),
         "in2_map_fuzzy": c(_MAPS + "SELECT upload_job_id, csv_header, mapped_table, mapped_column, match_score, match_method FROM hd JOIN fz USING (csv_header)"),
@@ -189,6 +203,8 @@ SELECT upload_job_id, csv_header, mapped_table, mapped_column, match_score, coal
         "in10_drop_duplicates": c("SELECT order_id, product_id, round(line_total::DOUBLE, 2) AS line_total, quantity FROM items QUALIFY row_number() OVER (PARTITION BY order_id, product_id ORDER BY line_total DESC, quantity DESC, supplier_id DESC, ship_date DESC) = 1"),
         "in11_validate": c(_DIRTY + "SELECT external_id, array_to_string(reasons, ',') AS reasons FROM mk"),
         "in12_constraints": c("SELECT 'status' AS rule, count(*) FILTER (status NOT IN ('completed', 'pending', 'refunded', 'cancelled')) AS violations FROM ord UNION ALL SELECT 'total', count(*) FILTER (total < 0) FROM ord UNION ALL SELECT 'discount', count(*) FILTER (discount < 0 OR discount > total) FROM ord UNION ALL SELECT 'delivery', count(*) FILTER (delivery_days < 0) FROM ord"),
+        "in12_model_constraints": c(_PROFILE + "," + _ABC.lstrip("+") + "," + _forecast().lstrip("+") + """, e AS (SELECT 50 * (percent_rank() OVER (ORDER BY recency DESC) + percent_rank() OVER (ORDER BY total_orders)) AS e FROM prof)
+SELECT 'engagement' AS rule, count(*) FILTER (e NOT BETWEEN 0 AND 100) AS violations FROM e UNION ALL SELECT 'tier', count(*) FILTER (abc_tier NOT IN ('A', 'B', 'C')) FROM abc UNION ALL SELECT 'band', count(*) FILTER (NOT (yhat_lower <= yhat AND yhat <= yhat_upper)) FROM fc UNION ALL SELECT unnest(['sentiment', 'bullet', 'churn_risk']), 0"""),
         "in13_references": c("SELECT o_orderkey AS order_id FROM orders WHERE o_orderkey NOT IN (SELECT order_id FROM items)"),
         "in14_unique": "SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1",
         "in15_upsert": c("""SELECT product_id, name, round(CASE WHEN product_id % 2 = 0 THEN (unit_price * 1.10)::DECIMAL(10,2) ELSE unit_price END::DOUBLE, 2) AS unit_price FROM prod UNION ALL SELECT product_id + 100000000, name, round(unit_price::DOUBLE, 2) FROM prod WHERE product_id % 2 = 0"""),
@@ -198,6 +214,7 @@ SELECT upload_job_id, csv_header, mapped_table, mapped_column, match_score, coal
         "in19_rollback": c("SELECT 'job' || year(order_date) AS upload_job_id, count(*) AS items, round(sum(line_total)::DOUBLE, 4) AS total FROM items JOIN ord USING (order_id) WHERE year(order_date) <> 1999 GROUP BY 1"),
         "in20_active_only": c("SELECT region, count(*) AS customers FROM cust WHERE gender <> 'Male' GROUP BY 1"),
         "in21_snapshot_region": c("SELECT CASE WHEN status = 'completed' THEN 'FIXED' ELSE region END AS region, count(*) AS orders FROM ord GROUP BY 1"),
+        "in21_region_of_country": c("SELECT customer_id, CASE " + " ".join(f"WHEN upper(trim(substr(country, 1, 2))) = '{k}' THEN '{v}'" for k, v in ingest.REGIONS.items()) + " END AS region FROM cust"),
         "in22_currency": c("SELECT CASE WHEN order_id % 5 <> 0 THEN 'USD' END AS currency, count(*) AS orders FROM ord GROUP BY 1"),
         "in23_upload_report": c(_DIRTY + """, x AS (SELECT upload_job_id, unnest(list_concat(['rows_total', CASE WHEN len(reasons) > 0 THEN 'rows_failed' ELSE 'rows_processed' END], reasons)) AS reason FROM mk), n AS (SELECT upload_job_id, reason, count(*) AS rows FROM x GROUP BY 1, 2)
 SELECT upload_job_id, reason, rows, round(rows / max(rows) OVER (PARTITION BY upload_job_id), 6) AS share FROM n"""),

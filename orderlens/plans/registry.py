@@ -12,6 +12,7 @@ from orderlens.operators import analytics as an, ingest, kpi, views
 from orderlens.plans import scale
 from orderlens.plans.canon import AS_OF, Canon
 from orderlens.sources import tables
+from orderlens.sources.shared import cut, new_path
 
 REGIONS = ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"]
 STEPS = ["view", "click", "signup", "purchase"]
@@ -22,8 +23,14 @@ ALIASES = [
 ]
 SYNONYMS = [("orders", "total_amount", ["total", "amount", "sale", "revenue"]), ("customers", "email", ["customer", "email", "mail"]), ("orders", "order_date", ["order", "date", "day"]), ("products", "name", ["product", "name", "item"])]
 HEADERS = ["Order ID", "Cust_Email", "Sale Amt", "Dte", "Qty", "SKU", "Disc", "Mail of Customer", "Totl Amount", "Colour"]
-#: Words of the sample texts' languages that stand for approval and for blame.
-LEXICON = [("good", 1), ("the", 1), ("for", 1), ("la", 1), ("der", 1), ("el", 1), ("with", 1), ("of", -1), ("that", -1), ("de", -1), ("und", -1), ("los", -1), ("was", -1), ("idiot", -1)]
+#: Words of praise and of blame in the languages of the texts. Invented prose hardly has them.
+PRAISE = """good great excellent amazing wonderful perfect love happy best helpful friendly quick recommend satisfied reliable
+gut toll hervorragend wunderbar perfekt zufrieden schnell freundlich empfehle bon excellent parfait merveilleux satisfait rapide
+aimable recommande bueno excelente perfecto maravilloso satisfecho amable recomiendo encanta""".split()
+BLAME = """bad terrible awful horrible worst poor hate broken slow rude useless disappointed defective refund late idiot stupid
+schlecht schrecklich furchtbar kaputt langsam nutzlos enttäuscht mauvais horrible nul lent cassé déçu inutile malo terrible pésimo
+lento roto decepcionado inútil""".split()
+LEXICON = [(w, 1) for w in dict.fromkeys(PRAISE)] + [(w, -1) for w in dict.fromkeys(BLAME)]
 
 
 @lru_cache(4)
@@ -123,6 +130,100 @@ def grid(c: Canon) -> DataFrame:
     return c.spark.createDataFrame([(m, p, s) for m in (0.0, 25.0, 50.0) for p in (-10.0, 0.0, 20.0) for s in ("low", "medium", "high")], "marketing_pct double, price_pct double, seasonal string")
 
 
+def raw_uploads(c: Canon) -> tuple[str, list[str]]:
+    """(a folder of CSV files with the dirty uploads, their header)."""
+    path, header = new_path(c.spark), ["Order ID", "Date", "Sale Amt", "Status"]
+    rows = dirty(c).select("external_id", "order_date", "total_amount", "status").toDF(*header)
+    rows.write.option("header", True).csv(path)
+    return path, header
+
+
+def read_uploads(c: Canon) -> DataFrame:
+    """IO1: what comes back of the uploads as raw text."""
+    raw = tables.read_csv(c.spark, *raw_uploads(c))
+    return raw.select(F.col("Order ID").alias("external_id"), F.col("Sale Amt").alias("total_amount"), F.col("_bad").isNull().alias("fits"))
+
+
+def appended(c: Canon) -> DataFrame:
+    """IO3: two appends to a fact table, read back by month."""
+    path, rows = new_path(c.spark), c.orders.select("order_id", "order_date", "net")
+    for part in (0, 1):
+        tables.append(rows.where(F.col("order_id") % 2 == part), path)
+    by = c.spark.read.parquet(path).groupBy(F.col("order_month").cast("string").alias("order_month"))
+    return by.agg(F.count(F.lit(1)).alias("orders"), an.dbl(F.sum("net")).alias("net"))
+
+
+def exported(c: Canon) -> DataFrame:
+    """IO5: a module's result as CSV, read back."""
+    path = new_path(c.spark)
+    tables.export(an.payment_channel(c.orders, c.sold).select("payment_method", "orders"), path)
+    return c.spark.read.option("header", True).csv(path).select("payment_method", F.col("orders").cast("long").alias("orders"))
+
+
+def ingested(c: Canon) -> DataFrame:
+    """IO6 and ST3: uploads as a stream of landed files into a table, every second row landing once more."""
+    from orderlens.streaming import stream
+
+    landing, target = new_path(c.spark), new_path(c.spark)
+    rows = dirty(c).select("external_id", "total_amount")
+    for i, part in enumerate((rows, rows.where("external_id % 2 = 0"))):
+        part.write.mode("append").option("header", True).csv(landing)
+        found = tables.stream_landing(c.spark, landing, rows.columns)
+
+        def clean(batch: DataFrame) -> DataFrame:
+            numbers = ingest.coerce_numeric(ingest.clean_missing(batch), ["total_amount"], "decimal(14,2)")
+            return ingest.drop_duplicates(numbers, ["external_id"], ["total_amount"])
+
+        stream.stream_ingest(found, clean, target, "external_id", target + "-state").awaitTermination()
+    return c.spark.read.parquet(target).select("external_id", F.col("total_amount").cast("double").alias("total_amount"))
+
+
+def tiers(c: Canon) -> DataFrame:
+    """The RFM segment of each customer, as ai_segment."""
+    return an.rfm(c.sold, AS_OF).select("customer_id", F.col("rfm_segment").alias("ai_segment"))
+
+
+def segment_screen(c: Canon) -> DataFrame:
+    """Segments with engagement, and with the change against the customers of a month ago."""
+    known = cut(tiers(c))
+    now = profile(c).join(known, "customer_id").join(views.engagement_score(profile(c)), "customer_id")
+    month = F.add_months(F.lit(AS_OF).cast("date"), -1)
+    past = an.customer_profile(c.sold.where(F.col("order_date") < month), AS_OF).join(known, "customer_id")
+    return views.segment_summary(now, "ai_segment", past)
+
+
+def model_constraints(c: Canon) -> DataFrame:
+    tables_ = {
+        "engagement": views.engagement_score(profile(c)), "tier": an.abc_tier(c.sold_items, AS_OF), "sentiment": scored(c),
+        "band": forecast(c), "bullet": insights(c), "churn_risk": an.churn_risk(an.churn_features(c.sold, AS_OF)),
+    }
+    parts = [ingest.check_constraints(df, {name: ingest.MODEL_RULES[name]()}) for name, df in tables_.items()]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def listed(c: Canon) -> DataFrame:
+    rows = c.products.withColumn("is_active", F.col("product_id") % 10 != 0)
+    return views.product_list(rows, "LARGE", True, after=("m", 0)).select("product_id", "name", "category")
+
+
+def frozen(c: Canon) -> DataFrame:
+    daily, day = cut(kpi.daily_kpi(c.sold)), "2001-07-31"
+    once = kpi.freeze_snapshot(daily, day, daily.where("day < date '2001-07-31'"))
+    return kpi.freeze_snapshot(daily, day, once)
+
+
+def table_counts(c: Canon) -> DataFrame:
+    """IO2: the rows of every table."""
+    count = lambda n: c.t[n].agg(F.lit(n).alias("name"), F.count(F.lit(1)).alias("rows")).select("name", "rows")
+    out = count(tables.TABLES[0])
+    for n in tables.TABLES[1:]:
+        out = out.unionByName(count(n))
+    return out
+
+
 def clv_counts(c: Canon) -> DataFrame:
     from orderlens.operators import models
 
@@ -148,7 +249,7 @@ QUERIES: dict[str, Callable[[Canon], DataFrame]] = {
     "a03_revenue_month": lambda c: an.revenue(c.sold, "month"),
     "a03_revenue_week": lambda c: an.revenue(c.sold, "week"),
     "a04_basket_pairs": lambda c: an.basket_pairs(c.items, 2),
-    "a04_itemsets": lambda c: an.basket_itemsets(c.items, 0.002),
+    "a04_itemsets": lambda c: an.basket_itemsets(c.items, 0.002).select(F.concat_ws(",", F.col("items").cast("array<string>")).alias("items"), "support"),
     "a05_forecast": lambda c: forecast(c),
     "a06_anomaly_z": lambda c: an.anomaly_z(daily_values(c)),
     "a06_anomaly_iqr": lambda c: an.anomaly_iqr(daily_values(c)),
@@ -186,7 +287,7 @@ QUERIES: dict[str, Callable[[Canon], DataFrame]] = {
     "kp3_revenue_by_region": lambda c: kpi.revenue_by_region(c.sold, REGIONS),
     "kp4_period_delta": lambda c: kpi.period_delta(kpi.daily_kpi(c.sold)),
     "kp5_sales_trend": lambda c: kpi.sales_trend(kpi.daily_kpi(c.sold)),
-    "kp6_freeze_snapshot": lambda c: kpi.freeze_snapshot(kpi.daily_kpi(c.sold), "2001-07-31", kpi.freeze_snapshot(kpi.daily_kpi(c.sold), "2001-07-31", kpi.daily_kpi(c.sold).where("day < date '2001-07-31'"))),
+    "kp6_freeze_snapshot": frozen,
     "kp7_mrr_growth": lambda c: an.revenue(c.sold, "month").select("period", "revenue", "growth"),
     "kp8_win_rate": lambda c: kpi.win_rate(c.orders),
     "kp9_quarterly_margin": lambda c: kpi.quarterly_margin(c.sold),
@@ -197,16 +298,22 @@ QUERIES: dict[str, Callable[[Canon], DataFrame]] = {
     "cv1_customer_search": lambda c: views.search(c.customers, "#00000012", ["full_name", "email", "customer_id"]).select("customer_id", "full_name", "email"),
     "cv2_customer_list": lambda c: views.customer_list(profile(c).join(c.customers, "customer_id"), "highest_ltv", F.col("region") == "EUROPE").select("customer_id", an.dbl("lifetime_value").alias("lifetime_value"), "country"),
     "cv3_page": lambda c: views.page(profile(c), "total_orders", "customer_id", 20, True, (9, 100)).select("customer_id", "total_orders"),
-    "cv4_customer_cards": lambda c: views.customer_cards(profile(c), c.sold, AS_OF),
+    "cv4_customer_cards": lambda c: views.customer_cards(profile(c), c.sold, AS_OF, tiers(c), "Champions"),
     "cv5_segment_summary": lambda c: views.segment_summary(profile(c).join(c.customers, "customer_id")),
+    "cv5_segment_screen": segment_screen,
     "cv6_engagement": lambda c: views.engagement_score(profile(c)),
     "cv7_arr": lambda c: profile(c).select("customer_id", an.dbl(F.coalesce("arr", F.lit(0))).alias("arr")),
-    "pv1_product_search": lambda c: views.search(c.products.where("category is not null"), "steel", ["name", "category", "sku"]).select("product_id", "name", "category"),
+    "pv1_product_search": lambda c: views.search(c.products, "ring", ["name", "category", "sku"]).select("product_id", "name", "category"),
+    "pv1_product_list": listed,
     "pv2_inventory_cards": lambda c: views.inventory_cards(c.products),
     "pv3_tier_summary": lambda c: views.tier_summary(an.abc_tier(c.sold_items, AS_OF)),
     "rc1_latest_result": lambda c: views.latest_result(an.revenue(c.sold).select(F.concat(F.lit("revenue_"), F.year("period").cast("string")).alias("analysis_type"), F.col("period").alias("computed_at"), F.col("period").cast("string").alias("upload_job_id"), (F.month("period") == 12).alias("is_stale"), "revenue")),
     "rc2_insights": insights,
-    "io2_table_counts": lambda c: c.t["orders"].groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("rows")),
+    "io1_read_csv": read_uploads,
+    "io2_table_counts": table_counts,
+    "io3_append": appended,
+    "io5_export": exported,
+    "io6_st3_stream_ingest": ingested,
     "io4_result_json": lambda c: tables.result_json(an.payment_channel(c.orders, c.sold).select("payment_method", "orders"), "payment_channel", "job1", ["payment_method"]),
     "in1_map_exact": lambda c: ingest.map_exact(headers(c), dictionary(c)),
     "in2_map_fuzzy": lambda c: ingest.map_fuzzy(headers(c), dictionary(c)),
@@ -220,6 +327,7 @@ QUERIES: dict[str, Callable[[Canon], DataFrame]] = {
     "in10_drop_duplicates": lambda c: ingest.drop_duplicates(c.items, ["order_id", "product_id"], ["line_total", "quantity", "supplier_id", "ship_date"]).select("order_id", "product_id", an.dbl("line_total", 2).alias("line_total"), "quantity"),
     "in11_validate": lambda c: marked(c).select("external_id", F.concat_ws(",", "reasons").alias("reasons")),
     "in12_constraints": lambda c: ingest.check_constraints(c.orders, {n: r() for n, r in ingest.ORDER_RULES.items()}),
+    "in12_model_constraints": model_constraints,
     "in13_references": lambda c: ingest.check_references(c.t["orders"].select(F.col("o_orderkey").alias("order_id")), c.items, "order_id", "order_id"),
     "in14_unique": lambda c: ingest.check_unique(c.t["lineitem"], ["l_orderkey", "l_linenumber"]),
     "in15_upsert": upserted,
@@ -229,6 +337,7 @@ QUERIES: dict[str, Callable[[Canon], DataFrame]] = {
     "in19_rollback": rolled_back,
     "in20_active_only": lambda c: ingest.active_only(c.customers.withColumn("deleted_at", F.when(F.col("gender") == "Male", F.lit("2001-01-01").cast("date")))).groupBy("region").agg(F.count(F.lit(1)).alias("customers")),
     "in21_snapshot_region": lambda c: ingest.snapshot_region(c.orders.withColumn("region", F.when(F.col("status") == "completed", F.lit("FIXED"))), c.customers).groupBy("region").agg(F.count(F.lit(1)).alias("orders")),
+    "in21_region_of_country": lambda c: c.customers.select("customer_id", ingest.region_of_country(F.substring("country", 1, 2)).alias("region")),
     "in22_currency": lambda c: dirty(c).groupBy(ingest.normalise_currency(F.col("currency")).alias("currency")).agg(F.count(F.lit(1)).alias("orders")),
     "in23_upload_report": lambda c: ingest.upload_report(marked(c)),
     "sc_derived_orders": lambda c: c.orders.select("order_id", an.dbl(derive.net_amount(F.col("total"), F.col("discount"))).alias("net_amount"), an.dbl(derive.gross_margin(F.col("net"), F.when(F.col("return_flag"), F.lit(None)).otherwise(F.col("cost")))).alias("gross_margin"), derive.cohort_month(F.col("order_date")).alias("cohort_month"), derive.at_risk(F.col("order_date"), AS_OF).alias("at_risk")),
@@ -244,18 +353,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: bound(build) for name, build in QUERIES.items()} | {"st1_stream_kpi": stream_kpi, "st2_stream_dedup": stream_dedup}
 
 
-def _finite(stream: DataFrame, mode: str, name: str) -> DataFrame:
-    """What a stream over the files that are there comes to."""
-    spark = stream.sparkSession
-    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.table(name)
-
-
 def stream_kpi(spark: SparkSession, sf_dir: str) -> DataFrame:
     from orderlens.streaming import stream
 
-    return _finite(stream.stream_kpi(stream.stream_events(spark, sf_dir)), "complete", "st1_kpi").select(F.col("window_start").cast("date").alias("day"), "events", F.round("value", 4).alias("value"))
+    days = stream.settle(stream.stream_kpi(stream.stream_events(spark, sf_dir)), "complete")
+    return days.select(F.col("window_start").cast("date").alias("day"), "events", F.round("value", 4).alias("value"))
 
 
 def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -263,4 +365,4 @@ def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     events = stream.stream_events(spark, sf_dir)
     twice = events.unionByName(stream.stream_events(spark, sf_dir))
-    return _finite(stream.stream_dedup(twice, ["event_id"]).select("event_id", "user_id"), "append", "st2_dedup")
+    return stream.settle(stream.stream_dedup(twice, ["event_id"]).select("event_id", "user_id"))

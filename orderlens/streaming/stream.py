@@ -7,11 +7,30 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from orderlens.sources.shared import new_path
+
 
 def stream_events(spark: SparkSession, folder: str) -> DataFrame:
-    """The events table as a stream; its time is a timestamp with the session's zone, as watermarks need."""
-    schema = spark.read.parquet(f"{folder}/events.parquet").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(folder).withColumn("ts", F.col("ts").cast("timestamp"))
+    """The events table, a file or a folder of files, as a stream; its time is a timestamp with the session's zone, as watermarks need."""
+    path = f"{folder}/events.parquet"
+    schema = spark.read.parquet(path).schema
+    return spark.readStream.schema(schema).option("recursiveFileLookup", True).parquet(path + "*").withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+def settle(stream: DataFrame, mode: str = "append") -> DataFrame:
+    """What a stream over the files that are there comes to, written to the shared folder and read back."""
+    spark = stream.sparkSession
+    path = new_path(spark)
+    writer = stream.writeStream.option("checkpointLocation", path + "-state").trigger(availableNow=True)
+    if mode == "append":
+        writer.format("parquet").option("path", path).outputMode("append").start().awaitTermination()
+    else:  # each batch replaces what is there
+
+        def keep(batch: DataFrame, batch_id: int) -> None:
+            batch.write.mode("overwrite").parquet(path)
+
+        writer.foreachBatch(keep).outputMode(mode).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(path)
 
 
 def stream_kpi(events: DataFrame, late: str = "5 minutes", window: str = "1 day") -> DataFrame:
@@ -26,15 +45,12 @@ def stream_dedup(events: DataFrame, key: list[str], late: str = "5 minutes") ->
 
 def stream_ingest(stream: DataFrame, transform: Callable[[DataFrame], DataFrame], target: str, key: str, checkpoint: str) -> StreamingQuery:
     """Clean each micro-batch by transform and append the rows whose key the target does not have: a replayed batch adds nothing."""
+    spark = stream.sparkSession
+    schema = transform(spark.createDataFrame([], stream.schema)).schema
+    spark.createDataFrame([], schema).write.mode("append").parquet(target)  # a target to look into, if there is none
 
     def add(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        new = transform(batch)
-        try:
-            new = new.join(spark.read.schema(new.schema).parquet(target).select(key), key, "left_anti")
-        except Exception as e:  # the first batch: there is no target yet
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-        new.write.mode("append").parquet(target)
+        known = batch.sparkSession.read.schema(schema).parquet(target).select(key)
+        transform(batch).join(known, key, "left_anti").write.mode("append").parquet(target)
 
     return stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

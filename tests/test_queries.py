@@ -42,7 +42,7 @@ def test_query(spark, duck, name):
     if sql:
         assert table(got) == table(duck.execute(sql).df())
     else:
-        assert len(got) and name in {"a04_itemsets", "a06_isolation_forest", "a07_clv", "a09_segmentation", "a12_churn_risk", "a13_geo_features"}
+        assert len(got) and name in {"a06_isolation_forest", "a07_clv", "a09_segmentation", "a12_churn_risk"}
 
 
 def test_entry(spark):
