@@ -25,6 +25,8 @@ REMEMBERED = 300_000
 RANGE_BYTES, COARSE = 64 << 20, 1000
 #: Jaccard likeness of shingle sets from which two texts are near copies.
 LIKE = 0.8
+#: Texts of a band that all meet; in larger bands, texts that have a shingle for it to tell pairs apart.
+FEW = 32
 
 _rng = np.random.default_rng(SEED)
 _A = _rng.integers(1, 2**63, PERMUTATIONS, np.uint64)[:, None] * np.uint64(2) + np.uint64(1)
@@ -233,31 +235,91 @@ def verified(pairs: DataFrame, grams: DataFrame, least: float) -> DataFrame:
     return sized.where(both / (m + n - both) >= least).select("u", "v")
 
 
+def unresolved(groups: DataFrame, roots: DataFrame) -> DataFrame:
+    """groups (band, id) with root and main, the commonest root of the band, for bands whose texts are not yet one component."""
+    placed = groups.join(roots, "id", "left").select("band", "id", F.coalesce("root", "id").alias("root"))
+    kinds = placed.groupBy("band").agg(F.mode("root").alias("main"), F.min("root").alias("_a"), F.max("root").alias("_b"))
+    return cut(placed.join(kinds.where("_a != _b").select("band", "main"), "band"))
+
+
+def met(rows: DataFrame, grams: DataFrame, least: float, head) -> DataFrame:
+    """Verified links of the texts of each band of rows (band, id, root) to the one that `head` (an aggregate of id) names."""
+    heads = rows.groupBy("band").agg(head.alias("u"))
+    star = rows.join(heads, "band").select("u", F.col("id").alias("v"))
+    return cut(verified(ordered(star), grams, least))
+
+
+def pairs_of(rows: DataFrame, fits=None) -> DataFrame:
+    """Pairs (u, v) of texts of a band that are in different components: those outside its main one with all others. fits: a condition
+    on the columns of both, with _u and _v before their names."""
+    side = lambda x, df: df.select("band", *[F.col(c).alias(f"_{x}{c}") for c in df.columns if c != "band"])
+    pairs = side("u", rows.where("root != main")).join(side("v", rows), "band").where("_uroot != _vroot")
+    return (pairs if fits is None else pairs.where(fits)).select(F.col("_uid").alias("u"), F.col("_vid").alias("v"))
+
+
+def linked(groups: DataFrame, grams: DataFrame, known: DataFrame, least: float, few: int = FEW) -> DataFrame:
+    """known (u, v) and links that connect what pairs of a band of groups (band, id) with a likeness of `least` or more connect.
+
+    First each text meets the smallest id of its bands. Of the texts in bands that are not one component then and have over `few` texts,
+    let H be the shingles that over `few` of them have. A pair without a common shingle outside H shares no more than either has in H,
+    which bounds the sizes that a partner may have: only the few texts for which such partners exist go on, first to the most central
+    one of a band, then to all. A pair with a common shingle outside H has one among the rarest ones of both, and at most `few` texts
+    have that one.
+    """
+    known_roots = lambda: components(known).withColumnRenamed("node", "id")
+    rows = unresolved(groups, known_roots())
+    if rows.isEmpty():
+        return known
+    known = known.unionByName(met(rows, grams, least, F.min("id")))
+    rows = unresolved(groups, known_roots())
+    if rows.isEmpty():
+        return known
+    large = cut(rows.groupBy("band").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > few).select("band"))
+    pairs = pairs_of(rows.join(large, "band", "left_anti"))
+    if not large.isEmpty():
+        inside_large = cut(rows.join(large, "band").select("band", "id"))
+        sets = cut(grams.join(inside_large.select("id").distinct(), "id", "left_semi"))
+        shingles = sets.select("id", F.explode("grams").alias("g"))
+        times = cut(shingles.groupBy("g").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") <= few))
+        # only what is outside H is joined: no shingle there has over `few` texts
+        out = shingles.join(times, "g").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("df", "g"))).alias("out"))
+        own = sets.select("id", F.size("grams").alias("n")).join(out, "id", "left").withColumn("_k", F.coalesce(F.size("out"), F.lit(0)))
+        inside = F.col("n") - F.greatest("_k", F.lit(0))
+        # a pair that is no pair by its part in H has so many shingles outside H in common, so one of the first ones of each
+        firsts = F.col("_k") - F.greatest(F.ceil(F.col("n") * least - inside - 1e-6), F.lit(1)) + 1
+        own = own.withColumn("most", inside * (1 + least) / least - F.col("n") + 1e-6)
+        own = cut(own.withColumn("out", F.slice("out", F.lit(1), F.greatest(firsts, F.lit(0)).cast("int"))).drop("_k"))
+
+        placed = inside_large.join(own.select("id", "n", "most"), "id")
+        low = placed.groupBy("band").agg(F.min("n").alias("_low"))
+        live = cut(placed.join(low, "band").where("most >= _low").select("band", "id", "n", "most"))
+        known = known.unionByName(met(live, grams, least, F.max_by("id", F.struct("most", "id"))))
+        roots = known_roots()
+        placed = unresolved(live.select("band", "id"), roots).join(live, ["band", "id"])
+        pairs = pairs.unionByName(pairs_of(placed, F.expr("_un <= _vmost and _vn <= _umost")))
+        smaller = own.select(F.explode(F.filter("out", lambda x: x["df"] > 1)["g"]).alias("band"), "id")
+        pairs = pairs.unionByName(pairs_of(unresolved(smaller, roots)))
+    return known.unionByName(cut(verified(ordered(pairs), grams, least)))
+
+
 def near_links(texts: DataFrame, found: DataFrame, more: DataFrame | None = None, least: float = LIKE) -> DataFrame:
     """Links (u, v) that connect what pairs of texts (id, text; equal texts have equal ids) with a Jaccard likeness of `least` or
     more connect. Every link is verified from the sets of WIDTH-word shingles.
 
-    Candidates are pairs that share a band (found: id, bands) and the pairs `more` (u, v). First each text meets the smallest id of its
-    bands; then, in bands whose texts are not yet one group, texts outside the band's largest group meet all that are not in theirs.
-    So no pair of a band is left out, and a band of one group, however large, costs one pair a text. At 0.8 and 25 bands of 5 rows, a
-    pair shares no band with a chance of about 5 in 100,000.
+    Candidates are pairs that share a band (found: id, bands), see linked(), and the pairs `more` (u, v). No pair of a band is left
+    out. At 0.8 and 25 bands of 5 rows, a pair shares no band with a chance of about 5 in 100,000.
     """
     band = Window.partitionBy("band")
-    shared = found.select("id", F.explode("bands").alias("band")).withColumn("head", F.min("id").over(band)).withColumn("_last", F.max("id").over(band))
-    shared = cut(shared.where(F.col("head") < F.col("_last")).select("id", "band", "head"))
-    star = shared.select(F.col("head").alias("u"), F.col("id").alias("v"))
-    star = cut(ordered(star if more is None else star.unionByName(more)))
-    asked = star.select(F.col("u").alias("id")).unionByName(star.select(F.col("v").alias("id"))).distinct()
-    grams = cut(gram_sets(texts.join(asked, "id", "left_semi").dropDuplicates(["id"])))
-    first = cut(verified(star, grams, least))
-
-    known = components(first).withColumnRenamed("node", "id")
-    in_bands = cut(shared.join(known, "id", "left").select("band", "id", F.coalesce("root", "id").alias("root")))
-    split = in_bands.groupBy("band").agg(F.mode("root").alias("main"), F.min("root").alias("_a"), F.max("root").alias("_b")).where("_a != _b")
-    rows = cut(in_bands.join(split.select("band", "main"), "band"))
-    rest = rows.where("root != main").select("band", F.col("id").alias("u"), F.col("root").alias("_u"))
-    pairs = rest.join(rows.select("band", F.col("id").alias("v"), F.col("root").alias("_v")), "band").where("_u != _v")
-    return first.unionByName(verified(ordered(pairs.select("u", "v")).join(star, ["u", "v"], "left_anti"), grams, least))
+    shared = found.select("id", F.explode("bands").alias("band")).withColumn("_a", F.min("id").over(band)).withColumn("_b", F.max("id").over(band))
+    shared = cut(shared.where("_a < _b").select("band", "id"))
+    asked = shared.select("id")
+    none = shared.select(F.col("id").alias("u"), F.col("id").alias("v")).limit(0)
+    if more is not None:
+        more = cut(ordered(more))
+        asked = asked.union(more.select("u")).union(more.select("v"))
+    grams = cut(gram_sets(texts.join(asked.distinct(), "id", "left_semi").dropDuplicates(["id"])))
+    known = none if more is None else cut(verified(more, grams, least))
+    return linked(shared, grams, known, least)
 
 
 def near_copies(docs: DataFrame, least: float = LIKE) -> DataFrame:

@@ -47,6 +47,24 @@ def test_stage_against_exact_jaccard(spark):
     assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, frame, None).collect()) == want
 
 
+def test_one_large_group(spark, monkeypatch):
+    from orderlens.llm import minhash
+
+    monkeypatch.setattr(minhash.linked, "__defaults__", (5,))
+    rng = random.Random(9)
+    pool = ["".join(rng.choices("abcdefghij", k=5)) for _ in range(60)]
+    base, docs = rng.choices(pool, k=60), []
+    for _ in range(110):  # most of them too far from each other, some close to a few
+        words = list(rng.choice(docs[-9:]) if docs and rng.random() < 0.4 else base)
+        for at in rng.sample(range(len(words)), rng.choice((0, 1, 1, 2, 3))):
+            words[at] = rng.choice(pool)
+        docs.append(words[: rng.choice((60, 60, 58, 50))])
+    docs = list(enumerate(" ".join(w) for w in docs))
+    want = brute(docs)
+    assert 5 < len(want) < 100
+    assert sorted(r.doc_id for r in simhash.keep_first_copy(spark.createDataFrame(docs, "doc_id long, text string")).collect()) == want
+
+
 def test_given_table(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     assert sorted(r.doc_id for r in simhash.keep_first_copy(docs).collect()) == brute(sorted((r.doc_id, r.text) for r in docs.collect()))
