@@ -23,6 +23,8 @@ PERMUTATIONS, WIDTH, SEED = 128, 5, 20240607
 REMEMBERED = 300_000
 #: Bytes of texts in one range of doc_id, about; ranges that one pass finds the borders of.
 RANGE_BYTES, COARSE = 64 << 20, 1000
+#: Shingles that a task counts at once.
+COUNTED = 1 << 20
 #: Jaccard likeness of shingle sets from which two texts are near copies.
 LIKE = 0.8
 #: Texts of a band that all meet; in larger bands, texts that have a shingle for it to tell pairs apart.
@@ -221,6 +223,30 @@ def gram_sets(texts: DataFrame) -> DataFrame:
     return texts.mapInPandas(run, "id long, grams array<long>")
 
 
+def gram_counts(sets: DataFrame) -> DataFrame:
+    """(g, df): of sets (id, grams), how many have each shingle. Tasks add up about COUNTED of them before they are shuffled: near
+    copies have most of theirs in common."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, n = [], 0
+
+        def summed() -> pd.DataFrame:
+            g, df = np.unique(np.concatenate(held), return_counts=True)
+            return pd.DataFrame({"g": g, "df": df})
+
+        for batch in batches:
+            for grams in batch.grams:
+                held.append(np.asarray(grams, np.int64))
+                n += len(grams)
+                if n >= COUNTED:
+                    yield summed()
+                    held, n = [], 0
+        if held:
+            yield summed()
+
+    return sets.select("grams").mapInPandas(run, "g long, df long").groupBy("g").agg(F.sum("df").alias("df"))
+
+
 def ordered(pairs: DataFrame) -> DataFrame:
     """Pairs (u, v), each once with u < v."""
     return pairs.where("u != v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
@@ -280,7 +306,7 @@ def linked(groups: DataFrame, grams: DataFrame, known: DataFrame, least: float,
         inside_large = cut(rows.join(large, "band").select("band", "id"))
         sets = cut(grams.join(inside_large.select("id").distinct(), "id", "left_semi"))
         shingles = sets.select("id", F.explode("grams").alias("g"))
-        times = cut(shingles.groupBy("g").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") <= few))
+        times = cut(gram_counts(sets).where(F.col("df") <= few))
         # only what is outside H is joined: no shingle there has over `few` texts
         out = shingles.join(times, "g").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("df", "g"))).alias("out"))
         own = sets.select("id", F.size("grams").alias("n")).join(out, "id", "left").withColumn("_k", F.coalesce(F.size("out"), F.lit(0)))
