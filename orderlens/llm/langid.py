@@ -9,6 +9,7 @@ Spark, so the driver gets at most languages x vocabulary numbers.
 from __future__ import annotations
 
 import re
+import sys
 from collections import Counter
 from collections.abc import Iterator
 from functools import cached_property, lru_cache
@@ -39,6 +40,27 @@ class Pieces(dict):
     def longest(self) -> int:
         return max(map(len, self), default=1)
 
+    @cached_property
+    def trie(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(node of a first letter by its code point, column of a later letter by its code point, next node by [node, column], piece that
+        a node ends or -1). Node 0 and column 0 stand for none. Nodes that lead on have the lowest numbers; the others have no row."""
+        inner = sorted({p[:k] for p in self for k in range(1, len(p))})
+        leaves = sorted(set(self).difference(inner))
+        nodes = {x: i + 1 for i, x in enumerate(inner + leaves)}
+        letters = {c: i + 1 for i, c in enumerate(sorted({x[-1] for x in nodes if len(x) > 1}))}
+        first, column = np.zeros(sys.maxunicode + 1, np.int32), np.zeros(sys.maxunicode + 1, np.int16)
+        for c, i in letters.items():
+            column[ord(c)] = i
+        following = np.zeros((len(inner) + 1, len(letters) + 1), np.int32)
+        ends = np.full(len(nodes) + 1, -1, np.int32)
+        for x, node in nodes.items():
+            ends[node] = self.get(x, -1)
+            if len(x) == 1:
+                first[ord(x)] = node
+            else:
+                following[nodes[x[:-1]], letters[x[-1]]] = node
+        return first, column, following, ends
+
 
 @lru_cache(2)
 def vocabulary(path: str) -> Pieces:
@@ -59,67 +81,81 @@ def public_path() -> str:
 
 def words(text: str) -> list[str]:
     """The runs of letters of a text, lower-cased, with the mark of a word's start."""
-    out = []
-    for w in _word.findall(text.lower()):
-        if not w.isalpha():
-            w = "".join(c for c in w if c.isalpha())
-        if w:
-            out.append("▁" + w)
-    return out
+    found = _word.findall(text.lower())
+    if found and not "".join(found).isalpha():  # numerals like ² are no letters
+        found = filter(None, ("".join(filter(str.isalpha, w)) for w in found))
+    return ["▁" + w for w in found]
 
 
 def lattice(group: list[str], pieces: Pieces) -> np.ndarray:
     """For words of one length n: piece ids [word, start, length - 1]; -1 where there is no piece. A letter without a piece is 0."""
     n, most = len(group[0]), min(pieces.longest, len(group[0]))
     ids = np.full((len(group), n, most), -1, np.int32)
-    get = pieces.get
-    for k in range(1, most + 1):
-        for i in range(n - k + 1):
-            ids[:, i, k - 1] = [get(w[i : i + k], -1) for w in group]
+    first, column, following, ends = pieces.trie
+    letters = np.array(group, f"<U{n}").view(np.uint32).reshape(len(group), n)
+    columns = column[letters]
+    for i in range(n):
+        node, at = first[letters[:, i]], np.arange(len(group))
+        for k in range(1, min(most, n - i) + 1):
+            ids[at, i, k - 1] = ends[node]
+            on = np.flatnonzero((node > 0) & (node < len(following)))  # the words in which a longer piece may start here
+            if not len(on) or i + k == n:
+                break
+            at = at[on]
+            node = following[node[on], columns[at, i + k]]
     single = ids[:, :, 0]
     single[single < 0] = 0
     return ids
 
 
+def steps(ids: np.ndarray, i: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(length, words, pieces): the pieces that start at i, by length, and the words that have them."""
+    for k in range(1, min(ids.shape[2], ids.shape[1] - i) + 1):
+        at = ids[:, i, k - 1]
+        on = np.flatnonzero(at >= 0)
+        if len(on):
+            yield k, on, at[on]
+
+
 def forward(ids: np.ndarray, p: np.ndarray) -> np.ndarray:
     """Sums over all segmentations of the starts' prefixes: [position, word, language]; p is [piece, language], last row 0."""
-    m, n, most = ids.shape
+    m, n, _ = ids.shape
     a = np.zeros((n + 1, m, p.shape[1]))
     a[0] = 1
     for i in range(n):
-        for k in range(1, min(most, n - i) + 1):
-            a[i + k] += a[i] * p[ids[:, i, k - 1]]
+        for k, on, at in steps(ids, i):
+            a[i + k, on] += a[i, on] * p[at]
     return a
 
 
 def backward(ids: np.ndarray, p: np.ndarray) -> np.ndarray:
-    m, n, most = ids.shape
+    m, n, _ = ids.shape
     b = np.zeros((n + 1, m, p.shape[1]))
     b[n] = 1
     for i in range(n - 1, -1, -1):
-        for k in range(1, min(most, n - i) + 1):
-            b[i] += b[i + k] * p[ids[:, i, k - 1]]
+        for k, on, at in steps(ids, i):
+            b[i, on] += b[i + k, on] * p[at]
     return b
 
 
 def log_forward(ids: np.ndarray, logs: np.ndarray) -> np.ndarray:
     """The logarithms of forward(), from those of p, for words of any length."""
-    m, n, most = ids.shape
+    m, n, _ = ids.shape
     a = np.full((n + 1, m, logs.shape[1]), -np.inf)
     a[0] = 0
     for i in range(n):
-        for k in range(1, min(most, n - i) + 1):
-            a[i + k] = np.logaddexp(a[i + k], a[i] + logs[ids[:, i, k - 1]])
+        for k, on, at in steps(ids, i):
+            a[i + k, on] = np.logaddexp(a[i + k, on], a[i, on] + logs[at])
     return a
 
 
 def log_backward(ids: np.ndarray, logs: np.ndarray) -> np.ndarray:
-    m, n, most = ids.shape
+    m, n, _ = ids.shape
     b = np.full((n + 1, m, logs.shape[1]), -np.inf)
     b[n] = 0
     for i in range(n - 1, -1, -1):
-        for k in range(1, min(most, n - i) + 1):
-            b[i] = np.logaddexp(b[i], b[i + k] + logs[ids[:, i, k - 1]])
+        for k, on, at in steps(ids, i):
+            b[i, on] = np.logaddexp(b[i, on], b[i + k, on] + logs[at])
     return b
 
 
@@ -150,19 +186,17 @@ def expected(counts: Counter, pieces: Pieces, p: np.ndarray) -> np.ndarray:
     for group in by_length(counts):
         ids = lattice(group, pieces)
         times = np.array([counts[w] for w in group], float)
-        n, most = ids.shape[1:]
+        n = ids.shape[1]
         if n > SHORT:
             a, b = log_forward(ids, logs)[:, :, 0], log_backward(ids, logs)[:, :, 0]
-            share = lambda i, k, at: times * np.exp(a[i] + logs[at, 0] + b[i + k] - a[-1])
+            share = lambda i, k, on, at: times[on] * np.exp(a[i, on] + logs[at, 0] + b[i + k, on] - a[-1, on])
         else:
             a, b = forward(ids, p)[:, :, 0], backward(ids, p)[:, :, 0]
             each = times / a[-1]
-            share = lambda i, k, at: each * a[i] * p[at, 0] * b[i + k]
+            share = lambda i, k, on, at: each[on] * a[i, on] * p[at, 0] * b[i + k, on]
         for i in range(n):
-            for k in range(1, min(most, n - i) + 1):
-                at = ids[:, i, k - 1]
-                ok = at >= 0
-                out += np.bincount(at[ok], share(i, k, at)[ok], len(out))
+            for k, on, at in steps(ids, i):
+                np.add.at(out, at, share(i, k, on, at))
     return out
 
 
