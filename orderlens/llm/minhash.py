@@ -16,7 +16,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import carried, components, cut
+from .common import BROADCAST_ROWS, carried, components, cut
 
 PERMUTATIONS, WIDTH, SEED = 128, 5, 20240607
 #: Words whose hashes a task keeps; beyond it the memory starts anew.
@@ -247,6 +247,22 @@ def gram_counts(sets: DataFrame) -> DataFrame:
     return sets.select("grams").mapInPandas(run, "g long, df long").groupBy("g").agg(F.sum("df").alias("df"))
 
 
+def outside(sets: DataFrame, frequent: DataFrame) -> DataFrame:
+    """(id, g) for the shingles of sets (id, grams) but those of frequent (g). Up to BROADCAST_ROWS frequent ones are left out inside
+    tasks, before rows are made of shingles; with more of them, all rows are made and those are joined away."""
+    if frequent.limit(BROADCAST_ROWS + 1).count() > BROADCAST_ROWS:
+        return sets.select("id", F.explode("grams").alias("g")).join(frequent, "g", "left_anti").select("id", "g")
+    known = sets.sparkSession.sparkContext.broadcast(np.sort(frequent.toPandas().g.to_numpy(np.int64)))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for doc, grams in zip(batch.id, batch.grams):
+                g = np.setdiff1d(np.asarray(grams, np.int64), known.value, assume_unique=True)
+                yield pd.DataFrame({"id": np.full(len(g), doc, np.int64), "g": g})
+
+    return sets.mapInPandas(run, "id long, g long")
+
+
 def ordered(pairs: DataFrame) -> DataFrame:
     """Pairs (u, v), each once with u < v."""
     return pairs.where("u != v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
@@ -305,10 +321,10 @@ def linked(groups: DataFrame, grams: DataFrame, known: DataFrame, least: float,
     if not large.isEmpty():
         inside_large = cut(rows.join(large, "band").select("band", "id"))
         sets = cut(grams.join(inside_large.select("id").distinct(), "id", "left_semi"))
-        shingles = sets.select("id", F.explode("grams").alias("g"))
-        times = cut(gram_counts(sets).where(F.col("df") <= few))
+        times = cut(gram_counts(sets))
         # only what is outside H is joined: no shingle there has over `few` texts
-        out = shingles.join(times, "g").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("df", "g"))).alias("out"))
+        shingles = outside(sets, times.where(F.col("df") > few).select("g"))
+        out = shingles.join(times.where(F.col("df") <= few), "g").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("df", "g"))).alias("out"))
         own = sets.select("id", F.size("grams").alias("n")).join(out, "id", "left").withColumn("_k", F.coalesce(F.size("out"), F.lit(0)))
         inside = F.col("n") - F.greatest("_k", F.lit(0))
         # a pair that is no pair by its part in H has so many shingles outside H in common, so one of the first ones of each
