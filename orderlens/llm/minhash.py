@@ -300,7 +300,8 @@ def pairs_of(rows: DataFrame, fits=None) -> DataFrame:
 
 
 def linked(groups: DataFrame, grams: DataFrame, known: DataFrame, least: float, few: int = FEW) -> DataFrame:
-    """known (u, v) and links that connect what pairs of a band of groups (band, id) with a likeness of `least` or more connect.
+    """Links (u, v) that connect what known (u, v) and pairs of a band of groups (band, id) with a likeness of `least` or more connect:
+    what was connected on the way is a star from its smallest id.
 
     First each text meets the smallest id of its bands. Of the texts in bands that are not one component then and have over `few` texts,
     let H be the shingles that over `few` of them have. A pair without a common shingle outside H shares no more than either has in H,
@@ -308,14 +309,16 @@ def linked(groups: DataFrame, grams: DataFrame, known: DataFrame, least: float,
     one of a band, then to all. A pair with a common shingle outside H has one among the rarest ones of both, and at most `few` texts
     have that one.
     """
-    known_roots = lambda: components(known).withColumnRenamed("node", "id")
-    rows = unresolved(groups, known_roots())
+    stars = lambda roots: roots.select(F.col("root").alias("u"), F.col("id").alias("v"))
+    rooted = lambda links: components(links).withColumnRenamed("node", "id")
+    roots = rooted(known)
+    rows = unresolved(groups, roots)
     if rows.isEmpty():
-        return known
-    known = known.unionByName(met(rows, grams, least, F.min("id")))
-    rows = unresolved(groups, known_roots())
+        return stars(roots)
+    roots = rooted(stars(roots).unionByName(met(rows, grams, least, F.min("id"))))
+    rows = unresolved(groups, roots)
     if rows.isEmpty():
-        return known
+        return stars(roots)
     large = cut(rows.groupBy("band").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > few).select("band"))
     pairs = pairs_of(rows.join(large, "band", "left_anti"))
     if not large.isEmpty():
@@ -335,18 +338,17 @@ def linked(groups: DataFrame, grams: DataFrame, known: DataFrame, least: float,
         placed = inside_large.join(own.select("id", "n", "most"), "id")
         low = placed.groupBy("band").agg(F.min("n").alias("_low"))
         live = cut(placed.join(low, "band").where("most >= _low").select("band", "id", "n", "most"))
-        known = known.unionByName(met(live, grams, least, F.max_by("id", F.struct("most", "id"))))
-        roots = known_roots()
+        roots = rooted(stars(roots).unionByName(met(live, grams, least, F.max_by("id", F.struct("most", "id")))))
         placed = unresolved(live.select("band", "id"), roots).join(live, ["band", "id"])
         pairs = pairs.unionByName(pairs_of(placed, F.expr("_un <= _vmost and _vn <= _umost")))
         smaller = own.select(F.explode(F.filter("out", lambda x: x["df"] > 1)["g"]).alias("band"), "id")
         pairs = pairs.unionByName(pairs_of(unresolved(smaller, roots)))
-    return known.unionByName(cut(verified(ordered(pairs), grams, least)))
+    return stars(roots).unionByName(cut(verified(ordered(pairs), grams, least)))
 
 
 def near_links(texts: DataFrame, found: DataFrame, more: DataFrame | None = None, least: float = LIKE) -> DataFrame:
     """Links (u, v) that connect what pairs of texts (id, text; equal texts have equal ids) with a Jaccard likeness of `least` or
-    more connect. Every link is verified from the sets of WIDTH-word shingles.
+    more connect. All come of pairs verified from the sets of WIDTH-word shingles.
 
     Candidates are pairs that share a band (found: id, bands), see linked(), and the pairs `more` (u, v). No pair of a band is left
     out. At 0.8 and 25 bands of 5 rows, a pair shares no band with a chance of about 5 in 100,000.
