@@ -114,7 +114,7 @@ def test_long_text_in_pieces(spark, monkeypatch):
 def test_edge_rows(spark):
     rows = runindex.dedup(edge.frame(spark)).collect()
     assert len(rows) == len(edge.rows())
-    want = brute([(-1 if r[0] is None else r[0], r[1]) for r in edge.rows()[: len(edge.TEXTS)] + edge.rows()[-1:]])
+    want = brute([(-1 if r[0] is None else r[0], r[1]) for r in edge.rows()[: len(edge.TEXTS) + 1] + edge.rows()[-1:]])
     for r in rows:
         kept, gone, spans = want[-1 if r.doc_id is None else r.doc_id]
         assert (bytes(r.kept), r.n_removed, r.n_spans, r.kept_sha256) == (kept, gone, spans, hashlib.sha256(kept).hexdigest())
