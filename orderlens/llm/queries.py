@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import align, bpe, fim, langid, linededup, minhash, mixing, quality, runindex, sharding, simhash, toxicity
+from . import align, bpe, fim, langid, licences, linededup, minhash, mixing, quality, runindex, sharding, simhash, toxicity
 from .common import documents
 
 
@@ -62,6 +62,10 @@ def op12_space_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align.align(documents(spark, sf_dir), with_groups=False)
 
 
+def op13_rare_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(documents(spark, sf_dir)).drop("places")
+
+
 def near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The class of near copies of each document, by bands of MinHash signatures and exact likeness (operator 9)."""
     return minhash.near_copies(documents(spark, sf_dir))
@@ -74,7 +78,7 @@ def rule_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = (
     op1_anchor_simhash, op2_run_index, op3_hash_tree, op4_rule_ledger, op5_line_suffixes, op6_pair_index_bpe, op7_lexicon_automata,
-    op8_fair_queueing, op9_minhash, op10_piece_unigrams, op11_counted_cuts, op12_space_anchors, near_copies, rule_ablations,
+    op8_fair_queueing, op9_minhash, op10_piece_unigrams, op11_counted_cuts, op12_space_anchors, op13_rare_words, near_copies, rule_ablations,
 )
 
 
