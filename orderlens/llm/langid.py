@@ -22,8 +22,9 @@ from .common import carried
 
 #: Labelled rows that a model is fitted on, at most; which ones a hash of doc_id decides.
 FIT_ROWS = 40_000
-#: Words of more letters are summed in logarithms: their probabilities are too small for floating point.
-SHORT = 40
+#: Words of more letters are summed in logarithms, and shorter ones too whose probability may be under e to the power of DEEP: floating
+#: point would make them 0.
+SHORT, DEEP = 40, -600.0
 #: Words whose scores a task keeps, letters of them in all; letters of words looked at in one block.
 REMEMBERED, REMEMBERED_LETTERS, BLOCK_LETTERS = 400_000, 8_000_000, 60_000
 SMOOTHING = 0.5
@@ -170,10 +171,16 @@ def by_length(found) -> Iterator[list[str]]:
             yield group[i : i + most]
 
 
-def word_logs(group: list[str], pieces: Pieces, p: np.ndarray, logs: np.ndarray) -> np.ndarray:
-    """The logarithm of the sum over all segmentations: [word, language] for words of one length; logs: of p."""
+def most_letters(logs: np.ndarray) -> int:
+    """The letters up to which no word's probability is too small for floating point; logs: of probabilities, without the last row."""
+    least = logs.min(initial=-1e-9)
+    return SHORT if least * SHORT >= DEEP else int(DEEP / least)
+
+
+def word_logs(group: list[str], pieces: Pieces, p: np.ndarray, logs: np.ndarray, most: int) -> np.ndarray:
+    """The logarithm of the sum over all segmentations: [word, language] for words of one length; logs: of p, most: most_letters()."""
     ids = lattice(group, pieces)
-    if ids.shape[1] > SHORT:
+    if ids.shape[1] > most:
         return log_forward(ids, logs)[-1]
     return np.log(forward(ids, p)[-1])
 
@@ -183,11 +190,12 @@ def expected(counts: Counter, pieces: Pieces, p: np.ndarray) -> np.ndarray:
     out = np.zeros(len(p) - 1)
     with np.errstate(divide="ignore"):
         logs = np.log(p)
+    most = most_letters(logs[:-1])
     for group in by_length(counts):
         ids = lattice(group, pieces)
         times = np.array([counts[w] for w in group], float)
         n = ids.shape[1]
-        if n > SHORT:
+        if n > most:
             a, b = log_forward(ids, logs)[:, :, 0], log_backward(ids, logs)[:, :, 0]
             share = lambda i, k, on, at: times[on] * np.exp(a[i, on] + logs[at, 0] + b[i + k, on] - a[-1, on])
         else:
@@ -207,6 +215,7 @@ class Model:
         self.langs, self.p, self.path = langs, p, path
         with np.errstate(divide="ignore"):
             self.log_p = np.log(p)
+        self.most = most_letters(self.log_p[:-1])
         self.forget()
 
     def forget(self) -> None:
@@ -225,7 +234,7 @@ class Model:
             at = len(self.known)
             self.known.update((w, at + i) for i, w in enumerate(group))
             self.letters += len(group) * len(group[0])
-            more.append(word_logs(group, pieces, self.p, self.log_p))
+            more.append(word_logs(group, pieces, self.p, self.log_p, self.most))
         if new:
             self.logs = np.concatenate(more)
         get = self.known.__getitem__
@@ -236,6 +245,10 @@ class Model:
                 scores.append(0.0)
                 continue
             total = self.logs[np.fromiter(map(get, ws), np.int64, len(ws))].sum(axis=0)
+            if not np.isfinite(total.max()):  # a given model in which no language can make the text
+                langs.append("und")
+                scores.append(0.0)
+                continue
             odds = np.exp(total - total.max())
             best = int(odds.argmax())
             langs.append(self.langs[best])
@@ -293,7 +306,8 @@ def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """One row per row of docs: doc_id, held_out, lang_pred, score (the posterior of lang_pred among the learned languages).
 
     The model is fitted on docs unless one is given. A text that is null or has no letter is `und` with score 0; so are all if no
-    labelled row was learned from. Words of any length count whole. Repeated rows give repeated rows, an empty table none. A prediction looks at the text alone,
+    labelled row was learned from. Words of any length count whole; a letter that is no piece counts as the piece of all unknown
+    letters, so a word without known pieces has a probability too. Repeated rows give repeated rows, an empty table none. A prediction looks at the text alone,
     the whole of it; other columns are ignored.
     """
     model = model or fit(docs)

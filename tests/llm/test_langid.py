@@ -63,6 +63,79 @@ def test_long_words_and_whole_vocabulary(monkeypatch):
     assert langs == ["y"] and np.isfinite(scores[0]) and np.isfinite(model.logs).all()
 
 
+def test_rare_letters_do_not_underflow():
+    pieces = langid.vocabulary(langid.public_path())
+    assert "\ua015" not in pieces and "\ua015".isalpha()
+    word = "\ua015" * 38 + "a"
+    for small in (2e-9, 1e-12, 1e-40):
+        p = np.full((len(pieces) + 2, 2), 1e-5)
+        p[0], p[-1] = (small, 2 * small), 0
+        langs, scores = langid.Model(["x", "y"], p, langid.public_path()).score([word, f"{word} some words of it"])
+        assert langs == ["y", "y"] and all(0.99 < s <= 1 for s in scores)
+    with np.errstate(divide="ignore"):
+        none = langid.Model(["x"], np.zeros((len(pieces) + 2, 1)), langid.public_path())
+    assert none.score(["abc"]) == (["und"], [0.0])
+
+
+def plain_words(text):
+    out, run = [], ""
+    for c in (text or "").lower() + " ":
+        if c.isalpha():
+            run += c
+        elif not (c.isalnum() and run or c.isalnum()):
+            if run:
+                out.append("\u2581" + run)
+            run = ""
+    return out
+
+
+def plain_ways(word, ids, p):
+    """(sums up to each letter, sums from each letter on, the pieces' places)."""
+    n = len(word)
+    at = [[(k, ids.get(word[i : i + k], 0 if k == 1 else -1)) for k in range(1, min(16, n - i) + 1)] for i in range(n)]
+    at = [[(k, x) for k, x in own if x >= 0] for own in at]
+    a, b = [1.0] + [0.0] * n, [0.0] * n + [1.0]
+    for i in range(n):
+        for k, x in at[i]:
+            a[i + k] += a[i] * p[x]
+    for i in range(n - 1, -1, -1):
+        b[i] = sum(p[x] * b[i + k] for k, x in at[i])
+    return a, b, at
+
+
+def test_whole_query_equals_a_plain_version(spark):
+    import zlib
+    from collections import Counter, defaultdict
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(60).union(spark.createDataFrame([(9001, None, None, "s", 0), (9002, "12 +", "en", "s", 4), (9003, "\u4e2d\u6587 le", None, "s", 5)], "doc_id long, text string, lang string, source string, n_chars long"))
+    rows = docs.collect()
+    ids = dict(langid.vocabulary(langid.public_path()))
+    assert max(map(len, ids)) == 16
+    size = len(ids) + 1
+    held = {r.doc_id: zlib.crc32(str(r.doc_id).encode()) % 5 == 0 for r in rows}
+    sums = defaultdict(lambda: [0.5] * size)
+    for r in rows:
+        if not held[r.doc_id] and r.lang is not None and r.text is not None:
+            own = sums[r.lang]
+            for w, times in Counter(plain_words(r.text)).items():
+                a, b, at = plain_ways(w, ids, [1 / size] * size)
+                for i, places in enumerate(at):
+                    for k, x in places:
+                        own[x] += times * a[i] / size * b[i + k] / a[-1]
+    langs = sorted(sums)
+    p = {lang: [x / sum(own) for x in own] for lang, own in sums.items()}
+    got = {r.doc_id: r for r in langid.identify(docs).collect()}
+    assert len(got) == len(rows)
+    for r in rows:
+        ws = plain_words(r.text)
+        want = ("und", 0.0)
+        if ws:
+            logs = [sum(math.log(plain_ways(w, ids, p[lang])[0][-1]) for w in ws) for lang in langs]
+            odds = [math.exp(x - max(logs)) for x in logs]
+            want = langs[odds.index(max(odds))], max(odds) / sum(odds)
+        assert got[r.doc_id].held_out == held[r.doc_id] and got[r.doc_id].lang_pred == want[0] and got[r.doc_id].score == pytest.approx(want[1], abs=1e-9)
+
+
 def test_edge_rows(spark):
     rows = langid.identify(edge.frame(spark)).collect()
     assert len(rows) == len(edge.rows())
