@@ -1,19 +1,18 @@
 """Operator 3: sharding by a hierarchical weighted hash tree, in DataFrame functions only.
 
-Leaves are shards with weights, grouped into racks and regions. A key makes one weighted draw for each region, from the hash of key
-and region and the region's summed weight (consistent weighted sampling, Ioffe 2010): c / (y e^r) with c and r of a gamma distribution,
-and y, the mark, evenly spread between 0 and the weight. The smallest draw wins with a probability in proportion to the weights. The
-draws below it follow from the mark, so that a parent's smallest draw stays that of one child: a region's weight is laid out in the
-order of its leaves, the rack whose share holds the mark wins, and in it the shard.
-
-Where a region's weight grows, a draw stays as it is, or falls and takes a mark in what was added. So a leaf that is added at the
-end, or more weight for an old shard as one more leaf, takes keys into that shard alone, and keys never move between other shards.
-Other changes of weights move keys within their region, into it or out of it. A key costs a draw a region, not one a shard.
+Leaves are shards with weights, grouped into racks and regions. For a key, every shard draws a waiting time from the hash of key and
+shard's place in the tree, exponential with the shard's weight as its rate: -ln(u) / weight. A rack's draw is the smallest of its
+shards', and so exponential with the rack's summed weight; a region's is the smallest of its racks'. A key descends to the region, the
+rack in it and the shard in that which drew the least, and reaches each with a probability in proportion to its weight.
+
+A shard's draw depends on its own weight alone: more weight makes it smaller, less makes it larger, and no other draw changes. So
+where one weight changes, up, down, from or to nothing, keys move into that shard or out of it, and none moves between shards, racks
+or regions whose weights stay. That is the law `key` for a shard that is added, wherever it stands. A key costs a draw a shard.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -22,6 +21,8 @@ from .common import cut, small
 
 #: Buckets a shard's rows are counted in, so that slots need no task with a whole shard.
 SLOT_BUCKETS = 1024
+#: Slots of like rows that are made at once.
+SLOT_RUN = 4096
 
 
 @dataclass(frozen=True)
@@ -39,41 +40,38 @@ def tree(shards: int, per_rack: int = 4, racks_per_region: int = 2, weights: Seq
     return [Leaf(s // (per_rack * racks_per_region), s // per_rack, s, 1.0 if weights is None else float(weights[s])) for s in range(shards)]
 
 
-def _draw(key: Column, region: Column, weight: Column) -> tuple[Column, Column]:
-    """(draw, mark) of a key for a region."""
-    u = [(F.shiftrightunsigned(F.xxhash64(key, region, F.lit(i)), 11) + F.lit(0.5)) / F.lit(float(2**53)) for i in range(5)]
-    r, c = -F.ln(u[0] * u[1]), -F.ln(u[2] * u[3])
-    mark = F.exp(r * (F.floor(F.ln(weight) / r + u[4]) - u[4]))
-    return c / (mark * F.exp(r)), mark
+def _draw(key: Column, region: Column, rack: Column, shard: Column, weight: Column) -> Column:
+    """The waiting time of a key for a shard."""
+    u = (F.shiftrightunsigned(F.xxhash64(key, region, rack, shard), 11) + F.lit(0.5)) / F.lit(float(2**53))
+    return -F.ln(u) / weight
 
 
 def place(docs: DataFrame, leaves: Sequence[Leaf], key: str = "doc_id", name: str = "shard") -> DataFrame:
     """docs with the shard (int) that its key reaches. A null key is a key like any other; equal keys share a shard. Equal draws: the
-    smaller region wins. Leaves of no weight get nothing."""
-    spans: dict[int, list[tuple[float, int, int]]] = {}  # by region: (end on the region's weight, rack, shard)
+    smaller region, rack and shard wins. A leaf that is listed twice has both weights; leaves of no weight get nothing."""
+    weights: dict[int, dict[int, dict[int, float]]] = {}
     for leaf in leaves:
         if leaf.weight > 0:
-            own = spans.setdefault(leaf.region, [])
-            own.append(((own[-1][0] if own else 0.0) + leaf.weight, leaf.rack, leaf.shard))
-    if not spans:
+            own = weights.setdefault(leaf.region, {}).setdefault(leaf.rack, {})
+            own[leaf.shard] = own.get(leaf.shard, 0.0) + leaf.weight
+    if not weights:
         raise ValueError("a tree has some weight")
 
-    def of(region: int) -> Column:
-        ends = F.array(*[F.struct(F.lit(e).alias("end"), F.lit(k).alias("rack"), F.lit(s).alias("shard")) for e, k, s in spans[region]])
-        return F.struct(F.lit(region).alias("region"), F.lit(spans[region][-1][0]).alias("weight"), ends.alias("spans"))
+    def listed(name: str, nodes: dict, inner: Callable[..., Column]) -> Column:
+        return F.array(*[F.struct(F.lit(n).alias(name), inner(nodes[n]).alias("own")) for n in sorted(nodes)])
 
-    def drawn(x: Column) -> Column:
-        draw, mark = _draw(F.col(key), x["region"], x["weight"])
-        return F.struct(draw.alias("draw"), x["region"].alias("region"), mark.alias("mark"), x["spans"].alias("spans"))
+    tree_ = listed("region", weights, lambda racks: listed("rack", racks, lambda shards: listed("shard", shards, F.lit)))
 
-    def reached(x: Column) -> Column:
-        """The leaf, its rack with it, whose share holds the mark; a mark that rounding put at the very end belongs to the last one."""
-        beyond = F.filter(x["spans"], lambda s: s["end"] > x["mark"])
-        return F.coalesce(F.get(beyond, F.lit(0)), F.element_at(x["spans"], -1))
+    def shard_draw(region: Column, rack: Column, x: Column) -> Column:
+        return F.struct(_draw(F.col(key), region, rack, x["shard"], x["own"]).alias("draw"), region.alias("region"), rack.alias("rack"), x["shard"].alias("shard"))
 
-    regions = F.array(*[of(region) for region in sorted(spans)])
-    best = F.array_min(F.transform(regions, drawn))
-    return docs.withColumn(name, F.element_at(F.transform(F.array(best), reached), 1)["shard"].cast("int"))
+    def rack_draw(region: Column, x: Column) -> Column:
+        return F.array_min(F.transform(x["own"], lambda shard: shard_draw(region, x["rack"], shard)))
+
+    def region_draw(x: Column) -> Column:
+        return F.array_min(F.transform(x["own"], lambda rack: rack_draw(x["region"], rack)))
+
+    return docs.withColumn(name, F.array_min(F.transform(tree_, region_draw))["shard"].cast("int"))
 
 
 def slots(placed: DataFrame, columns: Sequence[str], buckets: int = SLOT_BUCKETS) -> DataFrame:
@@ -90,8 +88,9 @@ def slots(placed: DataFrame, columns: Sequence[str], buckets: int = SLOT_BUCKETS
     order = Window.partitionBy("shard", "_bucket").orderBy(*columns).rowsBetween(Window.unboundedPreceding, -1)
     kinds = kinds.withColumn("_own", F.coalesce(F.sum("_n").over(order), F.lit(0)))
     start = F.col("_offset") + F.col("_own")
-    out = kinds.join(small(cut(offsets)), ["shard", "_bucket"]).withColumn("slot", F.explode(F.sequence(start, start + F.col("_n") - 1)))
-    return out.select(*placed.columns, "slot")
+    out = kinds.join(small(cut(offsets)), ["shard", "_bucket"]).withColumn("_end", start + F.col("_n") - 1)
+    out = out.withColumn("_run", F.explode(F.sequence(start, "_end", F.lit(SLOT_RUN).cast("long"))))  # no array of all rows of a kind
+    return out.withColumn("slot", F.explode(F.sequence("_run", F.least("_end", F.col("_run") + SLOT_RUN - 1)))).select(*placed.columns, "slot")
 
 
 def shard_documents(docs: DataFrame, leaves: Sequence[Leaf], grown: Sequence[Leaf] | None = None) -> DataFrame:

@@ -34,40 +34,42 @@ def test_growth_goes_into_the_new_shard_only(spark):
         assert {b for _, b in found} == {n} and abs(sum(found.values()) - share) < 5 * math.sqrt(share)
 
 
-def test_weights_confine_movement(spark):
+def test_one_changed_weight_moves_keys_of_that_shard_only(spark):
+    weights = [1.0, 0.5, 2.0, 1.0, 3.0, 1.0, 0.25, 1.0, 1.0, 1.5, 1.0, 4.0]
+    even = sharding.tree(12, 3, 2, weights)  # two regions of two racks of three shards
+    for shard in range(12):
+        for factor in (0.0, 0.25, 2.0, 8.0):
+            found = moved(spark, even, sharding.tree(12, 3, 2, [w * (factor if i == shard else 1) for i, w in enumerate(weights)]), 4000)
+            assert found and all((a == shard) if factor < 1 else (b == shard) for a, b in found)
+            before, after = weights[shard] / sum(weights), weights[shard] * factor / (sum(weights) + weights[shard] * (factor - 1))
+            share = 4000 * abs(after - before)
+            assert abs(sum(found.values()) - share) < 6 * math.sqrt(share + 1)
+
+
+def test_levels_and_weights(spark):
     even = sharding.tree(16)
     found = moved(spark, even, [*even, sharding.Leaf(0, 0, 2, 3.0)])  # more weight for an old shard
     assert {b for _, b in found} == {2} and abs(sum(found.values()) - 20000 * 3 / 19) < 5 * math.sqrt(20000 * 3 / 19)
-    found = moved(spark, even, sharding.tree(16, weights=[1.0] * 5 + [0.25] + [1.0] * 10))  # less: out of its region or inside it
-    assert found and all(a < 8 for a, _ in found)
-    found = moved(spark, even, sharding.tree(16, weights=[1.0] * 5 + [0.0] + [1.0] * 10))
-    assert all(b != 5 for _, b in found) and sum(n for (a, _), n in found.items() if a == 5) > 900
-    assert moved(spark, even, sharding.tree(16, 16, 1))  # one region of one rack: other draws, so levels matter
-    counts = sharding.place(spark.range(20000).withColumnRenamed("id", "doc_id"), even).groupBy("shard").count().collect()
-    assert len(counts) == 16 and all(abs(r["count"] - 1250) < 5 * math.sqrt(1250) for r in counts)
+    found = moved(spark, even, [x for x in even if x.region != 1])  # a whole region goes, no key of another moves
+    assert found and all(a >= 8 for a, _ in found)
+    found = moved(spark, even, [x for x in even if x.rack != 2])  # a rack: its keys go everywhere, no other moves
+    assert {a for a, _ in found} == {8, 9, 10, 11}
+    assert moved(spark, even, sharding.tree(16, 16, 1))  # one region of one rack: other draws
+    weights = [1.0, 2.0, 3.0, 4.0] * 4
+    counts = sharding.place(spark.range(20000).withColumnRenamed("id", "doc_id"), sharding.tree(16, weights=weights)).groupBy("shard").count().collect()
+    assert len(counts) == 16 and all(abs(r["count"] - 500 * weights[r["shard"]]) < 5 * math.sqrt(500 * weights[r["shard"]]) for r in counts)
 
 
 def brute(doc_id, leaves):
-    best = None
-    for region in sorted({x.region for x in leaves}):
-        own = [x for x in leaves if x.region == region]
-        weight = sum(x.weight for x in own)
-        u = []
-        for i in range(5):
-            h = 42 if doc_id is None else xxhash.xxh64_intdigest(struct.pack("<q", doc_id), 42)
-            h = xxhash.xxh64_intdigest(struct.pack("<i", region), h)
-            u.append(((xxhash.xxh64_intdigest(struct.pack("<i", i), h) >> 11) + 0.5) / 2**53)
-        r, c = -math.log(u[0] * u[1]), -math.log(u[2] * u[3])
-        mark = math.exp(r * (math.floor(math.log(weight) / r + u[4]) - u[4]))
-        draw = c / (mark * math.exp(r))
-        if best is None or draw < best[0]:
-            total = 0.0
-            for x in own:
-                total += x.weight
-                if mark < total:
-                    break
-            best = draw, x.shard
-    return best[1]
+    """The shard of the least draw, by the draws of all shards."""
+
+    def draw(x):
+        h = 42 if doc_id is None else xxhash.xxh64_intdigest(struct.pack("<q", doc_id), 42)
+        for n in (x.region, x.rack, x.shard):
+            h = xxhash.xxh64_intdigest(struct.pack("<i", n), h)
+        return -math.log(((h >> 11) + 0.5) / 2**53) / x.weight, x.region, x.rack, x.shard
+
+    return min(map(draw, leaves))[-1]
 
 
 def test_given_table_against_brute_force(spark):
@@ -83,11 +85,11 @@ def test_given_table_against_brute_force(spark):
 
 
 def test_rows_alike_and_code_generation(spark, capfd):
-    docs = spark.createDataFrame([(1, "same")] * 5000 + [(i, "x") for i in range(2, 50)], "doc_id long, text string")
+    docs = spark.createDataFrame([(1, "same")] * 9000 + [(i, "x") for i in range(2, 50)], "doc_id long, text string")
     rows = sharding.shard_documents(docs, sharding.tree(64)).collect()
     by = {}
     for r in rows:
         by.setdefault(r.shard, []).append(r.slot)
-    assert len(rows) == 5048 and all(sorted(s) == list(range(len(s))) for s in by.values())
+    assert len(rows) == 9048 and all(sorted(s) == list(range(len(s))) for s in by.values())
     assert len({r.shard for r in sharding.place(spark.range(20000).withColumnRenamed("id", "doc_id"), sharding.tree(512)).collect()}) == 512
     assert "grows beyond 64 KB" not in capfd.readouterr().err
