@@ -39,8 +39,33 @@ LONG_SEGMENT = 400
 _segments = re.compile(r"(?<=\S)(?= )")
 
 
-def _ids(values) -> bytes:
-    return np.asarray(values, "<i4").tobytes()
+def _spread(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """starts[i], starts[i] + 1, ..., counts[i] of them, for every i."""
+    ends = np.cumsum(counts)
+    return np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - counts, counts) + np.repeat(starts, counts)
+
+
+class Lists:
+    """Lists of numbers that are added and gathered many at a time."""
+
+    def __init__(self, kind: str):
+        self.flat, self.start, self.size = np.zeros(0, kind), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def add(self, flat: np.ndarray, size: np.ndarray) -> None:
+        self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(size) - size])
+        self.flat, self.size = np.concatenate([self.flat, flat.astype(self.flat.dtype)]), np.concatenate([self.size, size])
+
+    def gather(self, lists: np.ndarray) -> np.ndarray:
+        return self.flat[_spread(self.start[lists], self.size[lists])]
+
+
+def _laid_out(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """All entries, and the number of each list's."""
+    return np.array([x for own in lists for x in own], np.int64), np.array([len(own) for own in lists], np.int64)
+
+
+def _ends(size: np.ndarray) -> np.ndarray:
+    return np.concatenate([np.zeros(1, np.int64), np.cumsum(size)])
 
 
 class Tokenizers:
@@ -60,90 +85,96 @@ class Tokenizers:
         self.space = self.pieces.piece_to_id("▁")
         self.a_size, self.b_size = (np.array([len(x) for x in t], np.int64) for t in (self.a_bytes, self.b_bytes))
         self.a_space, self.b_space = (np.array([x.startswith(b" ") for x in t]) for t in (self.a_bytes, self.b_bytes))
-        self.known: dict[str, tuple[bytes, bytes]] = {}
+        most = max(len(self.a_bytes), len(self.b_bytes))
+        self.written = {mark: np.array([f"{i}{mark}" for i in range(most)], object) for mark in ",|;"}
+        self.forget_segments()
         self.forget_windows()
 
+    def forget_segments(self) -> None:
+        self.known: dict[str, int] = {}
+        self.a, self.b, self.same = Lists("<i4"), Lists("<i4"), np.zeros(0, bool)
+
     def forget_windows(self) -> None:
         self.windows: dict[tuple[bytes, bytes], int] = {}
         self.texts: list[str] = []
-        self.groups: list[int] = []
-        self.links: list[list[int]] = []
-        self.pairs: dict[int, int] = {}
-
-    def encode(self, segments: list[str]) -> None:
-        """Both tokenizers' ids of segments, remembered."""
-        short = [s for s in segments if len(s) <= LONG_SEGMENT]
-        a = dict(zip(short, map(_ids, self.ranks.encode_ordinary_batch(short, num_threads=1))))
-        for s in segments:
-            if s not in a:
-                a[s] = self.index.encode([s])[0]
+        self.groups = np.zeros(0, np.int64)
+        self.links = Lists("<i8")
+
+    def learn(self, segments: list[str]) -> None:
+        """Tokenise segments, and see whether both give their bytes back."""
+        short = self.ranks.encode_ordinary
+        a = [short(s) if len(s) <= LONG_SEGMENT else np.frombuffer(self.index.encode([s])[0], "<i4").tolist() for s in segments]
         self.index.known = {}
         rest = [s[1:] for s in segments]  # the tokenizer adds the first space
-        for s, r, b in zip(segments, rest, self.pieces.encode(rest, num_threads=1)):
-            self.known[s] = a[s], _ids(b if r else [self.space])
-
-    def tokens(self, texts: list[str | None]) -> list[tuple[bytes, bytes]]:
-        """A's and B's ids of each text as little-endian 32-bit numbers; none for texts that either does not give back byte by byte."""
+        b = [ids if r else [self.space] for r, ids in zip(rest, self.pieces.encode(rest, num_threads=1))]
+        wanted = [s.encode("utf-8", "replace") for s in segments]
+        bytes_a, bytes_b = self.a_bytes.__getitem__, self.b_bytes.__getitem__
+        same = [b"".join(map(bytes_a, x)) == b"".join(map(bytes_b, y)) == w for x, y, w in zip(a, b, wanted)]
+        self.known.update(zip(segments, range(len(self.known), len(self.known) + len(segments))))
+        self.a.add(*_laid_out(a))
+        self.b.add(*_laid_out(b))
+        self.same = np.concatenate([self.same, np.array(same, bool)])
+
+    def tokens(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(A's ids of all texts, the number of each text's, B's, theirs); none for texts that either does not give back byte by byte."""
         parts = [_segments.split(f" {t}") if t else [] for t in texts]
         if len(self.known) > REMEMBERED:
-            self.known = {}
+            self.forget_segments()
         if new := list({s for p in parts for s in p}.difference(self.known)):
-            self.encode(new)
-        out = []
-        for text, part in zip(texts, parts):
-            both = [self.known[s] for s in part]
-            a, b = b"".join([x for x, _ in both]), b"".join([x for _, x in both])
-            want = f" {text}".encode("utf-8", "replace")
-            same = text and all(b"".join([table[i] for i in np.frombuffer(ids, "<i4").tolist()]) == want for table, ids in ((self.a_bytes, a), (self.b_bytes, b)))
-            out.append((a, b) if same else (b"", b""))
-        return out
-
-    def align(self, a: bytes, b: bytes) -> int:
-        """The number of a window, whose groups and links are worked out when it is met first."""
-        left, right = np.frombuffer(a, "<i4").tolist(), np.frombuffer(b, "<i4").tolist()
-        groups, own_a, own_b, links = [], [], [], []
-        i = j = end_a = end_b = 0
-        while i < len(left):  # a link for each step: the tokens that overlap now
-            x, y = left[i], right[j]
-            stop_a, stop_b = end_a + len(self.a_bytes[x]), end_b + len(self.b_bytes[y])
-            links.append(x << 32 | y)
-            if stop_a <= stop_b:
-                own_a.append(x)
-                i, end_a = i + 1, stop_a
-            if stop_b <= stop_a:
-                own_b.append(y)
-                j, end_b = j + 1, stop_b
-            if stop_a == stop_b:
-                groups.append(f"{','.join(map(str, own_a))}|{','.join(map(str, own_b))}")
-                own_a, own_b = [], []
-        self.texts.append(";".join(groups))
-        self.groups.append(len(groups))
-        self.links.append([self.pairs.setdefault(p, len(self.pairs)) for p in links])
-        self.windows[a, b] = len(self.texts) - 1
-        return len(self.texts) - 1
-
-    def cut_windows(self, tokens: list[tuple[bytes, bytes]]) -> list[np.ndarray]:
-        """The windows of each document."""
+            self.learn(new)
+        met = np.fromiter(map(self.known.__getitem__, (s for p in parts for s in p)), np.int64)
+        of = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
+        bad = np.zeros(len(parts), bool)
+        bad[of[~self.same[met]]] = True
+        met, of = met[~bad[of]], of[~bad[of]]
+        counts = [np.bincount(of, weights=side.size[met], minlength=len(parts)).astype(np.int64) for side in (self.a, self.b)]
+        return self.a.gather(met), counts[0], self.b.gather(met), counts[1]
+
+    def align(self, keys: list[tuple[bytes, bytes]]) -> None:
+        """The groups and links of windows that were not met before, of all of them at once."""
+        a, b = np.frombuffer(b"".join([x for x, _ in keys]), "<i4"), np.frombuffer(b"".join([y for _, y in keys]), "<i4")
+        count_a, count_b = (np.array([len(k[i]) // 4 for k in keys], np.int64) for i in (0, 1))
+        end_a, end_b = np.cumsum(self.a_size[a]), np.cumsum(self.b_size[b])
+        shared_a, shared_b = np.isin(end_a, end_b, assume_unique=True), np.isin(end_b, end_a, assume_unique=True)
+        ends = np.union1d(end_a, end_b)  # between two of these lies one link: the tokens that overlap there
+        links = a[np.searchsorted(end_a, ends)].astype(np.int64) << 32 | b[np.searchsorted(end_b, ends)]
+        first_a, first_b = _ends(count_a), _ends(count_b)
+        size = np.diff(np.searchsorted(ends, _ends(self.a_size[a])[first_a], side="right"))
+        # A's tokens of a group are written before B's: each stands after those of the other side in the groups before it
+        group_a, group_b = np.cumsum(shared_a) - shared_a, np.cumsum(shared_b) - shared_b
+        n_a, n_b = np.bincount(group_a), np.bincount(group_b)
+        written = np.empty(len(a) + len(b), object)
+        written[np.arange(len(a)) + (np.cumsum(n_b) - n_b)[group_a]] = np.where(shared_a, self.written["|"][a], self.written[","][a])
+        written[np.arange(len(b)) + np.cumsum(n_a)[group_b]] = np.where(shared_b, self.written[";"][b], self.written[","][b])
+        at = (first_a + first_b).tolist()
+        written = written.tolist()
+        self.texts += ["".join(written[s:e]) for s, e in zip(at, at[1:])]
+        shared = _ends(shared_a)
+        self.windows.update(zip(keys, range(len(self.groups), len(self.groups) + len(keys))))
+        self.groups = np.concatenate([self.groups, np.diff(shared[first_a])])
+        self.links.add(links, size)
+
+    def cut_windows(self, a: np.ndarray, count_a: np.ndarray, b: np.ndarray, count_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(the windows of all documents, the number of each one's)."""
         if len(self.windows) > REMEMBERED:
             self.forget_windows()
-        all_a, all_b = b"".join([x for x, _ in tokens]), b"".join([x for _, x in tokens])
-        a, b = np.frombuffer(all_a, "<i4"), np.frombuffer(all_b, "<i4")
-        size_a, size_b = self.a_size[a], self.b_size[b]
-        start_a, start_b = np.cumsum(size_a) - size_a, np.cumsum(size_b) - size_b
-        first_a = np.cumsum([0, *(len(x) // 4 for x, _ in tokens)])
-        _, at_a, at_b = np.intersect1d(start_a, start_b, assume_unique=True, return_indices=True)
+        start_a, start_b = _ends(self.a_size[a])[:-1], _ends(self.b_size[b])[:-1]
+        first_a = _ends(count_a)
+        near = np.minimum(np.searchsorted(start_b, start_a), max(0, len(b) - 1))
+        meet = start_b[near] == start_a
+        at_a, at_b = np.flatnonzero(meet), near[meet]
         first = np.zeros(len(a) + 1, bool)
         first[first_a] = True  # a document's start is an anchor, whatever it begins with
         anchors = first[at_a] | (self.a_space[a[at_a]] & self.b_space[b[at_b]])
         at_a, at_b = at_a[anchors], at_b[anchors]
+        all_a, all_b = a.astype("<i4").tobytes(), b.astype("<i4").tobytes()
         edges_a, edges_b = [*(at_a * 4).tolist(), len(all_a)], [*(at_b * 4).tolist(), len(all_b)]
-        get, align = self.windows.get, self.align
-        found = []
-        for k in range(len(at_a)):
-            key = all_a[edges_a[k] : edges_a[k + 1]], all_b[edges_b[k] : edges_b[k + 1]]
-            n = get(key)
-            found.append(align(*key) if n is None else n)
-        return np.split(np.array(found, np.int64), np.searchsorted(at_a, first_a[1:-1]))
+        keys = [(all_a[s:e], all_b[u:v]) for s, e, u, v in zip(edges_a, edges_a[1:], edges_b, edges_b[1:])]
+        found = list(map(self.windows.get, keys))
+        if new := list({k for k, n in zip(keys, found) if n is None}):
+            self.align(new)
+            found = map(self.windows.__getitem__, keys)
+        return np.fromiter(found, np.int64, len(keys)), np.diff(np.searchsorted(at_a, first_a))
 
 
 @lru_cache(2)
@@ -170,17 +201,6 @@ def _blocks(texts: list[str | None]) -> Iterator[tuple[int, int]]:
         yield start, len(texts)
 
 
-def _flat(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
-    """All entries, and the number of each list's."""
-    return np.array([x for own in lists for x in own], np.int64), np.array([len(own) for own in lists], np.int64)
-
-
-def _spread(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """starts[i], starts[i] + 1, ..., counts[i] of them, for every i."""
-    ends = np.cumsum(counts)
-    return np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - counts, counts) + np.repeat(starts, counts)
-
-
 BLOCK_SCHEMA = (
     "block long, doc_id string, n_a long, n_b long, n_groups long, n_links long, groups string, groups_sha256 string, windows binary, "
     "pairs array<long>, holders array<int>, inside binary, sizes binary"
@@ -202,27 +222,24 @@ def align_blocks(docs: DataFrame, paths: tuple[str, str] | None = None, with_gro
                 yield pd.DataFrame(list(one_block(t, block, ids[start:end], texts[start:end])), columns=[x.split()[0] for x in BLOCK_SCHEMA.split(", ")])
 
     def one_block(t: Tokenizers, block: int, ids: list, texts: list) -> Iterator[tuple]:
-        tokens = t.tokens(texts)
-        windows = t.cut_windows(tokens)
-        every = np.concatenate(windows)
+        a, count_a, b, count_b = t.tokens(texts)
+        every, count = t.cut_windows(a, count_a, b, count_b)
         kinds, places = np.unique(every, return_inverse=True)  # the block's windows
-        flat, sizes = _flat([t.links[w] for w in kinds])
-        own, inside = np.unique(flat, return_inverse=True)  # the block's pairs
-        doc = np.repeat(np.arange(len(ids)), [len(w) for w in windows])
+        names, inside = np.unique(t.links.gather(kinds), return_inverse=True)  # the block's pairs
+        sizes = t.links.size[kinds]
+        doc = np.repeat(np.arange(len(ids)), count)
         seen = np.unique(doc * max(1, len(kinds)) + places)  # each window once a document
-        begins = np.cumsum(sizes) - sizes
-        n = sizes[seen % max(1, len(kinds))]
-        held = np.unique(np.repeat(seen // max(1, len(kinds)), n) * max(1, len(own)) + inside[_spread(begins[seen % max(1, len(kinds))], n)])
-        at = 0
-        for i, (a, b), w in zip(ids, tokens, windows):
-            here = places[at : at + len(w)]
-            at += len(w)
-            groups = ";".join([t.texts[k] for k in w.tolist()])
-            counts = len(a) // 4, len(b) // 4, sum(t.groups[k] for k in w.tolist()), int(sizes[here].sum())
-            yield block, i, *counts, groups if with_groups else None, hashlib.sha256(groups.encode()).hexdigest() if a else "", here.astype("<i4").tobytes(), None, None, None, None
-        if len(own):
-            names = np.fromiter(t.pairs, np.int64, len(t.pairs))[own]
-            yield block, None, None, None, None, None, None, None, None, names, np.bincount(held % len(own), minlength=len(own)).astype("i4"), inside.astype("<i4").tobytes(), sizes.astype("<i4").tobytes()
+        kind = seen % max(1, len(kinds))
+        pairs = inside[_spread((np.cumsum(sizes) - sizes)[kind], sizes[kind])]
+        held = np.unique(np.repeat(seen // max(1, len(kinds)), sizes[kind]) * max(1, len(names)) + pairs)
+        n_groups, n_links = (np.bincount(doc, weights=x[every], minlength=len(ids)).astype(np.int64).tolist() for x in (t.groups, t.links.size))
+        written, here, at = list(map(t.texts.__getitem__, every.tolist())), places.astype("<i4"), _ends(count).tolist()
+        for i in range(len(ids)):
+            groups = "".join(written[at[i] : at[i + 1]])[:-1]
+            digest = hashlib.sha256(groups.encode()).hexdigest() if groups else ""
+            yield block, ids[i], int(count_a[i]), int(count_b[i]), n_groups[i], n_links[i], groups if with_groups else None, digest, here[at[i] : at[i + 1]].tobytes(), None, None, None, None
+        if len(names):
+            yield block, None, None, None, None, None, None, None, None, names, np.bincount(held % len(names), minlength=len(names)).astype("i4"), inside.astype("<i4").tobytes(), sizes.astype("<i4").tobytes()
 
     rows = docs.select(F.col("doc_id").cast("long").cast("string").alias("doc_id"), "text")
     return rows.mapInPandas(run, BLOCK_SCHEMA)
