@@ -122,6 +122,16 @@ def validate_rows(df: DataFrame, rules: dict[str, Column]) -> tuple[DataFrame, D
     return marked.where(F.size("reasons") == 0).drop("reasons"), marked.where(F.size("reasons") > 0)
 
 
+def upload_rows(raw: DataFrame, mapping: dict[str, str], rules: dict[str, Column], dates: list[str], numbers: list[str], defaults: dict[str, object] | None = None) -> DataFrame:
+    """Raw rows of an upload, row by row through mapping, cleaning, dates, numbers, currency and rules: the target's columns and
+    reasons. Nothing looks at two rows, so a stream can run it."""
+    rows = clean_missing(apply_mapping(raw, mapping), defaults)
+    rows = coerce_numeric(standardise_dates(rows, dates), numbers, "decimal(14,2)")
+    if "currency" in rows.columns:
+        rows = rows.withColumn("currency", normalise_currency(F.col("currency")))
+    return with_reasons(rows, rules)
+
+
 def check_constraints(df: DataFrame, rules: dict[str, Column]) -> DataFrame:
     """(rule, violations) in one pass; unlike in validation, a null passes."""
     one = df.agg(*[F.count_if(~rule).alias(f"_{i}") for i, rule in enumerate(rules.values())])

@@ -53,6 +53,13 @@ fc AS (SELECT k, ds, round(y, 4) AS actual, round(greatest(f, 0), 2) AS yhat, ro
 """
 
 
+_CHAIN = """+ a AS (SELECT order_id AS k, order_date, CASE WHEN order_id % 7 <> 0 THEN total::DECIMAL(14,2) END AS amount, CASE WHEN order_id % 11 = 0 THEN 'lost' ELSE status END AS status FROM ord),
+r AS (SELECT *, 0 AS batch_id, false AS more FROM a UNION ALL SELECT k, order_date, amount + 1, status, 0, true FROM a WHERE k % 17 = 0 AND k % 7 > 1 UNION ALL SELECT *, 1, false FROM a WHERE k % 2 = 0),
+q AS (SELECT *, concat_ws(',', CASE WHEN amount IS NULL THEN 'amount' END, CASE WHEN status = 'lost' THEN 'status' END, CASE WHEN k % 13 = 0 THEN 'key' END) AS failed FROM r),
+p AS (SELECT *, row_number() OVER (PARTITION BY k, failed ORDER BY batch_id, amount DESC) AS place FROM q),
+chain AS (SELECT CASE WHEN k % 13 <> 0 THEN k::VARCHAR END AS external_id, CASE WHEN failed = '' AND place = 1 THEN 'accepted' ELSE 'rejected' END AS outcome, CASE WHEN failed <> '' THEN failed WHEN place > 1 THEN 'duplicate' ELSE '' END AS reasons,
+order_date, amount::DOUBLE AS total_amount, 'USD' AS currency, status, batch_id::BIGINT AS batch_id FROM p)
+"""
 _SENT = "lex(word, weight) AS (VALUES " + ", ".join(f"('{w}', {n})" for w, n in registry.LEXICON) + """),
 wd AS (SELECT conv_id, turn, unnest(regexp_split_to_array(lower(text), '[^\\p{L}]+')) AS word FROM conversations), hit AS (SELECT conv_id, turn, count(*) FILTER (weight > 0) AS p, count(*) FILTER (weight < 0) AS n FROM wd LEFT JOIN lex USING (word) GROUP BY 1, 2),
 q AS (SELECT *, CASE WHEN p + n > 0 THEN (p - n)::DOUBLE / (p + n) END AS s FROM hit),
@@ -207,6 +214,8 @@ SELECT upload_job_id, csv_header, mapped_table, mapped_column, match_score, coal
 SELECT 'engagement' AS rule, count(*) FILTER (e NOT BETWEEN 0 AND 100) AS violations FROM e UNION ALL SELECT 'tier', count(*) FILTER (abc_tier NOT IN ('A', 'B', 'C')) FROM abc UNION ALL SELECT 'band', count(*) FILTER (NOT (yhat_lower <= yhat AND yhat <= yhat_upper)) FROM fc UNION ALL SELECT unnest(['sentiment', 'bullet', 'churn_risk']), 0"""),
         "in13_references": c("SELECT o_orderkey AS order_id FROM orders WHERE o_orderkey NOT IN (SELECT order_id FROM items)"),
         "in14_unique": "SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1",
+        "st3_upload_chain": c(_CHAIN + "SELECT external_id, outcome, reasons, order_date, total_amount, currency, status, batch_id FROM chain"),
+        "st3_ledger": c(_CHAIN + "SELECT outcome, reason, count(*) AS rows, batch_id FROM (SELECT outcome, batch_id, unnest(CASE WHEN reasons = '' THEN [NULL] ELSE str_split(reasons, ',') END) AS reason FROM chain) GROUP BY ALL"),
         "in15_upsert": c("""SELECT product_id, name, round(CASE WHEN product_id % 2 = 0 THEN (unit_price * 1.10)::DECIMAL(10,2) ELSE unit_price END::DOUBLE, 2) AS unit_price FROM prod UNION ALL SELECT product_id + 100000000, name, round(unit_price::DOUBLE, 2) FROM prod WHERE product_id % 2 = 0"""),
         "in16_insert_orders": c("SELECT order_id AS external_id, round(net::DOUBLE, 4) AS net_amount, round(CASE WHEN NOT return_flag THEN net - cost END::DOUBLE, 4) AS gross_margin FROM ord WHERE order_date >= DATE '1998-01-01'"),
         "in17_refresh_customers": c("+ s AS (SELECT customer_id, count(*) AS n, sum(net) AS v, min(order_date) AS a, max(order_date) AS b FROM sold GROUP BY 1) SELECT customer_id, coalesce(n, 0) AS total_orders, round(coalesce(v, 0)::DOUBLE, 4) AS lifetime_value, a AS first_purchase_date, b AS last_active_at FROM cust LEFT JOIN s USING (customer_id)"),
@@ -222,5 +231,6 @@ SELECT upload_job_id, reason, rows, round(rows / max(rows) OVER (PARTITION BY up
         "sc_derived_products": c("SELECT product_id, round(CASE WHEN unit_price <> 0 THEN (unit_price - cost_price)::DOUBLE / unit_price::DOUBLE * 100 END, 4) AS gross_margin_pct, stock_qty < low_stock_threshold AS is_low_stock, CASE WHEN stock_qty < low_stock_threshold THEN 'red' WHEN stock_qty < 2 * low_stock_threshold THEN 'orange' ELSE 'green' END AS stock_band, round((stock_qty * unit_price)::DOUBLE, 2) AS stock_value FROM prod"),
         "scale_global_rank": c("SELECT order_id, row_number() OVER (ORDER BY net DESC, order_id) AS rank_, round(coalesce(sum(net) OVER (ORDER BY net DESC, order_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE, 4) AS before_ FROM ord"),
         "st1_stream_kpi": "SELECT ts::DATE AS day, count(*) AS events, round(sum(value), 4) AS value FROM events GROUP BY 1",
+        "st1_append": "SELECT ts::DATE AS day, count(*) AS events, round(sum(value), 4) AS value, true AS users_near FROM events GROUP BY 1 HAVING ts::DATE + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 5 MINUTE FROM events)",
         "st2_stream_dedup": "SELECT event_id, user_id FROM events",
     }

@@ -166,16 +166,51 @@ def ingested(c: Canon) -> DataFrame:
 
     landing, target = new_path(c.spark), new_path(c.spark)
     rows = dirty(c).select("external_id", "total_amount")
-    for i, part in enumerate((rows, rows.where("external_id % 2 = 0"))):
+
+    def clean(raw: DataFrame) -> DataFrame:
+        return ingest.upload_rows(raw, {x: x for x in rows.columns}, {}, [], ["total_amount"]).withColumn("reasons", F.array().cast("array<string>"))
+
+    for part in (rows, rows.where("external_id % 2 = 0")):
         part.write.mode("append").option("header", True).csv(landing)
         found = tables.stream_landing(c.spark, landing, rows.columns)
+        stream.stream_ingest(found, clean, "external_id", target, target + "-state").awaitTermination()
+    out = stream.ingested(c.spark, target, stream.row_schema(found, clean), stream.ACCEPTED)
+    return out.select("external_id", F.col("total_amount").cast("double").alias("total_amount"))
+
+
+UPLOAD = {"Order ID": "external_id", "Date": "order_date", "Sale Amt": "total_amount", "Ccy": "currency", "State": "status"}
+
+
+def upload_chain(c: Canon) -> tuple[str, DataFrame]:
+    """ST3: (the target, all rows it has) of the dirty uploads as they land, in two batches. Some orders come twice in the first, dearer
+    the second time, every second one again in the second; some rows have no order number."""
+    from orderlens.streaming import stream
+
+    landing, target = new_path(c.spark), new_path(c.spark)
+    k = F.col("external_id").cast("long")
+    rows = dirty(c).select(*UPLOAD.values())
+    dearer = rows.where((k % 17 == 0) & (k % 7 > 1)).withColumn("total_amount", (F.trim("total_amount").cast("decimal(14,2)") + 1).cast("string"))
+    nameless = F.when(k % 13 != 0, F.col("external_id")).alias("external_id")
+
+    def clean(raw: DataFrame) -> DataFrame:
+        return ingest.upload_rows(raw, UPLOAD, rules() | {"key": F.col("external_id").isNotNull()}, ["order_date"], ["total_amount"], {"currency": "USD", "status": "completed"})
 
-        def clean(batch: DataFrame) -> DataFrame:
-            numbers = ingest.coerce_numeric(ingest.clean_missing(batch), ["total_amount"], "decimal(14,2)")
-            return ingest.drop_duplicates(numbers, ["external_id"], ["total_amount"])
+    for part in (rows.unionByName(dearer), rows.where(k % 2 == 0)):
+        part.withColumn("external_id", nameless).toDF(*UPLOAD).write.mode("append").option("header", True).csv(landing)
+        found = tables.stream_landing(c.spark, landing, list(UPLOAD))
+        stream.stream_ingest(found, clean, "external_id", target, target + "-state", F.col("total_amount")).awaitTermination()
+    return target, stream.ingested(c.spark, target, stream.row_schema(found, clean))
 
-        stream.stream_ingest(found, clean, target, "external_id", target + "-state").awaitTermination()
-    return c.spark.read.parquet(target).select("external_id", F.col("total_amount").cast("double").alias("total_amount"))
+
+def chain_rows(c: Canon) -> DataFrame:
+    return upload_chain(c)[1].select("external_id", "outcome", F.concat_ws(",", "reasons").alias("reasons"), "order_date", F.col("total_amount").cast("double").alias("total_amount"), "currency", "status", "batch_id")
+
+
+def chain_ledger(c: Canon) -> DataFrame:
+    """ST3's ledger: what each batch accepted and rejected, and why."""
+    from orderlens.streaming import stream
+
+    return stream.ledger(c.spark, upload_chain(c)[0])
 
 
 def tiers(c: Canon) -> DataFrame:
@@ -314,6 +349,8 @@ QUERIES: dict[str, Callable[[Canon], DataFrame]] = {
     "io3_append": appended,
     "io5_export": exported,
     "io6_st3_stream_ingest": ingested,
+    "st3_upload_chain": chain_rows,
+    "st3_ledger": chain_ledger,
     "io4_result_json": lambda c: tables.result_json(an.payment_channel(c.orders, c.sold).select("payment_method", "orders"), "payment_channel", "job1", ["payment_method"]),
     "in1_map_exact": lambda c: ingest.map_exact(headers(c), dictionary(c)),
     "in2_map_fuzzy": lambda c: ingest.map_fuzzy(headers(c), dictionary(c)),
@@ -350,7 +387,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     def bound(build: Callable[[Canon], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
         return lambda spark, sf_dir: build(_canon(spark, sf_dir))
 
-    return {name: bound(build) for name, build in QUERIES.items()} | {"st1_stream_kpi": stream_kpi, "st2_stream_dedup": stream_dedup}
+    return {name: bound(build) for name, build in QUERIES.items()} | {"st1_stream_kpi": stream_kpi, "st1_append": stream_append, "st2_stream_dedup": stream_dedup}
 
 
 def stream_kpi(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -360,6 +397,26 @@ def stream_kpi(spark: SparkSession, sf_dir: str) -> DataFrame:
     return days.select(F.col("window_start").cast("date").alias("day"), "events", F.round("value", 4).alias("value"))
 
 
+def stream_append(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ST1 in append mode: events land in four parts, day after day; with the last come copies of every 50th of the first two, long
+    late. Days that the watermark has passed come out, with the approximate users held against the exact ones."""
+    from orderlens.streaming import stream
+
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    landing, path = new_path(spark), new_path(spark)
+    span = events.agg(F.min(F.to_date("ts")).alias("a"), F.max(F.to_date("ts")).alias("b")).first()
+    part = F.floor(F.datediff(F.to_date("ts"), F.lit(span.a)) * 4 / ((span.b - span.a).days + 1))
+    late = events.where((part < 2) & (F.col("event_id") % 50 == 0))
+    for i in range(4):
+        rows = events.where(part == i)
+        (rows.unionByName(late) if i == 3 else rows).write.mode("append").parquet(f"{landing}/events.parquet")
+        days = stream.settle(stream.stream_kpi(stream.stream_events(spark, landing)), "append", path)
+    exact = events.groupBy(F.to_date("ts").alias("day")).agg(F.countDistinct("user_id").alias("users"))
+    days = days.select(F.col("window_start").cast("date").alias("day"), "events", F.round("value", 4).alias("value"), "approx_users")
+    near = F.abs(F.col("approx_users") - F.col("users")) <= F.greatest(F.lit(1.0), F.col("users") * 0.15)
+    return days.join(exact, "day").select("day", "events", "value", near.alias("users_near"))
+
+
 def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from orderlens.streaming import stream
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from orderlens.sources.shared import new_path
 
@@ -13,14 +15,20 @@ from orderlens.sources.shared import new_path
 def stream_events(spark: SparkSession, folder: str) -> DataFrame:
     """The events table, a file or a folder of files, as a stream; its time is a timestamp with the session's zone, as watermarks need."""
     path = f"{folder}/events.parquet"
-    schema = spark.read.parquet(path).schema
-    return spark.readStream.schema(schema).option("recursiveFileLookup", True).parquet(path + "*").withColumn("ts", F.col("ts").cast("timestamp"))
-
-
-def settle(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """What a stream over the files that are there comes to, written to the shared folder and read back."""
+    table = spark.read.parquet(path)
+    reader = spark.readStream.schema(table.schema)
+    if [x.rsplit("/", 1)[-1] for x in table.inputFiles()] == ["events.parquet"]:  # a file: its folder, and no other file of it
+        stream = reader.option("pathGlobFilter", "events.parquet").parquet(folder)
+    else:
+        stream = reader.option("recursiveFileLookup", True).parquet(path)
+    return stream.withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+def settle(stream: DataFrame, mode: str = "append", path: str | None = None) -> DataFrame:
+    """What a stream over the files that are there comes to, written to the shared folder (or path, where an earlier call on the same
+    source has left off) and read back."""
     spark = stream.sparkSession
-    path = new_path(spark)
+    path = path or new_path(spark)
     writer = stream.writeStream.option("checkpointLocation", path + "-state").trigger(availableNow=True)
     if mode == "append":
         writer.format("parquet").option("path", path).outputMode("append").start().awaitTermination()
@@ -34,7 +42,9 @@ def settle(stream: DataFrame, mode: str = "append") -> DataFrame:
 
 
 def stream_kpi(events: DataFrame, late: str = "5 minutes", window: str = "1 day") -> DataFrame:
-    """Count, value and approximate users of each tumbling window; events later than `late` do not count."""
+    """Count, value and approximate users of each tumbling window. In append mode a window comes out when the watermark, `late` behind
+    the newest event, has passed its end, and events of it that come after that are dropped. In complete mode all windows come out and
+    none is dropped."""
     by = events.withWatermark("ts", late).groupBy(F.window("ts", window).alias("w"))
     return by.agg(F.count(F.lit(1)).alias("events"), F.sum("value").alias("value"), F.approx_count_distinct("user_id").alias("approx_users")).select(F.col("w.start").alias("window_start"), "events", "value", "approx_users")
 
@@ -43,14 +53,87 @@ def stream_dedup(events: DataFrame, key: list[str], late: str = "5 minutes") ->
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(key)
 
 
-def stream_ingest(stream: DataFrame, transform: Callable[[DataFrame], DataFrame], target: str, key: str, checkpoint: str) -> StreamingQuery:
-    """Clean each micro-batch by transform and append the rows whose key the target does not have: a replayed batch adds nothing."""
-    spark = stream.sparkSession
-    schema = transform(spark.createDataFrame([], stream.schema)).schema
-    spark.createDataFrame([], schema).write.mode("append").parquet(target)  # a target to look into, if there is none
-
-    def add(batch: DataFrame, batch_id: int) -> None:
-        known = batch.sparkSession.read.schema(schema).parquet(target).select(key)
-        transform(batch).join(known, key, "left_anti").write.mode("append").parquet(target)
-
-    return stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+# -- Ingestion -------------------------------------------------------------------------------------------------------------------
+ACCEPTED, REJECTED, DUPLICATE = "accepted", "rejected", "duplicate"
+
+
+def _first_of_key(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """Rows of one key with `again`: all but the preferred row of the first batch that has the key. Invalid rows pass, and claim no key."""
+    best: pd.DataFrame | None = None
+    for rows in frames:
+        for _, row in rows.sort_values(["prefer", "row"], na_position="first").iterrows():
+            one = pd.DataFrame({"row": [row["row"]], "again": [False], "prefer": [row["prefer"]]})
+            if not row["valid"]:
+                yield one[["row", "again"]]
+                continue
+            last = one
+            if not state.exists and (best is None or _order(one) > _order(best)):
+                best, last = one, best
+            if last is not None:
+                yield last.assign(again=True)[["row", "again"]]
+    if best is not None:
+        state.update((True,))
+        yield best[["row", "again"]]
+
+
+def _order(one: pd.DataFrame) -> tuple:
+    prefer = one["prefer"].iloc[0]
+    return not pd.isna(prefer), 0.0 if pd.isna(prefer) else prefer, one["row"].iloc[0]
+
+
+def row_schema(stream: DataFrame, clean: Callable[[DataFrame], DataFrame]) -> T.StructType:
+    """The columns that stream_ingest writes."""
+    return clean(stream.sparkSession.createDataFrame([], stream.schema)).schema
+
+
+def stream_ingest(stream: DataFrame, clean: Callable[[DataFrame], DataFrame], key: str, target: str, checkpoint: str, prefer: Column | None = None, after_write: Callable[[int], None] | None = None) -> StreamingQuery:
+    """Uploads as they arrive, cleaned and judged row by row, each key accepted once; nothing reads what earlier batches wrote.
+
+    clean: raw rows to clean ones with `reasons` (empty: valid), row by row. Which keys were accepted is the query's state, kept with
+    its checkpoint: of the valid rows of a key, one of the first batch that has it is accepted (the largest `prefer`, a number, then
+    the largest row as JSON), all others are rejected as `duplicate`; a row that fails a rule claims no key. State grows with the
+    keys, so a cluster runs this with the RocksDB state store.
+
+    A batch is one write to its own folder, target/rows/batch_id=N, parted by outcome; a line for each outcome and reason then goes
+    to target/ledger/batch_id=N, and readers take the batches that the ledger has. A batch that is run again after a failure, at
+    whatever point, starts from the same state and writes over its own folders. after_write is called between the two writes.
+    """
+    schema = row_schema(stream, clean)
+    rows = clean(stream)
+    valid = F.size("reasons") == 0
+    staged = rows.select(
+        F.when(valid, F.col(key).cast("string")).otherwise(F.concat(F.lit("?"), F.xxhash64(F.to_json(F.struct("*"))).cast("string"))).alias("group"),
+        valid.alias("valid"), (F.lit(0.0) if prefer is None else prefer.cast("double")).alias("prefer"), F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("row"),
+    )
+    judged = staged.groupBy("group").applyInPandasWithState(_first_of_key, "row string, again boolean", "seen boolean", "append", GroupStateTimeout.NoTimeout)
+
+    def keep(batch: DataFrame, batch_id: int) -> None:
+        spark, path = batch.sparkSession, f"{target}/rows/batch_id={batch_id}"
+        out = batch.select(F.from_json("row", schema).alias("r"), "again").select("r.*", "again")
+        reasons = F.when(F.col("again"), F.array(F.lit(DUPLICATE))).otherwise(F.col("reasons"))
+        out = out.withColumn("reasons", reasons).withColumn("outcome", F.when(F.size("reasons") == 0, ACCEPTED).otherwise(REJECTED))
+        out.drop("again").write.mode("overwrite").partitionBy("outcome").parquet(path)
+        if after_write is not None:
+            after_write(batch_id)
+        wrote = spark.read.schema(out.drop("again").schema).parquet(path)
+        lines = wrote.select("outcome", F.explode_outer("reasons").alias("reason")).groupBy("outcome", "reason").agg(F.count(F.lit(1)).alias("rows"))
+        lines.coalesce(1).write.mode("overwrite").parquet(f"{target}/ledger/batch_id={batch_id}")  # a line for each reason
+
+    return judged.writeStream.foreachBatch(keep).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+LEDGER = "outcome string, reason string, rows long, batch_id long"
+
+
+def ledger(spark: SparkSession, target: str) -> DataFrame:
+    """(outcome, reason, rows, batch_id) of the batches that are done."""
+    return spark.read.schema(LEDGER).parquet(f"{target}/ledger")
+
+
+def ingested(spark: SparkSession, target: str, schema: T.StructType, outcome: str | None = None) -> DataFrame:
+    """The rows of the batches that the ledger has, of one outcome or of all, with outcome and batch_id."""
+    full = T.StructType([*schema.fields, T.StructField("batch_id", T.LongType()), T.StructField("outcome", T.StringType())])
+    rows = spark.read.schema(full).option("basePath", f"{target}/rows").parquet(f"{target}/rows")
+    if outcome is not None:
+        rows = rows.where(F.col("outcome") == outcome)
+    return rows.join(ledger(spark, target).select("batch_id").distinct(), "batch_id", "left_semi")

@@ -165,22 +165,81 @@ def test_upload_round_trip(spark, tmp_path):
     assert "external_id" in spark.read.parquet(str(tmp_path / "results")).first().result_json
 
 
-def test_streams(spark, tmp_path):
+def upload_stream(spark, tmp_path):
     from orderlens.streaming import stream
 
-    (tmp_path / "in").mkdir()
     header = ["external_id", "total"]
+    (tmp_path / "in").mkdir()
+    out = str(tmp_path / "out")
 
-    def run():
-        q = stream.stream_ingest(tables.stream_landing(spark, str(tmp_path / "in"), header), lambda b: ingest.drop_duplicates(b, ["external_id"], ["total"]), str(tmp_path / "out"), "external_id", str(tmp_path / "check"))
+    def clean(raw):
+        return ingest.upload_rows(raw, {x: x for x in header}, {"total": F.col("total") >= 0, "key": F.col("external_id").isNotNull()}, [], ["total"])
+
+    def run(after_write=None):
+        found = tables.stream_landing(spark, str(tmp_path / "in"), header)
+        q = stream.stream_ingest(found, clean, "external_id", out, str(tmp_path / "check"), F.col("total"), after_write)
         q.awaitTermination()
+        return q
+
+    def rows(outcome=None):
+        found = stream.ingested(spark, out, stream.row_schema(tables.stream_landing(spark, str(tmp_path / "in"), header), clean), outcome)
+        return sorted((r.external_id or "", None if r.total is None else float(r.total), ",".join(r.reasons), r.batch_id) for r in found.collect())
 
-    (tmp_path / "in" / "a.csv").write_text("external_id,total\n1,5\n2,6\n1,7\n")
+    return run, rows, out
+
+
+def test_streams(spark, tmp_path):
+    from orderlens.streaming import stream
+
+    run, rows, out = upload_stream(spark, tmp_path)
+    (tmp_path / "in" / "a.csv").write_text("external_id,total\n1,5\n2,6\n1,7\n,9\n4,-1\n5,x\n")
+    run()
+    assert rows(stream.ACCEPTED) == [("1", 7.0, "", 0), ("2", 6.0, "", 0)]
+    (tmp_path / "in" / "b.csv").write_text("external_id,total\n2,60\n3,8\n4,2\n")
     run()
-    (tmp_path / "in" / "b.csv").write_text("external_id,total\n2,6\n3,8\n")
     run()
+    assert rows(stream.ACCEPTED) == [("1", 7.0, "", 0), ("2", 6.0, "", 0), ("3", 8.0, "", 1), ("4", 2.0, "", 1)]  # a row that failed claimed no key
+    assert rows(stream.REJECTED) == [("", 9.0, "key", 0), ("1", 5.0, "duplicate", 0), ("2", 60.0, "duplicate", 1), ("4", -1.0, "total", 0), ("5", None, "total", 0)]
+    lines = {(r.batch_id, r.outcome, r.reason): r.rows for r in stream.ledger(spark, out).collect()}
+    assert lines == {(0, "accepted", None): 2, (0, "rejected", "key"): 1, (0, "rejected", "duplicate"): 1, (0, "rejected", "total"): 2, (1, "accepted", None): 2, (1, "rejected", "duplicate"): 1}
+
+
+def test_a_batch_that_failed_between_its_writes_adds_nothing_twice(spark, tmp_path):
+    from pyspark.errors import StreamingQueryException
+    from orderlens.streaming import stream
+
+    run, rows, out = upload_stream(spark, tmp_path)
+    (tmp_path / "in" / "a.csv").write_text("external_id,total\n1,5\n2,6\n")
+    run()
+    (tmp_path / "in" / "b.csv").write_text("external_id,total\n2,7\n3,8\n3,9\n")
+
+    def fail(batch_id):
+        raise RuntimeError("lost")
+
+    with pytest.raises(StreamingQueryException):
+        run(fail)
+    assert len(list((tmp_path / "out" / "rows").glob("batch_id=1/outcome=*"))) == 2  # written, not in the ledger
+    assert rows() == [("1", 5.0, "", 0), ("2", 6.0, "", 0)]
+    run()
+    want = [("1", 5.0, "", 0), ("2", 6.0, "", 0), ("2", 7.0, "duplicate", 1), ("3", 8.0, "duplicate", 1), ("3", 9.0, "", 1)]
+    assert rows() == want
+    (tmp_path / "check" / "commits" / "1").unlink()  # the batch was done, but the stream had not noted it
+    for noted in (tmp_path / "check" / "commits").glob(".1.crc"):
+        noted.unlink()
+    run()
+    assert rows() == want
+
+
+def test_a_batch_does_not_read_the_target(spark, tmp_path):
+    run, rows, out = upload_stream(spark, tmp_path)
+    (tmp_path / "in" / "a.csv").write_text("external_id,total\n1,5\n")
     run()
-    assert sorted((r.external_id, r.total) for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [("1", "7"), ("2", "6"), ("3", "8")]
+    (tmp_path / "in" / "b.csv").write_text("external_id,total\n" + "7,1\n" * 500)
+    plans = []
+    q = run(lambda batch_id: plans.append(batch_id))
+    plan = q._jsq.explainInternal(True)
+    assert "FlatMapGroupsInPandasWithState" in plan and f"{out}/rows" not in plan and plans == [1]
+    assert [r[2] for r in rows() if r[0] == "7"].count("duplicate") == 499
 
 
 def test_late_events_and_folders_of_files(spark, tmp_path):
