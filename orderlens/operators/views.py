@@ -33,27 +33,24 @@ def customer_list(customers: DataFrame, sort: str = "highest_ltv", where: Column
     return page(customers if where is None else customers.where(where), key, "customer_id", size, descending, after)
 
 
-def customer_cards(profile: DataFrame, orders: DataFrame, as_of: str, segments: DataFrame | None = None, vip: str = "vip_champion") -> DataFrame:
-    """Average value, its change against the value a month before, customers at risk, customers new this week; with segments
-    (customer_id, ai_segment) also those of the segment `vip` who are new this week."""
+def customer_cards(orders: DataFrame, as_of: str, past: DataFrame, vip: str = "vip_champion", days: int = 7) -> DataFrame:
+    """On day as_of: average value, its change against the customers of a month before, customers at risk, customers new within
+    `days`, and those who came into the segment `vip` within `days`, be they new or not. past: their segment history up to as_of."""
     day = F.lit(as_of).cast("date")
-    before = orders.where(F.col("order_date") < F.add_months(day, -1)).groupBy("customer_id").agg(F.sum("net").alias("v"))
+    known = orders.where(F.col("order_date") < day)
+    before = known.where(F.col("order_date") < F.add_months(day, -1)).groupBy("customer_id").agg(F.sum("net").alias("v"))
     before = before.agg(F.avg(F.col("v").cast("double")).alias("_past"))
-    fresh = F.datediff(day, "first_purchase_date") <= 7
-    counts = [F.count_if(F.col("recency") > 90).alias("at_risk"), F.count_if(fresh).alias("new_this_week")]
-    if segments is not None:
-        profile = profile.join(segments, "customer_id", "left")
-        counts.append(F.count_if(fresh & (F.col("ai_segment") == vip)).alias("new_vips_this_week"))
-    now = profile.agg(F.avg(F.col("lifetime_value").cast("double")).alias("_now"), *counts)
-    both = now.crossJoin(before)  # one row each
+    now = known.groupBy("customer_id").agg(F.sum("net").alias("v"), F.datediff(day, F.min("order_date")).alias("age"), F.datediff(day, F.max("order_date")).alias("recency"))
+    now = now.agg(F.avg(F.col("v").cast("double")).alias("_now"), F.count_if(F.col("recency") > 90).alias("at_risk"), F.count_if(F.col("age") <= days).alias("new_this_week"))
+    held = (F.col("valid_from") <= day) & F.coalesce(F.col("valid_to") > day, F.lit(True))
+    came = past.where(held & (F.col("segment") == vip)).agg(F.count_if(F.col("valid_from") > F.date_sub(day, days)).alias("new_vips_this_week"))
     change = F.round((F.col("_now") / F.col("_past") - 1) * 100, 4).alias("ltv_change_pct")
-    names = [c for c in now.columns if c != "_now"]
-    return both.select(F.round("_now", 2).alias("average_ltv"), change, *names)
+    return now.crossJoin(before).crossJoin(came).select(F.round("_now", 2).alias("average_ltv"), change, "at_risk", "new_this_week", "new_vips_this_week")  # one row each
 
 
 def segment_summary(profile: DataFrame, segment: str = "region", before: DataFrame | None = None) -> DataFrame:
     """Customers, average value, ARR and orders of each segment, with a total row; the average engagement if profile has
-    engagement_score; with before, the profile of a month ago, the change of customers in %."""
+    engagement_score; with before, the customers of a month ago under the segment they held then, the change of customers in %."""
     more = [F.avg("engagement_score").alias("_e")] if "engagement_score" in profile.columns else []
     by = profile.groupingSets([[segment], []], segment).agg(
         F.count(F.lit(1)).alias("customers"), F.avg(F.col("lifetime_value").cast("double")).alias("_l"), F.sum("arr").alias("_a"),

@@ -19,6 +19,20 @@ t AS (SELECT *, ntile(5) OVER (ORDER BY recency DESC, customer_id) AS r, ntile(5
 g AS (SELECT customer_id, recency::INT AS recency, frequency, round(monetary::DOUBLE, 4) AS monetary, r || '' || f || '' || m AS rfm_score,
 CASE WHEN r >= 4 AND f >= 4 AND m = 5 THEN 'Champions' WHEN r >= 3 AND f >= 4 THEN 'Loyal Customers' WHEN r <= 2 AND f >= 3 THEN 'At Risk' WHEN r >= 4 AND f <= 2 THEN 'New Customers' WHEN r <= 2 AND f <= 2 THEN 'Hibernating' ELSE 'Potential' END AS rfm_segment FROM t)
 """
+
+
+def _segments(day: str, name: str) -> str:
+    """seg_name: the segments of the customers known before a day, ranked among themselves."""
+    ranked = _RFM.lstrip("+ ").replace(_D, f"DATE '{day}'").replace("FROM sold", f"FROM sold WHERE order_date < DATE '{day}'")
+    for x in ("b", "t", "g"):
+        ranked = ranked.replace(f"{x} AS (SELECT", f"{x}_{name} AS (SELECT").replace(f"FROM {x})", f"FROM {x}_{name})")
+    return f"{ranked}, seg_{name} AS (SELECT customer_id, rfm_segment AS segment, DATE '{day}' AS day FROM g_{name})"
+
+
+_HISTORY = "+" + ",".join(_segments(d, f"y{i}") for i, d in enumerate(registry.YEARS)) + ", snap AS (" + " UNION ALL ".join(f"SELECT * FROM seg_y{i}" for i in range(len(registry.YEARS))) + """),
+turn AS (SELECT * FROM (SELECT *, lag(segment) OVER (PARTITION BY customer_id ORDER BY day) AS past FROM snap) WHERE segment IS DISTINCT FROM past),
+hist AS (SELECT customer_id, segment, day AS valid_from, lead(day) OVER (PARTITION BY customer_id ORDER BY day) AS valid_to FROM turn)
+"""
 _COHORT = """+ f AS (SELECT customer_id, date_trunc('month', min(order_date))::DATE AS cohort_month FROM sold GROUP BY 1), z AS (SELECT cohort_month, count(*) AS size FROM f GROUP BY 1),
 k AS (SELECT cohort_month, datediff('month', cohort_month, date_trunc('month', order_date)) AS months_since, count(DISTINCT customer_id) AS customers FROM sold JOIN f USING (customer_id) GROUP BY 1, 2),
 h AS (SELECT cohort_month, months_since::INT AS months_since, customers, round(customers / size, 6) AS retention FROM k JOIN z USING (cohort_month))
@@ -165,6 +179,7 @@ SELECT day, active, known, round(1 - active / known, 4) AS churn_rate FROM a JOI
         "kp3_revenue_by_region": c("SELECT order_date AS day, " + ", ".join(f"round(coalesce(sum(CASE WHEN region = '{r}' THEN net END), 0)::DOUBLE, 4) AS revenue_{r.lower().replace(' ', '_')}" for r in registry.REGIONS) + " FROM sold GROUP BY 1"),
         "kp4_period_delta": c(_KPI + ", v AS (SELECT day, sum(revenue) OVER (ORDER BY day ROWS BETWEEN 29 PRECEDING AND CURRENT ROW) AS a, sum(revenue) OVER (ORDER BY day ROWS BETWEEN 59 PRECEDING AND 30 PRECEDING) AS b, row_number() OVER (ORDER BY day) AS k FROM kpi) SELECT day, round(a, 4) AS value, round(b, 4) AS previous, round((a - b) / nullif(b, 0) * 100, 4) AS change_pct FROM v WHERE k >= 60"),
         "kp5_sales_trend": c(_KPI + ", v AS (SELECT day, round(revenue, 4) AS revenue, round(lag(revenue, 30) OVER (ORDER BY day), 4) AS previous, max(day) OVER () AS last FROM kpi) SELECT day, revenue, previous FROM v WHERE day > last - 30"),
+        "kp6_freeze_table": c(_KPI + "SELECT * FROM kpi WHERE day > (SELECT max(day) FROM kpi) - INTERVAL 7 DAY"),
         "kp6_freeze_snapshot": c(_KPI + "SELECT * FROM kpi WHERE day <= DATE '2001-07-31'"),
         "kp7_mrr_growth": f"SELECT period, revenue, growth FROM ({_revenue('month')})",
         "kp8_win_rate": c("SELECT region, count(*) AS orders, count(*) FILTER (status = 'completed') AS completed, round(count(*) FILTER (status = 'completed') / count(*), 6) AS win_rate FROM ord GROUP BY 1"),
@@ -176,9 +191,15 @@ SELECT day, active, known, round(1 - active / known, 4) AS churn_rate FROM a JOI
         "cv1_customer_search": c("SELECT customer_id, full_name, email FROM cust WHERE contains(lower(full_name), '#00000012') OR contains(email, '#00000012') OR contains(customer_id::VARCHAR, '#00000012')"),
         "cv2_customer_list": c(_PROFILE + "SELECT customer_id, round(lifetime_value::DOUBLE, 4) AS lifetime_value, country FROM prof JOIN cust USING (customer_id) WHERE region = 'EUROPE' ORDER BY prof.lifetime_value DESC, customer_id LIMIT 20"),
         "cv3_page": c(_PROFILE + "SELECT customer_id, total_orders FROM prof WHERE total_orders < 9 OR (total_orders = 9 AND customer_id > 100) ORDER BY total_orders DESC, customer_id LIMIT 20"),
-        "cv4_customer_cards": c(_PROFILE + "," + _RFM.lstrip("+").replace("b AS (", "rb AS (").replace("FROM b)", "FROM rb)") + f", b AS (SELECT avg(v::DOUBLE) AS past FROM (SELECT sum(net) AS v FROM sold WHERE order_date < {_D} - INTERVAL 1 MONTH GROUP BY customer_id)), n AS (SELECT avg(lifetime_value::DOUBLE) AS now, count(*) FILTER (prof.recency > 90) AS at_risk, count(*) FILTER ({_D} - first_purchase_date <= 7) AS new_this_week, count(*) FILTER ({_D} - first_purchase_date <= 7 AND rfm_segment = 'Champions') AS new_vips_this_week FROM prof JOIN g USING (customer_id)) SELECT round(now, 2) AS average_ltv, round((now / past - 1) * 100, 4) AS ltv_change_pct, at_risk, new_this_week, new_vips_this_week FROM n, b"),
-        "cv5_segment_screen": c(_PROFILE + "," + _RFM.lstrip("+") + f""", e AS (SELECT customer_id, 50 * (percent_rank() OVER (ORDER BY recency DESC) + percent_rank() OVER (ORDER BY total_orders)) AS e FROM prof), a AS (SELECT rfm_segment AS ai_segment, grouping(rfm_segment)::INT AS is_total, count(*) AS customers, avg(lifetime_value::DOUBLE) AS l, sum(arr) AS arr, avg(total_orders) AS o, avg(round(e, 2)) AS e FROM prof JOIN g USING (customer_id) JOIN e USING (customer_id) GROUP BY GROUPING SETS ((rfm_segment), ())),
-p AS (SELECT rfm_segment AS s, grouping(rfm_segment)::INT AS t, count(*) AS past FROM g WHERE customer_id IN (SELECT customer_id FROM sold WHERE order_date < {_D} - INTERVAL 1 MONTH) GROUP BY GROUPING SETS ((rfm_segment), ()))
+        "cv4_customer_cards": c("+" + _segments(registry.CARD_DAY, "now") + "," + _segments(registry.before(registry.CARD_DAY, days=7), "week") + f""", p AS (SELECT customer_id, sum(net)::DOUBLE AS v, DATE '{registry.CARD_DAY}' - min(order_date) AS age, DATE '{registry.CARD_DAY}' - max(order_date) AS recency FROM sold WHERE order_date < DATE '{registry.CARD_DAY}' GROUP BY 1),
+b AS (SELECT avg(v::DOUBLE) AS past FROM (SELECT sum(net) AS v FROM sold WHERE order_date < DATE '{registry.CARD_DAY}' - INTERVAL 1 MONTH GROUP BY customer_id)), n AS (SELECT avg(v) AS now, count(*) FILTER (recency > 90) AS at_risk, count(*) FILTER (age <= 7) AS new_this_week FROM p),
+w AS (SELECT count(*) AS new_vips_this_week FROM seg_now LEFT JOIN seg_week USING (customer_id) WHERE seg_now.segment = 'Champions' AND seg_week.segment IS DISTINCT FROM 'Champions')
+SELECT round(now, 2) AS average_ltv, round((now / past - 1) * 100, 4) AS ltv_change_pct, at_risk, new_this_week, new_vips_this_week FROM n, b, w"""),
+        "cv5_segment_history": c(_HISTORY + "SELECT customer_id, segment, valid_from, valid_to FROM hist"),
+        "cv5_segment_moves": c(_HISTORY + f", m AS (SELECT *, lag(segment) OVER (PARTITION BY customer_id ORDER BY valid_from) AS segment_before FROM hist) SELECT segment_before, segment, count(*) AS customers FROM m WHERE valid_from > DATE '{registry.YEARS[-2]}' AND valid_from <= DATE '{registry.YEARS[-1]}' GROUP BY 1, 2"),
+        "cv5_held_revenue": c(_HISTORY + "SELECT segment, year(order_date)::INT AS year, count(*) AS orders, count(DISTINCT sold.customer_id) AS customers, round(sum(net)::DOUBLE, 4) AS revenue FROM sold LEFT JOIN hist ON hist.customer_id = sold.customer_id AND valid_from <= order_date AND (valid_to IS NULL OR order_date < valid_to) GROUP BY 1, 2"),
+        "cv5_segment_screen": c(_PROFILE + "," + _RFM.lstrip("+") + "," + _segments(registry.before(AS_OF, months=1), "month") + f""", e AS (SELECT customer_id, 50 * (percent_rank() OVER (ORDER BY recency DESC) + percent_rank() OVER (ORDER BY total_orders)) AS e FROM prof), a AS (SELECT rfm_segment AS ai_segment, grouping(rfm_segment)::INT AS is_total, count(*) AS customers, avg(lifetime_value::DOUBLE) AS l, sum(arr) AS arr, avg(total_orders) AS o, avg(round(e, 2)) AS e FROM prof JOIN g USING (customer_id) JOIN e USING (customer_id) GROUP BY GROUPING SETS ((rfm_segment), ())),
+p AS (SELECT segment AS s, grouping(segment)::INT AS t, count(*) AS past FROM seg_month GROUP BY GROUPING SETS ((segment), ()))
 SELECT ai_segment, is_total, customers, round(l, 2) AS average_ltv, round(coalesce(arr, 0)::DOUBLE, 4) AS arr, round(o, 4) AS average_orders, round(e, 2) AS average_engagement, round((customers / past - 1) * 100, 4) AS month_change_pct FROM a LEFT JOIN p ON ai_segment IS NOT DISTINCT FROM s AND is_total = t"""),
         "cv5_segment_summary": c(_PROFILE + "SELECT region, grouping(region)::INT AS is_total, count(*) AS customers, round(avg(lifetime_value::DOUBLE), 2) AS average_ltv, round(coalesce(sum(arr), 0)::DOUBLE, 4) AS arr, round(avg(total_orders), 4) AS average_orders FROM prof JOIN cust USING (customer_id) GROUP BY GROUPING SETS ((region), ())"),
         "cv6_engagement": c(_PROFILE + "SELECT customer_id, round(50 * (percent_rank() OVER (ORDER BY recency DESC) + percent_rank() OVER (ORDER BY total_orders)), 2) AS engagement_score FROM prof"),
@@ -216,6 +237,7 @@ SELECT 'engagement' AS rule, count(*) FILTER (e NOT BETWEEN 0 AND 100) AS violat
         "in14_unique": "SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1",
         "st3_upload_chain": c(_CHAIN + "SELECT external_id, outcome, reasons, order_date, total_amount, currency, status, batch_id FROM chain"),
         "st3_ledger": c(_CHAIN + "SELECT outcome, reason, count(*) AS rows, batch_id FROM (SELECT outcome, batch_id, unnest(CASE WHEN reasons = '' THEN [NULL] ELSE str_split(reasons, ',') END) AS reason FROM chain) GROUP BY ALL"),
+        "in15_upsert_table": c("""SELECT product_id, name, round(CASE WHEN product_id % 10 = 0 THEN (unit_price * 1.10)::DECIMAL(10,2) ELSE unit_price END::DOUBLE, 2) AS unit_price FROM prod UNION ALL SELECT product_id + 100000000, NULL, round(unit_price::DOUBLE, 2) FROM prod WHERE product_id % 10 = 0"""),
         "in15_upsert": c("""SELECT product_id, name, round(CASE WHEN product_id % 2 = 0 THEN (unit_price * 1.10)::DECIMAL(10,2) ELSE unit_price END::DOUBLE, 2) AS unit_price FROM prod UNION ALL SELECT product_id + 100000000, name, round(unit_price::DOUBLE, 2) FROM prod WHERE product_id % 2 = 0"""),
         "in16_insert_orders": c("SELECT order_id AS external_id, round(net::DOUBLE, 4) AS net_amount, round(CASE WHEN NOT return_flag THEN net - cost END::DOUBLE, 4) AS gross_margin FROM ord WHERE order_date >= DATE '1998-01-01'"),
         "in17_refresh_customers": c("+ s AS (SELECT customer_id, count(*) AS n, sum(net) AS v, min(order_date) AS a, max(order_date) AS b FROM sold GROUP BY 1) SELECT customer_id, coalesce(n, 0) AS total_orders, round(coalesce(v, 0)::DOUBLE, 4) AS lifetime_value, a AS first_purchase_date, b AS last_active_at FROM cust LEFT JOIN s USING (customer_id)"),

@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import date, timedelta
 from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from orderlens.functions import derive
-from orderlens.operators import analytics as an, ingest, kpi, views
+from orderlens.operators import analytics as an, history, ingest, kpi, views
 from orderlens.plans import scale
 from orderlens.plans.canon import AS_OF, Canon
-from orderlens.sources import tables
+from orderlens.sources import partitions, tables
 from orderlens.sources.shared import cut, new_path
 
 REGIONS = ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"]
@@ -107,6 +108,27 @@ def upserted(c: Canon) -> DataFrame:
     return out.select("product_id", "name", an.dbl("unit_price", 2).alias("unit_price"))
 
 
+def upserted_table(c: Canon) -> DataFrame:
+    """IN15 as writes: the products, then a batch with dearer and new ones, twice; read back."""
+    path, target = new_path(c.spark), c.products.select("product_id", "name", "unit_price")
+    some = target.where("product_id % 10 = 0")
+    dearer = some.withColumn("unit_price", (F.col("unit_price") * F.lit("1.10").cast("decimal(3,2)")).cast("decimal(10,2)"))
+    new = some.select((F.col("product_id") + 100_000_000).alias("product_id"), F.lit(None).cast("string").alias("name"), "unit_price")
+    partitions.upsert_table(path, target, "product_id")
+    for _ in range(2):
+        partitions.upsert_table(path, dearer.unionByName(new), "product_id")
+    return partitions.upserted(c.spark, path, target.schema).select("product_id", "name", an.dbl("unit_price", 2).alias("unit_price"))
+
+
+def frozen_table(c: Canon) -> DataFrame:
+    """KP6 as writes: the last ten days are frozen one by one, the last one twice; what is read back is from a week on."""
+    daily, path = cut(kpi.daily_kpi(c.sold)), new_path(c.spark)
+    last = [r.day.isoformat() for r in daily.orderBy(F.desc("day")).limit(10).select("day").collect()]
+    for day in [*reversed(last), last[0]]:
+        partitions.freeze_day(path, daily, day)
+    return partitions.snapshots(c.spark, path, daily.schema, first=last[6])
+
+
 def inserted(c: Canon) -> DataFrame:
     heads = c.orders.select(F.col("order_id").alias("external_id"), "order_date", F.col("total").alias("total_amount"), F.col("discount").alias("discount_amount"), F.when(F.col("return_flag"), F.lit(None)).otherwise(F.col("cost")).alias("cost_amount"))
     known = heads.where("order_date < date '1998-01-01'")
@@ -213,18 +235,40 @@ def chain_ledger(c: Canon) -> DataFrame:
     return stream.ledger(c.spark, upload_chain(c)[0])
 
 
-def tiers(c: Canon) -> DataFrame:
-    """The RFM segment of each customer, as ai_segment."""
-    return an.rfm(c.sold, AS_OF).select("customer_id", F.col("rfm_segment").alias("ai_segment"))
+#: A day on which some customers are new and some become Champions.
+CARD_DAY = "1995-07-01"
+#: The days of a history over all years.
+YEARS = [*(f"{y}-01-01" for y in range(1996, 2002)), AS_OF]
+
+
+def before(day: str, months: int = 0, days: int = 0) -> str:
+    """The day so many months and days earlier, as SQL counts them."""
+    d = date.fromisoformat(day)
+    y, m = divmod(d.year * 12 + d.month - 1 - months, 12)
+    last = (date(y + m // 11, (m + 1) % 12 + 1, 1) - timedelta(1)).day
+    return (date(y, m + 1, min(d.day, last)) - timedelta(days)).isoformat()
+
+
+def cards(c: Canon) -> DataFrame:
+    past = history.history_over(c.sold, [before(CARD_DAY, days=7), CARD_DAY])
+    return views.customer_cards(c.sold, CARD_DAY, past, "Champions")
 
 
 def segment_screen(c: Canon) -> DataFrame:
-    """Segments with engagement, and with the change against the customers of a month ago."""
-    known = cut(tiers(c))
-    now = profile(c).join(known, "customer_id").join(views.engagement_score(profile(c)), "customer_id")
-    month = F.add_months(F.lit(AS_OF).cast("date"), -1)
-    past = an.customer_profile(c.sold.where(F.col("order_date") < month), AS_OF).join(known, "customer_id")
-    return views.segment_summary(now, "ai_segment", past)
+    """Segments with engagement, and with the change against the customers who held each of them a month ago."""
+    month = before(AS_OF, months=1)
+    past = history.history_over(c.sold, [month, AS_OF])
+    held = lambda day: history.held_at(past, day).withColumnRenamed("segment", "ai_segment")
+    people = cut(profile(c))
+    now = people.join(held(AS_OF), "customer_id").join(views.engagement_score(people), "customer_id")
+    return views.segment_summary(now, "ai_segment", held(month))
+
+
+def held_revenue(c: Canon) -> DataFrame:
+    """Revenue by the segment that the customer held on the day of the order."""
+    rows = history.as_of(c.sold.select("customer_id", "order_date", "net"), history.history_over(c.sold, YEARS), "order_date")
+    by = rows.groupBy("segment", F.year("order_date").alias("year"))
+    return by.agg(F.count(F.lit(1)).alias("orders"), F.countDistinct("customer_id").alias("customers"), an.dbl(F.sum("net")).alias("revenue"))
 
 
 def model_constraints(c: Canon) -> DataFrame:
@@ -323,6 +367,7 @@ QUERIES: dict[str, Callable[[Canon], DataFrame]] = {
     "kp4_period_delta": lambda c: kpi.period_delta(kpi.daily_kpi(c.sold)),
     "kp5_sales_trend": lambda c: kpi.sales_trend(kpi.daily_kpi(c.sold)),
     "kp6_freeze_snapshot": frozen,
+    "kp6_freeze_table": frozen_table,
     "kp7_mrr_growth": lambda c: an.revenue(c.sold, "month").select("period", "revenue", "growth"),
     "kp8_win_rate": lambda c: kpi.win_rate(c.orders),
     "kp9_quarterly_margin": lambda c: kpi.quarterly_margin(c.sold),
@@ -333,9 +378,12 @@ QUERIES: dict[str, Callable[[Canon], DataFrame]] = {
     "cv1_customer_search": lambda c: views.search(c.customers, "#00000012", ["full_name", "email", "customer_id"]).select("customer_id", "full_name", "email"),
     "cv2_customer_list": lambda c: views.customer_list(profile(c).join(c.customers, "customer_id"), "highest_ltv", F.col("region") == "EUROPE").select("customer_id", an.dbl("lifetime_value").alias("lifetime_value"), "country"),
     "cv3_page": lambda c: views.page(profile(c), "total_orders", "customer_id", 20, True, (9, 100)).select("customer_id", "total_orders"),
-    "cv4_customer_cards": lambda c: views.customer_cards(profile(c), c.sold, AS_OF, tiers(c), "Champions"),
+    "cv4_customer_cards": cards,
     "cv5_segment_summary": lambda c: views.segment_summary(profile(c).join(c.customers, "customer_id")),
     "cv5_segment_screen": segment_screen,
+    "cv5_segment_history": lambda c: history.history_over(c.sold, YEARS),
+    "cv5_segment_moves": lambda c: history.moves(history.history_over(c.sold, YEARS), YEARS[-2], YEARS[-1]),
+    "cv5_held_revenue": held_revenue,
     "cv6_engagement": lambda c: views.engagement_score(profile(c)),
     "cv7_arr": lambda c: profile(c).select("customer_id", an.dbl(F.coalesce("arr", F.lit(0))).alias("arr")),
     "pv1_product_search": lambda c: views.search(c.products, "ring", ["name", "category", "sku"]).select("product_id", "name", "category"),
@@ -368,6 +416,7 @@ QUERIES: dict[str, Callable[[Canon], DataFrame]] = {
     "in13_references": lambda c: ingest.check_references(c.t["orders"].select(F.col("o_orderkey").alias("order_id")), c.items, "order_id", "order_id"),
     "in14_unique": lambda c: ingest.check_unique(c.t["lineitem"], ["l_orderkey", "l_linenumber"]),
     "in15_upsert": upserted,
+    "in15_upsert_table": upserted_table,
     "in16_insert_orders": inserted,
     "in17_refresh_customers": lambda c: ingest.refresh_customers(c.customers.select("customer_id"), c.sold).select("customer_id", "total_orders", an.dbl("lifetime_value").alias("lifetime_value"), "first_purchase_date", "last_active_at"),
     "in18_refresh_products": lambda c: ingest.refresh_products(c.products.select("product_id", "stock_qty"), c.items).select("product_id", an.dbl("total_revenue").alias("total_revenue"), "total_units_sold", "stock_qty", "oversold"),
