@@ -29,11 +29,13 @@ from . import bpe
 from .common import cut
 
 #: Characters of a block, if it is not one document.
-BLOCK_CHARS = 4_000_000
+BLOCK_CHARS = 1_000_000
 #: Segments whose ids, and windows whose alignment, a task keeps; beyond it the memory starts anew.
 REMEMBERED = 300_000
 #: Segments over this length are merged by the pair index of operator 6, whose time does not grow with the square of a word.
 LONG_SEGMENT = 400
+#: What tells B's ids from A's in a window's key.
+SIDE = 1 << 30
 
 #: Both tokenizers have a boundary wherever a space follows what is no white space.
 _segments = re.compile(r"(?<=\S)(?= )")
@@ -86,7 +88,8 @@ class Tokenizers:
         self.a_size, self.b_size = (np.array([len(x) for x in t], np.int64) for t in (self.a_bytes, self.b_bytes))
         self.a_space, self.b_space = (np.array([x.startswith(b" ") for x in t]) for t in (self.a_bytes, self.b_bytes))
         most = max(len(self.a_bytes), len(self.b_bytes))
-        self.written = {mark: np.array([f"{i}{mark}" for i in range(most)], object) for mark in ",|;"}
+        self.written = np.array([f"{i}{mark}" for mark in ",|;" for i in range(most)], object)
+        self.most = most
         self.forget_segments()
         self.forget_windows()
 
@@ -95,7 +98,7 @@ class Tokenizers:
         self.a, self.b, self.same = Lists("<i4"), Lists("<i4"), np.zeros(0, bool)
 
     def forget_windows(self) -> None:
-        self.windows: dict[tuple[bytes, bytes], int] = {}
+        self.windows: dict[bytes, int] = {}
         self.texts: list[str] = []
         self.groups = np.zeros(0, np.int64)
         self.links = Lists("<i8")
@@ -130,10 +133,14 @@ class Tokenizers:
         counts = [np.bincount(of, weights=side.size[met], minlength=len(parts)).astype(np.int64) for side in (self.a, self.b)]
         return self.a.gather(met), counts[0], self.b.gather(met), counts[1]
 
-    def align(self, keys: list[tuple[bytes, bytes]]) -> None:
+    def align(self, keys: list[bytes]) -> None:
         """The groups and links of windows that were not met before, of all of them at once."""
-        a, b = np.frombuffer(b"".join([x for x, _ in keys]), "<i4"), np.frombuffer(b"".join([y for _, y in keys]), "<i4")
-        count_a, count_b = (np.array([len(k[i]) // 4 for k in keys], np.int64) for i in (0, 1))
+        ids = np.frombuffer(b"".join(keys), "<i4")
+        right = ids >= SIDE
+        a, b = ids[~right], ids[right] - SIDE
+        n = np.array([len(k) // 4 for k in keys], np.int64)
+        count_b = np.diff(_ends(right)[_ends(n)])
+        count_a = n - count_b
         end_a, end_b = np.cumsum(self.a_size[a]), np.cumsum(self.b_size[b])
         shared_a, shared_b = np.isin(end_a, end_b, assume_unique=True), np.isin(end_b, end_a, assume_unique=True)
         ends = np.union1d(end_a, end_b)  # between two of these lies one link: the tokens that overlap there
@@ -144,8 +151,8 @@ class Tokenizers:
         group_a, group_b = np.cumsum(shared_a) - shared_a, np.cumsum(shared_b) - shared_b
         n_a, n_b = np.bincount(group_a), np.bincount(group_b)
         written = np.empty(len(a) + len(b), object)
-        written[np.arange(len(a)) + (np.cumsum(n_b) - n_b)[group_a]] = np.where(shared_a, self.written["|"][a], self.written[","][a])
-        written[np.arange(len(b)) + np.cumsum(n_a)[group_b]] = np.where(shared_b, self.written[";"][b], self.written[","][b])
+        written[np.arange(len(a)) + (np.cumsum(n_b) - n_b)[group_a]] = self.written[a + shared_a * self.most]
+        written[np.arange(len(b)) + np.cumsum(n_a)[group_b]] = self.written[b + shared_b * (2 * self.most)]
         at = (first_a + first_b).tolist()
         written = written.tolist()
         self.texts += ["".join(written[s:e]) for s, e in zip(at, at[1:])]
@@ -167,9 +174,12 @@ class Tokenizers:
         first[first_a] = True  # a document's start is an anchor, whatever it begins with
         anchors = first[at_a] | (self.a_space[a[at_a]] & self.b_space[b[at_b]])
         at_a, at_b = at_a[anchors], at_b[anchors]
-        all_a, all_b = a.astype("<i4").tobytes(), b.astype("<i4").tobytes()
-        edges_a, edges_b = [*(at_a * 4).tolist(), len(all_a)], [*(at_b * 4).tolist(), len(all_b)]
-        keys = [(all_a[s:e], all_b[u:v]) for s, e, u, v in zip(edges_a, edges_a[1:], edges_b, edges_b[1:])]
+        edges_a, edges_b = np.append(at_a, len(a)), np.append(at_b, len(b))  # both sides' ids of a window, A's before B's
+        both = np.empty(len(a) + len(b), "<i4")
+        both[np.arange(len(a)) + np.repeat(edges_b[:-1], np.diff(edges_a))] = a
+        both[np.arange(len(b)) + np.repeat(edges_a[1:], np.diff(edges_b))] = b | SIDE
+        laid, edges = both.tobytes(), ((edges_a + edges_b) * 4).tolist()
+        keys = [laid[s:e] for s, e in zip(edges, edges[1:])]
         found = list(map(self.windows.get, keys))
         if new := list({k for k, n in zip(keys, found) if n is None}):
             self.align(new)
