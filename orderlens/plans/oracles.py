@@ -67,6 +67,18 @@ fc AS (SELECT k, ds, round(y, 4) AS actual, round(greatest(f, 0), 2) AS yhat, ro
 """
 
 
+_POLARITY = r"""inc AS (SELECT DISTINCT conv_id, turn, unnest(regexp_split_to_array(lower(text), '[^\p{L}]+')) AS word FROM conversations), held AS (SELECT word, count(*) AS n FROM inc WHERE word <> '' GROUP BY 1 HAVING count(*) >= 2),
+i AS (SELECT conv_id, turn, word, ln((SELECT count(*) FROM conversations) / n) AS idf FROM inc JOIN held USING (word)), rated AS (SELECT doc_id, text, quality = 1 AND toxic = 0 AS good FROM documents JOIN labels USING (doc_id)),
+rw AS (SELECT DISTINCT doc_id, good, unnest(regexp_split_to_array(lower(text), '[^\p{L}]+')) AS word FROM rated), rc AS (SELECT word, count(*) FILTER (good) AS g, count(*) FILTER (NOT good) AS b FROM rw GROUP BY 1),
+od AS (SELECT word, round(ln((g + 0.5) / ((SELECT count(*) FROM rated WHERE good) - g + 0.5)) - ln((b + 0.5) / ((SELECT count(*) FROM rated WHERE NOT good) - b + 0.5)), 9) AS odds FROM rc JOIN held USING (word) WHERE n >= 3),
+seed AS (SELECT word, 1.0::DOUBLE AS weight FROM (SELECT * FROM od WHERE odds > 0 ORDER BY odds DESC, word LIMIT 20) UNION ALL SELECT word, -1.0 FROM (SELECT * FROM od WHERE odds < 0 ORDER BY odds, word LIMIT 20)),
+p0 AS (SELECT word, coalesce(weight, 0) AS p, weight IS NOT NULL AS is_seed FROM held LEFT JOIN seed USING (word)),
+""" + ",\n".join(f"""s{k} AS (SELECT conv_id, turn, CASE WHEN sum(idf) <> 0 THEN sum(idf * p) / sum(idf) END AS s FROM i JOIN p{k} USING (word) GROUP BY 1, 2),
+m{k} AS (SELECT word, avg(s) AS s FROM i JOIN s{k} USING (conv_id, turn) GROUP BY 1), p{k + 1} AS (SELECT word, CASE WHEN is_seed THEN p ELSE coalesce(s, 0) END AS p, is_seed FROM p{k} LEFT JOIN m{k} USING (word))""" for k in range(3)) + """,
+s3 AS (SELECT conv_id, turn, CASE WHEN sum(idf) <> 0 THEN sum(idf * p) / sum(idf) END AS s FROM i JOIN p3 USING (word) GROUP BY 1, 2),
+z AS (SELECT conv_id, turn, s IS NULL AS none, round(coalesce((s - (SELECT avg(s) FROM s3)) / (SELECT stddev_pop(s) FROM s3), 0), 6) AS z FROM conversations LEFT JOIN s3 USING (conv_id, turn)),
+sc AS (SELECT conv_id, turn, CASE WHEN z >= 0.5 THEN 'POSITIVE' WHEN z <= -0.5 THEN 'NEGATIVE' ELSE 'NEUTRAL' END AS sentiment_label, round(CASE WHEN none THEN 0 WHEN abs(z) >= 0.5 THEN 1 - exp(-abs(z)) ELSE exp(-abs(z)) END, 4) AS sentiment_score FROM z)
+"""
 _CHAIN = """+ a AS (SELECT order_id AS k, order_date, CASE WHEN order_id % 7 <> 0 THEN total::DECIMAL(14,2) END AS amount, CASE WHEN order_id % 11 = 0 THEN 'lost' ELSE status END AS status FROM ord),
 r AS (SELECT *, 0 AS batch_id, false AS more FROM a UNION ALL SELECT k, order_date, amount + 1, status, 0, true FROM a WHERE k % 17 = 0 AND k % 7 > 1 UNION ALL SELECT *, 1, false FROM a WHERE k % 2 = 0),
 q AS (SELECT *, concat_ws(',', CASE WHEN amount IS NULL THEN 'amount' END, CASE WHEN status = 'lost' THEN 'status' END, CASE WHEN k % 13 = 0 THEN 'key' END) AS failed FROM r),
@@ -140,6 +152,9 @@ UNION ALL SELECT a.p || ',' || b.p || ',' || e.p, count(*) FROM f a JOIN f b ON
 SELECT *, coalesce(abs(z) > 3, FALSE) AS is_anomaly FROM z"""),
         "a06_anomaly_iqr": c(_KPI + ", q AS (SELECT quantile_cont(revenue, 0.25) AS a, quantile_cont(revenue, 0.75) AS b FROM kpi) SELECT day, revenue AS value, revenue < a - 1.5 * (b - a) OR revenue > b + 1.5 * (b - a) AS is_anomaly FROM kpi, q"),
         "a07_clv_counts": c(f"+ r AS (SELECT customer_id, (count(DISTINCT order_date) - 1)::INT AS x, ((max(order_date) - min(order_date)) // 7)::INT AS t_x, (({_D} - min(order_date)) // 7)::INT AS t FROM sold GROUP BY 1) SELECT x, t_x, t, count(*) AS n FROM r GROUP BY 1, 2, 3"),
+        "a08_polarity": "WITH " + _POLARITY + "SELECT word, round(p, 6) AS polarity, is_seed FROM p3",
+        "a08_induced_sentiment": "WITH " + _POLARITY + "SELECT * FROM sc",
+        "kp11_induced_net_sentiment": "WITH " + _POLARITY + "SELECT count(*) AS comments, round(avg(CASE sentiment_label WHEN 'POSITIVE' THEN 100.0::DOUBLE WHEN 'NEGATIVE' THEN -100 ELSE 0 END), 4) AS net_sentiment FROM sc",
         "a08_sentiment": "WITH " + _SENT + "SELECT * FROM sc",
         "a10_abc_tier": c(_ABC + "SELECT * FROM abc"),
         "a11_margin_category": _margin("category"),

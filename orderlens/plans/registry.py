@@ -9,7 +9,7 @@ from functools import lru_cache
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from orderlens.functions import derive
-from orderlens.operators import analytics as an, history, ingest, kpi, views
+from orderlens.operators import analytics as an, history, ingest, kpi, polarity, views
 from orderlens.plans import scale
 from orderlens.plans.canon import AS_OF, Canon
 from orderlens.sources import partitions, tables
@@ -99,6 +99,19 @@ def scored(c: Canon) -> DataFrame:
     return an.sentiment(comments, lexicon).select("id.*", "sentiment_label", "sentiment_score")
 
 
+def induced(c: Canon) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """A08 with polarity from the comments themselves: (words, comments' scores, comments). Rated texts give the seeds: good ones have
+    quality and are not toxic."""
+    comments = cut(c.t["conversations"].select(F.struct("conv_id", "turn").alias("id"), "text"))
+    rated = c.t["documents"].join(c.t["labels"], "doc_id").select(F.col("doc_id").alias("id"), "text", ((F.col("quality") == 1) & (F.col("toxic") == 0)).alias("good"))
+    return *polarity.induce(comments, cut(rated)), comments
+
+
+def induced_sentiment(c: Canon) -> DataFrame:
+    _, scores, comments = induced(c)
+    return polarity.labelled(comments, scores).select("id.*", "sentiment_label", "sentiment_score")
+
+
 def upserted(c: Canon) -> DataFrame:
     """Products with the prices of a batch: every second one 10 % up, and as many new ones."""
     target = c.products.select("product_id", "name", "unit_price")
@@ -336,6 +349,8 @@ QUERIES: dict[str, Callable[[Canon], DataFrame]] = {
     "a07_clv_counts": clv_counts,
     "a07_clv": _models("clv"),
     "a08_sentiment": scored,
+    "a08_polarity": lambda c: induced(c)[0].select("word", F.round("polarity", 6).alias("polarity"), "is_seed"),
+    "a08_induced_sentiment": induced_sentiment,
     "a09_segmentation": lambda c: an.segmentation(profile(c)),
     "a10_abc_tier": lambda c: an.abc_tier(c.sold_items, AS_OF),
     "a11_margin_category": lambda c: an.margin(c.sold_items, ["category"]),
@@ -373,6 +388,7 @@ QUERIES: dict[str, Callable[[Canon], DataFrame]] = {
     "kp9_quarterly_margin": lambda c: kpi.quarterly_margin(c.sold),
     "kp10_daily_active_users": lambda c: kpi.daily_active_users(c.events),
     "kp11_net_sentiment": lambda c: kpi.net_sentiment(scored(c)),
+    "kp11_induced_net_sentiment": lambda c: kpi.net_sentiment(induced_sentiment(c)),
     "kp12_top_regions": lambda c: kpi.top_regions(c.sold),
     "kp13_sales_heatmap": lambda c: kpi.sales_heatmap(c.sold),
     "cv1_customer_search": lambda c: views.search(c.customers, "#00000012", ["full_name", "email", "customer_id"]).select("customer_id", "full_name", "email"),
