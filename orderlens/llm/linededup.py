@@ -5,10 +5,15 @@ class of equal ones is an interval of the suffix array whose longest common pref
 where the interval starts. Level k + 1 ranks the pairs of ranks at a start and 2^k lines later, inside the interval of the first.
 Starts that are alone in their class leave, as nothing longer from them can repeat, so places count repeating suffixes only.
 
-A run of lines is a copy if the same lines also start earlier (smaller doc_id, or same document, earlier line) and have `least`
-words or more. Every line of a copy lies in a shortest run of `least` words that starts at it or ends at the copy's end, so it is
-enough to look at the shortest runs from each line on and up to each line. Such a run has at most `least` lines; the intervals of
-the level below its length, at its start and at its end, name its content exactly. Maximal runs are unions of these.
+Levels are doubled until no class of two is left. Two suffixes of one interval share a prefix of its length, so a start that is not the
+first of its interval begins a run that also starts earlier (smaller doc_id, or same document, earlier line). Any repeated run is the
+union of two such stretches of the largest power of two in it, one at its start, one at its end: the lines that repeated runs cover,
+and the maximal runs they make, are those of the longest stretch at each start, merged. Later copies go.
+
+With a floor of `least` words for a run, length in lines is not enough. Every line of a copy then lies in a shortest run of `least` words
+that starts at it or ends at the copy's end, so it is enough to look at the shortest runs from each line on and up to each line. Such
+a run has at most `least` lines, which is as far as levels are doubled; the intervals of the level below its length, at its start and
+at its end, name its content exactly.
 """
 
 from __future__ import annotations
@@ -17,9 +22,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .common import WORD, cut
 
-#: Words that a repeated run must have: one, so every later copy of a line with words goes.
+#: Words that a repeated run must have: one, that is no floor, so every later copy of a run of lines with words goes.
 LEAST_WORDS = 1
-#: The same in op5_line_suffixes, as its SQL has it.
+#: The floor of op5_line_suffixes, as its SQL has it.
 SQL_WORDS = 20
 
 
@@ -91,6 +96,29 @@ def shortest_runs(lines: DataFrame, least: int) -> DataFrame:
     return found.select("id", "row", F.explode(F.array_distinct(ways)).alias("_w")).select("id", "row", "_w.*").where("n is not null").distinct()
 
 
+def merged(stretches: DataFrame) -> DataFrame:
+    """(id, row, seq, first) of the lines that stretches (id, row, seq, n: lines from seq on) cover; first: whether a maximal run starts.
+    Each line looks at the furthest end so far in its document."""
+    so_far = _own().rowsBetween(Window.unboundedPreceding, 0)
+    reach = stretches.withColumn("_end", F.max(F.col("seq") + F.col("n")).over(so_far))
+    spans = reach.withColumn("_last", F.lag("_end").over(_own())).withColumn("_from", F.greatest(F.col("seq"), F.coalesce("_last", F.col("seq"))))
+    lines = spans.where("_from < _end").select("id", "row", F.coalesce(F.col("seq") > F.col("_last"), F.lit(True)).alias("_apart"), "_from", F.explode(F.sequence("_from", F.col("_end") - 1)).alias("seq"), "_end")
+    return lines.select("id", "row", "seq", (F.col("_apart") & (F.col("seq") == F.col("_from"))).alias("first"))
+
+
+def longest_stretches(lines: DataFrame, width: int) -> DataFrame:
+    """(id, row, seq, n): for each start of a run that also starts earlier, the longest power of two of lines that does."""
+    level, span, found = lines.select("id", "row", "seq", "c"), 1, None
+    while not level.isEmpty():
+        first = level.groupBy("c").agg(F.min(F.struct("id", "seq")).alias("_f"))
+        later = level.join(cut(first), "c").where((F.col("_f.id") < F.col("id")) | ((F.col("_f.id") == F.col("id")) & (F.col("_f.seq") < F.col("seq"))))
+        own = later.select("id", "row", "seq", F.lit(span).alias("n"))
+        found = own if found is None else found.unionByName(own)
+        level = cut(doubled(level, span, width))
+        span *= 2
+    return lines.sparkSession.createDataFrame([], "id long, row long, seq int, n int") if found is None else found.groupBy("id", "row", "seq").agg(F.max("n").alias("n"))
+
+
 def repeated_lines(docs: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
     """(id, row, gone, n_runs): for each document with copies, the places of their lines, and the number of maximal runs."""
     every = cut(line_table(docs))
@@ -98,6 +126,9 @@ def repeated_lines(docs: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
     start = F.conv(F.hex(F.substring("line", 1, 2)), 16, 10).cast("int")  # md5s are even
     lines = ranked(every, ["line"], F.lit(0).cast("long"), start).select("id", "row", "seq", "pos", "words", "c")
     lines = cut(lines.dropDuplicates(["id", "row", "seq"]))
+    if least <= 1:
+        gone = merged(longest_stretches(lines, width)).join(lines.select("id", "row", "seq", "pos"), ["id", "row", "seq"])
+        return gone.groupBy("id", "row").agg(F.sort_array(F.collect_list("pos")).alias("gone"), F.count_if("first").alias("n_runs"))
     level, span, levels = lines.select("id", "row", "seq", "c"), 1, []
     while span <= least:
         levels.append(level.withColumn("span", F.lit(span)))
