@@ -59,12 +59,12 @@ def map_historical(headers: DataFrame, past: DataFrame) -> DataFrame:
 
 
 def resolve_mappings(headers: DataFrame, *candidates: DataFrame) -> DataFrame:
-    """One row a header: historical before exact before fuzzy before semantic, of those with a score of LOW or more; is_confirmed
+    """One row a header: historical before exact before fuzzy before semantic before values, of those with a score of LOW or more; is_confirmed
     from AUTO on; without a candidate method `skipped`."""
     rows = candidates[0]
     for c in candidates[1:]:
         rows = rows.unionByName(c)
-    order = F.array_position(F.array(*[F.lit(m) for m in ("historical", "exact", "fuzzy", "semantic")]), F.col("match_method"))
+    order = F.array_position(F.array(*[F.lit(m) for m in ("historical", "exact", "fuzzy", "semantic", "values")]), F.col("match_method"))
     w = Window.partitionBy("upload_job_id", "csv_header").orderBy(order)
     best = rows.where(F.col("match_score") >= LOW).withColumn("_k", F.row_number().over(w)).where("_k = 1").drop("_k")
     out = headers.join(best, ["upload_job_id", "csv_header"], "left")

@@ -126,6 +126,36 @@ hi AS (SELECT 'Colour' AS csv_header, 'products' AS mapped_table, CASE WHEN stat
 """
 )
 
+_UPLOADS = "uv AS (" + " UNION ALL ".join(
+    f"SELECT {j} AS upload_job_id, '{h}' AS csv_header, trim({x}::VARCHAR) AS value FROM ord JOIN (SELECT customer_id, email FROM cust) USING (customer_id) WHERE order_id % 2 = 1 AND (order_id // 2) % 3 = {j}"
+    for j, own in enumerate(registry.UPLOADS) for h, x in zip(own, ("order_id", "order_date", "total::DECIMAL(14,2)", "email", "country"))
+) + "), tv AS (" + " UNION ALL ".join(
+    f"SELECT '{t}' AS mapped_table, '{m}' AS mapped_column, trim(({x})::VARCHAR) AS value FROM {f}"
+    for t, m, x, f in (
+        ("orders", "external_id", "order_id", "ord WHERE order_id % 2 = 0"), ("orders", "order_date", "order_date", "ord WHERE order_id % 2 = 0"), ("orders", "total_amount", "total::DECIMAL(14,2)", "ord WHERE order_id % 2 = 0"),
+        ("customers", "email", "email", "cust"), ("customers", "country", "country", "cust"), ("customers", "full_name", "full_name", "cust"),
+        ("products", "sku", "sku", "prod"), ("products", "name", "name", "prod"), ("products", "category", "category", "prod"), ("order_items", "quantity", "quantity", "items"),
+    )
+) + "), "
+
+
+def _profile(rows: str, by: str, tag: str) -> str:
+    """kd, sh and sk of a table of values: kinds, shapes and sketches."""
+    share = lambda p: f"avg(regexp_matches(value, '{p}')::INT)"
+    return f"""kd{tag} AS (SELECT {by}, {share(r'^-?[0-9]+(\.[0-9]+)?$')} AS k1, {share('^[0-9]{4}-[0-9]{2}-[0-9]{2}$|^[0-9]{2}/[0-9]{2}/[0-9]{4}$')} AS k2, {share('[A-Za-z]')} AS k3, {share('@')} AS k4, {share(' ')} AS k5, avg(length(value)) / (avg(length(value)) + 10) AS k6 FROM {rows} WHERE value <> '' GROUP BY ALL),
+sp{tag} AS (SELECT {by}, '^' || regexp_replace(regexp_replace(value, '[0-9]', '9', 'g'), '[A-Za-z]', 'a', 'g') || '$' AS shape FROM {rows} WHERE value <> ''),
+gr{tag} AS (SELECT {by}, gram, count(*)::DOUBLE AS n FROM (SELECT {by}, unnest(list_transform(range(1, length(shape)), lambda i: substr(shape, i, 2))) AS gram FROM sp{tag}) GROUP BY ALL),
+sh{tag} AS (SELECT {by}, gram, n / sqrt(sum(n * n) OVER (PARTITION BY {by})) AS f FROM gr{tag}),
+sk{tag} AS (SELECT * FROM (SELECT DISTINCT {by}, md5(value) AS digest FROM {rows} WHERE value <> '') QUALIFY row_number() OVER (PARTITION BY {by} ORDER BY digest) <= 64)"""
+
+
+_BOTH = "upload_job_id, csv_header, mapped_table, mapped_column"
+_VALUES = _UPLOADS + _profile("uv", "upload_job_id, csv_header", "_u") + "," + _profile("tv", "mapped_table, mapped_column", "_t") + f""",
+pa AS (SELECT {_BOTH}, 1 - ({' + '.join(f'abs(u.k{i} - t.k{i})' for i in range(1, 7))}) / 6 AS kinds FROM kd_u u, kd_t t), co AS (SELECT {_BOTH}, sum(u.f * t.f) AS shapes FROM sh_u u JOIN sh_t t USING (gram) GROUP BY ALL),
+ei AS (SELECT {_BOTH}, digest, 1 AS side FROM pa JOIN sk_u USING (upload_job_id, csv_header) UNION ALL SELECT {_BOTH}, digest, 2 FROM pa JOIN sk_t USING (mapped_table, mapped_column)),
+bo AS (SELECT {_BOTH}, digest, sum(side) AS sides FROM ei GROUP BY {_BOTH}, digest QUALIFY row_number() OVER (PARTITION BY {_BOTH} ORDER BY digest) <= 64), cm AS (SELECT {_BOTH}, count(*) FILTER (sides = 3) / count(*) AS common FROM bo GROUP BY ALL),
+va AS (SELECT {_BOTH}, round(0.4 * coalesce(shapes, 0) + 0.4 * kinds + 0.2 * coalesce(common, 0), 4) AS match_score, 'values' AS match_method FROM pa LEFT JOIN co USING ({_BOTH}) LEFT JOIN cm USING ({_BOTH}) QUALIFY row_number() OVER (PARTITION BY upload_job_id, csv_header ORDER BY match_score DESC, mapped_table, mapped_column) = 1)
+"""
 _DIRTY = """+ di AS (SELECT order_id AS k, order_id % 97 AS upload_job_id, order_id::VARCHAR AS external_id, order_date, total::DECIMAL(14,2) AS total, status AS st FROM ord),
 cl AS (SELECT k, upload_job_id, external_id, order_date, CASE WHEN k % 7 = 0 THEN NULL ELSE total END AS total_amount, CASE WHEN k % 11 = 0 THEN 'lost' ELSE st END AS status FROM di),
 mk AS (SELECT *, list_filter([CASE WHEN total_amount IS NULL THEN 'amount' END, CASE WHEN status = 'lost' THEN 'status' END], lambda x: x IS NOT NULL) AS reasons FROM cl)
@@ -239,6 +269,10 @@ SELECT region, bullet_index::INT AS bullet_index, name || CASE WHEN m >= 0 THEN
         "in4_map_historical": c(_MAPS + "SELECT upload_job_id, csv_header, mapped_table, mapped_column, match_score, match_method FROM hd JOIN hi USING (csv_header)"),
         "in5_resolve": c(_MAPS + """, al AS (SELECT 1 AS o, * FROM hi UNION ALL SELECT 2, * FROM ex UNION ALL SELECT 3, * FROM fz UNION ALL SELECT 4, * FROM se), b AS (SELECT * FROM al WHERE match_score >= 0.6 QUALIFY row_number() OVER (PARTITION BY csv_header ORDER BY o) = 1)
 SELECT upload_job_id, csv_header, mapped_table, mapped_column, match_score, coalesce(match_method, 'skipped') AS match_method, coalesce(match_score >= 0.85, FALSE) AS is_confirmed FROM hd LEFT JOIN b USING (csv_header)"""),
+        "in3_map_by_values": c("+" + _VALUES + "SELECT * FROM va"),
+        "in5_resolve_uploads": c("+" + _VALUES + ", " + _MAPS.lstrip("+").replace(_HEAD.split(", nm AS")[0], "hd AS (SELECT DISTINCT upload_job_id, csv_header FROM uv)") + """, al AS (SELECT 1 AS o, hd.upload_job_id, ex.* FROM hd JOIN ex USING (csv_header) UNION ALL SELECT 2, hd.upload_job_id, fz.* FROM hd JOIN fz USING (csv_header) UNION ALL SELECT 3, hd.upload_job_id, se.* FROM hd JOIN se USING (csv_header) UNION ALL SELECT 4, * FROM va),
+b AS (SELECT * FROM al WHERE match_score >= 0.6 QUALIFY row_number() OVER (PARTITION BY upload_job_id, csv_header ORDER BY o) = 1)
+SELECT upload_job_id, csv_header, mapped_table, mapped_column, match_score, coalesce(match_method, 'skipped') AS match_method, coalesce(match_score >= 0.85, FALSE) AS is_confirmed FROM hd LEFT JOIN b USING (upload_job_id, csv_header)"""),
         "in6_apply_mapping": c("+ d AS (SELECT order_id AS k, total::DECIMAL(14,2)::VARCHAR AS t FROM ord) SELECT k::VARCHAR AS order_ref, CASE k % 7 WHEN 0 THEN 'N/A' WHEN 1 THEN '$' || t WHEN 2 THEN ' ' || t || ' ' ELSE t END AS total_amount FROM d"),
         "in7_clean_missing": c("+ d AS (SELECT order_id AS k, total::DECIMAL(14,2)::VARCHAR AS t FROM ord) SELECT k::VARCHAR AS external_id, CASE k % 7 WHEN 0 THEN NULL WHEN 1 THEN '$' || t ELSE t END AS total_amount, CASE WHEN k % 5 = 0 THEN 'USD' ELSE 'usd' END AS currency FROM d"),
         "in8_dates": c("SELECT order_id::VARCHAR AS external_id, order_date FROM ord"),

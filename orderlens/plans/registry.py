@@ -9,7 +9,7 @@ from functools import lru_cache
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from orderlens.functions import derive
-from orderlens.operators import analytics as an, history, ingest, kpi, polarity, views
+from orderlens.operators import analytics as an, history, ingest, kpi, polarity, profiles, views
 from orderlens.plans import scale
 from orderlens.plans.canon import AS_OF, Canon
 from orderlens.sources import partitions, tables
@@ -44,6 +44,44 @@ def headers(c: Canon) -> DataFrame:
     return c.customers.select(F.col("customer_id").alias("upload_job_id"), F.explode(F.array(*[F.lit(h) for h in HEADERS])).alias("csv_header"))
 
 
+#: Uploads with headers of their own, for the same five columns.
+UPLOADS = (
+    ("Order ID", "Order Date", "Sale Amt", "Customer Email", "Country"),
+    ("Bestellung", "Datum", "Betrag", "Kontakt", "Land"),
+    ("col_1", "col_2", "col_3", "col_4", "col_5"),
+)
+
+
+def upload_values(c: Canon) -> DataFrame:
+    """The values of three uploads, a sixth of the orders each, by their own headers."""
+    rows = c.orders.where("order_id % 2 = 1").join(c.customers.select("customer_id", "email"), "customer_id")
+    parts = []
+    for j, own in enumerate(UPLOADS):
+        table = rows.where(F.floor(F.col("order_id") / 2) % 3 == j).select("order_id", F.col("order_date").cast("string"), F.col("total").cast("decimal(14,2)"), "email", "country").toDF(*own)
+        parts.append(profiles.values(table, own, upload_job_id=F.lit(j)))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).withColumnRenamed("column", "csv_header")
+
+
+def target_values(c: Canon) -> DataFrame:
+    """The values that the target's tables have: of orders, those of no upload."""
+    orders = c.orders.where("order_id % 2 = 0").select(F.col("order_id").alias("external_id"), F.col("order_date").cast("string").alias("order_date"), F.col("total").cast("decimal(14,2)").alias("total_amount"))
+    tables_ = {"orders": orders, "customers": c.customers.select("email", "country", "full_name"), "products": c.products.select("sku", "name", "category"), "order_items": c.items.select("quantity")}
+    parts = [profiles.values(df, df.columns, mapped_table=F.lit(name)) for name, df in tables_.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3]).withColumnRenamed("column", "mapped_column")
+
+
+def by_values(c: Canon) -> DataFrame:
+    return profiles.map_by_values(cut(upload_values(c)), cut(target_values(c)))
+
+
+def resolved_uploads(c: Canon) -> DataFrame:
+    """IN5 over uploads whose headers differ: by name where a name is known, else by values."""
+    found = cut(upload_values(c))
+    own = cut(found.select("upload_job_id", "csv_header").distinct())
+    values = profiles.map_by_values(found, cut(target_values(c)))
+    return ingest.resolve_mappings(own, ingest.map_exact(own, dictionary(c)), ingest.map_fuzzy(own, dictionary(c)), ingest.map_semantic(own, synonyms(c)), values)
+
+
 def dictionary(c: Canon) -> DataFrame:
     return c.spark.createDataFrame(ALIASES, "mapped_table string, mapped_column string, alias string")
 
@@ -419,8 +457,10 @@ QUERIES: dict[str, Callable[[Canon], DataFrame]] = {
     "in1_map_exact": lambda c: ingest.map_exact(headers(c), dictionary(c)),
     "in2_map_fuzzy": lambda c: ingest.map_fuzzy(headers(c), dictionary(c)),
     "in3_map_semantic": lambda c: ingest.map_semantic(headers(c), synonyms(c)),
+    "in3_map_by_values": by_values,
     "in4_map_historical": lambda c: ingest.map_historical(headers(c), past_mappings(c)),
     "in5_resolve": lambda c: ingest.resolve_mappings(headers(c), ingest.map_historical(headers(c), past_mappings(c)), ingest.map_exact(headers(c), dictionary(c)), ingest.map_fuzzy(headers(c), dictionary(c)), ingest.map_semantic(headers(c), synonyms(c))),
+    "in5_resolve_uploads": resolved_uploads,
     "in6_apply_mapping": lambda c: ingest.apply_mapping(dirty(c).withColumnRenamed("total_amount", "Sale Amt"), {"external_id": "order_ref", "Sale Amt": "total_amount"}),
     "in7_clean_missing": lambda c: ingest.clean_missing(dirty(c), {"currency": "USD"}).select("external_id", "total_amount", "currency"),
     "in8_dates": lambda c: ingest.standardise_dates(dirty(c), ["order_date"], ["yyyy-MM-dd", "yyyy/MM/dd", "dd/MM/yyyy"]).select("external_id", "order_date"),
