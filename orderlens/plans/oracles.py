@@ -230,6 +230,7 @@ SELECT day, active, known, round(1 - active / known, 4) AS churn_rate FROM a JOI
         "kp8_win_rate": c("SELECT region, count(*) AS orders, count(*) FILTER (status = 'completed') AS completed, round(count(*) FILTER (status = 'completed') / count(*), 6) AS win_rate FROM ord GROUP BY 1"),
         "kp9_quarterly_margin": c("SELECT date_trunc('quarter', order_date)::DATE AS quarter, round(sum(net)::DOUBLE, 4) AS revenue, round(sum(net - cost)::DOUBLE, 4) AS gross_margin FROM sold GROUP BY 1"),
         "kp10_daily_active_users": "WITH u AS (SELECT ts::DATE AS day, count(DISTINCT user_id) AS users FROM events GROUP BY 1) SELECT day, users, round((users - lag(users) OVER (ORDER BY day)) / lag(users) OVER (ORDER BY day) * 100, 4) AS change_pct FROM u",
+        "kp10_users_over_spans": "WITH u AS (SELECT DISTINCT ts::DATE AS day, user_id FROM events), d AS (SELECT DISTINCT day FROM u) SELECT d.day, count(DISTINCT user_id) FILTER (u.day = d.day) AS users_1, count(DISTINCT user_id) FILTER (u.day > d.day - INTERVAL 7 DAY) AS users_7, count(DISTINCT user_id) AS users_30 FROM d JOIN u ON u.day <= d.day AND u.day > d.day - INTERVAL 30 DAY GROUP BY 1",
         "kp11_net_sentiment": "WITH " + _SENT + "SELECT count(*) AS comments, round(avg(CASE sentiment_label WHEN 'POSITIVE' THEN 100.0::DOUBLE WHEN 'NEGATIVE' THEN -100 ELSE 0 END), 4) AS net_sentiment FROM sc",
         "kp12_top_regions": c("+ t AS (SELECT country, sum(net)::DOUBLE AS n FROM sold GROUP BY 1 ORDER BY sum(net) DESC, country LIMIT 5) SELECT country, round(n, 4) AS revenue, round(n / max(n) OVER (), 6) AS bar FROM t"),
         "kp13_sales_heatmap": c("SELECT region, " + ", ".join(f"round(coalesce(sum(CASE WHEN month(order_date) = {m} THEN net END), 0)::DOUBLE, 4) AS m{m:02d}" for m in range(1, 13)) + " FROM sold GROUP BY 1"),

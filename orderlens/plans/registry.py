@@ -9,7 +9,7 @@ from functools import lru_cache
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from orderlens.functions import derive
-from orderlens.operators import analytics as an, history, ingest, kpi, polarity, profiles, views
+from orderlens.operators import analytics as an, forecasting, history, ingest, kpi, polarity, profiles, views
 from orderlens.plans import scale
 from orderlens.plans.canon import AS_OF, Canon
 from orderlens.sources import partitions, tables
@@ -171,6 +171,13 @@ def upserted_table(c: Canon) -> DataFrame:
     return partitions.upserted(c.spark, path, target.schema).select("product_id", "name", an.dbl("unit_price", 2).alias("unit_price"))
 
 
+def active_users(c: Canon) -> DataFrame:
+    """KP10 over 1, 7 and 30 days from stored sketches, a row a day."""
+    stored = cut(kpi.user_sketches(c.events))
+    spans = [kpi.users_over(stored, n).withColumnRenamed("users", f"users_{n}") for n in (1, 7, 30)]
+    return spans[0].join(spans[1], "day").join(spans[2], "day")
+
+
 def frozen_table(c: Canon) -> DataFrame:
     """KP6 as writes: the last ten days are frozen one by one, the last one twice; what is read back is from a week on."""
     daily, path = cut(kpi.daily_kpi(c.sold)), new_path(c.spark)
@@ -409,6 +416,8 @@ QUERIES: dict[str, Callable[[Canon], DataFrame]] = {
     "a21_correlation": lambda c: an.correlation(c.items, ["quantity", "line_total", "line_discount", "line_cost"]),
     "a22_demographic": lambda c: an.demographic(c.sold, c.customers),
     "fc1_forecast_by_region": lambda c: forecast(c, ["region"]),
+    "fc1_backtest_by_region": lambda c: forecasting.backtest(an.daily_series(c.sold, ["region"]), ["region"]),
+    "fc1_chosen_by_region": lambda c: forecasting.forecast(an.daily_series(c.sold, ["region"]), ["region"], horizon=90),
     "fc2_bands": lambda c: forecast(c).groupBy("is_historical").agg(F.count(F.lit(1)).alias("days"), F.count_if((F.col("yhat_lower") <= F.col("yhat")) & (F.col("yhat") <= F.col("yhat_upper"))).alias("ordered")),
     "fc3_with_history": lambda c: forecast(c).where("actual is not null or not is_historical").groupBy(F.trunc("ds", "MM").alias("month"), "is_historical").agg(F.round(F.sum(F.coalesce("actual", "yhat")), 4).alias("value")),
     "fc4_scenario": lambda c: an.scenario(forecast(c), grid(c)),
@@ -425,6 +434,7 @@ QUERIES: dict[str, Callable[[Canon], DataFrame]] = {
     "kp8_win_rate": lambda c: kpi.win_rate(c.orders),
     "kp9_quarterly_margin": lambda c: kpi.quarterly_margin(c.sold),
     "kp10_daily_active_users": lambda c: kpi.daily_active_users(c.events),
+    "kp10_users_over_spans": active_users,
     "kp11_net_sentiment": lambda c: kpi.net_sentiment(scored(c)),
     "kp11_induced_net_sentiment": lambda c: kpi.net_sentiment(induced_sentiment(c)),
     "kp12_top_regions": lambda c: kpi.top_regions(c.sold),
