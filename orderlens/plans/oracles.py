@@ -237,6 +237,9 @@ SELECT day, active, known, round(1 - active / known, 4) AS churn_rate FROM a JOI
         "cv1_customer_search": c("SELECT customer_id, full_name, email FROM cust WHERE contains(lower(full_name), '#00000012') OR contains(email, '#00000012') OR contains(customer_id::VARCHAR, '#00000012')"),
         "cv2_customer_list": c(_PROFILE + "SELECT customer_id, round(lifetime_value::DOUBLE, 4) AS lifetime_value, country FROM prof JOIN cust USING (customer_id) WHERE region = 'EUROPE' ORDER BY prof.lifetime_value DESC, customer_id LIMIT 20"),
         "cv3_page": c(_PROFILE + "SELECT customer_id, total_orders FROM prof WHERE total_orders < 9 OR (total_orders = 9 AND customer_id > 100) ORDER BY total_orders DESC, customer_id LIMIT 20"),
+        "cv1_search_by_index": c("SELECT customer_id, full_name, email FROM cust WHERE contains(lower(full_name), '#00000012') OR contains(email, '#00000012') OR contains(customer_id::VARCHAR, '#00000012')"),
+        "cv3_page_by_number": c(_PROFILE + "SELECT customer_id, total_orders FROM prof ORDER BY total_orders DESC, customer_id LIMIT 20 OFFSET 40"),
+        "pv1_search_by_index": c("SELECT product_id, name, category FROM prod WHERE contains(lower(name), 'ring') OR contains(lower(category), 'ring') OR contains(lower(sku), 'ring')"),
         "cv4_customer_cards": c("+" + _segments(registry.CARD_DAY, "now") + "," + _segments(registry.before(registry.CARD_DAY, days=7), "week") + f""", p AS (SELECT customer_id, sum(net)::DOUBLE AS v, DATE '{registry.CARD_DAY}' - min(order_date) AS age, DATE '{registry.CARD_DAY}' - max(order_date) AS recency FROM sold WHERE order_date < DATE '{registry.CARD_DAY}' GROUP BY 1),
 b AS (SELECT avg(v::DOUBLE) AS past FROM (SELECT sum(net) AS v FROM sold WHERE order_date < DATE '{registry.CARD_DAY}' - INTERVAL 1 MONTH GROUP BY customer_id)), n AS (SELECT avg(v) AS now, count(*) FILTER (recency > 90) AS at_risk, count(*) FILTER (age <= 7) AS new_this_week FROM p),
 w AS (SELECT count(*) AS new_vips_this_week FROM seg_now LEFT JOIN seg_week USING (customer_id) WHERE seg_now.segment = 'Champions' AND seg_week.segment IS DISTINCT FROM 'Champions')

@@ -9,7 +9,7 @@ from functools import lru_cache
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from orderlens.functions import derive
-from orderlens.operators import analytics as an, forecasting, history, ingest, kpi, polarity, profiles, views
+from orderlens.operators import analytics as an, forecasting, history, ingest, kpi, lookup, polarity, profiles, views
 from orderlens.plans import scale
 from orderlens.plans.canon import AS_OF, Canon
 from orderlens.sources import partitions, tables
@@ -341,6 +341,18 @@ def model_constraints(c: Canon) -> DataFrame:
     return out
 
 
+def searched(c: Canon, rows: DataFrame, key: str, text: str, columns: list[str]) -> DataFrame:
+    path = new_path(c.spark)
+    lookup.write_postings(rows, key, columns, path)
+    return lookup.search(rows, key, text, columns, path)
+
+
+def numbered_page(c: Canon) -> DataFrame:
+    """CV3 by number: page 3 of the customers by orders."""
+    people = cut(profile(c).select("customer_id", "total_orders"))
+    return lookup.page_at(people, cut(lookup.page_borders(people, "total_orders", "customer_id")), 3, "total_orders", "customer_id")
+
+
 def listed(c: Canon) -> DataFrame:
     rows = c.products.withColumn("is_active", F.col("product_id") % 10 != 0)
     return views.product_list(rows, "LARGE", True, after=("m", 0)).select("product_id", "name", "category")
@@ -442,6 +454,9 @@ QUERIES: dict[str, Callable[[Canon], DataFrame]] = {
     "cv1_customer_search": lambda c: views.search(c.customers, "#00000012", ["full_name", "email", "customer_id"]).select("customer_id", "full_name", "email"),
     "cv2_customer_list": lambda c: views.customer_list(profile(c).join(c.customers, "customer_id"), "highest_ltv", F.col("region") == "EUROPE").select("customer_id", an.dbl("lifetime_value").alias("lifetime_value"), "country"),
     "cv3_page": lambda c: views.page(profile(c), "total_orders", "customer_id", 20, True, (9, 100)).select("customer_id", "total_orders"),
+    "cv1_search_by_index": lambda c: searched(c, c.customers, "customer_id", "#00000012", ["full_name", "email", "customer_id"]).select("customer_id", "full_name", "email"),
+    "cv3_page_by_number": numbered_page,
+    "pv1_search_by_index": lambda c: searched(c, c.products, "product_id", "ring", ["name", "category", "sku"]).select("product_id", "name", "category"),
     "cv4_customer_cards": cards,
     "cv5_segment_summary": lambda c: views.segment_summary(profile(c).join(c.customers, "customer_id")),
     "cv5_segment_screen": segment_screen,
