@@ -279,6 +279,15 @@ def supplier(items: DataFrame, suppliers: DataFrame) -> DataFrame:
     return named.select("supplier_id", "supplier", dbl("_rev").alias("revenue"), "units", dbl("_margin").alias("margin"), F.round("_ret", 6).alias("return_rate"), "revenue_rank")
 
 
+def supplier_delivery(items: DataFrame, suppliers: DataFrame, slow: int = 30) -> DataFrame:
+    """(supplier_id, supplier, lines, delivery_days, slow_share): mean days from order to shipping of each supplier's lines, and the share
+    of lines over `slow` days; lines of 0 to 180 days count."""
+    days = F.datediff("ship_date", "order_date")
+    rows = items.where(days.between(0, 180)).groupBy("supplier_id").agg(F.count(F.lit(1)).alias("lines"), F.avg(days).alias("_d"), F.avg((days > slow).cast("int")).alias("_s"))
+    named = rows.join(suppliers.select(F.col("s_suppkey").alias("supplier_id"), F.col("s_name").alias("supplier")), "supplier_id")
+    return named.select("supplier_id", "supplier", "lines", F.round("_d", 6).alias("delivery_days"), F.round("_s", 6).alias("slow_share"))
+
+
 def correlation(df: DataFrame, columns: list[str]) -> DataFrame:
     """(a, b, r): Pearson for all pairs in one aggregation."""
     pairs = list(combinations(columns, 2))

@@ -147,6 +147,17 @@ ORDER_RULES = {
 }
 
 
+#: Rules of products and of order lines.
+STOCK_RULES = {
+    "stock": lambda: F.col("stock_qty") >= 0,
+    "price": lambda: F.col("unit_price") >= 0,
+    "cost": lambda: F.col("cost_price") >= 0,
+}
+LINE_RULES = {
+    "quantity": lambda: F.col("quantity") > 0,
+    "line_total": lambda: F.col("line_total") >= 0,
+}
+
 #: The other rules of the model: customers' scores, tiers, sentiment labels, forecast bands and insight bullets.
 MODEL_RULES = {
     "engagement": lambda: F.col("engagement_score").between(0, 100),

@@ -74,6 +74,15 @@ def engagement_score(profile: DataFrame) -> DataFrame:
     return rows.select("customer_id", F.round(50 * (F.col("_r") + F.col("_f")), 2).alias("engagement_score"))
 
 
+def engagement_with_activity(profile: DataFrame, events: DataFrame, user: str = "user_id") -> DataFrame:
+    """100 x the mean of the percent ranks of recency, frequency and activity, the events of the customer (none: 0)."""
+    acts = events.groupBy(F.col(user).alias("customer_id")).agg(F.count(F.lit(1)).alias("activity"))
+    rows = cut(profile.select("customer_id", "recency", "total_orders").join(acts, "customer_id", "left").withColumn("activity", F.coalesce("activity", F.lit(0))))
+    for value, name, descending in (("recency", "_r", True), ("total_orders", "_f", False), ("activity", "_a", False)):
+        rows = scale.percent_rank(rows, value, name, descending)
+    return rows.select("customer_id", "activity", F.round(100 * (F.col("_r") + F.col("_f") + F.col("_a")) / 3, 2).alias("engagement_score"))
+
+
 def product_list(products: DataFrame, category: str | None = None, active: bool | None = None, size: int = 20, after: tuple | None = None) -> DataFrame:
     """The next `size` products by name, of a category, active or not."""
     if category is not None:

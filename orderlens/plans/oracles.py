@@ -202,11 +202,15 @@ SELECT 'month' AS kind, month(order_date)::INT AS part, round(avg(v) / max(a), 6
         "a16_payment_channel": c("+ b AS (SELECT payment_method, count(*) AS orders, sum(net)::DOUBLE AS n FROM sold GROUP BY 1), r AS (SELECT payment_method, avg(CASE WHEN status = 'refunded' THEN 1.0::DOUBLE ELSE 0 END) AS rr FROM ord GROUP BY 1) SELECT payment_method, orders, round(n, 4) AS revenue, round(n / sum(n) OVER (), 6) AS share, round(n / orders, 8) AS aov, round(rr, 6) AS refund_rate FROM b JOIN r USING (payment_method)"),
         "a17_attribution": c("""+ t AS (SELECT customer_id, sum(net) AS s, count(*) AS n, arg_min(payment_method, (order_date, order_id)) AS f, arg_max(payment_method, (order_date, order_id)) AS l FROM sold GROUP BY 1),
 e AS (SELECT payment_method AS channel, sum(s::DOUBLE / n) AS linear FROM sold JOIN t USING (customer_id) GROUP BY 1), a AS (SELECT f AS channel, sum(s) AS s, count(*) AS n FROM t GROUP BY 1), b AS (SELECT l AS channel, sum(s) AS s FROM t GROUP BY 1)
+SELECT channel, round(coalesce(a.s, 0)::DOUBLE, 2) AS first_touch, round(coalesce(b.s, 0)::DOUBLE, 2) AS last_touch, round(linear, 2) AS linear, coalesce(a.n, 0) AS customers_first FROM e LEFT JOIN a USING (channel) LEFT JOIN b USING (channel)"""),
+        "a17_attribution_channel": c("""+ t AS (SELECT customer_id, sum(net) AS s, count(*) AS n, arg_min(channel, (order_date, order_id)) AS f, arg_max(channel, (order_date, order_id)) AS l FROM sold GROUP BY 1),
+e AS (SELECT channel AS channel, sum(s::DOUBLE / n) AS linear FROM sold JOIN t USING (customer_id) GROUP BY 1), a AS (SELECT f AS channel, sum(s) AS s, count(*) AS n FROM t GROUP BY 1), b AS (SELECT l AS channel, sum(s) AS s FROM t GROUP BY 1)
 SELECT channel, round(coalesce(a.s, 0)::DOUBLE, 2) AS first_touch, round(coalesce(b.s, 0)::DOUBLE, 2) AS last_touch, round(linear, 2) AS linear, coalesce(a.n, 0) AS customers_first FROM e LEFT JOIN a USING (channel) LEFT JOIN b USING (channel)"""),
         "a18_returns_product": _returns("product_id"),
         "a18_returns_category": _returns("category"),
         "a19_fulfillment": c("SELECT region, count(*) AS orders, round(avg(delivery_days), 4) AS mean_days, round(quantile_cont(delivery_days, 0.5), 4) AS p50_days, round(quantile_cont(delivery_days, 0.95), 4) AS p95_days, round(avg(CASE WHEN delivery_days <= 5 THEN 1.0::DOUBLE ELSE 0 END), 6) AS within_sla FROM ord WHERE delivery_days IS NOT NULL GROUP BY 1"),
         "a20_supplier": c("+ s AS (SELECT supplier_id, sum(line_total) AS rev, sum(quantity)::BIGINT AS units, sum(line_total - line_discount - line_cost) AS mar, avg(CASE WHEN returned THEN 1.0::DOUBLE ELSE 0 END) AS ret FROM sitems GROUP BY 1) SELECT supplier_id, s_name AS supplier, round(rev::DOUBLE, 4) AS revenue, units, round(mar::DOUBLE, 4) AS margin, round(ret, 6) AS return_rate, (dense_rank() OVER (ORDER BY rev DESC))::INT AS revenue_rank FROM s JOIN supplier ON s_suppkey = supplier_id"),
+        "a20_supplier_delivery": c("+ s AS (SELECT supplier_id, count(*) AS lines, avg(ship_date - order_date) AS d, avg((ship_date - order_date > 30)::INT) AS w FROM sitems WHERE ship_date - order_date BETWEEN 0 AND 180 GROUP BY 1) SELECT supplier_id, s_name AS supplier, lines, round(d, 6) AS delivery_days, round(w, 6) AS slow_share FROM s JOIN supplier ON s_suppkey = supplier_id"),
         "a21_correlation": c(_CORR),
         "a22_demographic": c("SELECT age_group, gender, grouping(age_group, gender)::INT AS level, count(DISTINCT customer_id) AS customers, round(sum(net)::DOUBLE, 4) AS revenue, round(sum(net)::DOUBLE / count(*), 8) AS aov FROM sold JOIN (SELECT customer_id, age_group, gender FROM cust) USING (customer_id) GROUP BY CUBE (age_group, gender)"),
         "fc1_forecast_by_region": c(_forecast("region") + "SELECT k AS region, * EXCLUDE (k) FROM fc"),
@@ -252,6 +256,7 @@ p AS (SELECT segment AS s, grouping(segment)::INT AS t, count(*) AS past FROM se
 SELECT ai_segment, is_total, customers, round(l, 2) AS average_ltv, round(coalesce(arr, 0)::DOUBLE, 4) AS arr, round(o, 4) AS average_orders, round(e, 2) AS average_engagement, round((customers / past - 1) * 100, 4) AS month_change_pct FROM a LEFT JOIN p ON ai_segment IS NOT DISTINCT FROM s AND is_total = t"""),
         "cv5_segment_summary": c(_PROFILE + "SELECT region, grouping(region)::INT AS is_total, count(*) AS customers, round(avg(lifetime_value::DOUBLE), 2) AS average_ltv, round(coalesce(sum(arr), 0)::DOUBLE, 4) AS arr, round(avg(total_orders), 4) AS average_orders FROM prof JOIN cust USING (customer_id) GROUP BY GROUPING SETS ((region), ())"),
         "cv6_engagement": c(_PROFILE + "SELECT customer_id, round(50 * (percent_rank() OVER (ORDER BY recency DESC) + percent_rank() OVER (ORDER BY total_orders)), 2) AS engagement_score FROM prof"),
+        "cv6_engagement_activity": c(_PROFILE + ", x AS (SELECT user_id AS customer_id, count(*) AS n FROM events GROUP BY 1), y AS (SELECT customer_id, recency, total_orders, coalesce(n, 0) AS activity FROM prof LEFT JOIN x USING (customer_id)) SELECT customer_id, activity, round(100 * (percent_rank() OVER (ORDER BY recency DESC) + percent_rank() OVER (ORDER BY total_orders) + percent_rank() OVER (ORDER BY activity)) / 3, 2) AS engagement_score FROM y"),
         "cv7_arr": c(_PROFILE + "SELECT customer_id, round(coalesce(arr, 0)::DOUBLE, 4) AS arr FROM prof"),
         "pv1_product_search": c("SELECT product_id, name, category FROM prod WHERE contains(lower(name), 'ring') OR contains(lower(category), 'ring') OR contains(lower(sku), 'ring')"),
         "pv1_product_list": c("SELECT product_id, name, category FROM prod WHERE category = 'LARGE' AND product_id % 10 <> 0 AND name >= 'm' ORDER BY name, product_id LIMIT 20"),
@@ -261,7 +266,7 @@ SELECT ai_segment, is_total, customers, round(l, 2) AS average_ltv, round(coales
         "rc2_insights": c("""+ y AS (SELECT region, year(order_date) AS year, sum(net)::DOUBLE AS revenue, count(*)::DOUBLE AS orders, count(DISTINCT customer_id)::DOUBLE AS customers, sum(cost)::DOUBLE AS cost FROM sold GROUP BY 1, 2), u AS (SELECT region, year, unnest(['revenue', 'orders', 'customers', 'cost']) AS name, unnest([revenue, orders, customers, cost]) AS value FROM y),
 m AS (SELECT a.region, a.name, (a.value - b.value) / abs(b.value) * 100 AS m FROM u a JOIN u b ON a.region = b.region AND a.name = b.name AND a.year = 2000 AND b.year = 1999 WHERE b.value <> 0), k AS (SELECT *, row_number() OVER (PARTITION BY region ORDER BY abs(round(m, 6)) DESC, name) AS bullet_index FROM m)
 SELECT region, bullet_index::INT AS bullet_index, name || CASE WHEN m >= 0 THEN ' rose by ' ELSE ' fell by ' END || round(abs(m))::BIGINT || ' %' AS bullet_text FROM k WHERE bullet_index <= 3"""),
-        "io1_read_csv": c("+ d AS (SELECT order_id AS k, total::DECIMAL(14,2)::VARCHAR AS t FROM ord) SELECT k::VARCHAR AS external_id, CASE k % 7 WHEN 0 THEN 'N/A' WHEN 1 THEN '$' || t ELSE t END AS total_amount, TRUE AS fits FROM d"),
+        "io1_read_csv": c("+ d AS (SELECT order_id AS k, total::DECIMAL(14,2)::VARCHAR AS t FROM ord) SELECT k::VARCHAR AS external_id, CASE k % 7 WHEN 0 THEN 'N/A' WHEN 1 THEN '$' || t ELSE t END AS total_amount, TRUE AS fits FROM d UNION ALL SELECT k::VARCHAR, CASE k % 7 WHEN 0 THEN 'N/A' WHEN 1 THEN '$' || t ELSE t END, FALSE FROM d WHERE k % 50 = 0"),
         "io2_table_counts": " UNION ALL ".join(f"SELECT '{t}' AS name, count(*) AS rows FROM {t}" for t in TABLES),
         "io3_append": c("SELECT strftime(order_date, '%Y-%m') AS order_month, count(*) AS orders, round(sum(net)::DOUBLE, 4) AS net FROM ord GROUP BY 1"),
         "io5_export": c("SELECT payment_method, count(*) AS orders FROM sold GROUP BY 1"),
@@ -284,6 +289,10 @@ SELECT upload_job_id, csv_header, mapped_table, mapped_column, match_score, coal
         "in10_drop_duplicates": c("SELECT order_id, product_id, round(line_total::DOUBLE, 2) AS line_total, quantity FROM items QUALIFY row_number() OVER (PARTITION BY order_id, product_id ORDER BY line_total DESC, quantity DESC, supplier_id DESC, ship_date DESC) = 1"),
         "in11_validate": c(_DIRTY + "SELECT external_id, array_to_string(reasons, ',') AS reasons FROM mk"),
         "in12_constraints": c("SELECT 'status' AS rule, count(*) FILTER (status NOT IN ('completed', 'pending', 'refunded', 'cancelled')) AS violations FROM ord UNION ALL SELECT 'total', count(*) FILTER (total < 0) FROM ord UNION ALL SELECT 'discount', count(*) FILTER (discount < 0 OR discount > total) FROM ord UNION ALL SELECT 'delivery', count(*) FILTER (delivery_days < 0) FROM ord"),
+        "in12_stock_and_lines": c("SELECT 'stock' AS rule, count(*) FILTER (stock_qty < 0) AS violations FROM prod UNION ALL SELECT 'price', count(*) FILTER (unit_price < 0) FROM prod UNION ALL SELECT 'cost', count(*) FILTER (cost_price < 0) FROM prod UNION ALL SELECT 'quantity', count(*) FILTER (quantity <= 0) FROM items UNION ALL SELECT 'line_total', count(*) FILTER (line_total < 0) FROM items"),
+        "in12_broken_rows": c("""SELECT 'quantity' AS rule, count(*) FILTER (order_id % 9 = 0) AS violations FROM items UNION ALL SELECT 'line_total', count(*) FILTER (order_id % 8 = 0 AND line_total > 0) FROM items
+UNION ALL SELECT 'stock', count(*) FILTER (product_id % 10 = 0) FROM prod UNION ALL SELECT 'price', count(*) FILTER (product_id % 6 = 0 AND unit_price > 0) FROM prod UNION ALL SELECT 'cost', count(*) FILTER (product_id % 4 = 0 AND cost_price > 0) FROM prod
+UNION ALL SELECT unnest(['engagement', 'churn_risk', 'tier', 'sentiment', 'band', 'bullet']), unnest([count(*) FILTER (o_orderkey % 120 > 100), count(*) FILTER (o_orderkey % 13 > 10), count(*) FILTER (o_orderkey % 4 = 3), count(*) FILTER (o_orderkey % 5 = 3), count(*) FILTER (o_orderkey % 5 = 0 OR o_orderkey % 7 = 0), count(*) FILTER (o_orderkey % 5 NOT BETWEEN 1 AND 3)]) FROM orders"""),
         "in12_model_constraints": c(_PROFILE + "," + _ABC.lstrip("+") + "," + _forecast().lstrip("+") + """, e AS (SELECT 50 * (percent_rank() OVER (ORDER BY recency DESC) + percent_rank() OVER (ORDER BY total_orders)) AS e FROM prof)
 SELECT 'engagement' AS rule, count(*) FILTER (e NOT BETWEEN 0 AND 100) AS violations FROM e UNION ALL SELECT 'tier', count(*) FILTER (abc_tier NOT IN ('A', 'B', 'C')) FROM abc UNION ALL SELECT 'band', count(*) FILTER (NOT (yhat_lower <= yhat AND yhat <= yhat_upper)) FROM fc UNION ALL SELECT unnest(['sentiment', 'bullet', 'churn_risk']), 0"""),
         "in13_references": c("SELECT o_orderkey AS order_id FROM orders WHERE o_orderkey NOT IN (SELECT order_id FROM items)"),
@@ -298,7 +307,7 @@ SELECT 'engagement' AS rule, count(*) FILTER (e NOT BETWEEN 0 AND 100) AS violat
         "in19_rollback": c("SELECT 'job' || year(order_date) AS upload_job_id, count(*) AS items, round(sum(line_total)::DOUBLE, 4) AS total FROM items JOIN ord USING (order_id) WHERE year(order_date) <> 1999 GROUP BY 1"),
         "in20_active_only": c("SELECT region, count(*) AS customers FROM cust WHERE gender <> 'Male' GROUP BY 1"),
         "in21_snapshot_region": c("SELECT CASE WHEN status = 'completed' THEN 'FIXED' ELSE region END AS region, count(*) AS orders FROM ord GROUP BY 1"),
-        "in21_region_of_country": c("SELECT customer_id, CASE " + " ".join(f"WHEN upper(trim(substr(country, 1, 2))) = '{k}' THEN '{v}'" for k, v in ingest.REGIONS.items()) + " END AS region FROM cust"),
+        "in21_region_of_country": c("+ k AS (SELECT customer_id, [" + ", ".join(f"'{x}'" for x in [*sorted(ingest.REGIONS), "XX"]) + f"][regexp_extract(country, '[0-9]+')::INT % {len(ingest.REGIONS) + 1} + 1] AS code FROM cust) SELECT customer_id, CASE code " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in ingest.REGIONS.items()) + " END AS region FROM k"),
         "in22_currency": c("SELECT CASE WHEN order_id % 5 <> 0 THEN 'USD' END AS currency, count(*) AS orders FROM ord GROUP BY 1"),
         "in23_upload_report": c(_DIRTY + """, x AS (SELECT upload_job_id, unnest(list_concat(['rows_total', CASE WHEN len(reasons) > 0 THEN 'rows_failed' ELSE 'rows_processed' END], reasons)) AS reason FROM mk), n AS (SELECT upload_job_id, reason, count(*) AS rows FROM x GROUP BY 1, 2)
 SELECT upload_job_id, reason, rows, round(rows / max(rows) OVER (PARTITION BY upload_job_id), 6) AS share FROM n"""),

@@ -6,7 +6,7 @@ from collections.abc import Callable
 from datetime import date, timedelta
 from functools import lru_cache
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from orderlens.functions import derive
 from orderlens.operators import analytics as an, forecasting, history, ingest, kpi, lookup, polarity, profiles, views
@@ -39,6 +39,14 @@ def _canon(spark: SparkSession, sf_dir: str) -> Canon:
     return Canon(spark, sf_dir)
 
 
+def country_code(country: Column) -> Column:
+    """A code for each of the given nations, which have none of their own: those that have a region in turn, every eleventh unknown,
+    some in lower case."""
+    n = F.regexp_extract(country, "([0-9]+)", 1).cast("int")
+    code = F.element_at(F.array(*map(F.lit, [*sorted(ingest.REGIONS), "XX"])), n % (len(ingest.REGIONS) + 1) + 1)
+    return F.when(n % 2 == 0, code).otherwise(F.concat(F.lit(" "), F.lower(code)))
+
+
 def headers(c: Canon) -> DataFrame:
     """The header table of pending uploads: one upload for each customer, all with the same list of headers."""
     return c.customers.select(F.col("customer_id").alias("upload_job_id"), F.explode(F.array(*[F.lit(h) for h in HEADERS])).alias("csv_header"))
@@ -199,8 +207,8 @@ def rolled_back(c: Canon) -> DataFrame:
     return items.join(kept.select("order_id", "upload_job_id"), "order_id").groupBy("upload_job_id").agg(F.count(F.lit(1)).alias("items"), an.dbl(F.sum("line_total")).alias("total"))
 
 
-def insights(c: Canon) -> DataFrame:
-    by = c.sold.withColumn("year", F.year("order_date")).groupBy("region", "year").agg(F.sum("net").cast("double").alias("revenue"), F.count(F.lit(1)).cast("double").alias("orders"), F.countDistinct("customer_id").cast("double").alias("customers"), F.sum("cost").cast("double").alias("cost"))
+def insights(c: Canon, sold: DataFrame | None = None) -> DataFrame:
+    by = (c.sold if sold is None else sold).withColumn("year", F.year("order_date")).groupBy("region", "year").agg(F.sum("net").cast("double").alias("revenue"), F.count(F.lit(1)).cast("double").alias("orders"), F.countDistinct("customer_id").cast("double").alias("customers"), F.sum("cost").cast("double").alias("cost"))
     both = by.where("year = 2000").alias("a").join(by.where("year = 1999").alias("b"), "region")
     kpis = both.select("region", F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.col(f"a.{n}").alias("value"), F.col(f"b.{n}").alias("previous")) for n in ("revenue", "orders", "customers", "cost")])).alias("x")).select("region", "x.*")
     return views.insight_top3(kpis, "region")
@@ -215,6 +223,8 @@ def raw_uploads(c: Canon) -> tuple[str, list[str]]:
     path, header = new_path(c.spark), ["Order ID", "Date", "Sale Amt", "Status"]
     rows = dirty(c).select("external_id", "order_date", "total_amount", "status").toDF(*header)
     rows.write.option("header", True).csv(path)
+    long = dirty(c).where("external_id % 50 = 0").select("external_id", "order_date", "total_amount", "status", F.lit("more").alias("a"), F.lit("still").alias("b"))
+    long.write.mode("append").option("header", True).csv(path)  # rows with more fields than the header has
     return path, header
 
 
@@ -330,9 +340,13 @@ def held_revenue(c: Canon) -> DataFrame:
 
 
 def model_constraints(c: Canon) -> DataFrame:
+    sold = cut(c.sold.select("order_id", "customer_id", "order_date", "region", "net", "cost"))
+    people = cut(an.customer_profile(sold, AS_OF))
+    lines = c.items.join(sold.select("order_id", "order_date"), "order_id")
+    series = an.daily_series(sold, []).withColumn("_one", F.lit(1))
     tables_ = {
-        "engagement": views.engagement_score(profile(c)), "tier": an.abc_tier(c.sold_items, AS_OF), "sentiment": scored(c),
-        "band": forecast(c), "bullet": insights(c), "churn_risk": an.churn_risk(an.churn_features(c.sold, AS_OF)),
+        "engagement": views.engagement_score(people), "tier": an.abc_tier(lines, AS_OF), "sentiment": scored(c),
+        "band": an.fit_forecast(series, ["_one"]), "bullet": insights(c, sold), "churn_risk": an.churn_risk(an.churn_features(sold, AS_OF)),
     }
     parts = [ingest.check_constraints(df, {name: ingest.MODEL_RULES[name]()}) for name, df in tables_.items()]
     out = parts[0]
@@ -353,6 +367,21 @@ def numbered_page(c: Canon) -> DataFrame:
     return lookup.page_at(people, cut(lookup.page_borders(people, "total_orders", "customer_id")), 3, "total_orders", "customer_id")
 
 
+def broken_rows(c: Canon) -> DataFrame:
+    """IN12 where it must fire: order lines, products and model rows made of orders, some of which break each rule."""
+    k = F.col("order_id")
+    lines = c.items.withColumn("quantity", F.when(F.col("order_id") % 9 == 0, 0).otherwise(F.col("quantity"))).withColumn("line_total", F.when(F.col("order_id") % 8 == 0, -F.col("line_total")).otherwise(F.col("line_total")))
+    p = F.col("product_id")
+    stock = c.products.withColumn("stock_qty", F.when(p % 10 == 0, -1).otherwise(F.col("stock_qty"))).withColumn("unit_price", F.when(p % 6 == 0, -F.col("unit_price")).when(p % 6 == 1, None).otherwise(F.col("unit_price"))).withColumn("cost_price", F.when(p % 4 == 0, -F.col("cost_price")).otherwise(F.col("cost_price")))
+    pick = lambda *names: F.element_at(F.array(*map(F.lit, names)), (k % len(names) + 1).cast("int"))
+    model = c.t["orders"].select(F.col("o_orderkey").alias("order_id")).select(
+        (k % 120).alias("engagement_score"), ((k % 13) / 10).alias("churn_risk_score"), pick("A", "B", "C", "D").alias("abc_tier"), pick("POSITIVE", "NEGATIVE", "NEUTRAL", "ANGRY", None).alias("sentiment_label"),
+        F.when(k % 5 == 0, 11).otherwise(9).alias("yhat_lower"), F.lit(10).alias("yhat"), F.when(k % 7 == 0, 9).otherwise(11).alias("yhat_upper"), (k % 5).alias("bullet_index"),
+    )
+    parts = [ingest.check_constraints(df, {n: r() for n, r in rules_.items()}) for df, rules_ in ((lines, ingest.LINE_RULES), (stock, ingest.STOCK_RULES), (model, ingest.MODEL_RULES))]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 def listed(c: Canon) -> DataFrame:
     rows = c.products.withColumn("is_active", F.col("product_id") % 10 != 0)
     return views.product_list(rows, "LARGE", True, after=("m", 0)).select("product_id", "name", "category")
@@ -421,10 +450,12 @@ QUERIES: dict[str, Callable[[Canon], DataFrame]] = {
     "a15_funnel": lambda c: an.funnel(c.events, STEPS),
     "a16_payment_channel": lambda c: an.payment_channel(c.orders, c.sold),
     "a17_attribution": lambda c: an.attribution(c.sold, "payment_method"),
+    "a17_attribution_channel": lambda c: an.attribution(c.sold, "channel"),
     "a18_returns_product": lambda c: an.returns(c.items),
     "a18_returns_category": lambda c: an.returns(c.items, "category"),
     "a19_fulfillment": lambda c: an.fulfillment(c.orders),
     "a20_supplier": lambda c: an.supplier(c.sold_items, c.t["supplier"]),
+    "a20_supplier_delivery": lambda c: an.supplier_delivery(c.sold_items, c.t["supplier"]),
     "a21_correlation": lambda c: an.correlation(c.items, ["quantity", "line_total", "line_discount", "line_cost"]),
     "a22_demographic": lambda c: an.demographic(c.sold, c.customers),
     "fc1_forecast_by_region": lambda c: forecast(c, ["region"]),
@@ -464,6 +495,7 @@ QUERIES: dict[str, Callable[[Canon], DataFrame]] = {
     "cv5_segment_moves": lambda c: history.moves(history.history_over(c.sold, YEARS), YEARS[-2], YEARS[-1]),
     "cv5_held_revenue": held_revenue,
     "cv6_engagement": lambda c: views.engagement_score(profile(c)),
+    "cv6_engagement_activity": lambda c: views.engagement_with_activity(profile(c), c.events),
     "cv7_arr": lambda c: profile(c).select("customer_id", an.dbl(F.coalesce("arr", F.lit(0))).alias("arr")),
     "pv1_product_search": lambda c: views.search(c.products, "ring", ["name", "category", "sku"]).select("product_id", "name", "category"),
     "pv1_product_list": listed,
@@ -494,6 +526,8 @@ QUERIES: dict[str, Callable[[Canon], DataFrame]] = {
     "in11_validate": lambda c: marked(c).select("external_id", F.concat_ws(",", "reasons").alias("reasons")),
     "in12_constraints": lambda c: ingest.check_constraints(c.orders, {n: r() for n, r in ingest.ORDER_RULES.items()}),
     "in12_model_constraints": model_constraints,
+    "in12_stock_and_lines": lambda c: ingest.check_constraints(c.products, {n: r() for n, r in ingest.STOCK_RULES.items()}).unionByName(ingest.check_constraints(c.items, {n: r() for n, r in ingest.LINE_RULES.items()})),
+    "in12_broken_rows": broken_rows,
     "in13_references": lambda c: ingest.check_references(c.t["orders"].select(F.col("o_orderkey").alias("order_id")), c.items, "order_id", "order_id"),
     "in14_unique": lambda c: ingest.check_unique(c.t["lineitem"], ["l_orderkey", "l_linenumber"]),
     "in15_upsert": upserted,
@@ -504,7 +538,7 @@ QUERIES: dict[str, Callable[[Canon], DataFrame]] = {
     "in19_rollback": rolled_back,
     "in20_active_only": lambda c: ingest.active_only(c.customers.withColumn("deleted_at", F.when(F.col("gender") == "Male", F.lit("2001-01-01").cast("date")))).groupBy("region").agg(F.count(F.lit(1)).alias("customers")),
     "in21_snapshot_region": lambda c: ingest.snapshot_region(c.orders.withColumn("region", F.when(F.col("status") == "completed", F.lit("FIXED"))), c.customers).groupBy("region").agg(F.count(F.lit(1)).alias("orders")),
-    "in21_region_of_country": lambda c: c.customers.select("customer_id", ingest.region_of_country(F.substring("country", 1, 2)).alias("region")),
+    "in21_region_of_country": lambda c: c.customers.select("customer_id", ingest.region_of_country(country_code(F.col("country"))).alias("region")),
     "in22_currency": lambda c: dirty(c).groupBy(ingest.normalise_currency(F.col("currency")).alias("currency")).agg(F.count(F.lit(1)).alias("orders")),
     "in23_upload_report": lambda c: ingest.upload_report(marked(c)),
     "sc_derived_orders": lambda c: c.orders.select("order_id", an.dbl(derive.net_amount(F.col("total"), F.col("discount"))).alias("net_amount"), an.dbl(derive.gross_margin(F.col("net"), F.when(F.col("return_flag"), F.lit(None)).otherwise(F.col("cost")))).alias("gross_margin"), derive.cohort_month(F.col("order_date")).alias("cohort_month"), derive.at_risk(F.col("order_date"), AS_OF).alias("at_risk")),

@@ -6,6 +6,8 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from orderlens.sources.shared import cut
+
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
@@ -26,9 +28,10 @@ def load_tables(spark: SparkSession, folder: str) -> Tables:
 
 
 def read_csv(spark: SparkSession, path: str, header: list[str]) -> DataFrame:
-    """A raw upload: every column a string, rows that do not fit kept whole in _bad."""
+    """A raw upload: every column a string, rows that do not fit kept whole in _bad. What was parsed is written to the shared folder, so
+    that any columns of it can be asked for, _bad alone too, and the files are parsed once."""
     schema = T.StructType([T.StructField(h, T.StringType()) for h in [*header, "_bad"]])
-    return spark.read.schema(schema).option("header", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").option("enforceSchema", True).csv(path)
+    return spark.read.schema(schema).option("header", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").option("enforceSchema", True).csv(path).transform(cut)
 
 
 def append(df: DataFrame, path: str, date: str = "order_date") -> None:
