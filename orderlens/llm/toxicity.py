@@ -4,8 +4,8 @@ The lexicon is learned from labelled rows: whole words, and stems that stand at
 far oftener than others. A trie holds it. The automata of all its terms run over a token at once, as one automaton whose states
 are sets of (trie node, edits) and are built when first met; most tokens die after three or four letters. An edit is a letter more,
 a letter less, another letter or two letters swapped; a stem may have one before its last letter. Terms of FUZZY letters or more
-take one edit, unless words that clean texts have lie so near to them. Each hit is then seen in its window of tokens: within
-quotation marks, or beside words of reporting, it counts as quotation. A logistic model of the counts gives the score.
+take one edit, unless words that clean texts have lie so near to them. Each hit is then seen in its window of tokens: within a pair of
+quotation marks, or beside words of reporting, it counts as quotation. A single mark, or one of inches, quotes nothing. A logistic model of the counts gives the score.
 """
 
 from __future__ import annotations
@@ -28,12 +28,16 @@ LEAST, ODDS, CLEAN = 4, 3.0, 0.0005
 STEMS, FUZZY = range(3, 9), 4
 #: Tokens to each side of a hit that its context is made of.
 WINDOW = 6
+#: Tokens that a quotation has at most; marks further apart are no pair.
+QUOTED = 60
 THRESHOLD = 0.7
 #: Tokens whose matches a task keeps, and states of its automaton.
 REMEMBERED, MOST_STATES = 400_000, 200_000
 
 #: Quotation marks, and words of reporting in four languages.
 QUOTES = "\"“”„«»‹›"
+#: Which marks close a quotation that each mark opens, as languages have them.
+CLOSES = {'"': '"', "“": "”", "„": "“”", "«": "»", "»": "«", "‹": "›", "›": "‹", "”": "”"}
 REPORTS = frozenset(
     "said says say wrote quote quoted quotes called sagte sagt schrieb zitat nannte "
     "dit disait citation cité appelé dijo dice escribió cita citado llamó".split()
@@ -46,6 +50,27 @@ def tokens(text: str) -> list[str]:
     return _token.findall(text.lower())
 
 
+def quotations(text: str) -> list[tuple[int, int]]:
+    """(token of the opening mark, token of the closing mark) of a text's quotations, none within another.
+
+    A mark opens if what stands before it is no letter, digit or closing punctuation and what follows is no space; it closes if what
+    stands before it is no space and no letter or digit follows. A straight mark after a digit is of inches unless it closes what is open. A mark that
+    opens takes the place of one that has not been closed.
+    """
+    low, open_, out = text.lower(), None, []
+    for i, m in enumerate(_token.finditer(low)):
+        mark = m[0]
+        if mark not in CLOSES:
+            continue
+        before, after = low[m.start() - 1] if m.start() else " ", low[m.end()] if m.end() < len(low) else " "
+        if open_ and mark in CLOSES[open_[1]] and i - open_[0] <= QUOTED and not before.isspace() and not after.isalnum():
+            out.append((open_[0], i))
+            open_ = None
+        elif not after.isspace() and not before.isalnum() and before not in ".,;!?":
+            open_ = i, mark
+    return out
+
+
 def fuzzy_by_length(terms: list[str]) -> list[str]:
     return [t for t in terms if len(t.rstrip("*")) >= FUZZY]
 
@@ -168,11 +193,11 @@ def features(text: str, automaton: Automaton) -> list[float]:
     kinds = {t: k for t in set(found) if (k := automaton.match(t))}
     plain = fuzzy = quoted = 0
     if kinds:
-        marks = np.cumsum([t in QUOTES for t in found])
+        spans = quotations(text) if any(t in CLOSES for t in found) else []
         for i, t in enumerate(found):
             if k := kinds.get(t):
                 near = found[max(0, i - WINDOW) : i + WINDOW + 1]
-                inside = marks[i] % 2 == 1 and any(x in QUOTES for x in near)
+                inside = any(a < i < b and min(i - a, b - i) <= WINDOW for a, b in spans)
                 if inside or REPORTS.intersection(near):
                     quoted += 1
                 elif k == 2:

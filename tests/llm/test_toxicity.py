@@ -69,6 +69,23 @@ def test_context():
     assert quoted[0] == quoted[1] == 0 and quoted[2] > 0
 
 
+QUOTED = [
+    ('he wrote it: "you idiot" twice', "idiot", True), ('the 5" pipe was "fine" you idiot', "idiot", False), ('he quoted5 it "you idiot" and 5" pipes', "idiot", True), ('you "idiot', "idiot", False),
+    ('so "fine", you idiot, and "good" too', "idiot", False), ("„du idiot“ rief er", "idiot", True), ("«espèce d' idiot» cria", "idiot", True), ("»du idiot« rief er", "idiot", True), ("“so” idiot “so”", "idiot", False),
+    ('"' + "word " * 80 + 'idiot"', "idiot", False), ('a lone " mark, idiot, and one more " here', "idiot", False), ('6" by 4" boards, you idiot, and 3" nails', "idiot", False), ('it reads "room 5", idiot', "idiot", False),
+]
+
+
+def test_marks_are_paired():
+    for text, word, want in QUOTED:
+        found = toxicity.tokens(text)
+        at = found.index(word)
+        assert any(a < at < b for a, b in toxicity.quotations(text)) == want, text
+        f = toxicity.features(text.replace("quoted5", "has"), AUTOMATON)
+        assert (f[2] > 0, f[0] > 0) == (want, not want) or "wrote" in text, text
+    assert toxicity.features('the 5" pipe was "fine" you idiot', AUTOMATON) != toxicity.features('it had "you idiot" and 5" pipes', AUTOMATON)
+
+
 def test_edge_rows(spark):
     model = ((["word", "same*"], []), toxicity.np.array([1.0, 0.5, 0.1, 1.0, 1.0, -3.0]))
     rows = toxicity.score(edge.frame(spark), model).collect()
@@ -134,7 +151,7 @@ def plain_features(text, terms, fuzzy):
         kind = brute(token, terms, fuzzy)
         if kind:
             window = found[max(0, i - toxicity.WINDOW) : i + toxicity.WINDOW + 1]
-            open_ = sum(t in toxicity.QUOTES for t in found[: i + 1]) % 2 == 1 and any(t in toxicity.QUOTES for t in window)
+            open_ = any(a < i < b and (i - a <= toxicity.WINDOW or b - i <= toxicity.WINDOW) for a, b in toxicity.quotations(text))
             counts[2 if open_ or any(t in toxicity.REPORTS for t in window) else 0 if kind == 2 else 1] += 1
     log1p = toxicity.np.log1p
     return [*map(log1p, counts), min(10.0, 100 * counts[0] / max(1, len(found))), float(counts[0] > 0)]
