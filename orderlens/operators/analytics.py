@@ -142,7 +142,8 @@ def customer_profile(orders: DataFrame, as_of: str) -> DataFrame:
 
 
 def segmentation(profile: DataFrame, k: int = 3, seed: int = 7) -> DataFrame:
-    """(customer_id, ai_segment): rules first, then K-Means on value, orders and recency, clusters named by mean value."""
+    """(customer_id, ai_segment): rules first, then K-Means on value, engagement (if profile has engagement_score, else orders) and
+    recency, clusters named by mean value."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.feature import StandardScaler, VectorAssembler
 
@@ -152,7 +153,7 @@ def segmentation(profile: DataFrame, k: int = 3, seed: int = 7) -> DataFrame:
     rest = rows.where("_fixed is null")
     if rest.isEmpty():
         return rows.select("customer_id", F.col("_fixed").alias("ai_segment"))
-    vectors = VectorAssembler(inputCols=["_value", "total_orders", "recency"], outputCol="_raw").transform(rest)
+    vectors = VectorAssembler(inputCols=["_value", "engagement_score" if "engagement_score" in profile.columns else "total_orders", "recency"], outputCol="_raw").transform(rest)
     scaled = StandardScaler(inputCol="_raw", outputCol="features", withMean=True).fit(vectors).transform(vectors)
     found = KMeans(k=k, seed=seed, featuresCol="features", predictionCol="_cluster").fit(scaled).transform(scaled)
     order = [r._cluster for r in found.groupBy("_cluster").agg(F.avg("_value").alias("v")).orderBy("v").collect()]  # k rows

@@ -78,6 +78,11 @@ def target_values(c: Canon) -> DataFrame:
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3]).withColumnRenamed("column", "mapped_column")
 
 
+def resolved(c: Canon) -> DataFrame:
+    own, past = cut(headers(c)), cut(past_mappings(c))
+    return ingest.resolve_mappings(own, ingest.map_historical(own, past), ingest.map_exact(own, dictionary(c)), ingest.map_fuzzy(own, dictionary(c)), ingest.map_semantic(own, synonyms(c)))
+
+
 def by_values(c: Canon) -> DataFrame:
     return profiles.map_by_values(cut(upload_values(c)), cut(target_values(c)))
 
@@ -414,7 +419,7 @@ def _models(name: str) -> Callable[[Canon], DataFrame]:
 
         if name == "clv":
             return models.clv(c.sold, AS_OF)
-        return models.isolation_forest(daily_values(c).withColumn("weekday", F.dayofweek("day").cast("double")), ["value", "weekday"], "day")
+        return models.isolation_forest(cut(daily_values(c).withColumn("weekday", F.dayofweek("day").cast("double"))), ["value", "weekday"], "day")
 
     return run
 
@@ -438,6 +443,7 @@ QUERIES: dict[str, Callable[[Canon], DataFrame]] = {
     "a08_polarity": lambda c: induced(c)[0].select("word", F.round("polarity", 6).alias("polarity"), "is_seed"),
     "a08_induced_sentiment": induced_sentiment,
     "a09_segmentation": lambda c: an.segmentation(profile(c)),
+    "a09_segmentation_engaged": lambda c: an.segmentation(cut(profile(c).join(views.engagement_with_activity(profile(c), c.events).select("customer_id", "engagement_score"), "customer_id"))),
     "a10_abc_tier": lambda c: an.abc_tier(c.sold_items, AS_OF),
     "a11_margin_category": lambda c: an.margin(c.sold_items, ["category"]),
     "a11_margin_product": lambda c: an.margin(c.sold_items, ["product_id"]),
@@ -516,7 +522,7 @@ QUERIES: dict[str, Callable[[Canon], DataFrame]] = {
     "in3_map_semantic": lambda c: ingest.map_semantic(headers(c), synonyms(c)),
     "in3_map_by_values": by_values,
     "in4_map_historical": lambda c: ingest.map_historical(headers(c), past_mappings(c)),
-    "in5_resolve": lambda c: ingest.resolve_mappings(headers(c), ingest.map_historical(headers(c), past_mappings(c)), ingest.map_exact(headers(c), dictionary(c)), ingest.map_fuzzy(headers(c), dictionary(c)), ingest.map_semantic(headers(c), synonyms(c))),
+    "in5_resolve": resolved,
     "in5_resolve_uploads": resolved_uploads,
     "in6_apply_mapping": lambda c: ingest.apply_mapping(dirty(c).withColumnRenamed("total_amount", "Sale Amt"), {"external_id": "order_ref", "Sale Amt": "total_amount"}),
     "in7_clean_missing": lambda c: ingest.clean_missing(dirty(c), {"currency": "USD"}).select("external_id", "total_amount", "currency"),

@@ -42,7 +42,7 @@ def test_query(spark, duck, name):
     if sql:
         assert table(got) == table(duck.execute(sql).df())
     else:
-        assert len(got) and name in {"fc1_backtest_by_region", "fc1_chosen_by_region", "a06_isolation_forest", "a07_clv", "a09_segmentation", "a12_churn_risk"}
+        assert len(got) and name in {"fc1_backtest_by_region", "fc1_chosen_by_region", "a06_isolation_forest", "a07_clv", "a09_segmentation", "a09_segmentation_engaged", "a12_churn_risk"}
 
 
 def test_entry(spark):
