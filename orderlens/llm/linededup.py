@@ -112,7 +112,7 @@ def longest_stretches(lines: DataFrame, width: int) -> DataFrame:
     while not level.isEmpty():
         first = level.groupBy("c").agg(F.min(F.struct("id", "seq")).alias("_f"))
         later = level.join(cut(first), "c").where((F.col("_f.id") < F.col("id")) | ((F.col("_f.id") == F.col("id")) & (F.col("_f.seq") < F.col("seq"))))
-        own = later.select("id", "row", "seq", F.lit(span).alias("n"))
+        own = cut(later.select("id", "row", "seq", F.lit(span).alias("n")))  # written, so that no plan holds all levels' joins
         found = own if found is None else found.unionByName(own)
         level = cut(doubled(level, span, width))
         span *= 2
