@@ -16,7 +16,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import BROADCAST_ROWS, carried, components, cut
+from .common import BROADCAST_ROWS, carried, components, cut, small
 
 PERMUTATIONS, WIDTH, SEED = 128, 5, 20240607
 #: Words whose hashes a task keeps; beyond it the memory starts anew.
@@ -201,6 +201,19 @@ def edit_report(docs: DataFrame, parts: int | None = None) -> DataFrame:
     return carried(runs, run, schema, "extra", "text")
 
 
+def told_apart(rows: DataFrame) -> DataFrame:
+    """rows (text, not null, and other columns) with id (long), which stands for the text: its hash. Where different texts have one
+    hash, all but one of them take a hash of another seed, so no two texts are one. (A chained hash would repeat the clash.)"""
+    first, second = F.xxhash64("text"), F.xxhash64(F.lit("second"), F.col("text"))
+    seen = rows.groupBy(first.alias("id")).agg(F.min(second).alias("_least"), F.max(second).alias("_most"))
+    shared = cut(seen.where("_least != _most").select("id", "_least"))
+    named = rows.withColumn("id", first)
+    if shared.isEmpty():
+        return named
+    named = named.join(small(shared), "id", "left")
+    return named.withColumn("id", F.when(F.col("_least") != second, second).otherwise(F.col("id"))).drop("_least")
+
+
 def marks(texts: DataFrame) -> DataFrame:
     """(id, bands) for each row of texts (id, text): the numbers of its signature's bands."""
 
@@ -299,18 +312,60 @@ def pairs_of(rows: DataFrame, fits=None) -> DataFrame:
     return (pairs if fits is None else pairs.where(fits)).select(F.col("_uid").alias("u"), F.col("_vid").alias("v"))
 
 
+def stars(roots: DataFrame) -> DataFrame:
+    """A link (u, v) from the root of each text of roots (id, root) to it."""
+    return roots.select(F.col("root").alias("u"), F.col("id").alias("v"))
+
+
+def rooted(links: DataFrame) -> DataFrame:
+    """(id, root) of all that links (u, v) connect."""
+    return components(links).withColumnRenamed("node", "id")
+
+
+def bounded(sets: DataFrame, least: float, few: int = FEW) -> DataFrame:
+    """(id, n, most, out) for each text of sets (id, grams). Let H be the shingles that over `few` of the sets have.
+
+    n counts the shingles of a text. A pair without a common shingle outside H shares no more than either has in H, so it reaches
+    `least` only if n of each is at most `most` of the other. A pair with a common shingle outside H has one that is in `out` of both:
+    the rarest ones of a text, as (df, g). So each pair of `least` or more is within both bounds or shares a shingle of `out`.
+    """
+    times = cut(gram_counts(sets))
+    # only what is outside H is joined: no shingle there has over `few` texts
+    shingles = outside(sets, times.where(F.col("df") > few).select("g"))
+    out = shingles.join(times.where(F.col("df") <= few), "g").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("df", "g"))).alias("out"))
+    own = sets.select("id", F.size("grams").alias("n")).join(out, "id", "left").withColumn("_k", F.coalesce(F.size("out"), F.lit(0)))
+    inside = F.col("n") - F.greatest("_k", F.lit(0))
+    # a pair that is no pair by its part in H has so many shingles outside H in common, so one of the first ones of each
+    firsts = F.col("_k") - F.greatest(F.ceil(F.col("n") * least - inside - 1e-6), F.lit(1)) + 1
+    own = own.withColumn("most", inside * (1 + least) / least - F.col("n") + 1e-6)
+    return cut(own.withColumn("out", F.slice("out", F.lit(1), F.greatest(firsts, F.lit(0)).cast("int"))).drop("_k"))
+
+
+def within_bounds(groups: DataFrame, own: DataFrame) -> DataFrame:
+    """(band, id, n, most) for the texts of groups (band, id) whose `most` allows the smallest text of the band; own: see bounded()."""
+    placed = groups.join(own.select("id", "n", "most"), "id")
+    low = placed.groupBy("band").agg(F.min("n").alias("_low"))
+    return cut(placed.join(low, "band").where("most >= _low").select("band", "id", "n", "most"))
+
+
+def pairs_of_large(groups: DataFrame, grams: DataFrame, roots: DataFrame, least: float, few: int) -> tuple[DataFrame, DataFrame]:
+    """(pairs, roots) for large bands, groups (band, id): pairs (u, v) to verify, by both ways of bounded(), and roots with what the
+    texts that have a partner by size and the most central one of their band connect."""
+    own = bounded(cut(grams.join(groups.select("id").distinct(), "id", "left_semi")), least, few)
+    live = within_bounds(groups, own)
+    roots = rooted(stars(roots).unionByName(met(live, grams, least, F.max_by("id", F.struct("most", "id")))))
+    by_size = pairs_of(unresolved(live.select("band", "id"), roots).join(live, ["band", "id"]), F.expr("_un <= _vmost and _vn <= _umost"))
+    rare = own.select(F.explode(F.filter("out", lambda x: x["df"] > 1)["g"]).alias("band"), "id")
+    return by_size.unionByName(pairs_of(unresolved(rare, roots))), roots
+
+
 def linked(groups: DataFrame, grams: DataFrame, known: DataFrame, least: float, few: int = FEW) -> DataFrame:
     """Links (u, v) that connect what known (u, v) and pairs of a band of groups (band, id) with a likeness of `least` or more connect:
     what was connected on the way is a star from its smallest id.
 
-    First each text meets the smallest id of its bands. Of the texts in bands that are not one component then and have over `few` texts,
-    let H be the shingles that over `few` of them have. A pair without a common shingle outside H shares no more than either has in H,
-    which bounds the sizes that a partner may have: only the few texts for which such partners exist go on, first to the most central
-    one of a band, then to all. A pair with a common shingle outside H has one among the rarest ones of both, and at most `few` texts
-    have that one.
+    First each text meets the smallest id of its bands. In bands of up to `few` texts that are not one component then, those outside
+    the main component meet all others; in larger ones, only pairs that bounded() leaves.
     """
-    stars = lambda roots: roots.select(F.col("root").alias("u"), F.col("id").alias("v"))
-    rooted = lambda links: components(links).withColumnRenamed("node", "id")
     roots = rooted(known)
     rows = unresolved(groups, roots)
     if rows.isEmpty():
@@ -322,27 +377,8 @@ def linked(groups: DataFrame, grams: DataFrame, known: DataFrame, least: float,
     large = cut(rows.groupBy("band").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > few).select("band"))
     pairs = pairs_of(rows.join(large, "band", "left_anti"))
     if not large.isEmpty():
-        inside_large = cut(rows.join(large, "band").select("band", "id"))
-        sets = cut(grams.join(inside_large.select("id").distinct(), "id", "left_semi"))
-        times = cut(gram_counts(sets))
-        # only what is outside H is joined: no shingle there has over `few` texts
-        shingles = outside(sets, times.where(F.col("df") > few).select("g"))
-        out = shingles.join(times.where(F.col("df") <= few), "g").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("df", "g"))).alias("out"))
-        own = sets.select("id", F.size("grams").alias("n")).join(out, "id", "left").withColumn("_k", F.coalesce(F.size("out"), F.lit(0)))
-        inside = F.col("n") - F.greatest("_k", F.lit(0))
-        # a pair that is no pair by its part in H has so many shingles outside H in common, so one of the first ones of each
-        firsts = F.col("_k") - F.greatest(F.ceil(F.col("n") * least - inside - 1e-6), F.lit(1)) + 1
-        own = own.withColumn("most", inside * (1 + least) / least - F.col("n") + 1e-6)
-        own = cut(own.withColumn("out", F.slice("out", F.lit(1), F.greatest(firsts, F.lit(0)).cast("int"))).drop("_k"))
-
-        placed = inside_large.join(own.select("id", "n", "most"), "id")
-        low = placed.groupBy("band").agg(F.min("n").alias("_low"))
-        live = cut(placed.join(low, "band").where("most >= _low").select("band", "id", "n", "most"))
-        roots = rooted(stars(roots).unionByName(met(live, grams, least, F.max_by("id", F.struct("most", "id")))))
-        placed = unresolved(live.select("band", "id"), roots).join(live, ["band", "id"])
-        pairs = pairs.unionByName(pairs_of(placed, F.expr("_un <= _vmost and _vn <= _umost")))
-        smaller = own.select(F.explode(F.filter("out", lambda x: x["df"] > 1)["g"]).alias("band"), "id")
-        pairs = pairs.unionByName(pairs_of(unresolved(smaller, roots)))
+        more, roots = pairs_of_large(cut(rows.join(large, "band").select("band", "id")), grams, roots, least, few)
+        pairs = pairs.unionByName(more)
     return stars(roots).unionByName(cut(verified(ordered(pairs), grams, least)))
 
 
@@ -372,8 +408,7 @@ def near_copies(docs: DataFrame, least: float = LIKE) -> DataFrame:
     A null text counts as empty; texts of under WIDTH words are one shingle, texts without words are copies of each other. Copies
     are one text from the start and never become pairs. An empty table gives no rows; other columns are ignored.
     """
-    text = F.coalesce("text", F.lit(""))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("id"), text.alias("text"))
+    rows = told_apart(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")))
     found = cut(marks(rows.select("id", "text")).dropDuplicates(["id"]))
     roots = components(near_links(rows.select("id", "text"), found, None, least))
     named = cut(rows.select("doc_id", "id").join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id")))

@@ -242,15 +242,16 @@ def near_groups(docs: DataFrame, near: int = NEAR) -> DataFrame:
     return found.join(table, "fp").select("doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def text_id(text="text"):
-    return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+def told(docs: DataFrame) -> DataFrame:
+    """(row, doc, text, id) for each row of docs: all its columns, its doc_id, its text (a null one is empty) and what stands for it."""
+    return minhash.told_apart(docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc"), F.coalesce("text", F.lit("")).alias("text")))
 
 
-def one_of_each(docs: DataFrame, roots: DataFrame) -> DataFrame:
-    """One row of docs, all columns, of each group of roots (id: see text_id, root; texts that are not there stand alone): that of
+def one_of_each(marked: DataFrame, roots: DataFrame) -> DataFrame:
+    """One row, all columns, of each group of roots (id, root; texts that are not there stand alone) of marked (see told()): that of
     the smallest doc_id, a null one last. If several rows have it, the one with the smallest id stays; rows alike in both are told
     apart by nothing, and one of them stays."""
-    marked = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc"), text_id().alias("id"))
+    marked = marked.select("row", "doc", "id")
     found = cut(marked.select("doc", "id"))
     named = found.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
     first = named.groupBy("root").agg(F.min(F.struct(F.col("doc").isNull().alias("late"), "doc", "id")).alias("m"))
@@ -263,9 +264,10 @@ def one_of_each(docs: DataFrame, roots: DataFrame) -> DataFrame:
 
 def keep_first(docs: DataFrame, near: int = NEAR) -> DataFrame:
     """One row of docs, all columns, of each group of near_groups(); see one_of_each()."""
-    found = cut(docs.select(text_id().alias("id"), fingerprint_column().alias("fp")).dropDuplicates(["id"]))
+    marked = told(docs)
+    found = cut(marked.select("id", fingerprint_column().alias("fp")).dropDuplicates(["id"]))
     table = grouped(found.select(F.col("id").alias("doc_id"), "fp"), near)
-    return one_of_each(docs, found.join(table.select("fp", "root"), "fp").select("id", "root"))
+    return one_of_each(marked, found.join(table.select("fp", "root"), "fp").select("id", "root"))
 
 
 def marks(texts: DataFrame) -> DataFrame:
@@ -294,5 +296,5 @@ def copy_links(texts: DataFrame, least: float = minhash.LIKE) -> DataFrame:
 def keep_first_copy(docs: DataFrame, least: float = minhash.LIKE) -> DataFrame:
     """One row of docs, all columns, of each group that copy_links() connects; see one_of_each(). A null text counts as empty; texts
     without words are copies of each other."""
-    texts = docs.select(text_id().alias("id"), F.coalesce("text", F.lit("")).alias("text"))
-    return one_of_each(docs, components(copy_links(texts, least)).withColumnRenamed("node", "id"))
+    marked = told(docs)
+    return one_of_each(marked, components(copy_links(marked.select("id", "text"), least)).withColumnRenamed("node", "id"))

@@ -74,3 +74,43 @@ def test_edge_rows(spark):
     rows = simhash.keep_first_copy(edge.frame(spark)).collect()
     assert sorted(r.doc_id for r in rows if r.doc_id is not None) == [0, 3, 4, 5, 6, 7, 8, 9, 10, 12, edge.LARGE] and len(rows) == 12
     assert simhash.keep_first_copy(edge.empty(spark)).count() == 0
+
+
+def test_texts_of_one_hash_are_told_apart(spark, monkeypatch):
+    from orderlens.llm import minhash
+
+    texts = ["a b c d e f", "a b c d e g", "a b c d e f", "", None, "x y z"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r.doc_id for r in simhash.keep_first_copy(frame).collect()) == [0, 1, 3, 5]
+    hashed = minhash.F.xxhash64
+    monkeypatch.setattr(minhash.F, "xxhash64", lambda *cols: hashed(*cols) if len(cols) > 1 else minhash.F.lit(7).cast("long"))
+    rows = minhash.told_apart(frame.select("doc_id", minhash.F.coalesce("text", minhash.F.lit("")).alias("text"))).collect()
+    assert len({r.id for r in rows}) == 4 and len({(r.id, r.text) for r in rows}) == 4
+    assert 7 in {r.id for r in rows}
+    assert sorted(r.doc_id for r in simhash.keep_first_copy(frame).collect()) == [0, 1, 3, 5]
+    classes = {r.doc_id: r.class_id for r in minhash.near_copies(frame).collect()}
+    assert classes == {0: 0, 1: 1, 2: 0, 3: 3, 4: 3, 5: 5}
+
+
+def test_bounds_leave_no_pair_out(spark):
+    from orderlens.llm import minhash
+
+    rng = random.Random(11)
+    base, sets = rng.sample(range(1000), 40), []
+    for _ in range(60):  # near copies of one set, of several sizes, some with shingles of their own
+        one = set(rng.sample(base, rng.randrange(28, 41)))
+        sets.append(sorted(one | {1000 + rng.randrange(40) for _ in range(rng.randrange(0, 9))}))
+    frame = spark.createDataFrame(list(enumerate(sets)), "id long, grams array<long>")
+    own = {r.id: r for r in minhash.bounded(frame, 0.8, 10).collect()}
+    assert len(own) == 60 and all(own[i].n == len(s) for i, s in enumerate(sets))
+    rare = [{x.g for x in own[i].out or ()} for i in range(60)]
+    like = by_size = by_rare = left = 0
+    for i in range(60):
+        for j in range(i):
+            a, b = set(sets[i]), set(sets[j])
+            size = own[i].n <= own[j].most and own[j].n <= own[i].most
+            if len(a & b) >= 0.8 * len(a | b):
+                assert size or rare[i] & rare[j]
+                like, by_size, by_rare = like + 1, by_size + size, by_rare + bool(rare[i] & rare[j])
+            left += not (size or rare[i] & rare[j])
+    assert like and by_size and by_rare and left
