@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -57,28 +58,30 @@ def stream_dedup(events: DataFrame, key: list[str], late: str = "5 minutes") ->
 ACCEPTED, REJECTED, DUPLICATE = "accepted", "rejected", "duplicate"
 
 
-def _first_of_key(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Rows of one key with `again`: all but the preferred row of the first batch that has the key. Invalid rows pass, and claim no key."""
-    best: pd.DataFrame | None = None
+#: Groups that keys are dealt into; each has one state, the keys accepted of it. Fixed for the life of a checkpoint.
+GROUPS = 2048
+
+
+def _first_of_keys(group: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """Rows of a group of keys with `again`: of each key's valid rows all but the preferred one of the first batch that has the key.
+    Invalid rows pass, and claim no key. A new key's best row so far is held, no other."""
+    seen = set(json.loads(state.get[0])) if state.exists else set()
+    best: dict[str | None, tuple] = {}
     for rows in frames:
-        for _, row in rows.sort_values(["prefer", "row"], na_position="first").iterrows():
-            one = pd.DataFrame({"row": [row["row"]], "again": [False], "prefer": [row["prefer"]]})
-            if not row["valid"]:
-                yield one[["row", "again"]]
-                continue
-            last = one
-            if not state.exists and (best is None or _order(one) > _order(best)):
-                best, last = one, best
-            if last is not None:
-                yield last.assign(again=True)[["row", "again"]]
-    if best is not None:
-        state.update((True,))
-        yield best[["row", "again"]]
-
-
-def _order(one: pd.DataFrame) -> tuple:
-    prefer = one["prefer"].iloc[0]
-    return not pd.isna(prefer), 0.0 if pd.isna(prefer) else prefer, one["row"].iloc[0]
+        out, again = [], []
+        for key, valid, prefer, row in zip(rows["key"], rows["valid"], rows["prefer"], rows["row"]):
+            if valid and key not in seen:
+                one = (False, 0.0, row) if pd.isna(prefer) else (True, prefer, row)
+                last = best.setdefault(key, one)
+                if last is one:
+                    continue
+                best[key], row = (one, last[2]) if one > last else (last, row)
+            out.append(row)
+            again.append(valid)
+        yield pd.DataFrame({"row": out, "again": again}, columns=["row", "again"]).astype({"again": bool})
+    if best:
+        state.update((json.dumps([*seen, *best]).encode(),))
+        yield pd.DataFrame({"row": [one[2] for one in best.values()], "again": False})
 
 
 def row_schema(stream: DataFrame, clean: Callable[[DataFrame], DataFrame]) -> T.StructType:
@@ -91,8 +94,9 @@ def stream_ingest(stream: DataFrame, clean: Callable[[DataFrame], DataFrame], ke
 
     clean: raw rows to clean ones with `reasons` (empty: valid), row by row. Which keys were accepted is the query's state, kept with
     its checkpoint: of the valid rows of a key, one of the first batch that has it is accepted (the largest `prefer`, a number, then
-    the largest row as JSON), all others are rejected as `duplicate`; a row that fails a rule claims no key. State grows with the
-    keys, so a cluster runs this with the RocksDB state store.
+    the largest row as JSON), all others are rejected as `duplicate`; a row that fails a rule claims no key. Keys are dealt by hash
+    into GROUPS, so that Python is called for a group and not for a key. State grows with the keys: a batch reads and writes the keys
+    of the groups that it has rows of, so a cluster with very many keys runs this with the RocksDB state store.
 
     A batch is one write to its own folder, target/rows/batch_id=N, parted by outcome; a line for each outcome and reason then goes
     to target/ledger/batch_id=N, and readers take the batches that the ledger has. A batch that is run again after a failure, at
@@ -101,11 +105,11 @@ def stream_ingest(stream: DataFrame, clean: Callable[[DataFrame], DataFrame], ke
     schema = row_schema(stream, clean)
     rows = clean(stream)
     valid = F.size("reasons") == 0
-    staged = rows.select(
-        F.when(valid, F.col(key).cast("string")).otherwise(F.concat(F.lit("?"), F.xxhash64(F.to_json(F.struct("*"))).cast("string"))).alias("group"),
-        valid.alias("valid"), (F.lit(0.0) if prefer is None else prefer.cast("double")).alias("prefer"), F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("row"),
-    )
-    judged = staged.groupBy("group").applyInPandasWithState(_first_of_key, "row string, again boolean", "seen boolean", "append", GroupStateTimeout.NoTimeout)
+    row = F.to_json(F.struct("*"), {"ignoreNullFields": "false"})
+    claimed = F.when(valid, F.col(key).cast("string"))
+    staged = rows.select(claimed.alias("key"), valid.alias("valid"), (F.lit(0.0) if prefer is None else prefer.cast("double")).alias("prefer"), row.alias("row"))
+    staged = staged.withColumn("group", F.pmod(F.when(F.col("valid"), F.xxhash64("key")).otherwise(F.xxhash64("row")), F.lit(GROUPS)).cast("int"))
+    judged = staged.groupBy("group").applyInPandasWithState(_first_of_keys, "row string, again boolean", "seen binary", "append", GroupStateTimeout.NoTimeout)
 
     def keep(batch: DataFrame, batch_id: int) -> None:
         spark, path = batch.sparkSession, f"{target}/rows/batch_id={batch_id}"
