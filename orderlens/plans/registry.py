@@ -260,7 +260,7 @@ def ingested(c: Canon) -> DataFrame:
     from orderlens.streaming import stream
 
     landing, target = new_path(c.spark), new_path(c.spark)
-    rows = dirty(c).select("external_id", "total_amount")
+    rows = cut(dirty(c).select("external_id", "total_amount"))
 
     def clean(raw: DataFrame) -> DataFrame:
         return ingest.upload_rows(raw, {x: x for x in rows.columns}, {}, [], ["total_amount"]).withColumn("reasons", F.array().cast("array<string>"))
@@ -283,7 +283,7 @@ def upload_chain(c: Canon) -> tuple[str, DataFrame]:
 
     landing, target = new_path(c.spark), new_path(c.spark)
     k = F.col("external_id").cast("long")
-    rows = dirty(c).select(*UPLOAD.values())
+    rows = cut(dirty(c).select(*UPLOAD.values()))
     dearer = rows.where((k % 17 == 0) & (k % 7 > 1)).withColumn("total_amount", (F.trim("total_amount").cast("decimal(14,2)") + 1).cast("string"))
     nameless = F.when(k % 13 != 0, F.col("external_id")).alias("external_id")
 
