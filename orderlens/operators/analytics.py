@@ -149,12 +149,13 @@ def segmentation(profile: DataFrame, k: int = 3, seed: int = 7) -> DataFrame:
 
     names = {1: ["loyalist"], 2: ["new_potential", "vip_champion"], 3: ["new_potential", "loyalist", "vip_champion"]}[k]
     fixed = F.when(F.col("recency") > 90, "at_risk").when((F.col("total_orders") == 1) & (F.datediff(F.date_add("last_order_date", F.col("recency")), "first_purchase_date") > 30), "undetermined")
-    rows = profile.withColumn("_fixed", fixed).withColumn("_value", F.col("lifetime_value").cast("double"))
+    rows = cut(profile.withColumn("_fixed", fixed).withColumn("_value", F.col("lifetime_value").cast("double")))  # read for every round below
     rest = rows.where("_fixed is null")
     if rest.isEmpty():
         return rows.select("customer_id", F.col("_fixed").alias("ai_segment"))
     vectors = VectorAssembler(inputCols=["_value", "engagement_score" if "engagement_score" in profile.columns else "total_orders", "recency"], outputCol="_raw").transform(rest)
     scaled = StandardScaler(inputCol="_raw", outputCol="features", withMean=True).fit(vectors).transform(vectors)
+    scaled = cut(scaled.select("customer_id", "_value", "features"))
     found = KMeans(k=k, seed=seed, featuresCol="features", predictionCol="_cluster").fit(scaled).transform(scaled)
     order = [r._cluster for r in found.groupBy("_cluster").agg(F.avg("_value").alias("v")).orderBy("v").collect()]  # k rows
     label = F.coalesce(*[F.when(F.col("_cluster") == c, names[i]) for i, c in enumerate(order)])

@@ -1,8 +1,24 @@
 """What must not grow faster than the input: calls of Python, sizes of tasks, what is broadcast or read again."""
 
+import pandas as pd
+from pyspark.sql import functions as F
+
+from orderlens.operators import analytics as an
 from tests.test_operators import upload_stream
 
 
+def counted(spark, rows):
+    """(rows, passed on one by one, how many passed so far)."""
+    passed = spark.sparkContext.accumulator(0)
+
+    def run(batches):
+        for batch in batches:
+            passed.add(len(batch))
+            yield batch
+
+    return rows.mapInPandas(run, rows.schema), passed
+
+
 def test_a_stream_keeps_a_state_for_a_group_of_keys_not_for_each(spark, tmp_path):
     from orderlens.streaming import stream
 
@@ -17,3 +33,10 @@ def test_a_stream_keeps_a_state_for_a_group_of_keys_not_for_each(spark, tmp_path
     assert rows(stream.ACCEPTED) == sorted(want)
     lost = [(str(k), float(min(k % 7, k % 5)), "duplicate", 0) for k in range(3000)] + [(str(k), -1.0, "total", 0) for k in range(2990, 3010)] + [(str(k), 9.0, "duplicate", 1) for k in range(2000, 3000)]
     assert rows(stream.REJECTED) == sorted(lost)
+
+
+def test_segmentation_derives_the_profile_once(spark):
+    profile = spark.createDataFrame(pd.DataFrame({"customer_id": range(60), "total_orders": [i % 5 + 1 for i in range(60)], "lifetime_value": [float(i * i) for i in range(60)], "recency": [i % 100 for i in range(60)]}))
+    profile = profile.withColumn("first_purchase_date", F.lit("2001-01-01").cast("date")).withColumn("last_order_date", F.date_sub(F.lit("2001-08-02").cast("date"), F.col("recency").cast("int"))).withColumn("recency", F.col("recency").cast("int"))
+    rows, passed = counted(spark, profile)
+    assert an.segmentation(rows).count() == 60 and passed.value == 60
