@@ -34,5 +34,6 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """df (already cut), with a broadcast hint only if its counted rows are at most limit."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+    """df (already cut), with a broadcast hint only if its counted rows are at most limit; else neither side of the join is broadcast,
+    as the few bytes of a compressed file may hold very many rows."""
+    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df.hint("merge")

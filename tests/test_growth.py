@@ -3,7 +3,8 @@
 import pandas as pd
 from pyspark.sql import functions as F
 
-from orderlens.operators import analytics as an
+from orderlens.operators import analytics as an, ingest
+from orderlens.sources.shared import cut
 from tests.test_operators import upload_stream
 
 
@@ -40,3 +41,16 @@ def test_segmentation_derives_the_profile_once(spark):
     profile = profile.withColumn("first_purchase_date", F.lit("2001-01-01").cast("date")).withColumn("last_order_date", F.date_sub(F.lit("2001-08-02").cast("date"), F.col("recency").cast("int"))).withColumn("recency", F.col("recency").cast("int"))
     rows, passed = counted(spark, profile)
     assert an.segmentation(rows).count() == 60 and passed.value == 60
+
+
+def test_headers_of_many_uploads_are_mapped_once_a_header_and_not_broadcast(spark):
+    heads = cut(spark.range(4000).select(F.col("id").alias("upload_job_id"), F.explode(F.array(*map(F.lit, ["Totl Amount", "Cust_Email", "Zzz"]))).alias("csv_header")))
+    aliases = spark.createDataFrame([("orders", "total_amount", "total amount"), ("customers", "email", "customer email")], "mapped_table string, mapped_column string, alias string")
+    words = spark.createDataFrame([("orders", "total_amount", ["total", "amount"]), ("customers", "email", ["customer", "email"])], "mapped_table string, mapped_column string, tokens array<string>")
+    past = spark.createDataFrame([("zzz ", "products", "name", "2001-01-01")], "csv_header string, mapped_table string, mapped_column string, created_at string")
+    found = ingest.resolve_by_name(heads, past, aliases, words)
+    got = {(r.csv_header, r.mapped_column, r.match_score, r.match_method, r["count"]) for r in found.drop("upload_job_id").groupBy("csv_header", "mapped_column", "match_score", "match_method").count().collect()}
+    assert got == {("Totl Amount", "total_amount", 0.9167, "fuzzy", 4000), ("Cust_Email", "email", 1.0, "exact", 4000), ("Zzz", "name", 1.0, "historical", 4000)}
+    for rows in (found, ingest.map_exact(heads, aliases), ingest.map_fuzzy(heads, aliases), ingest.map_semantic(heads, words), ingest.map_historical(heads, past)):
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+        assert "BuildRight" in plan and "BuildLeft" not in plan and "Exchange hashpartitioning" not in plan
