@@ -79,8 +79,7 @@ def target_values(c: Canon) -> DataFrame:
 
 
 def resolved(c: Canon) -> DataFrame:
-    own, past = cut(headers(c)), cut(past_mappings(c))
-    return ingest.resolve_mappings(own, ingest.map_historical(own, past), ingest.map_exact(own, dictionary(c)), ingest.map_fuzzy(own, dictionary(c)), ingest.map_semantic(own, synonyms(c)))
+    return ingest.resolve_by_name(headers(c), past_mappings(c), dictionary(c), synonyms(c))
 
 
 def by_values(c: Canon) -> DataFrame:
@@ -105,8 +104,9 @@ def synonyms(c: Canon) -> DataFrame:
 
 def past_mappings(c: Canon) -> DataFrame:
     """Mappings confirmed in earlier uploads: of two, one a day later."""
-    rows = c.orders.select(F.lit("Colour").alias("csv_header"), F.lit("products").alias("mapped_table"), F.when(F.col("status") == "pending", "category").otherwise("name").alias("mapped_column"), F.col("order_date").alias("created_at"))
-    return rows.unionByName(c.orders.select(F.lit("Qty").alias("csv_header"), F.lit("order_items").alias("mapped_table"), F.lit("quantity").alias("mapped_column"), F.col("order_date").alias("created_at")))
+    one = lambda header, table, column: F.struct(F.lit(header).alias("csv_header"), F.lit(table).alias("mapped_table"), column.alias("mapped_column"), F.col("order_date").alias("created_at"))
+    both = F.array(one("Colour", "products", F.when(F.col("status") == "pending", "category").otherwise("name")), one("Qty", "order_items", F.lit("quantity")))
+    return c.orders.select(F.explode(both).alias("x")).select("x.*")
 
 
 def dirty(c: Canon) -> DataFrame:
