@@ -3,7 +3,7 @@
 import pandas as pd
 from pyspark.sql import functions as F
 
-from orderlens.operators import analytics as an, ingest
+from orderlens.operators import analytics as an, ingest, kpi
 from orderlens.sources.shared import cut
 from tests.test_operators import upload_stream
 
@@ -54,3 +54,18 @@ def test_headers_of_many_uploads_are_mapped_once_a_header_and_not_broadcast(spar
     for rows in (found, ingest.map_exact(heads, aliases), ingest.map_fuzzy(heads, aliases), ingest.map_semantic(heads, words), ingest.map_historical(heads, past)):
         plan = rows._jdf.queryExecution().executedPlan().toString()
         assert "BuildRight" in plan and "BuildLeft" not in plan and "Exchange hashpartitioning" not in plan
+
+
+def test_users_over_spans_are_exact(spark):
+    pairs = {(d, u * u * 7919 % 20011) for u in range(6000) for d in ((u * 13) % 17, (u * 5) % 23, (u * 29) % 40)}
+    rows = [(d, u) for d, u in pairs if d != 8] + [(8, None), (45, None)]
+    events = spark.createDataFrame(rows, "d int, u long").select(F.timestamp_seconds(F.lit(1704067200) + F.col("d") * 86400 + 3600).alias("ts"), F.col("u").alias("user_id"))
+    got = {r.day.toordinal() - 738886: (r.users_1, r.users_7, r.users_30) for r in kpi.users_over(kpi.user_days(events), (1, 7, 30)).collect()}
+    over = lambda d, n: len({u for e, u in rows if u is not None and d - n < e <= d})
+    assert got == {d: (over(d, 1), over(d, 7), over(d, 30)) for d in {d for d, _ in rows}}
+
+
+def test_churn_risk_derives_its_features_once(spark):
+    features = spark.createDataFrame(pd.DataFrame({"customer_id": range(50), "recency": [i % 30 for i in range(50)], "frequency": [i % 5 + 1 for i in range(50)], "monetary": [float(i) for i in range(50)], "mean_gap": [i % 7 + 0.5 for i in range(50)], "tenure": [i * 3 for i in range(50)], "churned": [int(i % 30 > 11) for i in range(50)]}))
+    rows, passed = counted(spark, features)
+    assert an.churn_risk(rows).count() == 50 and passed.value == 50
