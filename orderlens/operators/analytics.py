@@ -200,8 +200,8 @@ def churn_risk(features: DataFrame) -> DataFrame:
     from pyspark.ml.feature import StandardScaler, VectorAssembler
     from pyspark.ml.functions import vector_to_array
 
-    rows = VectorAssembler(inputCols=["recency", "frequency", "monetary", "mean_gap", "tenure"], outputCol="_raw").transform(features)
-    rows = StandardScaler(inputCol="_raw", outputCol="features", withMean=True).fit(rows).transform(rows)
+    rows = VectorAssembler(inputCols=["recency", "frequency", "monetary", "mean_gap", "tenure"], outputCol="_raw").transform(cut(features))  # read for each fit
+    rows = cut(StandardScaler(inputCol="_raw", outputCol="features", withMean=True).fit(rows).transform(rows).select("customer_id", "churned", "features"))
     fitted = LogisticRegression(labelCol="churned", regParam=0.01).fit(rows).transform(rows)
     return fitted.select("customer_id", "churned", F.round(vector_to_array("probability")[1], 2).alias("churn_risk_score"))
 
