@@ -60,19 +60,24 @@ UPLOADS = (
 )
 
 
-def upload_values(c: Canon) -> DataFrame:
-    """The values of three uploads, a sixth of the orders each, by their own headers."""
-    rows = c.orders.where("order_id % 2 = 1").join(c.customers.select("customer_id", "email"), "customer_id")
+def order_heads(c: Canon) -> DataFrame:
+    """What upload_values() and target_values() take of the orders, derived once and written."""
+    return cut(c.orders.select("order_id", "customer_id", "order_date", F.col("total").cast("decimal(14,2)").alias("total"), "country"))
+
+
+def upload_values(c: Canon, orders: DataFrame) -> DataFrame:
+    """The values of three uploads, a sixth of the orders (order_heads) each, by their own headers."""
+    rows = orders.where("order_id % 2 = 1").join(c.customers.select("customer_id", "email"), "customer_id")
     parts = []
     for j, own in enumerate(UPLOADS):
-        table = rows.where(F.floor(F.col("order_id") / 2) % 3 == j).select("order_id", F.col("order_date").cast("string"), F.col("total").cast("decimal(14,2)"), "email", "country").toDF(*own)
+        table = rows.where(F.floor(F.col("order_id") / 2) % 3 == j).select("order_id", F.col("order_date").cast("string"), "total", "email", "country").toDF(*own)
         parts.append(profiles.values(table, own, upload_job_id=F.lit(j)))
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).withColumnRenamed("column", "csv_header")
 
 
-def target_values(c: Canon) -> DataFrame:
-    """The values that the target's tables have: of orders, those of no upload."""
-    orders = c.orders.where("order_id % 2 = 0").select(F.col("order_id").alias("external_id"), F.col("order_date").cast("string").alias("order_date"), F.col("total").cast("decimal(14,2)").alias("total_amount"))
+def target_values(c: Canon, orders: DataFrame) -> DataFrame:
+    """The values that the target's tables have: of orders (order_heads), those of no upload."""
+    orders = orders.where("order_id % 2 = 0").select(F.col("order_id").alias("external_id"), F.col("order_date").cast("string").alias("order_date"), F.col("total").alias("total_amount"))
     tables_ = {"orders": orders, "customers": c.customers.select("email", "country", "full_name"), "products": c.products.select("sku", "name", "category"), "order_items": c.items.select("quantity")}
     parts = [profiles.values(df, df.columns, mapped_table=F.lit(name)) for name, df in tables_.items()]
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3]).withColumnRenamed("column", "mapped_column")
@@ -83,14 +88,16 @@ def resolved(c: Canon) -> DataFrame:
 
 
 def by_values(c: Canon) -> DataFrame:
-    return profiles.map_by_values(cut(upload_values(c)), cut(target_values(c)))
+    orders = order_heads(c)
+    return profiles.map_by_values(cut(upload_values(c, orders)), cut(target_values(c, orders)))
 
 
 def resolved_uploads(c: Canon) -> DataFrame:
     """IN5 over uploads whose headers differ: by name where a name is known, else by values."""
-    found = cut(upload_values(c))
+    orders = order_heads(c)
+    found = cut(upload_values(c, orders))
     own = cut(found.select("upload_job_id", "csv_header").distinct())
-    values = profiles.map_by_values(found, cut(target_values(c)))
+    values = profiles.map_by_values(found, cut(target_values(c, orders)))
     return ingest.resolve_mappings(own, ingest.map_exact(own, dictionary(c)), ingest.map_fuzzy(own, dictionary(c)), ingest.map_semantic(own, synonyms(c)), values)
 
 

@@ -4,6 +4,8 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from orderlens.operators import analytics as an, ingest, kpi
+from orderlens.plans import registry
+from orderlens.plans.canon import Canon
 from orderlens.sources.shared import cut
 from tests.test_operators import upload_stream
 
@@ -69,3 +71,10 @@ def test_churn_risk_derives_its_features_once(spark):
     features = spark.createDataFrame(pd.DataFrame({"customer_id": range(50), "recency": [i % 30 for i in range(50)], "frequency": [i % 5 + 1 for i in range(50)], "monetary": [float(i) for i in range(50)], "mean_gap": [i % 7 + 0.5 for i in range(50)], "tenure": [i * 3 for i in range(50)], "churned": [int(i % 30 > 11) for i in range(50)]}))
     rows, passed = counted(spark, features)
     assert an.churn_risk(rows).count() == 50 and passed.value == 50
+
+
+def test_header_mapping_by_values_derives_the_orders_once(spark):
+    c = Canon(spark, "/root/testdata/sf0.001")
+    n = c.orders.count()
+    c.__dict__["orders"], passed = counted(spark, c.orders)
+    assert registry.by_values(c).count() == 15 and passed.value == n
