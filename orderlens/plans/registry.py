@@ -344,7 +344,8 @@ def segment_screen(c: Canon) -> DataFrame:
 
 def held_revenue(c: Canon) -> DataFrame:
     """Revenue by the segment that the customer held on the day of the order."""
-    rows = history.as_of(c.sold.select("customer_id", "order_date", "net"), history.history_over(c.sold, YEARS), "order_date")
+    sold = cut(c.sold.select("customer_id", "order_date", "net"))
+    rows = history.as_of(sold, history.history_over(sold, YEARS), "order_date")
     by = rows.groupBy("segment", F.year("order_date").alias("year"))
     return by.agg(F.count(F.lit(1)).alias("orders"), F.countDistinct("customer_id").alias("customers"), an.dbl(F.sum("net")).alias("revenue"))
 

@@ -78,3 +78,10 @@ def test_header_mapping_by_values_derives_the_orders_once(spark):
     n = c.orders.count()
     c.__dict__["orders"], passed = counted(spark, c.orders)
     assert registry.by_values(c).count() == 15 and passed.value == n
+
+
+def test_held_revenue_derives_the_orders_once(spark):
+    c = Canon(spark, "/root/testdata/sf0.001")
+    n = c.sold.count()
+    c.__dict__["sold"], passed = counted(spark, c.sold)
+    assert registry.held_revenue(c).count() > 0 and passed.value == n
