@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Row, Window, functions as F
 
 from orderlens.plans import scale
-from orderlens.sources.shared import cut
+from orderlens.sources.shared import cut, dealt, small
 
 
 def dbl(column, digits: int = 4) -> Column:
@@ -67,32 +67,42 @@ def revenue(orders: DataFrame, grain: str = "month") -> DataFrame:
 BLOCK = 200
 
 
-def baskets(items: DataFrame, min_support: int, most_items: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """(order, product) without repeats, rare products dropped; and product counts. most_items: leave wider orders out."""
-    distinct = items.select("order_id", "product_id").distinct()
+def baskets(items: DataFrame, min_support: int, most_items: int | None = None) -> tuple[DataFrame, DataFrame, Row]:
+    """(order, product) without repeats, rare products dropped; product counts; and of all orders (before most_items) their number and
+    of the others the number of pairs and the most products. most_items: leave wider orders out. items is read once."""
+    lines = cut(items.select("order_id", "product_id"))
+    distinct = cut(dealt(lines, lines.count(), "order_id").distinct())
+    widths = distinct.groupBy("order_id").agg(F.count(F.lit(1)).alias("_n"))
+    fits = F.lit(True) if most_items is None else F.col("_n") <= most_items
+    pairs = F.sum(F.when(fits, F.col("_n") * (F.col("_n") - 1) / 2)).cast("long")
+    of = widths.agg(F.count("order_id").alias("orders"), F.coalesce(pairs, F.lit(0)).alias("pairs"), F.max(F.when(fits, F.col("_n"))).alias("widest")).first()
+    distinct = distinct.where("product_id is not null")
     if most_items is not None:
-        fitting = distinct.groupBy("order_id").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") <= most_items).select("order_id")
-        distinct = distinct.join(fitting, "order_id")
-    counts = distinct.groupBy("product_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_support)
-    return distinct.join(counts.select("product_id"), "product_id"), counts
+        distinct = distinct.join(widths.where(fits).select("order_id"), "order_id")
+    counts = cut(distinct.groupBy("product_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_support))
+    # the products are put into a hash table, so the rows are not sorted
+    rows = distinct if min_support <= 1 else distinct.join(counts.select("product_id").hint("shuffle_hash"), "product_id")
+    return rows, counts, of
 
 
 def basket_pairs(items: DataFrame, min_support: int = 2, most_items: int | None = None, min_confidence: float = 0.0, block: int = BLOCK) -> DataFrame:
     """Pairs of products bought together: support (orders), confidence of b given a, lift. The products of an order with over
-    `block` of them are dealt into blocks, and every pair of blocks is a group of its own."""
-    rows, counts = baskets(items, min_support, most_items)
-    width = F.count(F.lit(1)).over(Window.partitionBy("order_id"))
-    parts = F.ceil(width / F.lit(block)).cast("long")
-    rows = rows.withColumn("_parts", parts).withColumn("_mine", F.pmod(F.xxhash64("product_id"), F.col("_parts")))
+    `block` of them are dealt into blocks, and every pair of blocks is a group of its own, a list that is paired row by row."""
+    rows, counts, of = baskets(items, min_support, most_items)
+    rows = rows.where("order_id is not null").withColumn("_parts", F.lit(1).cast("long"))
+    if (of.widest or 0) > block:
+        wide = cut(rows.groupBy("order_id").agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("long").alias("_parts")).where(F.col("_parts") > 1))
+        rows = rows.drop("_parts").join(small(wide), "order_id", "left").withColumn("_parts", F.coalesce("_parts", F.lit(1)))
+    rows = rows.withColumn("_mine", F.pmod(F.xxhash64("product_id"), F.col("_parts")))
     rows = rows.withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_parts") - 1)))
-    rows = rows.select("order_id", F.least("_mine", "_other").alias("_a"), F.greatest("_mine", "_other").alias("_b"), "product_id", "_mine")
-    keys = ["order_id", "_a", "_b"]
-    left, right = rows.select(*keys, F.col("product_id").alias("a"), F.col("_mine").alias("_m")), rows.select(*keys, F.col("product_id").alias("b"), F.col("_mine").alias("_n"))
-    across = (F.col("_a") == F.col("_b")) | (F.col("_m") != F.col("_n"))
-    pairs = left.join(right, keys).where((F.col("a") < F.col("b")) & across).groupBy("a", "b").agg(F.count(F.lit(1)).alias("support")).where(F.col("support") >= min_support)
-    n = items.select("order_id").distinct().agg(F.count(F.lit(1)).alias("_orders"))
-    out = pairs.join(counts.select(F.col("product_id").alias("a"), F.col("n").alias("_na")), "a").join(counts.select(F.col("product_id").alias("b"), F.col("n").alias("_nb")), "b").join(F.broadcast(n))
-    out = out.select("a", "b", "support", ratio("support", "_na").alias("confidence"), F.round(F.col("support") * F.col("_orders") / (F.col("_na") * F.col("_nb")), 6).alias("lift"))
+    rows = rows.select("order_id", F.least("_mine", "_other").alias("_a"), F.greatest("_mine", "_other").alias("_b"), F.struct(F.col("product_id").alias("p"), F.col("_mine").alias("m")).alias("_x"))
+    lists = dealt(rows, of.pairs, "order_id", "_a", "_b").groupBy("order_id", "_a", "_b").agg(F.sort_array(F.collect_list("_x")).alias("_l"))
+    firsts = lists.select("_a", "_b", "_l", F.posexplode("_l").alias("_i", "_u"))
+    met = firsts.select("_a", "_b", "_u", F.explode(F.slice("_l", F.col("_i") + 2, F.size("_l"))).alias("_v"))
+    met = met.where((F.col("_a") == F.col("_b")) | (F.col("_u.m") != F.col("_v.m"))).select(F.col("_u.p").alias("a"), F.col("_v.p").alias("b"))
+    pairs = dealt(met, of.pairs, "a", "b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("support")).where(F.col("support") >= min_support)
+    out = pairs.join(counts.select(F.col("product_id").alias("a"), F.col("n").alias("_na")), "a").join(counts.select(F.col("product_id").alias("b"), F.col("n").alias("_nb")), "b")
+    out = out.select("a", "b", "support", ratio("support", "_na").alias("confidence"), F.round(F.col("support") * F.lit(of.orders) / (F.col("_na") * F.col("_nb")), 6).alias("lift"))
     return out.where(F.col("confidence") >= min_confidence)
 
 
@@ -100,8 +110,8 @@ def basket_itemsets(items: DataFrame, min_support: float, most_items: int | None
     """Frequent itemsets of any size by FP-growth."""
     from pyspark.ml.fpm import FPGrowth
 
-    rows, _ = baskets(items, 1, most_items)
-    lists = rows.groupBy("order_id").agg(F.array_sort(F.collect_set("product_id")).alias("items"))
+    rows, _, of = baskets(items, 1, most_items)
+    lists = dealt(rows, of.orders + of.pairs, "order_id").groupBy("order_id").agg(F.array_sort(F.collect_set("product_id")).alias("items"))
     return FPGrowth(itemsCol="items", minSupport=min_support).fit(lists).freqItemsets.select(F.array_sort("items").alias("items"), F.col("freq").alias("support"))
 
 

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: Rows up to which a table of a few numbers a row may be broadcast; beyond it the join shuffles.
 BROADCAST_ROWS = 100_000
+#: Rows that one task sorts, groups or counts, about.
+TASK_ROWS = 1_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -37,3 +39,9 @@ def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """df (already cut), with a broadcast hint only if its counted rows are at most limit; else neither side of the join is broadcast,
     as the few bytes of a compressed file may hold very many rows."""
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df.hint("merge")
+
+
+def dealt(df: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """df dealt by keys over so many tasks that each has about TASK_ROWS of its rows (given), so a task needs no more memory for a larger
+    table."""
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, -(-int(rows) // TASK_ROWS)), *keys)

@@ -1,5 +1,7 @@
 """What must not grow faster than the input: calls of Python, sizes of tasks, what is broadcast or read again."""
 
+import re
+
 import pandas as pd
 from pyspark.sql import functions as F
 
@@ -85,3 +87,21 @@ def test_held_revenue_derives_the_orders_once(spark):
     n = c.sold.count()
     c.__dict__["sold"], passed = counted(spark, c.sold)
     assert registry.held_revenue(c).count() > 0 and passed.value == n
+
+
+def test_baskets_read_the_lines_once_and_a_task_counts_so_many_pairs(spark, monkeypatch):
+    from orderlens.sources import shared
+
+    monkeypatch.setattr(shared, "TASK_ROWS", 100, raising=False)
+    lines = [(o, (o * k * k + k) % 40) for o in range(300) for k in (1, 2, 3, 5, 5, 7)] + [(301, None), (302, 1), (None, 2), (None, 3)]
+    rows, passed = counted(spark, spark.createDataFrame(lines, "order_id long, product_id long").coalesce(1))
+    found = an.basket_pairs(rows, 2)
+    own = {o: sorted({p for q, p in lines if q == o and p is not None}) for o, _ in lines}
+    met = [(a, b) for o, ps in own.items() if o is not None for a in ps for b in ps if a < b]
+    single = {p: sum(p in ps for ps in own.values()) for p in range(40)}
+    assert len(own) == 303  # with none
+    want = {(a, b): (met.count((a, b)), round(met.count((a, b)) / single[a], 6), round(met.count((a, b)) * 302 / (single[a] * single[b]), 6)) for a, b in set(met) if met.count((a, b)) > 1}
+    assert {(r.a, r.b): (r.support, r.confidence, r.lift) for r in found.collect()} == want
+    assert passed.value == len(lines)
+    sizes = [int(n) for n in re.findall(r"hashpartitioning\(a#\d+L, b#\d+L, (\d+)\)", found._jdf.queryExecution().executedPlan().toString())]
+    assert sizes and min(sizes) >= len(met) // 100
