@@ -11,15 +11,21 @@ from orderlens.sources.shared import cut, small
 
 #: Comments a word must be in to have a polarity, and to be a seed.
 LEAST, LEAST_SEED = 2, 3
+#: Words, the most frequent, whose polarity is broadcast in each round, about; fewer than BROADCAST_ROWS.
+FREQUENT = 90_000
 #: Standard deviations from the mean beyond which a comment is positive or negative.
 APART = 0.5
 LABELS = ("POSITIVE", "NEGATIVE", "NEUTRAL")
 
 
-def words(comments: DataFrame) -> DataFrame:
-    """(id, word): the different words of each comment (id, text), lower-cased runs of letters."""
-    own = F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+"))
-    return comments.select("id", F.explode(own).alias("word")).where("word <> ''")
+def word_sets(comments: DataFrame, *more: str) -> DataFrame:
+    """(id, ws) and the columns `more`: the different words of each comment (id, text), lower-cased runs of letters."""
+    return comments.select("id", *more, F.array_remove(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+")), "").alias("ws"))
+
+
+def words(sets: DataFrame, *columns: str) -> DataFrame:
+    """A row with columns and word for each word of sets (ws)."""
+    return sets.select(*columns, F.explode("ws").alias("word"))
 
 
 def seed_words(rated: DataFrame, held: DataFrame, most: int = 20) -> DataFrame:
@@ -28,41 +34,63 @@ def seed_words(rated: DataFrame, held: DataFrame, most: int = 20) -> DataFrame:
     rated: (id, text, good boolean); held: (word, n), the comments each word is in, of which those with LEAST_SEED or more count. Log
     odds have half a text added everywhere; ties go by word. A word that speaks for neither side is no seed.
     """
-    totals = rated.agg(F.count_if("good").alias("_good"), F.count_if(~F.col("good")).alias("_bad"))  # one row
-    by = words(rated).join(rated.select("id", "good"), "id").groupBy("word").agg(F.count_if("good").alias("g"), F.count_if(~F.col("good")).alias("b"))
+    sets = cut(word_sets(rated, "good"))
+    totals = sets.agg(F.count_if("good").alias("_good"), F.count_if(~F.col("good")).alias("_bad"))  # one row
+    by = words(sets, "good").groupBy("word").agg(F.count_if("good").alias("g"), F.count_if(~F.col("good")).alias("b"))
     by = by.join(held.where(F.col("n") >= LEAST_SEED), "word").crossJoin(F.broadcast(totals))
     side = lambda n, all_: F.ln((F.col(n) + 0.5) / (F.col(all_) - F.col(n) + 0.5))
-    odds = by.select("word", F.round(side("g", "_good") - side("b", "_bad"), 9).alias("odds"))
+    odds = cut(by.select("word", F.round(side("g", "_good") - side("b", "_bad"), 9).alias("odds")))
     best = odds.where("odds > 0").orderBy(F.desc("odds"), "word").limit(most).select("word", F.lit(1.0).alias("weight"))
     return best.unionByName(odds.where("odds < 0").orderBy("odds", "word").limit(most).select("word", F.lit(-1.0).alias("weight")))
 
 
-def _of_comments(incidence: DataFrame, polarity: DataFrame) -> DataFrame:
+def _of_comments(sets: DataFrame, rare: DataFrame | None, polarity: DataFrame) -> DataFrame:
     """(id, s): the mean polarity of each comment's words, by their inverse document frequency."""
-    met = incidence.join(small(polarity), "word")
-    return met.groupBy("id").agg(F.try_divide(F.sum(F.col("idf") * F.col("p")), F.sum("idf")).alias("s"))
+    worth = [F.col("idf"), (F.col("idf") * F.col("p")).alias("_ip")]
+    met = words(sets, "id").join(small(polarity.where("often")), "word").select("id", *worth)
+    if rare is not None:
+        met = met.unionByName(rare.join(polarity.where("not often"), "word").select("id", *worth))
+    return met.groupBy("id").agg(F.try_divide(F.sum("_ip"), F.sum("idf")).alias("s"))
+
+
+def _of_words(sets: DataFrame, rare: DataFrame | None, polarity: DataFrame) -> DataFrame:
+    """(word, _s): the mean of the comments that have a word."""
+    scores = _of_comments(sets, rare, polarity)
+    scores = scores if rare is None else cut(scores)
+    met = words(sets.join(scores, "id"), "s").join(small(polarity.where("often").select("word")), "word").select("word", "s")
+    if rare is not None:
+        met = met.unionByName(rare.join(scores, "id").select("word", "s"))
+    return met.groupBy("word").agg(F.avg("s").alias("_s"))
 
 
 def induce(comments: DataFrame, rated: DataFrame, rounds: int = 3, seeds: int = 20) -> tuple[DataFrame, DataFrame]:
     """((word, polarity, is_seed), (id, s)): polarity of words and comments (id, text).
 
     A comment is worth the mean of its words, weighted by inverse document frequency; a word the mean of the comments that have it; seeds
-    keep 1 or -1. That is a walk over words that share comments without a pair of words ever being made: each round joins the list
-    of (comment, word) twice, whose length is that of the text. Words in fewer than LEAST comments have no polarity.
+    keep 1 or -1. That is a walk over words that share comments without a pair of words ever being made: each round passes twice over
+    the words of the comments, whose number is that of the text. The FREQUENT most frequent words meet their polarity where the
+    comments lie, and only what is summed is shuffled; the other words, few of a text, are joined. Words in fewer than LEAST
+    comments have no polarity.
     """
-    pairs = cut(words(comments))
-    held = cut(pairs.groupBy("word").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= LEAST))
+    sets = cut(word_sets(comments))
+    held = cut(words(sets, "id").groupBy("word").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= LEAST))
+    known = held.count()
+    # more comments than this: a frequent word
+    most = held.agg(F.percentile_approx("n", 1 - FREQUENT / known, 10_000)).first()[0] if known > FREQUENT else 0
     total = comments.agg(F.count(F.lit(1)).alias("_all"))  # one row
-    weights = held.crossJoin(F.broadcast(total)).select("word", F.ln(F.col("_all") / F.col("n")).alias("idf"))
-    incidence = cut(pairs.join(weights, "word"))
     seeded = cut(seed_words(rated, held, seeds))
-    start = held.select("word").join(small(seeded), "word", "left")
-    polarity = cut(start.select("word", F.coalesce("weight", F.lit(0.0)).alias("p"), F.col("weight").isNotNull().alias("is_seed")))
+    start = held.join(small(seeded), "word", "left").crossJoin(F.broadcast(total))
+    idf, weight = F.ln(F.col("_all") / F.col("n")).alias("idf"), F.coalesce("weight", F.lit(0.0)).alias("p")
+    polarity = cut(start.select("word", idf, (F.col("n") > most).alias("often"), weight, F.col("weight").isNotNull().alias("is_seed")))
+    rare = None
+    if known > FREQUENT:
+        left = words(sets, "id").join(small(polarity.where("often").select("word")), "word", "left_anti")
+        rare = cut(left.join(polarity.where("not often").select("word"), "word").select("id", "word"))
     for _ in range(rounds):
-        spread = incidence.join(_of_comments(incidence, polarity), "id").groupBy("word").agg(F.avg("s").alias("_s"))
-        moved = polarity.join(spread, "word", "left")
-        polarity = cut(moved.select("word", F.when(F.col("is_seed"), F.col("p")).otherwise(F.coalesce("_s", F.lit(0.0))).alias("p"), "is_seed"))
-    return polarity.withColumnRenamed("p", "polarity"), _of_comments(incidence, polarity)
+        moved = polarity.join(_of_words(sets, rare, polarity), "word", "left")
+        p = F.when(F.col("is_seed"), F.col("p")).otherwise(F.coalesce("_s", F.lit(0.0))).alias("p")
+        polarity = cut(moved.select("word", "idf", "often", p, "is_seed"))
+    return polarity.select("word", F.col("p").alias("polarity"), "is_seed"), _of_comments(sets, rare, polarity)
 
 
 def labelled(comments: DataFrame, scores: DataFrame) -> DataFrame:

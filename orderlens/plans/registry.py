@@ -160,9 +160,9 @@ def scored(c: Canon) -> DataFrame:
 def induced(c: Canon) -> tuple[DataFrame, DataFrame, DataFrame]:
     """A08 with polarity from the comments themselves: (words, comments' scores, comments). Rated texts give the seeds: good ones have
     quality and are not toxic."""
-    comments = cut(c.t["conversations"].select(F.struct("conv_id", "turn").alias("id"), "text"))
+    comments = c.t["conversations"].select(F.struct("conv_id", "turn").alias("id"), "text")
     rated = c.t["documents"].join(c.t["labels"], "doc_id").select(F.col("doc_id").alias("id"), "text", ((F.col("quality") == 1) & (F.col("toxic") == 0)).alias("good"))
-    return *polarity.induce(comments, cut(rated)), comments
+    return *polarity.induce(comments, rated), comments
 
 
 def induced_sentiment(c: Canon) -> DataFrame:

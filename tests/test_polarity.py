@@ -64,6 +64,25 @@ def test_plain_loops(spark):
     assert none[0].count() == none[1].count() == 0 and polarity.labelled(comments.limit(0), none[1]).count() == 0
 
 
+def test_rare_words_apart_and_texts_read_once(spark, monkeypatch):
+    from tests.test_growth import counted
+
+    comments, read = counted(spark, spark.createDataFrame([(i, t) for i, t in COMMENTS], "id long, text string").coalesce(1))
+    rated, read_rated = counted(spark, spark.createDataFrame([(i, *r) for i, r in enumerate(RATED)], "id long, text string, good boolean").coalesce(1))
+    want_words, want_scores = plain(COMMENTS, RATED, seeds=2)
+    for frequent in (1, 5, 100):
+        monkeypatch.setattr(polarity, "FREQUENT", frequent, raising=False)
+        words, scores = polarity.induce(comments, rated, seeds=2)
+        got = {r.word: (r.polarity, r.is_seed) for r in words.collect()}
+        assert got.keys() == want_words.keys() and all(got[w] == (pytest.approx(x), s) for w, (x, s) in want_words.items())
+        assert {r.id: r.s for r in scores.collect() if r.s is not None} == pytest.approx(want_scores)
+    # comments once for their words and once for their number
+    assert read.value == 3 * 2 * len(COMMENTS) and read_rated.value == 3 * len(RATED)
+    monkeypatch.setattr(polarity, "FREQUENT", 100, raising=False)
+    plan = polarity.induce(comments, rated, seeds=2)[1]._jdf.queryExecution().executedPlan().toString()
+    assert "BuildRight" in plan and "hashpartitioning(word" not in plan
+
+
 def test_both_signs_and_a_fifth_of_the_turns():
     c = duckdb.connect()
     for t in ("conversations", "documents", "labels"):
