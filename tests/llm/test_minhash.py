@@ -1,6 +1,7 @@
 import hashlib
 
 import pytest
+import xxhash
 
 from orderlens.llm import minhash
 from tests.llm import edge
@@ -22,6 +23,16 @@ def check(rows, docs):
     return docs
 
 
+def test_words_are_hashed_as_before_and_copies_signed_once(spark):
+    h = minhash.Hasher()
+    assert h.words("One  \x1dtwo\nONE \u00c9").tolist() == [xxhash.xxh64_intdigest(w, 1) for w in (b"one", b"\x1dtwo", b"one", "\u00c9".encode())]
+    assert h.words("").tolist() == [] and not vars(h)
+    texts = spark.createDataFrame([(i % 3, f"some words of text {i % 3}") for i in range(3000)], "id long, text string").coalesce(1)
+    found = [(r.id, r.bands) for r in minhash.marks(texts).collect()]
+    assert len(found) == 3
+    assert dict(found) == {i: minhash.bands(minhash.signature(h.shingles(f"some words of text {i}"))) for i in range(3)}
+
+
 @pytest.mark.parametrize("parts", [1, 3, 200])
 def test_edge_rows(spark, parts):
     check(minhash.edit_report(edge.frame(spark), parts).collect(), [(r[0], r[1]) for r in edge.rows()])
